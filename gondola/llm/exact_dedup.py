@@ -156,11 +156,12 @@ def _groups(spark: SparkSession, docs: DataFrame, space: Workspace) -> tuple[Dat
 
 
 def _joined(spark: SparkSession, docs: DataFrame, name: str) -> DataFrame:
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in ADDED or c.lower() == "fp"))
+    """docs with __fp, __sha and, where a text repeats, __keep and __size."""
     groups, n = _groups(spark, docs, Workspace(spark, name))
-    rows = docs.withColumns({"fp": F.xxhash64(text_or_empty()), "text_sha256": F.sha2(text_or_empty(), 256)})
+    groups = groups.toDF("__fp", "__sha", "__keep", "__size")
+    rows = docs.withColumns({"__fp": F.xxhash64(text_or_empty()), "__sha": F.sha2(text_or_empty(), 256)})
     side = F.broadcast(groups) if n <= BROADCAST_ROWS // 4 else groups  # else a sort-merge join, whose hot partitions Spark splits
-    return rows.join(side, ["fp", "text_sha256"], "left")
+    return rows.join(side, ["__fp", "__sha"], "left")
 
 
 def annotate(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -168,20 +169,19 @@ def annotate(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows with the same doc_id and text are told apart by a window over just these, so a hot text isn't one window.
     """
-    same = Window.partitionBy("text_sha256", "doc_id").orderBy(F.lit(1))
-    alone = F.col("group_size").isNull()
+    same = Window.partitionBy("__sha", "doc_id").orderBy(F.lit(1))
+    alone = F.col("__size").isNull()
     return (
-        _joined(spark, docs, "exact")
-        .withColumn("copy", F.row_number().over(same))
-        .withColumns({"kept": alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)), "keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1))})
-        .drop("copy", "fp")
+        _joined(spark, docs.drop(*(c for c in docs.columns if c.lower() in ADDED)), "exact")
+        .withColumn("__copy", F.row_number().over(same))
+        .withColumns({"keep_id": F.when(alone, F.col("doc_id")).otherwise(F.col("__keep")), "group_size": F.coalesce("__size", F.lit(1)), "kept": alone | (F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__copy") == 1)), "text_sha256": F.col("__sha")})
+        .drop("__copy", "__fp", "__sha", "__keep", "__size")
     )
 
 
 def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    columns = docs.columns
     rows = _joined(spark, docs, "exact-keep")
-    alone = rows.filter(F.col("group_size").isNull())
-    firsts = rows.filter(F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))).dropDuplicates(["text_sha256"])
-    return alone.unionByName(firsts).select(*columns)
+    alone = rows.filter(F.col("__size").isNull())
+    firsts = rows.filter(F.col("__size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("__keep"))).dropDuplicates(["__sha"])
+    return alone.unionByName(firsts).select(*docs.columns)
