@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import exact_dedup, langid, packing, secrets, simhash
+from gondola.llm import exact_dedup, langid, packing, secrets, simhash, suffix_dedup
 from gondola.llm.common import id_bucket, table
 
 
@@ -39,6 +39,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.digest().alias("kept_sha256"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_bucket("doc_id", 4) == 2
@@ -47,7 +52,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op6_secrets": op6_secrets, "op10_language": op10_language}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op6_secrets": op6_secrets, "op9_suffix_array": op9_suffix_array, "op10_language": op10_language}
 
 
 def oracle_sql() -> dict[str, str]:
