@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import exact_dedup, langid, packing, secrets, simhash, suffix_dedup
+from gondola.llm import exact_dedup, html_extract, langid, packing, quality, secrets, simhash, suffix_dedup, topk
 from gondola.llm.common import id_bucket, table
 
 
@@ -31,6 +31,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), with_ids=False)
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.main_text(spark, pages.select("page_id", "url", "html"), html_extract.train(spark, pages))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -39,6 +44,30 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(id_bucket("doc_id", 3) != 1)
+    return quality.classify(spark, table(spark, sf_dir, "documents"), labels).select("doc_id", (id_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP8_SQL = """
+WITH v AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] for p in list_zip(q.x, c.x)]) AS BIGINT) AS score
+    FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = suffix_dedup.dedup(spark, table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", suffix_dedup.digest().alias("kept_sha256"))
@@ -52,8 +81,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_simhash": op2_simhash, "op4_packing": op4_packing, "op6_secrets": op6_secrets, "op9_suffix_array": op9_suffix_array, "op10_language": op10_language}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL}
