@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import exact_dedup, html_extract, langid, packing, quality, secrets, simhash, suffix_dedup, topk
+from gondola.llm import exact_dedup, html_extract, langid, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
 from gondola.llm.common import id_bucket, table
 
 
@@ -27,6 +27,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three distinct sampled segmentations of every text, as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return segmentation.checked_samples(docs)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), with_ids=False)
 
@@ -81,7 +87,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
