@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +17,7 @@ BROADCAST_ROWS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,6 +38,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark)}/gondola-{name}-{uuid.uuid4().hex}"
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(self.path)
@@ -50,6 +55,26 @@ class Workspace:
         self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Smaller Arrow batches than usual, as texts may be long; a session that sets its own size keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "2000")
+
+
+def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, after whose end the worker gives its free memory back to the system: workers live on, beside the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import in_slices
+from gondola.llm.common import bounded, in_slices, released
 
 ORDER = 4
 #: Documents of each language that training reads, about.
@@ -143,7 +143,7 @@ class Model:
         for n in range(order, 0, -1):
             rows = self.grams[n - 1].find(windows[n - 1][left])
             found = rows >= 0
-            if found.all() and len(left) == len(out):
+            if n == order and found.all():
                 return self.grams[n - 1].values[rows]
             out[left[found]] += self.grams[n - 1].values[rows[found]]
             left = left[~found]
@@ -302,6 +302,7 @@ def _apply(shared, with_lang: bool):
 
 def train(spark: SparkSession, rows: DataFrame, docs_per_language: int = TRAIN_DOCS, order: int = ORDER) -> Model:
     """rows: doc_id, text, lang: the only rows learned from."""
+    bounded(spark)
     rows = rows.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(sizes)
@@ -312,12 +313,12 @@ def train(spark: SparkSession, rows: DataFrame, docs_per_language: int = TRAIN_D
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
     sample = rows.filter(place < share[F.col("lang")]).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)))
     counted = sample.filter("fold <> 0").select("lang", "text")
-    top = counted.select("text").mapInArrow(_count_symbols, "symbol int, n long").filter("symbol > 0").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "symbol").limit(SYMBOLS).collect()
+    top = counted.select("text").mapInArrow(released(_count_symbols), "symbol int, n long").filter("symbol > 0").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "symbol").limit(SYMBOLS).collect()
     blank = Model(languages, np.array(sorted(r["symbol"] for r in top), np.int64), [], [])
-    grams = counted.mapInArrow(_count_grams(blank, order), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    grams = counted.mapInArrow(released(_count_grams(blank, order)), "lang int, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
     model = fit(languages, blank.alphabet, grams["code"].to_numpy().view(np.uint64), grams["lang"].to_numpy(), grams["n"].to_numpy(), order)
     shared = spark.sparkContext.broadcast(model)
-    held = sample.filter("fold = 0").select("lang", "text").mapInArrow(_apply(shared, True), "lang string, n long, h array<double>").filter("n > 0").collect()
+    held = sample.filter("fold = 0").select("lang", "text").mapInArrow(released(_apply(shared, True)), "lang string, n long, h array<double>").filter("n > 0").collect()
     return calibrate(model, [r["lang"] for r in held], np.array([r["n"] for r in held]), np.array([r["h"] for r in held]))
 
 
@@ -345,4 +346,4 @@ def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected", "cross_entropy")))
     shared = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(_apply(shared, False), f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
+    return docs.mapInArrow(released(_apply(shared, False)), f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
