@@ -7,8 +7,9 @@ sequences with neighbouring documents, cutting a document where a sequence ends.
 of a partition is left: it is cut into sequences whose lengths are powers of two, which need no padding.
 
 Tokenizing runs once: its result (compressed ids) is a written table, which the range sort samples and reads.
-Ids come from the tokenizer file; words between single spaces are looked up in a bounded cache, as the tokenizer's
-pre-tokenizer never joins across such a space; texts with other white space at word edges go to the tokenizer whole.
+Ids come from the tokenizer file; each distinct word between single spaces is tokenized once for a slice of texts, as
+the tokenizer's pre-tokenizer never joins across such a space; texts with other white space at word edges go to the tokenizer whole.
+The tests compare all of it with the tokenizer.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed as often as they come; rows with a
 null doc_id are packed too; very long texts span many sequences; extra columns are ignored.
@@ -16,18 +17,22 @@ null doc_id are packed too; very long texts span many sequences; extra columns a
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import Workspace
+from gondola.llm.common import Workspace, in_slices, released
 
 TOKENIZER = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -35,8 +40,8 @@ END_ID = 0
 DIMENSIONS, CURVE_BITS = 4, 12
 #: The cube that the curve fills: token means lie well inside.
 HALF_SIDE = 1.5
-#: Words that a worker's cache holds before it starts anew, and the longest word it takes.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 48
+#: Characters tokenized at once.
+SLICE = 3_000_000
 #: Tokens that a partition of the packing step should have.
 PARTITION_TOKENS = 1_500_000
 
@@ -47,40 +52,74 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: White space other than spaces and line ends.
+_ODD_SPACE = re.compile(r"[^\S \n]")
+_PROBE = "Words, ça 12's\n\n  x<|endoftext|>\t\u4f60 \U0001f600 it's-O'Neil 3.14 \u00a0end"
+
+
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    The distinct words of a slice are merged in one go by a second implementation of the same byte-level vocabulary,
+    built from the tokenizer file and compared with it on a probe; should they differ, the file's own takes all texts.
+    """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.words = self._merger(path)
+
+    def _merger(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
+        shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        special = {t["content"] for t in model["added_tokens"]}
+        ranks = {bytes(shown[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
+        fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
+        same = fast.encode_ordinary(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
+        return fast.encode_ordinary if same else None
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {}
-        split: list[list[str] | None] = []
-        for text in texts:
-            words = text.split(" ")
-            # a cached word stands for itself after a space; the first has a mark in front, as no space precedes it
-            if any(not w or w[0].isspace() or w[-1].isspace() for w in words):
-                split.append(None)
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            apart = not text or "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
+            if apart or self.words is None or _ODD_SPACE.search(text):
+                out[k] = np.frombuffer(self._whole([text])[0], "<u4")
             else:
-                words[0] = "\n" + words[0]
-                split.append(words)
-        cache = self.cache
-        missing = list({w for words in split if words for w in words if w not in cache})
-        fresh = self._whole([w[1:] if w[0] == "\n" else " " + w for w in missing])
-        here = dict(zip(missing, fresh))
-        cache |= {w: b for w, b in here.items() if len(w) <= CACHE_LENGTH}
-        out = []
-        for text, words in zip(texts, split):
-            ids = self._whole([text])[0] if words is None else b"".join([cache.get(w) or here[w] for w in words])
-            out.append(np.frombuffer(ids, "<u4"))
+                plain.append(k)
+        if plain:
+            split = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
+            edges = split.offsets.to_numpy()
+            coded = split.flatten().dictionary_encode()
+            code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            # all words one after another, each with the space before it
+            ids = np.array(self.words(" " + " ".join(words.to_pylist())), "<u4")
+            ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
+            # a text's first word has no space before it
+            firsts = [np.array(self.words(words[c].as_py()), "<u4") for c in code[edges[:-1]].tolist()]
+            code[edges[:-1]] = len(words) + np.arange(len(firsts))
+            size = np.concatenate([np.diff(upto, prepend=0), [len(x) for x in firsts]])
+            start, ids = np.cumsum(size) - size, np.concatenate([ids, *firsts])
+            count = size[code]
+            upto = np.cumsum(count)
+            every = ids[np.repeat(start[code] - (upto - count), count) + np.arange(int(upto[-1]))]
+            ends = upto[edges[1:] - 1]
+            for k, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist()):
+                out[k] = every[a:b]
         return out
 
 
@@ -133,13 +172,12 @@ def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for a in range(0, batch.num_rows, 128):
-                part = batch.slice(a, 128)
-                ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in encode([t or "" for t in part.column(1).to_pylist()])]
+            for part in in_slices(list(zip(*(c.to_pylist() for c in batch.columns))), lambda r: len(r[1] or "") + 1, SLICE):
+                ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in encode([t or "" for _, t in part])]
                 keys = hilbert(np.array([point(x) for x in ids]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze.compress(_narrow(x)) for x in ids], pa.binary())], names=["doc_id", "curve", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze.compress(_narrow(x)) for x in ids], pa.binary())], names=["doc_id", "curve", "doc_tokens", "ids"])
 
-    return run
+    return released(run)
 
 
 def _narrow(ids: np.ndarray) -> bytes:
