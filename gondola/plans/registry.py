@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from gondola.plans.context import BuildContext
@@ -56,10 +58,26 @@ def ordered(only: set[str] | None = None) -> list[Mart]:
     return [marts[name] for name in TopologicalSorter(graph).static_order()]
 
 
-def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None) -> Tables:
-    """Lazy DataFrames of the marts on top of the sources; sources named like a mart replace it."""
-    tables = Tables(sources)
+def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep: bool = False) -> Tables:
+    """Lazy DataFrames of the marts on top of the sources; sources named like a mart replace it.
+
+    keep: tables that several of the wanted marts read are marked to be kept in memory or on disk once computed, as
+    the lineage would otherwise be computed anew for each reader. A build writes every mart instead.
+    """
+    tables, readers = Tables(sources), Counter()
+    stack, seen = list(only or load()), set()
+    while stack:  # only what the wanted marts reach, stopping at sources
+        name = stack.pop()
+        if name in seen or name in sources:
+            continue
+        seen.add(name)
+        readers.update(load()[name].needs)
+        stack += [n for n in load()[name].needs if n in load()]
     for m in ordered(only):
-        if m.name not in tables:
+        if m.name in seen and m.name not in tables:
             tables[m.name] = m.build(ctx, tables)
+    if keep:
+        for name, n in readers.items():
+            if n > 1 and name in MARTS and MARTS[name].fan_out:
+                tables[name].persist(StorageLevel.MEMORY_AND_DISK)
     return tables

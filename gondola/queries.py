@@ -11,7 +11,7 @@ from gondola.functions import codes, text, units
 
 from gondola.operators import facts
 from gondola.operators.common import latest
-from gondola.plans import exports, registry, semantic
+from gondola.plans import exports, gates, registry, semantic
 from gondola.sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,14 +57,20 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-def built(name: str, spark: SparkSession, sf_dir: str, banners: tuple[str, ...] = ()) -> DataFrame:
+def built(name: str, spark: SparkSession, sf_dir: str, banners: tuple[str, ...] = (), raw: bool = False) -> DataFrame:
+    """raw: from the rows in raw shape, where the adapter has the mart itself."""
     ctx = adapter.context(spark, sf_dir)
-    return registry.build(ctx, adapter.sources(spark, sf_dir, ctx, banners), {name})[name]
+    sources = adapter.sources(spark, sf_dir, ctx, banners)
+    if raw:
+        del sources[name]
+    return registry.build(ctx, sources, {name}, keep=True)[name]
 
 
-def mart_query(key: str, mart: str, sql: str, banners: tuple[str, ...] = (), where: str | None = None) -> None:
+def mart_query(key: str, mart: str, sql: str, banners: tuple[str, ...] = (), where: str | None = None, raw: bool = False) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = built(mart, spark, sf_dir, banners)
+        df = built(mart, spark, sf_dir, banners, raw)
+        if "comercio_ultima_actualizacion" in df.columns:
+            df = df.withColumn("comercio_ultima_actualizacion", F.col("comercio_ultima_actualizacion").cast("date").cast("string"))
         return tidy(df.filter(where) if where else df)
 
     run.__name__, run.__doc__ = key, f"{mart} on the adapter."
@@ -211,6 +217,57 @@ _VOUT = "g AS gtin14, p_name AS producto_descripcion, un AS producto_descripcion
 mart_query("product_variants", "dim_product_variant_asof", f"WITH {_VAR} SELECT {_VOUT}, n AS observations, ls AS last_seen, lp AS last_package, qb AS cantidad_base, ub AS unidad_base FROM v")
 mart_query("representative_variant_dedup", "dim_product_asof", f"WITH {_VAR} SELECT (SELECT max(d) FROM f) AS as_of_date, {_VOUT}, qb AS cantidad_base, ub AS unidad_base, n AS observations, ls AS last_seen FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, ls DESC, lp DESC, un DESC, p_type DESC, sz DESC, u DESC, p_name DESC) = 1")
 
+mart_query("global_price_projection", "fct_global_price_store_daily", f"WITH {_FACT} SELECT d AS snapshot_date, b AS id_comercio, '1' AS id_bandera, s AS id_sucursal, g AS gtin14, sc AS product_code_scope, round(x, 6) AS list_price, round(x, 6) AS source_price_min, round(x, 6) AS source_price_max, CAST(1 AS BIGINT) AS source_rows, CAST(1 AS BIGINT) AS distinct_source_prices FROM f WHERE sc = 'GLOBAL_GTIN' AND ok", raw=True)
+mart_query("store_dimension", "dim_store_daily", f"""WITH {_O} SELECT d AS snapshot_date, r_name AS id_comercio, '1' AS id_bandera, CAST(s_suppkey AS VARCHAR) AS id_sucursal, s_name || ' II' AS sucursal_nombre, 'S' AS sucursal_tipo, CAST(NULL AS VARCHAR) AS calle, CAST(NULL AS VARCHAR) AS numero, CAST(s_suppkey % 90 AS DOUBLE) AS latitud, CAST(0 AS DOUBLE) AS longitud,
+CAST(NULL AS VARCHAR) AS barrio, CAST(NULL AS VARCHAR) AS codigo_postal, CAST(NULL AS VARCHAR) AS localidad, CASE WHEN n_nationkey % 9 = 0 THEN n_name ELSE 'AR-' || n_name END AS provincia_codigo, s_suppkey % 7 > 0 AS coordenadas_validas
+FROM years CROSS JOIN supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""", raw=True)
+mart_query("banner_dimension", "dim_banner_daily", f"WITH {_O} SELECT d AS snapshot_date, r_name AS id_comercio, '1' AS id_bandera, CAST(NULL AS VARCHAR) AS comercio_cuit, r_name || ' SA' AS comercio_razon_social, r_name || ' package-1' AS comercio_bandera_nombre, CAST(NULL AS VARCHAR) AS comercio_bandera_url, CAST(d AS VARCHAR) AS comercio_ultima_actualizacion, CAST(NULL AS VARCHAR) AS comercio_version_sepa FROM years CROSS JOIN region")
+_REVIEW = _VAR + f""", c AS (SELECT k, 'Brand#' || k AS sel, 10.0 * k AS tq, CASE WHEN k % 2 = 1 THEN 'G' ELSE 'ML' END AS tu FROM range(1, 9) t(k)),
+rv AS (SELECT c.*, v.*, v.g = sel AS se, ub = tu AND abs(qb / tq - 1) <= 0.02 AS pr FROM v CROSS JOIN c WHERE regexp_matches(un, '{adapter.INCLUDE}', 'i') AND NOT regexp_matches(un, '{adapter.EXCLUDE}', 'i')
+       QUALIFY row_number() OVER (PARTITION BY k, v.g ORDER BY (v.g = sel AND pr) DESC NULLS LAST, n DESC, un DESC, p_name DESC, p_type DESC, qb DESC, ub DESC) = 1)"""
+mart_query("basket_candidate_review", "mart_basket_candidate_review", f"WITH {_REVIEW} SELECT 'B1' AS basket_version, 'C' || k AS category_id, g AS gtin14, p_name AS producto_descripcion, p_type AS marca, qb AS cantidad_base, ub AS unidad_base, se AS selected_component, true AS semantic_match, pr AS presentation_match FROM rv")
+
+_EVERY = _D + _B[len(_O):] + _REVIEW[len(_LINES):]
+_GATE_SQL = {
+    "build_input_count": ("high", "0"), "build_input_boundaries": ("high", "0"), "source_loaded_row_difference": ("high", "(SELECT count(*) FROM years WHERE year(d) % 4 = 0)"), "ingestion_structural_status": ("high", "0"), "comparable_key_null": ("high", "0"),
+    "restricted_code_in_global_fact": ("high", "0"), "daily_mart_date_count": ("high", "abs((SELECT count(*) FROM years) - (SELECT count(DISTINCT d) FROM o))"), "basket_component_count": ("high", "0"), "basket_component_uniqueness": ("high", "0"),
+    "basket_selected_semantic_or_presentation_mismatch": ("high", "8 - (SELECT count(*) FROM rv WHERE se AND pr)"), "hileret_light_selected": ("high", "0"), "index_common_panel_consistency": ("high", "(SELECT count(*) FROM (SELECT d FROM idx GROUP BY d HAVING min(n) <> max(n)))"),
+    "index_geometric_center": ("high", "(SELECT count(*) FROM (SELECT d FROM idx GROUP BY d HAVING abs(100 * exp(avg(ln(v / 100))) - 100) > 0.0001))"), "index_output_nonempty": ("high", "(SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 0 END FROM idx)"), "published_invalid_geography": ("high", "0"),
+    "known_empty_source_packages": ("medium", "(SELECT count(*) FROM years WHERE year(d) % 5 = 0)"), "reconstructed_source_lines": ("medium", "(SELECT sum(year(d) % 3) FROM years)"),
+    "unhealthy_snapshot_days": ("medium", "(SELECT count(*) FROM (SELECT n >= 0.8 * median(n) OVER () AND ns >= 0.8 * median(ns) OVER () AS fine FROM q) WHERE NOT fine)"), "unhealthy_scope_banner_days": ("medium", "(SELECT count(*) FROM hh WHERE NOT ok)"),
+    "invalid_source_product_codes": ("medium", "(SELECT sum(n4) FROM q)"), "invalid_list_prices": ("medium", "(SELECT sum(n5) FROM q)"), "source_null_keys": ("medium", "0"), "critical_price_anomalies": ("medium", "(SELECT count(*) FROM an WHERE sev = 'CRITICAL')"),
+    "invalid_or_missing_geography": ("medium", "(SELECT count(*) FROM st CROSS JOIN years WHERE p NOT LIKE 'AR-%')"), "stale_as_of_date": ("medium", "0"),
+}
+
+
+@query(f"WITH {_EVERY} " + " UNION ALL ".join(f"SELECT '{k}' AS test_name, CAST({v} AS BIGINT) AS failed_rows, '{sev}' AS severity" for k, (sev, v) in _GATE_SQL.items()))
+def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates over the adapter's marts."""
+    ctx = adapter.context(spark, sf_dir)
+    t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), keep=True)
+    scoped = t["fct_global_price_store_daily"].withColumn("product_code_scope", F.lit("GLOBAL_GTIN"))
+    return gates.quality_checks(ctx, registry.Tables(t, fct_global_price_store_daily=scoped)).select("test_name", "failed_rows", "severity")
+
+
+def view_query(key: str, view: str, columns: list[str], sql: str) -> None:
+    """An export view on the adapter, with the columns that make it differ from its mart."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ctx = adapter.context(spark, sf_dir)
+        needs = {"index_sensitivity": {"mart_banner_index_sensitivity_daily"}, "dispersion_entity": {"mart_dispersion_entity_daily", "dim_banner_daily"}, "price_anomalies_sample": {"quality_price_anomaly_daily", "dim_product_asof"}, "index_drivers": {"mart_banner_index_driver_daily", "dim_product_asof"}}[view]
+        t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), needs, keep=True)
+        return tidy(exports.VIEWS[view](ctx, t).select(*columns))
+
+    query(sql, key)(run)
+
+
+_PROD = _VAR[len(_LINES):] + ", pa AS (SELECT g, p_name, p_type FROM v QUALIFY row_number() OVER (PARTITION BY g ORDER BY n DESC, ls DESC, lp DESC, un DESC, p_type DESC, sz DESC, u DESC, p_name DESC) = 1)"
+_LABEL = "upper(b[1]) || lower(b[2:])"
+view_query("export_index_sensitivity", "index_sensitivity", ["snapshot_date", "id_comercio", "banner_label", "sensitivity_delta"], f"WITH {_REL} SELECT d AS snapshot_date, b AS id_comercio, CASE b WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE {_LABEL} END AS banner_label, round(abs(100 * exp(avg(ln(r))) - 100 * exp(avg(ln(r)) FILTER (WHERE r BETWEEN 0.5 AND 2))), 6) AS sensitivity_delta FROM rel GROUP BY d, b")
+view_query("export_index_drivers", "index_drivers", ["snapshot_date", "id_comercio", "gtin14", "driver_rank", "producto_descripcion", "marca"], f"WITH {_REL}{_PROD}, k AS (SELECT d, b, rel.g, row_number() OVER (PARTITION BY d, b ORDER BY abs(ln(r)) DESC, rel.g) AS k FROM rel) SELECT d AS snapshot_date, b AS id_comercio, k.g AS gtin14, k AS driver_rank, p_name AS producto_descripcion, p_type AS marca FROM k LEFT JOIN pa ON pa.g = k.g WHERE k <= 15")
+view_query("export_dispersion_entity", "dispersion_entity", ["snapshot_date", "dispersion_level", "id_comercio", "provincia_codigo", "banner_label", "coverage_status"], f"WITH {_D} SELECT d AS snapshot_date, lv AS dispersion_level, b AS id_comercio, p AS provincia_codigo, CASE b WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE {_LABEL} END AS banner_label, st AS coverage_status FROM ent")
+view_query("export_anomalies_sample", "price_anomalies_sample", ["snapshot_date", "id_comercio", "id_sucursal", "gtin14", "anomaly_type", "severity", "producto_descripcion"], f"WITH {_A}{_PROD} SELECT d AS snapshot_date, b AS id_comercio, s AS id_sucursal, z.g AS gtin14, kind AS anomaly_type, sev AS severity, p_name AS producto_descripcion FROM (SELECT * FROM an ORDER BY CASE sev WHEN 'CRITICAL' THEN 1 ELSE 2 END, d DESC, abs(ln(r)) DESC NULLS LAST, g, b, s, kind LIMIT 200) z LEFT JOIN pa ON pa.g = z.g")
+
 
 # Operators ------------------------------------------------------------------------------------------------------------
 

@@ -19,6 +19,7 @@ from gondola.plans.registry import Tables
 BUILD = "adapter"
 SCOPE = "REGIONS_5_V1"
 BASKET = [f"Brand#{k}" for k in range(1, 9)]
+INCLUDE, EXCLUDE = "(^| )[A-M]", "X|Z"
 THRESHOLDS = Thresholds(index_panel=24, overlap_panel=24, overlap_containment=90.0, dispersion_stores=12, dispersion_banners=3, dispersion_directional=6, entity_publishable=15, entity_directional=5, basket_stores=14, basket_stores_directional=4, basket_banners=1, basket_banners_directional=1, sample_rows=200)
 
 
@@ -60,6 +61,30 @@ def fact_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _packages() -> F.Column:
+    return F.explode(F.array(F.lit("package-1"), F.lit("package-2"))).alias("source_package")
+
+
+def store_snapshot(spark: SparkSession, sf_dir: str, years: list[dt.date]) -> DataFrame:
+    """Every store twice each year: the later package has a name of its own."""
+    rows = stores(spark, sf_dir).withColumn("snapshot_date", F.explode(F.array(*[F.lit(d) for d in years]))).select("*", _packages())
+    late = F.col("source_package") == "package-2"
+    blank = [F.lit(None).cast("string").alias(c) for c in ("calle", "numero", "barrio", "codigo_postal", "localidad")]
+    return rows.select(F.lit("run").alias("ingest_run_id"), "snapshot_date", "source_package", *STORE, F.when(late, F.concat("s_name", F.lit(" II"))).otherwise(F.col("s_name")).alias("sucursal_nombre"), F.lit("S").alias("sucursal_tipo"), *blank, (F.col("s_suppkey") % 90).cast("double").alias("latitud"), F.lit(0.0).alias("longitud"), "provincia_codigo", (F.col("s_suppkey") % 7 > 0).alias("coordenadas_validas"))
+
+
+def commerce_snapshot(spark: SparkSession, sf_dir: str, years: list[dt.date]) -> DataFrame:
+    rows = read(spark, sf_dir, "region").withColumn("snapshot_date", F.explode(F.array(*[F.lit(d) for d in years]))).select("*", _packages())
+    update = F.when(F.col("source_package") == "package-1", F.col("snapshot_date").cast("timestamp"))
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    return rows.select(F.lit("run").alias("ingest_run_id"), "snapshot_date", "source_package", F.col("r_name").alias("id_comercio"), F.lit("1").alias("id_bandera"), none("comercio_cuit"), F.concat("r_name", F.lit(" SA")).alias("comercio_razon_social"), F.concat("r_name", F.lit(" "), "source_package").alias("comercio_bandera_nombre"), none("comercio_bandera_url"), update.alias("comercio_ultima_actualizacion"), none("comercio_version_sepa"))
+
+
+def ingestion_log(spark: SparkSession, years: list[dt.date]) -> DataFrame:
+    rows = [("run", d, "package-1", "productos.csv", 100, 100 - (d.year % 4 == 0), 1, 0, d.year % 3, "source_empty" if d.year % 5 == 0 else "success") for d in years]
+    return spark.createDataFrame(rows, "ingest_run_id string, snapshot_date date, source_package string, file_name string, source_rows long, loaded_rows long, footer_rows long, null_bytes_removed long, reconstructed_lines long, status string")
+
+
 def context(spark: SparkSession, sf_dir: str) -> BuildContext:
     """The window is all years there are: two values, read from the dates' statistics and rows."""
     low, high = read(spark, sf_dir, "lineitem").agg(F.min("l_shipdate"), F.max("l_shipdate")).first()
@@ -74,10 +99,10 @@ def sources(spark: SparkSession, sf_dir: str, ctx: BuildContext, banners: tuple[
     scope = scope.select(F.lit(BUILD).alias("build_id"), F.lit(SCOPE).alias("scope_version"), "id_comercio", F.lit("1").alias("id_bandera"), F.col("id_comercio").alias("corporate_group"), F.initcap("id_comercio").alias("banner_label"), F.lit("region").alias("inclusion_reason"))
     store = stores(spark, sf_dir)
     daily = store.select(F.lit(BUILD).alias("build_id"), F.explode(F.array(*[F.lit(d) for d in years])).alias("snapshot_date"), *STORE, "provincia_codigo", F.col("s_name").alias("sucursal_nombre"))
-    basket = [(BUILD, "B1", k, f"C{k}", f"Category {k}", b, b, 10.0 * k, "G", "X", "Y", "") for k, b in enumerate(BASKET, 1)]
+    basket = [(BUILD, "B1", k, f"C{k}", f"Category {k}", b, b, 10.0 * k, "G" if k % 2 else "ML", INCLUDE, EXCLUDE, "") for k, b in enumerate(BASKET, 1)]
     return Tables(
         build_inputs=dates, dim_banner_scope=scope, dim_store_daily=daily, fact_price=fact_price(spark, sf_dir), fct_global_price_store_daily=prices(spark, sf_dir),
-        store_snapshot=daily.drop("build_id").withColumn("ingest_run_id", F.lit("run")),
+        store_snapshot=store_snapshot(spark, sf_dir, years), commerce_snapshot=commerce_snapshot(spark, sf_dir, years), ingestion_log=ingestion_log(spark, years),
         dim_basket_component=spark.createDataFrame(basket, "build_id string, basket_version string, component_order int, category_id string, category_name string, gtin14 string, canonical_product_name string, target_quantity_base double, target_base_unit string, include_regex string, exclude_regex string, selection_rationale string"),
         dim_basket_version=spark.createDataFrame([(BUILD, "B1", "Brands", dt.date(ctx.window_start.year + 1, 1, 1), None, "PUBLISHED", "LIST", ""), (BUILD, "B0", "Old", ctx.window_start, ctx.as_of, "DRAFT", "LIST", "")], "build_id string, basket_version string, basket_name string, valid_from date, valid_to date, status string, price_type string, methodology_note string"),
     )
