@@ -56,6 +56,12 @@ def _fold() -> np.ndarray:
     return out
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Code point -> whether it is a letter."""
+    return np.fromiter((chr(cp).isalpha() for cp in range(0x110000)), bool, 0x110000)
+
+
 def symbols(text: str) -> np.ndarray:
     """Folded characters with single spaces (0) between runs, one at the start."""
     x = _fold()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -159,7 +165,7 @@ class Model:
         """(characters, nats per character in each language) of each text; characters 0 if there is no letter."""
         order = len(self.grams)
         found = [symbols(t) if t else np.zeros(1, np.uint32) for t in texts]
-        n = np.array([len(s) - 1 if s.any() else 0 for s in found], np.int64)
+        n = np.array([len(s) - 1 if _letters()[s].any() else 0 for s in found], np.int64)
         total = np.zeros((len(texts), len(self.languages)))
         for run in in_slices([k for k in range(len(texts)) if n[k]], lambda k: int(n[k]), SLICE):
             if len(run) == 1:
