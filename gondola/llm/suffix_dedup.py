@@ -7,7 +7,8 @@ A byte goes if some 50-byte string that covers it also starts in a document with
    equal anchors. Each chunk sends every distinct anchor once, by ranges of anchors; an anchor that two documents
    have is shared. Windows whose anchor isn't shared cannot repeat and are done with.
 3. Suffix order. Neighbouring windows of one shared anchor form a string of at most 68 bytes. A chunk sends each
-   distinct string once, with its smallest doc_id. For each range of anchors the strings are one collection, whose
+   distinct string once, with its smallest doc_id. For each range of anchors the strings of all anchors that have
+   several distinct ones (a string alone with its anchor has nothing to be compared with) are one collection, whose
    Burrows-Wheeler transform and longest common prefixes are built column by column: each round inserts one symbol
    of every string, right to left, at the place that the rank of the symbol gives, while transform and prefixes
    stream through two sequential files. Suffixes with common prefixes of 50 bytes or more are equal windows; the
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import Workspace, power_of_two
+from gondola.llm.common import Workspace, power_of_two, released
 
 WINDOW, GRAM = 50, 32
 GRAMS = WINDOW - GRAM + 1
@@ -85,7 +86,7 @@ def _summed(data: bytes) -> np.ndarray:
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    squeeze, part, k = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId(), 0
+    squeeze, part, k = zstandard.ZstdCompressor(level=6), TaskContext.get().partitionId(), 0
     ids: list[int | None] = []
     texts: list[bytes] = []
     size = 0
@@ -145,19 +146,19 @@ class Chunk:
 
 
 def _anchors(x: np.ndarray) -> np.ndarray:
-    """Of each window of x, the least of its grams' hashes."""
+    """Of each window of x (along its last axis), the least of its grams' hashes."""
     h = _RANDOM[x]
     for k, step in enumerate(_STEPS):
         size = 1 << k
-        low = h[:-size] * step
-        low += h[size:]
+        low = h[..., :-size] * step
+        low += h[..., size:]
         low ^= low >> np.uint64(29)
         h = low
     h *= np.uint64(0x9E3779B97F4A7C15)
     h >>= np.uint64(64 - ANCHOR_BITS)
     for size in (1, 2, 4, 8):
-        h = np.minimum(h[:-size], h[size:])
-    return np.minimum(h[: -(GRAMS - 16)], h[GRAMS - 16 :])  # sixteen grams, and the same three further on
+        h = np.minimum(h[..., :-size], h[..., size:])
+    return np.minimum(h[..., : -(GRAMS - 16)], h[..., GRAMS - 16 :])  # sixteen grams, and the same three further on
 
 
 # Shared anchors ---------------------------------------------------------------------------------------------------
@@ -280,12 +281,31 @@ def _string_rows(bits: int):
             for a, b in zip(*_bounds(strings.spot[order])):
                 own = order[a:b]
                 spots.append(int(strings.spot[own[0]]))
-                parts.append(_pressed(strings.least[own], np.ascontiguousarray(strings.rows[own]).view(np.dtype((np.void, WIDTH + 1))).ravel()))
+                parts.append(_packed(strings.least[own], strings.rows[own]))
         return pa.table({"range": pa.array(spots, pa.int32()), "chunk": pa.array([chunk] * len(spots), pa.int64()), "data": pa.array(parts, pa.binary())})
 
     return run
 
 
+def _packed(least: np.ndarray, rows: np.ndarray) -> bytes:
+    """Numbers by place, then the strings one after another."""
+    length = rows[:, WIDTH]
+    numbers = np.ascontiguousarray(least).view(np.uint8).reshape(-1, 8).T.tobytes()
+    text = rows[:, :WIDTH][np.arange(WIDTH)[None, :] < length[:, None]].tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(len(rows).to_bytes(8, "little") + numbers + length.tobytes() + text)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    least = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.int64).ravel()
+    length = np.frombuffer(raw, np.uint8, n, 8 + 8 * n)
+    rows = np.zeros((n, WIDTH + 1), np.uint8)
+    rows[:, WIDTH] = length
+    rows[:, :WIDTH][np.arange(WIDTH)[None, :] < length[:, None]] = np.frombuffer(raw, np.uint8, -1, 8 + 9 * n)
+    return least, rows
+
+
 # Suffix order -------------------------------------------------------------------------------------------------------
 
 
@@ -351,8 +371,9 @@ class Columns:
             new = np.zeros(size, bool)
             new[own] = True
             # neighbours with one symbol of which one is new: 1 + the least prefix between them
-            pair = np.unique(np.concatenate([t, t + 1]))
-            pair = pair[(pair < size) & (pair > 0)]
+            touched = np.zeros(size + 1, bool)
+            touched[t], touched[t + 1], touched[0] = True, True, False
+            pair = np.flatnonzero(touched[:size])
             here = bwt[order[pair]]
             ok = (here == bwt[order[pair - 1]]) & (here > 0)
             pair, here = pair[ok], here[ok]
@@ -421,14 +442,19 @@ def least_of_windows(rows: np.ndarray, least: np.ndarray, block: int = BLOCK) ->
 
 
 def _resolve(rows: pa.Table) -> pa.Table:
-    chunks, opened = rows["chunk"].to_pylist(), [_opened(d.as_py(), np.int64, np.dtype((np.void, WIDTH + 1))) for d in rows["data"]]
+    chunks, opened = rows["chunk"].to_pylist(), [_unpacked(d.as_py()) for d in rows["data"]]
     least = np.concatenate([x[0] for x in opened])
     owner = np.repeat(np.arange(len(opened)), [len(x[0]) for x in opened])
     local = np.concatenate([np.arange(len(x[0])) for x in opened])
-    kinds, which = _distinct(np.concatenate([x[1].view(np.uint8).reshape(-1, WIDTH + 1) for x in opened]))
+    kinds, which = _distinct(np.concatenate([x[1] for x in opened]))
     lowest = np.full(len(kinds), NEVER)
     np.minimum.at(lowest, which, least)
-    found = least_of_windows(kinds, lowest)
+    # a string can only share windows with others of its anchor; alone there, it has none to be sorted among
+    _, of, count = np.unique(_anchors(kinds[:, :WINDOW])[:, 0], return_inverse=True, return_counts=True)
+    found = np.where(np.arange(RUN)[None, :] <= kinds[:, WIDTH:].astype(int) - WINDOW, lowest[:, None], NEVER)
+    several = np.flatnonzero(count[of] > 1)
+    if len(several):
+        found[several] = least_of_windows(kinds[several], lowest[several])
     spot, out_chunk, out = rows["range"][0].as_py(), [], []
     for k, chunk in enumerate(chunks):
         own = np.flatnonzero(owner == k) if len(chunks) < 8 else np.arange(np.searchsorted(owner, k), np.searchsorted(owner, k + 1))
@@ -502,12 +528,12 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay)."""
     space = Workspace(spark, "suffix")
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = space.write(rows.mapInArrow(_chunked, "chunk long, ids array<long>, lengths binary, data binary"), "chunks", "none")
+    chunks = space.write(rows.mapInArrow(released(_chunked), "chunk long, ids array<long>, lengths binary, data binary"), "chunks", "none")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = (power_of_two(max(LEAST_RANGES, total / RANGE_BYTES))).bit_length() - 1
     dealt = "range int, chunk long, data binary"
     back = "chunk long, range int, data binary"
-    anchors = chunks.mapInArrow(_anchor_rows(bits), dealt)
+    anchors = chunks.mapInArrow(released(_anchor_rows(bits)), dealt)
     shared = space.write(anchors.groupBy("range").applyInArrow(_shared, back), "shared", "none")
     strings = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_string_rows(bits), dealt)
     answers = space.write(strings.groupBy("range").applyInArrow(_resolve, back), "answers", "none")
