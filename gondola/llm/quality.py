@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import Workspace
+from gondola.llm.common import Workspace, released
 
 FEATURES, SEED = 192, 5
 #: Kernel width in units of the root of the number of statistics, and ridge strength for each row.
@@ -111,7 +111,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, row): the statistics of every text."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_statistics, "doc_id long, row array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_statistics), "doc_id long, row array<double>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

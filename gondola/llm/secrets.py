@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.common import bounded, released
+
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt", "pem")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
@@ -145,7 +147,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and its spans, an array of kind, start, end."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_scan), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,5 +158,6 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span in text replaced; n_chars, if there, follows."""
-    out = docs.mapInArrow(_redact, docs.schema)
+    bounded(docs.sparkSession)
+    out = docs.mapInArrow(released(_redact), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gondola.llm.common import in_slices, released
+
 MODEL = "piece_bpe_32k.model"
 SAMPLES, TEMPERATURE = 3, 0.5
 #: Characters whose lattice is built at once.
@@ -296,8 +298,6 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from gondola.llm.common import in_slices
-
         vocab = vocabulary(path, temperature)
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
@@ -312,7 +312,7 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), lists, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "ids", "log_probability", "perturbed", "inclusion"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SCHEMA.replace("ids array<int>", "n_pieces long, ids_crc32 long, decoded boolean") if digest else _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), _SCHEMA.replace("ids array<int>", "n_pieces long, ids_crc32 long, decoded boolean") if digest else _SCHEMA)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import BROADCAST_ROWS, Workspace, in_slices
+from gondola.llm.common import BROADCAST_ROWS, Workspace, in_slices, released
 
 #: Differing bits that still link.
 DISTANCE = 2
@@ -77,7 +77,7 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprint, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_fingerprint), "doc_id long, fp long")
 
 
 def masks(flips: int) -> list[int]:
