@@ -45,8 +45,8 @@ GRAMS = WINDOW - GRAM + 1
 RUN = GRAMS
 WIDTH = WINDOW + RUN - 1
 ANCHOR_BITS = 48
-#: Bytes of text in a chunk, and in a slice that is hashed at once.
-CHUNK, SLICE = 1 << 20, 1 << 20
+#: Bytes of text in a chunk, and in a slice that is hashed at once (its arrays should stay in a core's cache).
+CHUNK, SLICE = 1 << 20, 1 << 15
 #: Bytes of text for each range of anchors.
 RANGE_BYTES, LEAST_RANGES = 2 << 20, 512
 #: An anchor that more chunks share is dealt out window by window.
@@ -309,6 +309,13 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 # Suffix order -------------------------------------------------------------------------------------------------------
 
 
+def _among(ascending: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of a few values are in an ascending array."""
+    if not len(ascending):
+        return np.zeros(len(few), bool)
+    return ascending[np.minimum(np.searchsorted(ascending, few), len(ascending) - 1)] == few
+
+
 class Columns:
     """Burrows-Wheeler transform and longest common prefixes of a collection, built column by column.
 
@@ -363,13 +370,11 @@ class Columns:
             order = np.argsort(bwt, kind="stable")
             counts = np.bincount(bwt, minlength=256)
             start = np.cumsum(counts) - counts
-            rank = np.empty(size, np.int64)
-            rank[order] = np.arange(size)
-            t = rank[own]
+            rank = np.empty(size, np.int32)
+            rank[order] = np.arange(size, dtype=np.int32)
+            t = rank[own].astype(np.int64)
             c = bwt[own]
             place[i:k] = base[c] + before[c] + t - start[c]
-            new = np.zeros(size, bool)
-            new[own] = True
             # neighbours with one symbol of which one is new: 1 + the least prefix between them
             touched = np.zeros(size + 1, bool)
             touched[t], touched[t + 1], touched[0] = True, True, False
@@ -381,19 +386,21 @@ class Columns:
                 ends = np.stack([order[pair - 1] + 1, order[pair] + 1], axis=1).ravel()
                 over.append(np.minimum.reduceat(np.append(lcp, np.uint8(255)), ends)[::2].astype(np.int64) + 1)
                 over_at.append(base[here] + before[here] + pair - start[here])
+            earlier = before.copy()
             # the first of each symbol in this block, against the last before it
             some = np.flatnonzero(counts)
             some = some[some > 0]
             head = order[start[some]]
-            least = np.minimum(low[some], np.minimum.accumulate(lcp)[head]).astype(np.int64) + 1
-            change = new[head] | (was_new[some] & seen[some])
+            least = np.minimum(low[some], np.minimum.accumulate(lcp)[head]).astype(np.int64) + 1 if a else np.zeros(len(some), np.int64)
+            change = _among(own, head) | (was_new[some] & seen[some])
             over.append(np.where(seen[some], least, 0)[change])
-            over_at.append((base[some] + before[some])[change])
-            tail = order[start[some] + counts[some] - 1]
-            after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
-            low = np.minimum(low, after[0])
-            low[some], seen[some], was_new[some] = after[tail + 1], True, new[tail]
+            over_at.append((base[some] + earlier[some])[change])
             before += counts
+            if a + size < self.n:  # for the next block
+                tail = order[start[some] + counts[some] - 1]
+                after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
+                low = np.minimum(low, after[0])
+                low[some], seen[some], was_new[some] = after[tail + 1], True, _among(own, tail)
         return place, np.concatenate(over_at), np.minimum(np.concatenate(over), 255).astype(np.uint8)
 
     def _insert(self, where: np.ndarray, symbols: np.ndarray, over_at: np.ndarray, over: np.ndarray) -> None:
