@@ -104,16 +104,25 @@ def classes(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> D
     space = Workspace(spark, "simhash")
     rows = space.write(fingerprints(docs), "fingerprints")
     nodes = space.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    labels = components(space, links(nodes.select("fp"), distance)).withColumnRenamed("node", "fp")
+    return named(space, rows, nodes, components(space, links(nodes.select("fp"), distance)))
+
+
+def named(space: Workspace, rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id of rows (doc_id, fp). nodes: fp, first; labels: node, label of the linked ones."""
+    labels = labels.withColumnRenamed("node", "fp")
     labelled = space.write(nodes.join(labels, "fp"), "labelled")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
     reached = space.write(labelled.join(least, "label").select("fp", "component_id"), "reached")
     owners = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.join(owners, "fp")
+    return rows.select("doc_id", "fp").join(owners, "fp")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The rows of docs that stay: of each component the document that names it."""
-    found = classes(spark, docs, distance)
+    return without(spark, docs, classes(spark, docs, distance))
+
+
+def without(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs less the rows that do not name their component. found: doc_id, component_id."""
     gone = Workspace(spark, "simhash-gone").write(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
