@@ -56,13 +56,68 @@ _KIND = {word: kind for kind, words in _NAMES.items() for word in words.split()}
 _CONTENT_NAMES = frozenset("article post entry story".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(_DROP) + r")\b(?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[\"'])*+)>"
-    r"|<[!?/][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+_HEAD = re.compile(r"<(?:!--|(" + "|".join(_DROP) + r")\b|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])", re.IGNORECASE)
+_SPECIAL = re.compile("[>\"']")
+_CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _DROP}
+#: Longer attributes are not worth a place in the cache of kinds.
+_CACHED = 2000
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, closes, name, attributes) of what is no text; the name of a comment, declaration or dropped element is empty.
+
+    A quoted value has any length and ends at its quote; a quote that none follows stands for itself. A tag that no
+    ">" ends is text. Attempts that fail remember the quotes they met outside of values, where a later attempt would
+    go the same way, so a page takes time in proportion to its length.
+    """
+    last, last_end = {q: page.rfind(q) for q in "\"'"}, page.rfind(">")
+    failed: set[int] = set()
+    special = -1
+
+    def tag_end(at: int) -> int:
+        nonlocal special
+        if at > last_end:
+            return -1
+        if special < at:
+            special = _SPECIAL.search(page, at).start()
+        where, met = special, []
+        while where not in failed:
+            c = page[where]
+            if c == ">":
+                return where
+            met.append(where)
+            after = page.find(c, where + 1) + 1 if where < last[c] else where + 1
+            found = _SPECIAL.search(page, after)
+            if found is None:
+                break
+            where = found.start()
+        failed.update(met)
+        return -1
+
+    at = 0
+    while head := _HEAD.search(page, at):
+        start, at = head.start(), head.end()
+        if head[1] or head[3]:
+            end = tag_end(at)
+            if end >= 0 and head[1]:
+                closing = _CLOSING[head[1].lower()].search(page, end + 1)
+                yield start, (at := closing.end() if closing else len(page)), False, "", ""
+                continue
+            if end >= 0:
+                yield start, end + 1, bool(head[2]), head[3].lower(), page[at:end]
+                at = end + 1
+                continue
+            if not head[2]:
+                at = start + 1
+                continue
+        if page.startswith("<!--", start):
+            end = page.find("-->", at)
+            end = end + 3 if end >= 0 else len(page)
+        else:
+            end = page.find(">", start + 2) + 1 if start + 2 <= last_end else 0
+        if end:
+            yield start, end, False, "", ""
+        at = end or start + 1
 
 
 @lru_cache(maxsize=4096)
@@ -107,21 +162,19 @@ def parsed(page: str) -> list[tuple]:
                 items.append(("x", -1, gone))
         kind = next((k for _, k in stack if k), "")
 
-    for m in _TOKEN.finditer(page):
-        text(at, m.start())
-        at = m.end()
-        name = m[3]
+    for start, end, closes, name, attributes in tokens(page):
+        text(at, start)
+        at = end
         if not name:
             continue
-        name = name.lower()
-        if m[2]:
+        if closes:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
                 close(depth)
-        elif name in _HOLDS and name not in _VOID and not m[4].endswith("/"):
+        elif name in _HOLDS and name not in _VOID and not attributes.endswith("/"):
             if name in ("a", "li") and (depth := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, "ul", "ol", "menu", "div")), None)) is not None and stack[depth][0] == name:
                 close(depth)
-            stack.append((name, _kind(name, m[4], inside > 0)))
+            stack.append((name, (_kind if len(attributes) <= _CACHED else _kind.__wrapped__)(name, attributes, inside > 0)))
             kind = kind or stack[-1][1]
             links += name == "a"
             lists += name == "li"
