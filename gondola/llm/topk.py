@@ -16,7 +16,8 @@ BUCKET_ROWS vectors, so equal norms and repeated vectors are no hot group; every
 Defined cases: vectors that are null, hold null or non-finite components, or differ in dimension from the query take
 no part; a null id takes no part; equal scores go to the smaller id; a query's own row is no candidate; fewer than k
 candidates give all of them; repeated ids are candidates each (but never of their own id); an empty table gives an
-empty result.
+empty result. Components and scores are 64-bit integers: a finite component or a candidate's score beyond them is an
+error, as in SQL.
 """
 
 from __future__ import annotations
@@ -39,9 +40,10 @@ _ROW = "vec_id long, norm double, vector array<long>"
 
 def integers(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
     """(vec_id, vector, norm): floor(scale * x) of the rows that take part."""
-    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(2.0**31 / scale)))
+    whole_number = lambda y: F.when(F.abs(y) < F.lit(2.0**63), F.floor(y).cast("long")).otherwise(F.raise_error(F.lit("a component is out of the range of 64-bit integers")).cast("long"))
+    whole = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(F.col("vec_id").isNotNull() & whole)
-    rows = rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vector"))
+    rows = rows.select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: whole_number(x.cast("double") * scale)).alias("vector"))
     return rows.withColumn("norm", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
 
 
@@ -52,15 +54,21 @@ def _blocks(rows: DataFrame, key: list[str]) -> DataFrame:
         table = table.sort_by([("norm", "descending"), ("vec_id", "ascending")])
         vectors = table["vector"].combine_chunks()
         flat = vectors.flatten().to_numpy()
-        return pa.table({**{k: [table[k][0].as_py()] for k in key}, "ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "data": pa.array([flat.astype("<i4").tobytes()], pa.binary()), "longest": [table["norm"][0].as_py()]})
+        return pa.table({**{k: [table[k][0].as_py()] for k in key}, "ids": pa.array([table["vec_id"].to_numpy().tobytes()], pa.binary()), "data": pa.array([_packed(flat)], pa.binary()), "longest": [table["norm"][0].as_py()]})
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return rows.groupBy(*key).applyInArrow(together, ", ".join([*(f"{k} {types[k]}" for k in key), "ids binary, data binary, longest double"]))
 
 
+def _packed(flat: np.ndarray) -> bytes:
+    """The width in bytes, 4 where all integers fit, and the integers."""
+    width = 4 if np.abs(flat).max(initial=0) < 2**31 else 8
+    return bytes([width]) + flat.astype(f"<i{width}").tobytes()
+
+
 def _matrix(ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     who = np.frombuffer(ids, np.int64)
-    return who, np.frombuffer(data, "<i4").astype(np.int64).reshape(len(who), -1)
+    return who, np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(len(who), -1)
 
 
 def survivors(query: np.ndarray, floor: float, vectors: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -99,13 +107,17 @@ def best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np
                 part = as_float if len(rows) == len(ids) else as_float[rows]
                 score = (part @ query.astype(float)).astype(np.int64)
             else:
-                score = vectors[rows] @ query
+                score = vectors[rows] @ query  # wraps, so it is exact if it fits
+                size = np.sqrt((query.astype(float) ** 2).sum())
+                for row in rows[(norms[rows] * size >= 2.0**62) & (ids[rows] != q)].tolist():
+                    if not -(2**63) <= sum(a * b for a, b in zip(vectors[row].tolist(), query.tolist())) < 2**63:
+                        raise OverflowError(f"the score of {q} and {ids[row]} is out of the range of 64-bit integers")
             own = (ids[rows] != q) & (score >= floor)
             rows, score = rows[own], score[own]
             if len(rows) > k:
                 edge = np.partition(score, len(score) - k)[len(score) - k]
                 rows, score = rows[score >= edge], score[score >= edge]
-            order = np.lexsort((ids[rows], -score))[:k]
+            order = np.lexsort((ids[rows], ~score))[:k]
             out.append((np.full(len(order), q), ids[rows[order]], score[order]))
     if not out:
         none = np.zeros(0, np.int64)
@@ -114,7 +126,7 @@ def best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np
 
 
 _PAIRS = "query_id long, vec_id long, score long"
-LOW = -(2.0**62)
+LOW = -(2.0**63)
 
 
 def _search(k: int):
