@@ -1,6 +1,7 @@
 """Language identification by interpolated Kneser-Ney character models.
 
-Characters are lower-cased letters (and marks); every run of anything else is one space. A model of order ORDER is
+Characters are lower-cased letters (and marks); every run of anything else is one space. Every character seen in training is a symbol of
+its own, all unseen ones are one symbol (so would be the rarest of more than SYMBOLS = 65 534 seen ones). A model of order ORDER is
 trained for each language. The n-grams of all languages lie in one sorted array of hashes for each order, with the
 interpolated log-probability of each language beside them, and contexts likewise with their back-off weights, so one
 search serves all languages: hashes are a bijection of the exact n-gram code, spread evenly, and a directory of their
@@ -35,9 +36,9 @@ from gondola.llm.common import bounded, in_slices, released
 ORDER = 4
 #: Documents of each language that training reads, about.
 TRAIN_DOCS = 1500
-#: Distinct symbols told apart, less the space; rarer ones are one symbol.
-SYMBOLS = 4094
-BITS = 12
+#: Distinct symbols told apart, less the space: what ORDER symbols of BITS bits in a 64-bit code leave room for.
+SYMBOLS = 65534
+BITS = 16
 REJECT = 8.0
 #: Characters scored at once.
 SLICE = 400_000
