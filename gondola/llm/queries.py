@@ -28,7 +28,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three distinct sampled segmentations of every text, as digests."""
+    """Three distinct sampled segmentations of every text: ids, with their number, checksum and whether they decode to the text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return segmentation.checked_samples(docs)
 

@@ -288,7 +288,7 @@ _SCHEMA = "doc_id long, rank int, ids array<int>, log_probability double, pertur
 
 
 def checked_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, temperature: float = TEMPERATURE) -> DataFrame:
-    """As encode_samples, with digests instead of ids: n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids) and
+    """As encode_samples, with digests beside the ids: n_pieces, ids_crc32 (of little-endian unsigned 32-bit ids) and
     whether they decode to the text."""
     return encode_samples(docs, path, k, temperature, digest=True)
 
@@ -304,15 +304,15 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
             for part in in_slices(rows, lambda r: len(r[1] or "") + 1, SLICE):
                 found = list(samples([r[0] for r in part], [r[1] for r in part], vocab, k))
                 row, rank, ids, logp, value, inclusion = zip(*found)
-                if digest:
-                    middle = [pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([_decodes(x, part[r][1], vocab) for r, x in zip(row, ids)])]
-                    yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), *middle, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "n_pieces", "ids_crc32", "decoded", "log_probability", "perturbed", "inclusion"])
-                    continue
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                if digest:
+                    middle = [lists, pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([_decodes(x, part[r][1], vocab) for r, x in zip(row, ids)])]
+                    yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), *middle, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "ids", "n_pieces", "ids_crc32", "decoded", "log_probability", "perturbed", "inclusion"])
+                    continue
                 yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), lists, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "ids", "log_probability", "perturbed", "inclusion"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), _SCHEMA.replace("ids array<int>", "n_pieces long, ids_crc32 long, decoded boolean") if digest else _SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), _SCHEMA.replace("ids array<int>", "ids array<int>, n_pieces long, ids_crc32 long, decoded boolean") if digest else _SCHEMA)
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
