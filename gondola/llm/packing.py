@@ -7,9 +7,9 @@ sequences with neighbouring documents, cutting a document where a sequence ends.
 of a partition is left: it is cut into sequences whose lengths are powers of two, which need no padding.
 
 Tokenizing runs once: its result (compressed ids) is a written table, which the range sort samples and reads.
-Ids come from the tokenizer file; each distinct word between single spaces is tokenized once for a slice of texts, as
-the tokenizer's pre-tokenizer never joins across such a space; texts with other white space at word edges go to the tokenizer whole.
-The tests compare all of it with the tokenizer.
+Ids are those of the tokenizer file, special tokens in a text included. A second, faster implementation builds the same
+vocabulary from that file; the driver compares both on a probe and falls back to the file's own tokenizer should they
+differ, and the tests compare them on every assigned code point.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed as often as they come; rows with a
 null doc_id are packed too; very long texts span many sequences; extra columns are ignored.
@@ -19,14 +19,12 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -41,9 +39,9 @@ DIMENSIONS, CURVE_BITS = 4, 12
 #: The cube that the curve fills: token means lie well inside.
 HALF_SIDE = 1.5
 #: Characters tokenized at once.
-SLICE = 3_000_000
-#: Tokens that a partition of the packing step should have.
-PARTITION_TOKENS = 1_500_000
+SLICE = 500_000
+#: Tokens of a partition of the packing step: the least worth a task, and the most before more tasks than usual are made.
+LEAST_TOKENS, MOST_TOKENS = 1_500_000, 64_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -52,80 +50,42 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: White space other than spaces and line ends.
-_ODD_SPACE = re.compile(r"[^\S \n]")
-_PROBE = "Words, ça 12's\n\n  x<|endoftext|>\t\u4f60 \U0001f600 it's-O'Neil 3.14 \u00a0end"
+_PROBE = "Words, ça 12's\n\n  x<|endoftext|>\t\u4f60 \U0001f600 it's-O'Neil 3.14 \u00a0end\nNext\n\nline."
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+def _own(path: str) -> Callable[[str], np.ndarray]:
+    """The file's tokenizer."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
 
-    The distinct words of a slice are merged in one go by a second implementation of the same byte-level vocabulary,
-    built from the tokenizer file and compared with it on a probe; should they differ, the file's own takes all texts.
-    """
+    tokenizer = Tokenizer.from_file(path)
+    return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def _fast(path: str) -> Callable[[str], np.ndarray]:
+    """The second implementation."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
+    shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t["content"]: t["id"] for t in model["added_tokens"]}
+    ranks = {bytes(shown[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
+    both = tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: both.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.words = self._merger(path)
-
-    def _merger(self, path: str):
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the vocabulary writes as themselves
-        shown = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        special = {t["content"] for t in model["added_tokens"]}
-        ranks = {bytes(shown[c] for c in token): k for token, k in model["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.bytes_of[list(ranks.values())] = [len(t) for t in ranks]
-        same = fast.encode_ordinary(_PROBE) == self.tokenizer.encode(_PROBE, add_special_tokens=False).ids
-        return fast.encode_ordinary if same else None
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = []
-        for k, text in enumerate(texts):
-            apart = not text or "  " in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace()
-            if apart or self.words is None or _ODD_SPACE.search(text):
-                out[k] = np.frombuffer(self._whole([text])[0], "<u4")
-            else:
-                plain.append(k)
-        if plain:
-            split = pc.split_pattern(pa.array([texts[k] for k in plain], pa.large_string()), " ")
-            edges = split.offsets.to_numpy()
-            coded = split.flatten().dictionary_encode()
-            code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-            # all words one after another, each with the space before it
-            ids = np.array(self.words(" " + " ".join(words.to_pylist())), "<u4")
-            ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
-            upto = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="right")
-            # a text's first word has no space before it
-            firsts = [np.array(self.words(words[c].as_py()), "<u4") for c in code[edges[:-1]].tolist()]
-            code[edges[:-1]] = len(words) + np.arange(len(firsts))
-            size = np.concatenate([np.diff(upto, prepend=0), [len(x) for x in firsts]])
-            start, ids = np.cumsum(size) - size, np.concatenate([ids, *firsts])
-            count = size[code]
-            upto = np.cumsum(count)
-            every = ids[np.repeat(start[code] - (upto - count), count) + np.arange(int(upto[-1]))]
-            ends = upto[edges[1:] - 1]
-            for k, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist()):
-                out[k] = every[a:b]
-        return out
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+
+def agrees(path: str) -> bool:
+    """Whether the second implementation gives the ids of the file's tokenizer on a probe."""
+    return _fast(path)(_PROBE).tolist() == _own(path)(_PROBE).tolist()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, fast: bool) -> Callable[[str], np.ndarray]:
+    """Ids of a text as little-endian unsigned 32-bit integers."""
+    return (_fast if fast else _own)(path)
 
 
 @lru_cache(maxsize=1)
@@ -168,12 +128,12 @@ def hilbert(points: np.ndarray, bits: int = CURVE_BITS, half: float = HALF_SIDE)
     return key
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, fast: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = encoder(path), zstandard.ZstdCompressor(level=1)
+        encode, squeeze = encoder(path, fast), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for part in in_slices(list(zip(*(c.to_pylist() for c in batch.columns))), lambda r: len(r[1] or "") + 1, SLICE):
-                ids = [np.append(x, np.uint32(END_ID)).astype("<u4") for x in encode([t or "" for _, t in part])]
+                ids = [np.append(x, np.uint32(END_ID)).astype("<u4", copy=False) for x in (encode(t or "") for _, t in part)]
                 keys = hilbert(np.array([point(x) for x in ids]))
                 yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array(keys), pa.array([len(x) for x in ids], pa.int64()), pa.array([squeeze.compress(_narrow(x)) for x in ids], pa.binary())], names=["doc_id", "curve", "doc_tokens", "ids"])
 
@@ -245,7 +205,7 @@ def _pack(length: int, with_ids: bool):
         if held:
             yield out()
 
-    return run
+    return released(run)
 
 
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
@@ -255,10 +215,11 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, length:
     """
     path = path or tokenizer_path()
     space = Workspace(spark, "packing")
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(path), "doc_id long, curve long, doc_tokens long, ids binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenize(path, agrees(path)), "doc_id long, curve long, doc_tokens long, ids binary")
     tokens = space.write(rows, "tokens", "none")
     total = tokens.agg(F.sum("doc_tokens")).first()[0] or 0
-    parts = max(1, -(-total // PARTITION_TOKENS))
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(usual, -(-total // LEAST_TOKENS)), -(-total // MOST_TOKENS))
     along = tokens.repartitionByRange(parts, "curve", "doc_id").sortWithinPartitions("curve", "doc_id").select("doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return along.mapInArrow(_pack(length, with_ids), schema)

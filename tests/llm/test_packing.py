@@ -12,7 +12,6 @@ from tests.llm.conftest import ODD
 def check(rows, docs):
     """docs: (doc_id, text) with distinct ids."""
     tok = Tokenizer.from_file(packing.tokenizer_path())
-    tok.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
         pieces[r.doc_id].append(r)
@@ -47,6 +46,26 @@ def test_odd(spark, odd, nothing):
     assert packing.pack(spark, nothing).count() == 0
 
 
+def test_ids_are_the_tokenizers_own():
+    """Every assigned code point between letters, digits, spaces and itself, and mixed texts with the special token."""
+    path = packing.tokenizer_path()
+    assert packing.agrees(path)
+    own, fast = packing.encoder(path, False), packing.encoder(path, True)
+    for low in [*range(0, 0x33000, 4096), 0xE0000, 0xF0000, 0x10F000]:
+        text = "|".join(f"a{c}b1{c}2. {c} {c}{c}x" for c in map(chr, range(low, low + 4096)) if not "\ud800" <= c <= "\udfff")
+        assert (own(text) == fast(text)).all() if text else True
+    rng, parts = np.random.default_rng(3), ["a", "foo", " ", "\n", "  ", "é", "\t", "'s", "12", ".", "<|endoftext|>", "<|endof", "\u00a0", "\x1c", "\x85", "\U0001f600"]
+    for _ in range(5000):
+        text = "".join(rng.choice(parts, int(rng.integers(0, 14))))
+        assert own(text).tolist() == fast(text).tolist()
+    assert 50256 in own("a <|endoftext|> b").tolist()
+
+
+def test_special_tokens_in_texts(spark):
+    rows = [(1, "hello <|endoftext|> world"), (2, "<|endoftext|>"), (3, " <|endoftext|>\n\n<|endoftext|> x" * 700)]
+    check(packing.pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), with_ids=False).collect(), rows)
+
+
 @pytest.mark.parametrize("d,bits", [(2, 3), (3, 2), (4, 2)])
 def test_hilbert_steps_to_neighbours(d, bits):
     side = 1 << bits
