@@ -2,16 +2,16 @@
 
 A text's lattice has a state for each character and an edge for each piece of the vocabulary (bytes where a character
 has no piece). Pieces never cross the start of a word, so the lattice is a chain of words, and each distinct word of
-a batch is built once: hashes of all substrings up to the longest piece are looked up at once, and a backward pass
-gives every state the log-sum of its completions, so every edge its conditional probability.
+a slice of texts is built once: all substrings that begin a piece are looked up at once, and a backward pass gives every
+state the log-sum of its completions, so every edge its conditional probability.
 
 The k segmentations are those with the k largest Gumbel-perturbed log-probabilities, found by A-star search from the
-top: a node is a prefix with a set of excluded next edges; its perturbed maximum is a Gumbel draw at the node's
-log-mass, truncated at its parent's. The best open node is expanded to a complete segmentation by drawing edges in
-proportion to their mass, and every step on the way leaves a node for its other edges. Segmentations come out distinct
-and in order, and the value of the best node then left open gives each the probability with which a threshold of that
-height includes it (its inclusion score). The generator is seeded by the row key alone, so results don't depend on
-partitions or retries.
+top: a node is a prefix of words with segmentations excluded for the next word; its perturbed maximum is a Gumbel draw at
+the node's log-mass, truncated at its parent's. The best open node is expanded to a complete segmentation by drawing edges
+in proportion to their mass, and every word on the way leaves a node for its other segmentations. Segmentations come out
+distinct and in order, and the value of the best node then left open gives each the probability with which a threshold of
+that height includes it (its inclusion score). All texts of a slice draw together, each from a counter-based generator
+that its row key seeds, so results don't depend on partitions or retries.
 
 A BPE model's scores are ranks, so a piece weighs -log(rank + 2), over the temperature; a byte of a fallback weighs
 as the last rank.
@@ -25,12 +25,13 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,7 @@ from gondola.llm.common import in_slices, released
 MODEL = "piece_bpe_32k.model"
 SAMPLES, TEMPERATURE = 3, 0.5
 #: Characters whose lattice is built at once.
-SLICE = 300_000
+SLICE = 1_500_000
 MARK = "▁"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -56,21 +57,69 @@ class Vocabulary:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         m = self.model
-        pieces = [(m.id_to_piece(k), k, m.get_score(k)) for k in range(m.get_piece_size()) if not (m.is_control(k) or m.is_unknown(k) or m.is_unused(k) or m.is_byte(k))]
-        self.byte = {int(m.id_to_piece(k)[3:5], 16): k for k in range(m.get_piece_size()) if m.is_byte(k)}
+        size = m.get_piece_size()
+        pieces = [(m.id_to_piece(k), k, m.get_score(k)) for k in range(size) if not (m.is_control(k) or m.is_unknown(k) or m.is_unused(k) or m.is_byte(k))]
+        self.byte = {int(m.id_to_piece(k)[3:5], 16): k for k in range(size) if m.is_byte(k)}
         self.longest = max(len(p) for p, _, _ in pieces)
         self.fallback = -math.log(len(pieces) + 2) / temperature
-        self.tables = []
-        for size in range(1, self.longest + 1):
-            own = [(p, k, s) for p, k, s in pieces if len(p) == size]
-            text = np.array([[ord(c) for c in p] for p, _, _ in own], np.uint64).reshape(-1, size)
+        self.weights = {p: (k, -math.log(2 - min(0.0, s)) / temperature) for p, k, s in pieces}
+        shown = [b""] * size  # what an id decodes to
+        for p, k, _ in pieces:
+            shown[k] = p.replace(MARK, " ").encode()
+        for byte, k in self.byte.items():
+            shown[k] = bytes([byte])
+        self.shown_size = np.array([len(x) for x in shown], np.int64)
+        self.shown_start = np.cumsum(self.shown_size) - self.shown_size
+        self.shown = np.frombuffer(b"".join(shown), np.uint8)
+        self._hashed()
+
+    def _hashed(self) -> None:
+        """A hash table of all beginnings of pieces, with the piece that ends there, if any."""
+        found: dict[int, tuple[int, float]] = {}
+        by_size: dict[int, list[str]] = {}
+        for p in self.weights:
+            by_size.setdefault(len(p), []).append(p)
+        for size, own in by_size.items():
+            chars = np.array([[ord(c) for c in p] for p in own], np.uint64)
             h = np.zeros(len(own), np.uint64)
-            for c in text.T:
-                h = _hash_step(h, c)
-            order = np.argsort(h)
-            if len(np.unique(h)) < len(h):
-                raise ValueError("pieces share a hash")
-            self.tables.append((h[order], np.array([k for _, k, _ in own], np.int64)[order], np.array([-math.log(2 - min(0.0, s)) / temperature for _, _, s in own])[order]))
+            for j in range(size):
+                h = _hash_step(h, chars[:, j])
+                if j + 1 < size:
+                    for x in h.tolist():
+                        found.setdefault(x, (-1, 0.0))
+            for p, x in zip(own, h.tolist()):
+                if found.get(x, (-1, 0.0))[0] >= 0:
+                    raise ValueError("pieces share a hash")
+                found[x] = self.weights[p]
+        self.bits = max(4, (3 * len(found)).bit_length())
+        mask = (1 << self.bits) - 1
+        self.keys, self.piece, self.weight = np.zeros(mask + 1, np.uint64), np.full(mask + 1, -1, np.int32), np.zeros(mask + 1)
+        taken: set[int] = set()
+        for x, (piece, weight) in found.items():
+            slot = x >> (64 - self.bits)
+            while slot in taken:
+                slot = (slot + 1) & mask
+            taken.add(slot)
+            self.keys[slot], self.piece[slot], self.weight[slot] = x, piece, weight
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """Slots of these hashes, -1 where they are unknown."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = self.keys[slot]
+        open_ = np.flatnonzero((key != h) & (key != 0))
+        slot[(key == 0)] = -1
+        while len(open_):
+            at = (slot[open_] + 1) & (len(self.keys) - 1)
+            key = self.keys[at]
+            slot[open_] = np.where(key == 0, -1, at)
+            open_ = open_[(key != h[open_]) & (key != 0)]
+        return slot
+
+    def decoded(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, one after another, and the end of each id's."""
+        size = self.shown_size[ids]
+        upto = np.cumsum(size)
+        return self.shown[np.repeat(self.shown_start[ids] - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)], upto
 
 
 def _hash_step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -83,147 +132,312 @@ def vocabulary(path: str, temperature: float) -> Vocabulary:
     return Vocabulary(path, temperature)
 
 
+# Random numbers by counter -------------------------------------------------------------------------------------------
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    """Between 0 and 1, never one of them."""
+    return ((_mixed(seed + counter.astype(np.uint64) * _STEP) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel draws at these log-masses, truncated at the bound."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        out = -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
+    return np.where(np.isfinite(mass), out, -np.inf)
+
+
+# Lattice ---------------------------------------------------------------------------------------------------------------
+
+
 @dataclass
 class Lattice:
-    """States of all distinct words, one after another; a word's last edge leads to the state after it."""
-
-    logp: np.ndarray  # of the edge of each length, given the state
-    upto: np.ndarray  # cumulated probabilities
-    piece: np.ndarray  # id, or -1 for bytes
-    chars: np.ndarray
+    """States of all distinct words, and their edges: those of a state together, the longest first."""
+
+    first: np.ndarray  # state of each word
+    edge: np.ndarray  # first edge of each state
+    count: np.ndarray  # edges of each state
+    target: np.ndarray  # state that an edge leads to, the number of states at a word's end
+    logp: np.ndarray  # of an edge, given its state
+    rest: np.ndarray  # log-probability of all other edges of its state
+    upto: np.ndarray  # cumulated probabilities, beyond 1 at a state's last edge
+    id_start: np.ndarray  # ids of an edge
+    id_count: np.ndarray
+    ids: np.ndarray
 
     @classmethod
-    def of(cls, words: list[str], vocab: Vocabulary) -> tuple[Lattice, np.ndarray]:
-        """And the first state of each word."""
-        chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        sizes = np.array([len(w) for w in words], np.int64)
-        first = np.cumsum(sizes) - sizes
-        left = np.repeat(first + sizes, sizes) - np.arange(len(chars))  # characters to the word's end
-        n, most = len(chars), vocab.longest
-        weight, piece = np.full((n, most), -np.inf), np.full((n, most), -1, np.int32)
-        h, rows = np.zeros(n, np.uint64), np.arange(n)
-        for size in range(1, most + 1):
-            rows = rows[left[rows] >= size]
-            h[rows] = _hash_step(h[rows], chars[rows + size - 1])
-            keys, ids, scores = vocab.tables[size - 1]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h[rows]), len(keys) - 1)
-                hit = keys[at] == h[rows]
-                weight[rows[hit], size - 1] = scores[at[hit]]
-                piece[rows[hit], size - 1] = ids[at[hit]]
-        bare = np.flatnonzero(piece[:, 0] < 0)
-        octets = 1 + (chars[bare] > 0x7F).astype(int) + (chars[bare] > 0x7FF) + (chars[bare] > 0xFFFF)
-        weight[bare, 0] = vocab.fallback * octets
-        beta = np.zeros(n + most)
-        order = np.argsort(left, kind="stable")
-        edges = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        reach = np.arange(1, most + 1)
-        ends = np.repeat(first + sizes, sizes)
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            rows = order[a:b]
-            to = rows[:, None] + reach
-            total = weight[rows] + np.where(to < ends[rows][:, None], beta[np.minimum(to, n)], 0.0)
-            top = total.max(axis=1)
-            beta[rows] = top + np.log(np.exp(total - top[:, None]).sum(axis=1))
-            weight[rows] = total - beta[rows][:, None]
-        upto = np.cumsum(np.exp(weight), axis=1)
-        upto[:, -1] = np.inf
-        last = most - 1 - np.argmax(np.isfinite(weight[:, ::-1]), axis=1)
-        upto[np.arange(most)[None, :] >= last[:, None]] = np.inf
-        return cls(weight, upto, piece, chars), first
+    def of(cls, words: pa.Array, vocab: Vocabulary) -> Lattice:
+        bounds = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, 8 * words.offset)
+        text = words.buffers()[2][int(bounds[0]) : int(bounds[-1])].to_pybytes().decode() if len(words) else ""
+        chars = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        sizes = pc.utf8_length(words).to_numpy().astype(np.int64)
+        first, n = np.cumsum(sizes) - sizes, len(chars)
+        left = np.repeat(first + sizes, sizes) - np.arange(n)  # characters to the word's end
+        h, rows, found = np.zeros(n, np.uint64), np.arange(n), []
+        bare = octets = np.zeros(0, np.int64)
+        for size in range(1, vocab.longest + 1):
+            on = left[rows] >= size
+            rows, h = rows[on], h[on]
+            if not len(rows):
+                break
+            h = _hash_step(h, chars[rows + size - 1])
+            slot = vocab.look(h)
+            piece = np.where(slot >= 0, vocab.piece[slot], -1)
+            own = np.flatnonzero(piece >= 0)
+            found.append((rows[own], size, piece[own], vocab.weight[slot[own]]))
+            if size == 1:
+                bare = np.flatnonzero(piece < 0)
+                octets = 1 + (chars[bare] > 0x7F).astype(np.int64) + (chars[bare] > 0x7FF) + (chars[bare] > 0xFFFF)
+                found.append((bare, 1, np.full(len(bare), -1, np.int32), vocab.fallback * octets))
+            rows, h = rows[slot >= 0], h[slot >= 0]
+        # edges by state, states by their distance from the word's end
+        count = np.zeros(n, np.int32)
+        for r, *_ in found:
+            count[r] += 1
+        order = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")
+        edge, total = np.zeros(n, np.int64), int(count.sum())
+        edge[order] = np.cumsum(count[order]) - count[order]
+        target, weight, piece = np.empty(total, np.int32), np.empty(total), np.empty(total, np.int32)
+        filled = edge.copy()
+        for r, size, ids, w in reversed(found):
+            at = filled[r]
+            target[at] = np.where(left[r] == size, n, r + size)
+            weight[at], piece[at] = w, ids
+            filled[r] += 1
+        del filled, found
+        # log-sums of all completions
+        beta = np.zeros(n + 1)
+        levels = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2)).tolist()
+        for a, b in zip(levels[:-1], levels[1:]):
+            r = order[a:b]
+            size, begin = count[r], edge[r] - edge[r[0]]
+            e = slice(int(edge[r[0]]), int(edge[r[0]]) + int(begin[-1]) + int(size[-1]))
+            sums = weight[e] + beta[target[e]]
+            top = np.maximum.reduceat(sums, begin)
+            beta[r] = top + np.log(np.add.reduceat(np.exp(sums - np.repeat(top, size)), begin))
+            weight[e] = sums - np.repeat(beta[r], size)
+        # probabilities before and after each edge of its state, summed without loss
+        p = np.exp(weight)
+        upto, rest = np.empty(total), np.zeros(total)
+        by_count = np.argsort(-count, kind="stable")
+        states = np.searchsorted(-count[by_count], -np.arange(int(count.max(initial=0)) + 1), side="left").tolist()
+        run = np.zeros(n)
+        for j in range(len(states) - 1):  # states with more than j edges
+            r = by_count[: states[j]]
+            e = edge[r] + j
+            rest[e] = run[r]
+            run[r] += p[e]
+            upto[e] = run[r]
+        run[:] = 0.0
+        for j in range(len(states) - 1):
+            r = by_count[: states[j]]
+            e = edge[r] + count[r] - 1 - j
+            rest[e] += run[r]
+            run[r] += p[e]
+        upto[edge + count - 1] = 2.0
+        with np.errstate(divide="ignore"):
+            rest = np.log(rest)
+        size = np.ones(total, np.int64)
+        spelled = np.flatnonzero(piece < 0)
+        if len(spelled):
+            state = np.searchsorted(edge[order], spelled, side="right") - 1
+            state = order[state]
+            size[spelled] = octets[np.searchsorted(bare, state)]
+        start = np.cumsum(size) - size
+        ids = np.repeat(piece, size)
+        for e, c in zip(spelled.tolist(), (chars[state].tolist() if len(spelled) else ())):
+            ids[start[e] : start[e] + size[e]] = [vocab.byte[b] for b in chr(c).encode()]
+        return cls(first, edge, count, target, weight, rest, upto, start, size, ids)
+
+    def walk(self, word: np.ndarray, seed: np.ndarray, place: np.ndarray) -> Segments:
+        """Draws a segmentation of each word. seed: of each draw's text and path; place: of the word's first character there."""
+        n, m = len(self.edge), len(word)
+        begin = self.first[word]
+        on, state, logp, rest, steps, length = np.arange(m), begin.copy(), np.zeros(m), np.zeros(m), [], np.zeros(m, np.int64)
+        while len(on):
+            e = self.edge[state]
+            u = uniform(seed[on], 2 * (place[on] + state - begin[on]))
+            more = np.flatnonzero(u >= self.upto[e])
+            while len(more):
+                e[more] += 1
+                more = more[u[more] >= self.upto[e[more]]]
+            steps.append((on, e))
+            rest[on] += np.exp(logp[on] + self.rest[e])
+            logp[on] += self.logp[e]
+            length[on] += 1
+            state = self.target[e]
+            onward = state < n
+            on, state = on[onward], state[onward].astype(np.int64)
+        start = np.cumsum(length) - length
+        edges = np.empty(int(length.sum()), np.int64)
+        for j, (own, e) in enumerate(steps):
+            edges[start[own] + j] = e
+        with np.errstate(divide="ignore"):
+            return Segments(edges, start, length, logp, np.log(rest))
+
+    def _edges(self, state: int) -> list[float]:
+        begin = int(self.edge[state])
+        return np.exp(self.logp[begin : begin + int(self.count[state])]).tolist()
+
+    def _without(self, word: int, gone: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[list[float]]]:
+        """A tree of the segmentations excluded (edge -> node, 0 is the word's start, -1 its end), and at each node every edge's
+        probability without them."""
+        tree, states = [{}], [int(self.first[word])]
+        for segment in gone:
+            node = 0
+            for e in segment:
+                to = int(self.target[e])
+                if e not in tree[node]:
+                    tree[node][e] = -1 if to == len(self.edge) else len(tree)
+                    if tree[node][e] > 0:
+                        tree.append({})
+                        states.append(to)
+                node = tree[node][e]
+        left: list[list[float]] = [[]] * len(tree)
+        for node in range(len(tree) - 1, -1, -1):  # nodes follow their parents
+            p, begin = self._edges(states[node]), int(self.edge[states[node]])
+            for e, child in tree[node].items():
+                p[e - begin] *= sum(left[child]) if child > 0 else 0.0
+            left[node] = p
+        return tree, left
+
+    def other(self, word: int, gone: list[tuple[int, ...]], draw: Callable[[], float]) -> tuple[tuple[int, ...], float]:
+        """A segmentation of the word that is none of those excluded, drawn by probability, and the probability of the rest."""
+        tree, left = self._without(word, gone)
+        state, node, found = int(self.first[word]), 0, []
+        while state < len(self.edge):
+            p = left[node] if node >= 0 else self._edges(state)
+            u, k = draw() * sum(p), 0
+            while k + 1 < len(p) and (u >= p[k] or p[k] == 0.0):
+                u -= p[k]
+                k += 1
+            while p[k] == 0.0:  # rounding: the last edge that is left
+                k -= 1
+            e = int(self.edge[state]) + k
+            found.append(e)
+            state, node = int(self.target[e]), tree[node].get(e, -1) if node >= 0 else -1
+        return tuple(found), sum(self._without(word, [*gone, tuple(found)])[1][0])
 
 
 @dataclass
-class Path:
-    state: np.ndarray
-    size: np.ndarray
-    word: np.ndarray
-    total: np.ndarray  # log-probability up to and with each step
-    value: float  # perturbed
-    open: np.ndarray  # perturbed maximum of each step's other edges
-    banned: dict[int, set[int]]  # lengths excluded at a step, besides its own
-
-
-def _walk(lattice: Lattice, state: np.ndarray, end: np.ndarray, word: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Draws the edges from each state to its word's end."""
-    states, sizes, words = [], [], []
-    state = state.copy()
-    on = np.flatnonzero(state < end)
-    while len(on):
-        here = state[on]
-        size = (lattice.upto[here] < rng.random(len(on))[:, None]).sum(axis=1) + 1
-        states.append(here)
-        sizes.append(size)
-        words.append(word[on])
-        state[on] += size
-        on = on[state[on] < end[on]]
-    if not states:
-        none = np.zeros(0, np.int64)
-        return none, none, none
-    state, size, word = np.concatenate(states), np.concatenate(sizes), np.concatenate(words)
-    order = np.argsort(word, kind="stable")  # a word's steps were drawn in order
-    return state[order], size[order], word[order]
-
-
-def _below(mass: np.ndarray, bound: float, rng: np.random.Generator) -> np.ndarray:
-    """Gumbel draws at these log-masses, truncated at the bound."""
-    with np.errstate(over="ignore"):
-        out = -np.logaddexp(-bound, np.log(rng.exponential(size=len(mass))) - mass)
-    return np.where(np.isfinite(mass), out, -np.inf)
+class Segments:
+    """Segmentations of words: their edges, log-probabilities, and the log-probability of the word's other ones."""
 
+    edges: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    logp: np.ndarray
+    rest: np.ndarray
 
-def _others(lattice: Lattice, state: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Log of the probability of all other edges of each state."""
-    logp = lattice.logp[state, size - 1]
-    out = np.log(-np.expm1(np.minimum(logp, -1e-6)))
-    near = np.flatnonzero(logp > -1e-5)  # the difference from 1 has lost its digits
-    rest = lattice.logp[state[near]]
-    rest[np.arange(len(near)), size[near] - 1] = -np.inf
-    with np.errstate(divide="ignore", invalid="ignore"):
-        top = rest.max(axis=1)
-        out[near] = np.where(np.isfinite(top), top + np.log(np.exp(rest - top[:, None]).sum(axis=1)), -np.inf)
-    return out
-
-
-def sample(lattice: Lattice, first: np.ndarray, end: np.ndarray, k: int, rng: np.random.Generator) -> tuple[list[Path], float]:
-    """The k best perturbed segmentations of a chain of words, and the best value left open."""
-    none = -np.inf
-
-    def finished(state, size, word, value: float, since: int, banned: dict[int, set[int]], old_total: np.ndarray) -> Path:
-        step = lattice.logp[state, size - 1]
-        total = np.concatenate([old_total, (old_total[-1] if since else 0.0) + np.cumsum(step[since:])])
-        open_ = np.full(len(state), none)
-        before = np.concatenate([[0.0], total[:-1]])
-        mass = before[since:] + _others(lattice, state[since:], size[since:])
-        if banned:
-            (at, gone), = banned.items()
-            rest = [lattice.logp[state[at], z] for z in range(lattice.logp.shape[1]) if z + 1 not in gone and z + 1 != size[at]]
-            rest = [x for x in rest if np.isfinite(x)]
-            mass[0] = before[at] + np.log(np.exp(rest).sum()) if rest else none
-        open_[since:] = _below(mass, value, rng)
-        return Path(state, size, word, total, value, open_, banned)
-
-    words = np.arange(len(first))
-    value = float(rng.gumbel())
-    paths = [finished(*_walk(lattice, first, end, words, rng), value, 0, {}, np.zeros(0))]
-    while True:
-        best = [p.open.max(initial=none) for p in paths]
-        j = int(np.argmax(best))
-        if len(paths) == k or best[j] == none:
-            return paths, best[j]
-        old = paths[j]
-        i = int(np.argmax(old.open))
-        old.open[i] = none
-        gone = old.banned.get(i, set()) | {int(old.size[i])}
-        here, word = old.state[i], old.word[i]
-        p = lattice.logp[here].copy()
-        p[[z - 1 for z in gone]] = none
-        p = np.exp(p - p.max())
-        size = int(np.searchsorted(np.cumsum(p), rng.random() * p.sum(), side="right")) + 1
-        size = min(size, int(np.flatnonzero(p)[-1]) + 1)
-        rest = np.concatenate([[here + size], first[word + 1 :]])
-        state, sizes, names = _walk(lattice, rest, end[word:], words[word:], rng)
-        paths.append(finished(np.concatenate([old.state[:i], [here], state]), np.concatenate([old.size[:i], [size], sizes]), np.concatenate([old.word[:i], [word], names]), float(best[j]), i, {i: gone}, old.total[:i]))
+    @classmethod
+    def joined(cls, parts: list[Segments]) -> Segments:
+        shift = np.cumsum([0, *[len(p.edges) for p in parts[:-1]]])
+        start = np.concatenate([p.start + s for p, s in zip(parts, shift.tolist())])
+        return cls(np.concatenate([p.edges for p in parts]), start, *(np.concatenate([getattr(p, x) for p in parts]) for x in ("count", "logp", "rest")))
+
+    def of(self, k: int) -> tuple[int, ...]:
+        return tuple(self.edges[self.start[k] : self.start[k] + self.count[k]].tolist())
+
+
+@dataclass
+class Paths:
+    """The paths of one rank, over all words of a slice."""
+
+    which: np.ndarray  # segmentation of each word
+    open: np.ndarray  # perturbed maximum of its other ones, as far as they are this path's to open
+    value: np.ndarray  # of each text's path
+    has: np.ndarray  # which texts have one
+
+
+def sample(lattice: Lattice, word: np.ndarray, place: np.ndarray, offsets: np.ndarray, seeds: np.ndarray, k: int) -> tuple[Segments, list[Paths], np.ndarray]:
+    """The k best perturbed segmentations of each chain of words, and the best value left open.
+
+    word, place: of each occurrence; offsets: of the texts' words. A node is a word of a path: the prefix is that path's,
+    the word's segmentation so far and those banned there are excluded.
+    """
+    none, m, bounds = -np.inf, len(word), offsets.tolist()
+    texts = len(seeds)
+    owner = np.repeat(np.arange(texts), np.diff(offsets))
+    filled = np.flatnonzero(np.diff(offsets) > 0)
+
+    def before(which: np.ndarray, a: int, b: int) -> np.ndarray:
+        return np.concatenate([[0.0], np.cumsum(segments.logp[which[a:b]])])
+
+    own = _mixed(seeds + np.uint64(1))
+    segments = lattice.walk(word, own[owner], place)
+    value = -np.log(-np.log(uniform(own, np.full(texts, 1 << 62))))
+    first = Paths(np.arange(m), np.empty(m), value, np.ones(texts, bool))
+    ahead = np.empty(m)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        ahead[a:b] = before(first.which, a, b)[:-1]
+    first.open = _below(ahead + segments.rest, value[owner], uniform(own[owner], 2 * place + 1))
+    paths, banned = [first], {}
+
+    def best() -> tuple[np.ndarray, np.ndarray]:
+        """Of each text the largest open value, and the path that has it."""
+        top = np.full((len(paths), texts), none)
+        if len(filled):
+            for j, p in enumerate(paths):
+                top[j, filled] = np.where(p.has[filled], np.maximum.reduceat(p.open, offsets[:-1][filled]), none)
+        return top.max(axis=0), top.argmax(axis=0)
+
+    for rank in range(1, k):
+        value, parent = best()
+        live = np.flatnonzero(value > none)
+        if not len(live):
+            break
+        own = _mixed(seeds + np.uint64(rank + 1))
+        new = Paths(np.zeros(m, np.int64), np.full(m, none), value, value > none)
+        drawn: list[tuple[int, ...]] = []
+        left, spots = [], []
+        base = len(segments.start)
+        for t, j, seed in zip(live.tolist(), parent[live].tolist(), own[live].tolist()):
+            a, b = bounds[t], bounds[t + 1]
+            old = paths[j]
+            i = a + int(np.argmax(old.open[a:b]))
+            old.open[i] = none
+            gone = banned.get((j, i), [])
+            gone = [*gone, segments.of(old.which[i])]
+            chosen, rest = lattice.other(int(word[i]), gone, _drawer(seed))
+            banned[rank, i] = gone
+            new.which[a:i] = old.which[a:i]
+            new.which[i] = base + len(drawn)
+            drawn.append(chosen)
+            left.append(math.log(rest) if rest > 0 else none)
+            spots.append(i)
+        flat = np.array([e for x in drawn for e in x], np.int64)
+        size = np.array([len(x) for x in drawn], np.int64)
+        start = np.cumsum(size) - size
+        later = np.concatenate([np.arange(i + 1, bounds[t + 1]) for t, i in zip(live.tolist(), spots)])
+        walked = lattice.walk(word[later], own[owner[later]], place[later])
+        new.which[later] = base + len(drawn) + np.arange(len(later))
+        segments = Segments.joined([segments, Segments(flat, start, size, np.add.reduceat(lattice.logp[flat], start), np.array(left)), walked])
+        for t, i in zip(live.tolist(), spots):
+            ahead[i : bounds[t + 1]] = before(new.which, bounds[t], bounds[t + 1])[i - bounds[t] : -1]
+        spots = np.array(spots)
+        # the draw at the branch has a counter of its own; a word's first character may be another's there
+        new.open[spots] = _below(ahead[spots] + np.array(left), value[owner[spots]], uniform(own[owner[spots]], 2 * place[spots] + 1))
+        new.open[later] = _below(ahead[later] + walked.rest, value[owner[later]], uniform(own[owner[later]], 2 * place[later] + 1))
+        paths.append(new)
+    return segments, paths, best()[0]
+
+
+def _drawer(seed: int) -> Callable[[], float]:
+    """Uniform numbers, one after another, for the words that are drawn alone."""
+    state = np.array([seed], np.uint64)
+    counter = np.array([(1 << 62) + 1], np.int64)
+
+    def draw() -> float:
+        counter[0] += 1
+        return float(uniform(state, counter)[0])
+
+    return draw
 
 
 def split_words(text: str) -> list[str]:
@@ -250,38 +464,94 @@ def _cut(word: str) -> list[str]:
     return [*out, word[start:]]
 
 
-def ids_of(lattice: Lattice, path: Path, vocab: Vocabulary) -> np.ndarray:
-    ids = lattice.piece[path.state, path.size - 1]
-    bare = np.flatnonzero(ids < 0)
-    if not len(bare):
-        return ids
-    out, at = [], 0
-    for k in bare.tolist():
-        out += [ids[at:k], np.array([vocab.byte[b] for b in chr(int(lattice.chars[path.state[k]])).encode("utf-8", "surrogatepass")], np.int32)]
-        at = k + 1
-    return np.concatenate([*out, ids[at:]])
+@dataclass
+class Sampled:
+    """Segmentations of a slice of texts, by rank, then text."""
+
+    row: np.ndarray
+    rank: np.ndarray
+    ids: np.ndarray
+    offsets: np.ndarray
+    logp: np.ndarray
+    value: np.ndarray
+    inclusion: np.ndarray
+
+
+def _words(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; of each occurrence its word and its place in the text; offsets of the texts' occurrences."""
+    plain = np.array([bool(t) and MARK not in t and "  " not in t and t[0] != " " and t[-1] != " " for t in texts], bool)
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    marked = pc.replace_substring(pa.array([MARK + texts[k] for k in order[: plain.sum()].tolist()], pa.large_string()), " ", " " + MARK)
+    split = pc.split_pattern(marked, " ")
+    rest = [split_words(texts[k]) for k in order[plain.sum() :].tolist()]
+    every = pa.concat_arrays([split.flatten(), pa.array([w for x in rest for w in x], pa.large_string())])
+    coded = every.dictionary_encode()
+    counts = np.concatenate([np.diff(split.offsets.to_numpy()), np.array([len(x) for x in rest], np.int64)])
+    word = coded.indices.to_numpy().astype(np.int64)
+    size = pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64)[word]
+    begin = np.cumsum(counts) - counts
+    # back to the order of the texts
+    back = np.argsort(order, kind="stable")
+    count = counts[back]
+    upto = np.cumsum(count)
+    at = np.repeat(begin[back] - (upto - count), count) + np.arange(int(upto[-1]) if len(upto) else 0)
+    word, size = word[at], size[at]
+    ahead = np.cumsum(size) - size
+    offsets = np.concatenate([[0], upto]).astype(np.int64)
+    starts = np.append(ahead, size.sum())[offsets[:-1]]
+    return coded.dictionary, word, ahead - np.repeat(starts, count), offsets
+
+
+def sampled(keys: list[int | None], texts: list[str | None], vocab: Vocabulary, k: int) -> Sampled:
+    words, word, place, offsets = _words([t or "" for t in texts])
+    lattice = Lattice.of(words, vocab)
+    seeds = _mixed(_mixed(np.array([(x or 0) % 2**64 for x in keys], np.uint64) + _STEP))
+    segments, paths, edge = sample(lattice, word, place, offsets, seeds, k)
+    rows, ranks, ids, sizes, logps, values = [], [], [], [], [], []
+    for rank, p in enumerate(paths, 1):
+        has = np.flatnonzero(p.has)
+        which = p.which if len(has) == len(texts) else p.which[np.repeat(p.has, np.diff(offsets))]
+        count = np.diff(offsets)[has]
+        steps = segments.edges[_spread(segments.start[which], segments.count[which])]
+        spelled = lattice.id_count[steps]
+        own = lattice.ids[_spread(lattice.id_start[steps], spelled)]
+        # ids of each text: sums of whole numbers over its words, then over their edges
+        by_word = np.concatenate([[0], np.cumsum(segments.count[which])])
+        by_text = by_word[np.concatenate([[0], np.cumsum(count)])]
+        sizes.append(np.diff(np.concatenate([[0], np.cumsum(spelled)])[by_text]))
+        bounds = np.concatenate([[0], np.cumsum(count)]).tolist()
+        logp = segments.logp[which]
+        logps.append(np.array([logp[a:b].sum() for a, b in zip(bounds[:-1], bounds[1:])]))
+        rows.append(has)
+        ranks.append(np.full(len(has), rank, np.int32))
+        ids.append(own)
+        values.append(p.value[has])
+    row, logp, value = np.concatenate(rows), np.concatenate(logps), np.concatenate(values)
+    with np.errstate(over="ignore", divide="ignore"):
+        inclusion = np.where(edge[row] == -np.inf, 1.0, -np.expm1(-np.exp(np.minimum(700.0, logp - edge[row]))))
+    return Sampled(row, np.concatenate(ranks), np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), logp, value, inclusion)
+
+
+def _spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Places of runs, one after another."""
+    upto = np.cumsum(count)
+    return np.repeat(start - (upto - count), count) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 def samples(keys: list[int | None], texts: list[str | None], vocab: Vocabulary, k: int) -> Iterator[tuple]:
     """(row, rank, ids, log-probability, perturbed value, inclusion) for each text."""
-    split = [split_words(t or "") for t in texts]
-    known: dict[str, int] = {}
-    for words in split:
-        for w in words:
-            known.setdefault(w, len(known))
-    lattice, first = Lattice.of(list(known), vocab)
-    ends = np.append(first[1:], len(lattice.chars))
-    for row, (key, words) in enumerate(zip(keys, split)):
-        rng = np.random.Generator(np.random.Philox(key=(key or 0) % 2**64))
-        which = np.array([known[w] for w in words], np.int64)
-        paths, edge = sample(lattice, first[which], ends[which], k, rng)
-        for rank, p in enumerate(paths, 1):
-            logp = float(p.total[-1]) if len(p.total) else 0.0
-            yield row, rank, ids_of(lattice, p, vocab), logp, p.value, 1.0 if edge == -np.inf else -math.expm1(-math.exp(min(700.0, logp - edge)))
-
-
-def _decodes(ids: np.ndarray, text: str | None, vocab: Vocabulary) -> bool:
-    return vocab.model.decode(ids.tolist()) == (text or "").replace(MARK, " ")
+    found = sampled(keys, texts, vocab, k)
+    for n in np.lexsort((found.rank, found.row)).tolist():
+        a, b = found.offsets[n : n + 2].tolist()
+        yield int(found.row[n]), int(found.rank[n]), found.ids[a:b], float(found.logp[n]), float(found.value[n]), float(found.inclusion[n])
+
+
+def decodes(found: Sampled, texts: list[str | None], vocab: Vocabulary) -> list[bool]:
+    """Whether each segmentation decodes to its text."""
+    data, upto = vocab.decoded(found.ids)
+    data, ends = data.tobytes(), np.concatenate([[0], upto])[found.offsets].tolist()
+    truth = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+    return [data[a:b] == truth[r] for r, a, b in zip(found.row.tolist(), ends[:-1], ends[1:])]
 
 
 _SCHEMA = "doc_id long, rank int, ids array<int>, log_probability double, perturbed double, inclusion double"
@@ -302,15 +572,14 @@ def encode_samples(docs: DataFrame, path: str | None = None, k: int = SAMPLES, t
         for batch in batches:
             rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
             for part in in_slices(rows, lambda r: len(r[1] or "") + 1, SLICE):
-                found = list(samples([r[0] for r in part], [r[1] for r in part], vocab, k))
-                row, rank, ids, logp, value, inclusion = zip(*found)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids).astype(np.int32)))
+                texts = [r[1] for r in part]
+                found = sampled([r[0] for r in part], texts, vocab, k)
+                columns = {"doc_id": pa.array([r[0] for r in part], pa.int64()).take(pa.array(found.row)), "rank": pa.array(found.rank), "ids": pa.ListArray.from_arrays(pa.array(found.offsets.astype(np.int32)), pa.array(found.ids))}
                 if digest:
-                    middle = [lists, pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([_decodes(x, part[r][1], vocab) for r, x in zip(row, ids)])]
-                    yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), *middle, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "ids", "n_pieces", "ids_crc32", "decoded", "log_probability", "perturbed", "inclusion"])
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([part[r][0] for r in row], pa.int64()), pa.array(rank, pa.int32()), lists, pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(inclusion, pa.float64())], names=["doc_id", "rank", "ids", "log_probability", "perturbed", "inclusion"])
+                    data, ends = found.ids.astype("<u4").tobytes(), (4 * found.offsets).tolist()
+                    columns |= {"n_pieces": pa.array(np.diff(found.offsets)), "ids_crc32": pa.array([zlib.crc32(data[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.int64()), "decoded": pa.array(decodes(found, texts, vocab))}
+                columns |= {"log_probability": pa.array(found.logp), "perturbed": pa.array(found.value), "inclusion": pa.array(found.inclusion)}
+                yield pa.RecordBatch.from_pydict(columns)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), _SCHEMA.replace("ids array<int>", "ids array<int>, n_pieces long, ids_crc32 long, decoded boolean") if digest else _SCHEMA)
 

@@ -15,7 +15,7 @@ def vocab():
 def every(word):
     """All segmentations of one word with their log-weights."""
     v = vocab()
-    score = {v.model.id_to_piece(k): -math.log(2 - min(0.0, v.model.get_score(k))) / sg.TEMPERATURE for _, ids, _ in v.tables for k in ids.tolist()}
+    score = {v.model.id_to_piece(k): -math.log(2 - min(0.0, v.model.get_score(k))) / sg.TEMPERATURE for k, _ in v.weights.values()}
 
     def go(rest):
         if not rest:
