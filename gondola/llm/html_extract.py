@@ -1,8 +1,11 @@
 """Main text of web pages: the maximum-scoring contiguous run of words and tags.
 
-A page is a sequence of words and tags. Words score by the context they stand in (boilerplate container or none, in a
-link or not, in a list or not), tags by their name and container and never above zero. Kadane's linear scan finds the contiguous
-region of the highest sum; of its blocks, those in boilerplate containers are left out.
+A page is a sequence of words and tags. A word's score is the sum of two pieces of evidence: where it stands (the kind of
+container that element names, roles and class names suggest, or none) and what it stands in (a link, a list, a short or
+long block, a block that ends like a sentence). Tags score by their name and container and never above zero. A linear
+scan finds the contiguous region of the highest sum; if one article or container holds all of it, its short first and
+last blocks belong to it too. Within it, a container whose own words and tags sum to zero or less
+(an advert between paragraphs) is left out; names alone decide nothing, but for elements that are not shown at all.
 
 The weights are log odds of lying inside the content, counted over labelled pages: pages whose author marked one
 article. The mark itself is hidden from the contexts, so that the weights hold for pages without one. Counts are
@@ -10,8 +13,10 @@ summed over about TRAIN_PAGES pages (a documented bound, by the hash of page_id
 PRIOR pseudo-counts, so that contexts no labelled page shows have a weight too.
 
 Defined cases: a null or empty page, or one without words, gives the empty text. Unclosed elements run to the end of
-their parent; an unclosed script or comment runs to the end of the page. A line break element is white space within
-a block. Repeated rows repeat; null ids stay null; extra columns are left alone.
+their parent; an unclosed script, style or comment runs to the end of the page, a head to the first element of the body;
+of other dropped elements that nothing closes only the tag goes. A line break element is white space within a block.
+Repeated rows repeat; null ids stay null; extra columns stay, but for input columns named text or n_chars, which the
+result replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +34,14 @@ from pyspark.sql import functions as F
 
 TRAIN_PAGES = 20_000
 PRIOR = 20.0
-#: Bounds of what a boilerplate word and a tag can cost, so that an advert within an article doesn't end it.
-LEAST_WORD, LEAST_TAG = 1.0, 2.0
+#: What a word loses by the kind of its container before pages are seen, and how far counts may move that.
+KIND_LOSS = {"menu": 3.0, "foot": 3.0, "ad": 3.0, "notice": 3.0, "comment": 3.0, "form": 3.0, "side": 1.2, "head": 1.2, "share": 1.2}
+MOVE = 0.9
+#: The most that a word gains or loses by what it stands in, a boilerplate word in all, and a tag loses, so that an advert
+#: within an article doesn't end it.
+MOST_TEXT, LEAST_WORD, LEAST_TAG = 2.5, 1.0, 2.0
+#: Words of a block from which it counts as longer.
+BLOCK_SIZES = (4, 10, 25)
 
 _DROP = ("script", "style", "noscript", "template", "svg", "head", "iframe", "object", "select", "textarea", "button")
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
@@ -53,12 +64,20 @@ _NAMES = {
 }
 _KIND = {word: kind for kind, words in _NAMES.items() for word in words.split()}
 #: Names that make an element's header part of the text.
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT_NAMES = frozenset("article post entry story".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_HEAD = re.compile(r"<(?:!--|(" + "|".join(_DROP) + r")\b|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])", re.IGNORECASE)
+#: Kinds that an article or main element inside them refutes.
+_WEAK = frozenset(k for k, loss in KIND_LOSS.items() if loss < 2)
+_SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u00bb)]*\s*\Z")
+_HEAD = re.compile(r"<(?:!--|(" + "|".join(_DROP) + r")(?=[\s/>])|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])", re.IGNORECASE)
 _SPECIAL = re.compile("[>\"']")
 _CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _DROP}
+#: What else ends a head, as its end tag may be left out.
+_CLOSING["head"] = re.compile(r"</head\s*>|(?=<(?!(?:base|basefont|bgsound|link|meta|title|style|script|noscript|template|command)[\s/>])[a-z])", re.IGNORECASE)
+_RAW_HEAD = re.compile(r"<(script|style|noscript|template|title)(?=[\s/>])|<!--", re.IGNORECASE)
+_TITLE_END = re.compile(r"</title\s*>", re.IGNORECASE)
 #: Longer attributes are not worth a place in the cache of kinds.
 _CACHED = 2000
 
@@ -94,14 +113,47 @@ def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
         failed.update(met)
         return -1
 
+    unclosed: set[str] = set()
+
+    def closed(name: str, at: int) -> int:
+        """Where an element ends, -1 if nothing closes it."""
+        if name in unclosed:
+            return -1
+        closing = _CLOSING[name].search(page, at)
+        if not closing:
+            unclosed.add(name)
+        return closing.end() if closing else -1
+
+    def dropped(name: str, end: int) -> int:
+        """Where an element that is not read ends; end: of its start tag."""
+        at = end + 1
+        if name in ("svg", "iframe", "object", "template") and page[end - 1] == "/":
+            return at
+        if name == "head":  # raw elements in it may hold anything
+            while True:
+                closing, raw = _CLOSING["head"].search(page, at), _RAW_HEAD.search(page, at)
+                if raw is None or closing and closing.start() < raw.start():
+                    return closing.end() if closing else len(page)
+                if raw[1] is None:
+                    at = (page.find("-->", raw.end()) + 3) or len(page) + 3
+                elif raw[1].lower() == "title":
+                    found = _TITLE_END.search(page, raw.end())
+                    at = found.end() if found else raw.end()
+                else:
+                    inner = closed(raw[1].lower(), raw.end())
+                    at = inner if inner >= 0 else len(page) if raw[1].lower() in ("script", "style") else raw.end()
+                if at >= len(page):
+                    return len(page)
+        inner = closed(name, at)
+        return inner if inner >= 0 else len(page) if name in ("script", "style") else at
+
     at = 0
     while head := _HEAD.search(page, at):
         start, at = head.start(), head.end()
         if head[1] or head[3]:
             end = tag_end(at)
             if end >= 0 and head[1]:
-                closing = _CLOSING[head[1].lower()].search(page, end + 1)
-                yield start, (at := closing.end() if closing else len(page)), False, "", ""
+                yield start, (at := dropped(head[1].lower(), end)), False, "", ""
                 continue
             if end >= 0:
                 yield start, end + 1, bool(head[2]), head[3].lower(), page[at:end]
@@ -122,51 +174,65 @@ def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
 
 @lru_cache(maxsize=4096)
 def _kind(name: str, attributes: str, inside: bool) -> str:
-    """Boilerplate kind of an element, or "". inside: an article or main element is around it."""
-    if name in ("article", "main", "a", "li", "tr", "td", "th", "dd", "dt"):
+    """The boilerplate kind that an element suggests, or "". inside: an article or main element is around it."""
+    if name in ("main", "a", "li", "tr", "td", "th", "dd", "dt"):
         return ""
     values = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
     words = {w.lower() for k in ("class", "id") for w in _WORDS.findall(values.get(k, ""))}
     if "hidden" in attributes.lower().split() or re.search(r"display\s*:\s*none", values.get("style", "")):
         return "hidden"
+    if name == "article":  # readers' comments are articles on some pages
+        return "comment" if words & {"comment", "comments", "reply"} else ""
     kind = _ROLES.get(values.get("role", "").lower()) or _TAGS.get(name) or ""
     if not kind:
         kinds = {_KIND[w] for w in words if w in _KIND}
         if words & _CONTENT_NAMES:
-            kinds -= {"head"}
-        kind = min(kinds, default="")
+            kinds -= _WEAK
+        kind = min(kinds, key=lambda k: (-KIND_LOSS[k], k), default="")
     return "" if kind == "head" and inside else kind
 
 
 def parsed(page: str) -> list[tuple]:
-    """Items in page order: ("t", context, text) for text, ("g", name, ends a block, is white space, boilerplate kind) for tags, ("x", in or out) for
-    the start and end of an article or main element. A context is (boilerplate kind, in a link, in a list)."""
+    """Items in page order: ("t", context, text) for text, ("s",) for white space, ("g", name, ends a block, is white space,
+    kind, container) for tags, ("x", in or out, name, number) for the start and end of article and main elements and of those
+    that suggest a kind. A context is
+    (kind, in a link, in a list or a heading, container): containers that suggest a kind are numbered from 1, 0 is none."""
     items: list[tuple] = []
-    stack: list[tuple[str, str]] = []
-    kind, links, lists, inside, at = "", 0, 0, 0, 0
+    stack: list[tuple[str, str, int]] = []  # name, kind, number
+    kind, holder, links, lists, inside, at, numbered, heading = "", 0, 0, 0, 0, 0, 0, ""
 
     def text(a: int, b: int) -> None:
         if a < b and not page[a:b].isspace():
-            items.append(("t", (kind, links > 0, lists > 0), page[a:b]))
+            items.append(("t", (kind, links > 0, "heading" if heading else "list" if lists else "", holder), page[a:b]))
         elif a < b:
             items.append(("s",))
 
+    def around() -> None:
+        """The kind that holds: hidden, else the outermost one, but weak ones only from the innermost article on."""
+        nonlocal kind, holder
+        kind, holder, last = "", 0, max((k for k, e in enumerate(stack) if e[0] in ("article", "main")), default=-1)
+        for k, (_, own, number) in enumerate(stack):
+            if own == "hidden" or own and not kind and (k >= last or own not in _WEAK):
+                kind, holder = own, number
+
     def close(depth: int) -> None:
-        nonlocal kind, links, lists, inside
+        nonlocal links, lists, inside
         while len(stack) > depth:
-            gone, _ = stack.pop()
+            gone, own, number = stack.pop()
             links -= gone == "a"
             lists -= gone == "li"
-            if gone in ("article", "main"):
-                inside -= 1
-                items.append(("x", -1, gone))
-        kind = next((k for _, k in stack if k), "")
+            inside -= gone in ("article", "main")
+            if own or gone in ("article", "main"):
+                items.append(("x", -1, gone, number))
+        around()
 
     for start, end, closes, name, attributes in tokens(page):
         text(at, start)
         at = end
         if not name:
             continue
+        if name in _BLOCKS:
+            heading = name if not closes and name in _HEADINGS else "" if name not in _HEADINGS or name == heading else heading
         if closes:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             if depth is not None:
@@ -174,19 +240,49 @@ def parsed(page: str) -> list[tuple]:
         elif name in _HOLDS and name not in _VOID and not attributes.endswith("/"):
             if name in ("a", "li") and (depth := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, "ul", "ol", "menu", "div")), None)) is not None and stack[depth][0] == name:
                 close(depth)
-            stack.append((name, (_kind if len(attributes) <= _CACHED else _kind.__wrapped__)(name, attributes, inside > 0)))
-            kind = kind or stack[-1][1]
+            own = (_kind if len(attributes) <= _CACHED else _kind.__wrapped__)(name, attributes, inside > 0)
+            marked = name in ("article", "main")
+            numbered += marked or own != ""
+            stack.append((name, own, numbered))
+            if own or marked:
+                items.append(("x", 1, name, numbered))
+            if marked:
+                inside += 1
+                around()
+            elif own == "hidden" or own and not kind:
+                kind, holder = own, numbered
             links += name == "a"
             lists += name == "li"
-            if name in ("article", "main"):
-                inside += 1
-                items.append(("x", 1, name))
-        items.append(("g", name, name in _BLOCKS, name in _SPACES, kind))
+        items.append(("g", name, name in _BLOCKS, name in _SPACES, kind, holder))
     text(at, len(page))
     close(0)
     return items
 
 
+def blocks_of(items: list[tuple]) -> dict[int, tuple[int, bool]]:
+    """Of each text item's place: the size class of its block, and whether the block ends like a sentence."""
+    out: dict[int, tuple[int, bool]] = {}
+    held: list[int] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            own = (sum(size >= n for n in BLOCK_SIZES), _SENTENCE.search(items[held[-1]][2][-8:]) is not None)
+            out.update(dict.fromkeys(held, own))
+            held.clear()
+        size = 0
+
+    for k, item in enumerate(items):
+        if item[0] == "t":
+            held.append(k)
+            size += item[2].count(" ") + 1
+        elif item[0] == "g" and item[2]:
+            flush()
+    flush()
+    return out
+
+
 class Weights:
     def __init__(self, counts: dict[str, tuple[int, int]]):
         """counts: key -> (inside, outside) of labelled pages."""
@@ -196,12 +292,19 @@ class Weights:
         inside, outside = self.counts.get(key, (0, 0))
         return math.log((inside + PRIOR * prior) / (outside + PRIOR * (1 - prior)))
 
-    def word(self, context: tuple[str, bool, bool]) -> float:
-        key = _word_key(context)
+    def word(self, kind: str, link: bool, place: str, size: int, sentence: bool) -> float:
+        """Never above a loss of LEAST_WORD below zero."""
+        key = kind, link, place, size, sentence
         if key not in self.cache:
-            prior = 0.02 if context[0] else 0.25 if context[1] and context[2] else 0.55 if context[1] else 0.8
-            odds = self._odds(key, prior)
-            self.cache[key] = min(-0.5, max(-LEAST_WORD, odds)) if context[0] else max(-3.0, min(3.0, odds))
+            if kind == "hidden":
+                score = -LEAST_WORD
+            else:
+                prior = (0.25 if place == "list" else 0.45) if link else (0.7 if place else 0.6, 0.7, 0.8, 0.85)[size] + 0.08 * sentence
+                score = max(-MOST_TEXT, min(MOST_TEXT, self._odds(_text_key(link, place, size, sentence), prior)))
+                if kind:
+                    loss = KIND_LOSS[kind]
+                    score += max(-loss - MOVE, min(MOVE - loss, self._odds(_kind_key(kind), 1 / (1 + math.exp(loss)))))
+            self.cache[key] = max(-LEAST_WORD, score) if kind else score
         return self.cache[key]
 
     def tag(self, name: str, kind: str) -> float:
@@ -211,31 +314,67 @@ class Weights:
         return self.cache[key]
 
 
-def _word_key(context: tuple[str, bool, bool]) -> str:
-    return f"word {context[0] or 'plain'}{' link' * context[1]}{' list' * context[2]}"
+def _text_key(link: bool, place: str, size: int, sentence: bool) -> str:
+    return f"text {size}{' link' * link} {place}{' sentence' * sentence}"
+
+
+def _kind_key(kind: str) -> str:
+    return f"kind {kind}"
 
 
 def _tag_key(name: str, kind: str) -> str:
     return f"tag {name if name in _BLOCKS or name in _HOLDS or name in _SPACES else 'other'} {kind or 'plain'}"
 
 
+def region(scores: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run of the highest positive sum, the first and shortest of those; else (0, 0)."""
+    best, found, total, start = 0.0, (0, 0), 0.0, 0
+    for k, score in enumerate(scores):
+        total += score
+        if total <= 0:
+            total, start = 0.0, k + 1
+        elif total > best:
+            best, found = total, (start, k + 1)
+    return found
+
+
+def whole(items: list[tuple], first: int, last: int) -> tuple[int, int]:
+    """The run, or all of the innermost article, main or kind-suggesting element that holds it, as its first and last
+    blocks may be short."""
+    opened: dict[int, int] = {}
+    for k, item in enumerate(items):
+        if item[0] == "x" and item[1] == 1 and k < last:
+            opened[item[3]] = k
+        elif item[0] == "x" and item[3] in opened:
+            start = opened.pop(item[3])
+            if start <= first < last <= k + 1:  # inner elements end first
+                return start, k
+    return first, last
+
+
 def extract(page: str | None, weights: Weights) -> str:
     """Blocks of the main text, joined by newlines."""
     items = parsed(page or "")
-    best, best_at, total, start = 0.0, (0, 0), 0.0, 0
+    block = blocks_of(items)
+    scores = [0.0] * len(items)
     for k, item in enumerate(items):
         if item[0] == "t":
-            total += weights.word(item[1]) * (item[2].count(" ") + 1)
+            kind, link, place, _ = item[1]
+            scores[k] = weights.word(kind, link, place, *block[k]) * (item[2].count(" ") + 1)
         elif item[0] == "g":
-            total += weights.tag(item[1], item[4])
-        if total <= 0:
-            total, start = 0.0, k + 1
-        elif total > best:
-            best, best_at = total, (start, k + 1)
+            scores[k] = weights.tag(item[1], item[4])
+    first, last = whole(items, *region(scores))
+    own: Counter = Counter()  # of containers
+    for k in range(first, last):
+        item = items[k]
+        if item[0] == "t" and item[1][3]:
+            own[item[1][3]] += scores[k]
+        elif item[0] == "g" and item[5]:
+            own[item[5]] += scores[k]
     blocks, held = [], []
-    for item in items[best_at[0] : best_at[1]]:
+    for item in items[first:last]:
         if item[0] == "t":
-            if not item[1][0]:
+            if item[1][0] != "hidden" and (not item[1][3] or own[item[1][3]] > 0):
                 held.append(item[2])
         elif item[0] == "s" or item[0] == "g" and item[3]:
             held.append(" ")
@@ -254,10 +393,16 @@ def counted(page: str) -> Counter:
     if len(opens) != 1:
         return out
     end = next(k for k, i in enumerate(items) if i[0] == "x" and i[1] == -1 and i[2] == "article")
+    block = blocks_of(items)
     for k, item in enumerate(items):
         inside = opens[0] + 1 < k < end  # the element's own tag lies outside
         if item[0] == "t":
-            out[_word_key(item[1]), inside] += len(item[2].split())
+            kind, link, place, _ = item[1]
+            words = len(item[2].split())
+            if link or inside or not kind:  # sentences outside that their container explains are no evidence against sentences
+                out[_text_key(link, place, *block[k]), inside] += words
+            if kind:
+                out[_kind_key(kind), inside] += words
         elif item[0] == "g":
             out[_tag_key(item[1], item[4]), inside] += 1
     return out
