@@ -349,8 +349,21 @@ def calibrate(model: Model, lang: list[str], n: np.ndarray, h: np.ndarray) -> Mo
 
 
 def classify(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """docs (with text) and lang_pred, score, rejected, cross_entropy."""
+    """docs (with text) and lang_pred, score, rejected, cross_entropy, which replace input columns of those names."""
     docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score", "rejected", "cross_entropy")))
     shared = spark.sparkContext.broadcast(model)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(released(_apply(shared, False)), f"{fields}, lang_pred string, score double, rejected boolean, cross_entropy double")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose text the model does not reject, with all their columns as they are."""
+    shared = spark.sparkContext.broadcast(model)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                yield part.filter(pa.array(~np.asarray(shared.value.predict(part.column("text").to_pylist())[2], bool)))
+
+    return docs.mapInArrow(released(apply), docs.schema)

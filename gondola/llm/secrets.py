@@ -6,21 +6,27 @@ search gives, as no match can begin elsewhere. Hex strings have no keyword: runs
 one vectorised comparison. Token kinds with an embedded checksum are reported only if it is right; web tokens only if
 their header and payload decode to JSON objects.
 
+No text takes more than time in proportion to its length: an attempt at a web token that fails remembers the run of
+characters it failed in, where later hits would fail alike, and key blocks look up their end marks and the next character
+that no key has, each found once.
+
 Kinds, in this order at equal starts: assign, access, hex (the base ones), github, npm, jwt, pem.
 Offsets are code points, ends exclusive.
 
 Defined cases: null counts as empty, empty texts have no spans, overlapping spans of different kinds are all reported
-(redaction replaces their union), repeated rows give repeated results, doc_id may be null, extra columns are ignored.
+(redaction replaces their union), repeated rows give repeated results, doc_id may be null, an empty table gives an empty
+result; extra columns are ignored by scan and kept, whatever their names, by redact.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import json
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -40,7 +46,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+#: A key block: a begin mark, characters of keys and their headers, and the first end mark of that name.
+_PEM_BEGIN = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
+_PEM_END = re.compile(r"(?=-----END ([A-Z ]{0,40}PRIVATE KEY)-----)")
+_PEM_OTHER = re.compile(r"[^A-Za-z0-9+/=\s:,-]")
 _DIGITS = string.digits + string.ascii_uppercase + string.ascii_lowercase
 
 
@@ -56,25 +66,72 @@ def checksum(body: str) -> str:
 def _is_json(part: str) -> bool:
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
-#: kind -> keywords (lower case), expression, test of a match.
+def _anchored(expression: re.Pattern, valid: Callable[[re.Match], bool]) -> Callable[[str, list[int]], Iterator[tuple[int, int]]]:
+    """Matches at the hits, from left to right, that pass the test; hits inside a match are skipped."""
+
+    def found(text: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+        after = 0
+        for start in starts:
+            if start >= after and (m := expression.match(text, start)):
+                after = m.end()
+                if valid(m):
+                    yield start, after
+
+    return found
+
+
+def _web_tokens(text: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    after = 0
+    for start in starts:
+        if start < after:
+            continue
+        if m := _JWT.match(text, start):
+            after = m.end()
+            if _is_json(m[1]) and _is_json(m[2]):
+                yield start, after
+        else:  # so does any start in the rest of this run
+            after = _JWT_RUN.match(text, start).end() if text.startswith("eyJ", start) else start + 1
+
+
+def _key_blocks(text: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+    ends: dict[str, list[int]] = {}
+    for m in _PEM_END.finditer(text):
+        ends.setdefault(m[1], []).append(m.start())
+    after, other = 0, -1
+    for start in starts:
+        if start < after or not (m := _PEM_BEGIN.match(text, start)):
+            continue
+        own = ends.get(m[1], [])
+        k = bisect.bisect_left(own, m.end())
+        if k == len(own):
+            continue
+        if other < m.end():
+            found = _PEM_OTHER.search(text, m.end())
+            other = found.start() if found else len(text)
+        if own[k] <= other:
+            after = own[k] + len("-----END -----") + len(m[1])
+            yield start, after
+
+
+#: kind -> keywords (lower case), and what finds the spans at their hits.
 RULES = {
-    "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), _ASSIGN, lambda m: len(m[2]) >= ASSIGN_LENGTH),
-    "access": (("akia",), _ACCESS, lambda m: len(m[0]) >= ACCESS_LENGTH),
-    "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _GITHUB, lambda m: checksum(m[1]) == m[2]),
-    "npm": (("npm_",), _NPM, lambda m: checksum(m[1]) == m[2]),
-    "jwt": (("eyj",), _JWT, lambda m: _is_json(m[1]) and _is_json(m[2])),
-    "pem": (("-----begin",), _PEM, lambda m: True),
+    "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), _anchored(_ASSIGN, lambda m: len(m[2]) >= ASSIGN_LENGTH)),
+    "access": (("akia",), _anchored(_ACCESS, lambda m: len(m[0]) >= ACCESS_LENGTH)),
+    "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), _anchored(_GITHUB, lambda m: checksum(m[1]) == m[2])),
+    "npm": (("npm_",), _anchored(_NPM, lambda m: checksum(m[1]) == m[2])),
+    "jwt": (("eyj",), _web_tokens),
+    "pem": (("-----begin",), _key_blocks),
 }
 
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, (words, _, _) in RULES.items():
+    for kind, (words, _) in RULES.items():
         for word in words:
             found.add_word(word, (kind, len(word)))
     found.make_automaton()
@@ -113,13 +170,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         hits.setdefault(kind, set()).add(end - size + 1)
     out = [("hex", a, b) for a, b in _hex_runs(text)]
     for kind, starts in hits.items():
-        _, expression, valid = RULES[kind]
-        after = 0
-        for start in sorted(starts):
-            if start >= after and (m := expression.match(text, start)):
-                after = m.end()
-                if valid(m):
-                    out.append((kind, start, after))
+        out += [(kind, a, b) for a, b in RULES[kind][1](text, sorted(starts))]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

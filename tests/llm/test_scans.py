@@ -1,7 +1,10 @@
 import binascii
 import hashlib
 import re
+import time
+from collections import defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -51,6 +54,28 @@ def test_checksums():
     assert secrets.redacted(f"a {pem} b") == "a <secret> b" and secrets.redacted(None) is None
 
 
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]*")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----[A-Za-z0-9+/=\s:,-]*?-----END \1-----")
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["-----BEGIN ", "-----END ", "RSA ", "PRIVATE KEY", "-----", "MIIB", "\n", "!", "eyJhIjoxfQ", "eyJ", ".", "x", " ", "e30"]), max_size=40).map("".join))
+def test_added_kinds_are_those_of_their_expressions(text):
+    """Leftmost non-overlapping matches of the plain expressions, tokens with JSON objects in them."""
+    pem = [("pem", m.start(), m.end()) for m in _PEM.finditer(text)]
+    jwt = [("jwt", m.start(), m.end()) for m in _JWT.finditer(text) if secrets._is_json(m[1]) and secrets._is_json(m[2])]
+    assert [s for s in secrets.spans(text) if s[0] == "pem"] == pem and [s for s in secrets.spans(text) if s[0] == "jwt"] == jwt
+
+
+@pytest.mark.parametrize("unit", ["eyJ", "eyJ.", "eyJa.b ", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN RSA PRIVATE KEY-----\n-----END DSA PRIVATE KEY-----", "password ", "token = ", "-----BEGIN A PRIVATE KEY-----!", "AKIA", "ghp_", "eyJ" + "W" * 60 + "."])
+def test_very_long_runs_take_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    secrets.spans(text)
+    assert time.perf_counter() - began < 20
+    assert secrets.spans("[" * 200_000 + " eyJ" + "W1tb" * 50_000 + ".e30.") == []
+
+
 def test_secrets_odd(spark, odd, nothing):
     rows = secrets.scan(odd).collect()
     assert len(rows) == len(ODD) and secrets.scan(nothing).count() == 0
@@ -79,10 +104,55 @@ def test_language_odd(spark, odd, nothing, documents):
     assert sure.rejected
 
 
+def dictionary_kneser_ney(grams, order, size):
+    """Interpolated Kneser-Ney by plain dictionaries. grams: tuples of `order` symbols, as often as they come; size: of the vocabulary."""
+    counts = [defaultdict(lambda: defaultdict(int)) for _ in range(order)]
+    for gram in grams:
+        counts[order - 1][gram[:-1]][gram[-1]] += 1
+    for n in range(order - 1, 0, -1):  # distinct left neighbours
+        for context, row in counts[n].items():
+            for symbol in row:
+                counts[n - 1][context[1:]][symbol] += 1
+    discounts = []
+    for level in counts:
+        values = [c for row in level.values() for c in row.values()]
+        ones, twos = values.count(1), values.count(2)
+        discounts.append(min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5)
+
+    def p(context, symbol):
+        n = len(context)
+        row = counts[n].get(context, {})
+        lower = p(context[1:], symbol) if n else 1 / size
+        total = sum(row.values())
+        return max(row.get(symbol, 0) - discounts[n], 0) / total + discounts[n] * len(row) / total * lower if row else lower
+
+    return p
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_model_is_dictionary_kneser_ney(order):
+    texts = [["the cat sat on the mat and the rat", "a cat that sat"], ["der hund und das rad", "das tat der hund dann"]]
+    alphabet = np.array(sorted({ord(c) for x in texts for t in x for c in t if c != " "}))
+    blank = langid.Model(["p", "q"], alphabet, [], [])
+
+    def grams(text):
+        ids = [0] * (order - 1) + blank.codes(langid.symbols(text)).tolist()
+        return [tuple(ids[i : i + order]) for i in range(1, len(ids) - order + 1)]
+
+    codes = [np.concatenate([langid._windows(blank.codes(langid.symbols(t)), order)[order - 1] for t in own]) for own in texts]
+    rows = np.stack([np.concatenate(codes), np.repeat([0, 1], [len(c) for c in codes]).astype(np.uint64)])
+    keys, n = np.unique(rows, axis=1, return_counts=True)
+    model = langid.fit(["p", "q"], alphabet, keys[0], keys[1].astype(int), n, order)
+    tried = {g for t in ["dat cxt und", *texts[0], *texts[1]] for g in grams(t)} | {(langid.OTHER,) * order, (0,) * order}
+    for k, own in enumerate(texts):
+        p = dictionary_kneser_ney([g for t in own for g in grams(t)], order, len(alphabet) + 2)
+        for gram in tried:
+            mine = np.exp(float(model.log_probabilities(np.array(gram, np.uint64), order)[-1][k]))
+            assert abs(mine - p(gram[:-1], gram[-1])) < 1e-5
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_probabilities_sum_to_one(order):
-    import numpy as np
-
     texts = ["abab abba", "cab bac"]
     alphabet = np.array(sorted({ord(c) for t in texts for c in t if c != " "}))
     blank = langid.Model(["p", "q"], alphabet, [], [])
