@@ -10,7 +10,9 @@ one node, however many rows have them; components come from alternating stars (g
 
 Defined cases: null and empty texts have no words, so fingerprint zero, which links like any other; fewer than three
 words are one shingle; a null doc_id takes part but never names a component unless all of its rows are null.
-Repeated rows give repeated results.
+Repeated rows give repeated results. dedup keeps one row of each component: of its smallest doc_id (null only if there is
+no other), and of several texts with that id the one of the least SHA-256; other rows of that id stay or go with their
+own component. An empty table gives an empty result; columns of docs may have any names and stay as they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import BROADCAST_ROWS, Workspace, in_slices, released
+from gondola.llm.common import BROADCAST_ROWS, Workspace, in_slices, released, text_or_empty
 
 #: Differing bits that still link.
 DISTANCE = 2
@@ -72,12 +74,18 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 512):
             part = batch.slice(a, 512)
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(simhash(part.column(1).to_pylist()).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(simhash(part.column(1).to_pylist()).view(np.int64))], names=["doc_id", "key", "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(_fingerprint), "doc_id long, fp long")
+def text_key() -> F.Column:
+    """Tells the texts of one doc_id apart; null and empty count as one."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
+def fingerprints(docs: DataFrame, key: F.Column | None = None) -> DataFrame:
+    """(doc_id, key, fp): the fingerprint's bits as a signed long; the key, if asked, tells rows apart."""
+    key = F.lit(None).cast("binary") if key is None else key
+    return docs.select(F.col("doc_id").cast("long"), "text", key.alias("key")).mapInArrow(released(_fingerprint), "doc_id long, key binary, fp long")
 
 
 def masks(flips: int) -> list[int]:
@@ -95,34 +103,51 @@ def links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return pairs.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance).select(F.col("fp").alias("a"), F.col("other").alias("b")).distinct()
 
 
-def classes(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable)."""
+def classes(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE, key: F.Column | None = None) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable), and key and root for without()."""
     if distance % 2:
         raise ValueError("an odd distance lets members of a variant's group be further apart than it")
     from gondola.llm.graph import components
 
     space = Workspace(spark, "simhash")
-    rows = space.write(fingerprints(docs), "fingerprints")
+    rows = space.write(fingerprints(docs, key), "fingerprints")
     nodes = space.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     return named(space, rows, nodes, components(space, links(nodes.select("fp"), distance)))
 
 
 def named(space: Workspace, rows: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of rows (doc_id, fp). nodes: fp, first; labels: node, label of the linked ones."""
+    """doc_id, key, fp, component_id, root (the same within a component only) of rows (doc_id, key, fp).
+
+    nodes: fp, first; labels: node, label of the linked ones."""
     labels = labels.withColumnRenamed("node", "fp")
     labelled = space.write(nodes.join(labels, "fp"), "labelled")
     least = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    reached = space.write(labelled.join(least, "label").select("fp", "component_id"), "reached")
-    owners = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return rows.select("doc_id", "fp").join(owners, "fp")
+    reached = space.write(labelled.join(least, "label").select("fp", "label", "component_id"), "reached")
+    owners = nodes.join(reached, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "fp").alias("root"))
+    return rows.select("doc_id", "key", "fp").join(owners, "fp")
 
 
 def dedup(spark: SparkSession, docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs that stay: of each component the document that names it."""
-    return without(spark, docs, classes(spark, docs, distance))
+    """The rows of docs that stay: one of each component, of the document that names it."""
+    return without(spark, docs, classes(spark, docs, distance, text_key()))
 
 
 def without(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs less the rows that do not name their component. found: doc_id, component_id."""
-    gone = Workspace(spark, "simhash-gone").write(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each component. found: doc_id, key (text_key() of the row), root."""
+    space = Workspace(spark, "one-each")
+    kinds = space.write(found.groupBy("root", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    kept = kinds.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.key").alias("own_key"), F.col("first.doc_id").alias("own_id"))
+    marked = space.write(kinds.join(kept, "root").select("doc_id", "key", "n", (F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key"))).alias("stays")), "marked")
+    gone, often = marked.filter("NOT stays"), marked.filter("stays AND n > 1")
+
+    def side(rows: DataFrame) -> DataFrame:
+        few = rows.select(F.col("doc_id").alias("__id"), F.col("key").alias("__other"))
+        return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__other"))
+    rest = docs.withColumn("__key", text_key()).join(side(gone), same, "left_anti")
+    if often.isEmpty():
+        return rest.select(*docs.columns)
+    often = side(often)
+    return rest.join(often, same, "left_anti").unionByName(rest.join(often, same, "left_semi").dropDuplicates(["doc_id", "__key"])).select(*docs.columns)

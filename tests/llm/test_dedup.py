@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gondola.llm import exact_dedup, graph, queries, simhash
+from gondola.llm import exact_dedup, graph, minhash, queries, simhash
 from gondola.llm.common import Workspace
 from gondola.llm.exact_dedup import CountingQuotientFilter, merged
 from tests.llm.conftest import ODD
@@ -99,6 +99,17 @@ def test_simhash_odd(spark, odd, nothing):
     assert simhash.dedup(spark, odd).columns == odd.columns
 
 
+def test_one_row_of_each_component_stays(spark):
+    """By row, not by id: ids that repeat, null ids and whole rows that repeat."""
+    a, b, c = "one two three four five six", "nothing like the other text at all", "a third one that has its own words"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (None, a, "x"), (None, b, "y"), (None, c, "y"), (None, c, "z"), (7, None, "x"), (7, "", "x"), (8, "  ", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    for near in (simhash.dedup, minhash.dedup):
+        kept = near(spark, docs).collect()
+        assert near(spark, docs).columns == docs.columns
+        assert sorted((str(r.doc_id), r.text or "") for r in kept) == sorted([("1", a), ("5", b), ("None", c), ("7", "")])
+
+
 def test_links_reach_all_pairs(spark):
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 20, dtype=np.int64)
