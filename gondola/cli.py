@@ -11,6 +11,7 @@ from gondola.plans import build as building
 from gondola.plans import sinks, validate
 from gondola.plans.warehouse import Warehouse
 from gondola.session import session
+from gondola.sources import download as downloads
 from gondola.sources import snapshots
 
 STAGES = ("download", "ingest", "build", "export", "validate", "all")
@@ -27,7 +28,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def download(args: argparse.Namespace) -> None:
-    raise SystemExit("download needs a session and a policy: see gondola.sources.download")
+    for day, path in downloads.download(args.root / "raw", args.root / "manifests" / "raw_sources.jsonl", dt.date.today()).items():
+        print(f"{day}: {path}")
 
 
 def ingest(args: argparse.Namespace, store: Warehouse) -> None:
@@ -40,6 +42,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.stage == "download":
         download(args)
+        return 0
     store = Warehouse(session(), args.root / "warehouse")
     if args.stage in ("ingest", "all"):
         ingest(args, store)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import io
+import itertools
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -30,19 +32,26 @@ from gondola.sources.contract import COLUMNS, ContractError, Sanitizer
 FORMAT = "gondola_snapshot"
 #: Packages that may be of zero bytes.
 EMPTY_ALLOWED = r"comercio-sepa-36_"
-BUFFER = 8 << 20
+#: Records that a reader hands on at once.
+BATCH = 5_000
 MEMBERS = {"comercio.csv": "commerce_snapshot", "sucursales.csv": "store_snapshot", "productos.csv": "fact_price"}
 
 
 @dataclass(frozen=True)
 class Limits:
-    """What an archive may unpack to."""
+    """What an archive may unpack to; from_environment() reads MAX_ZIP_MEMBER_COUNT, MAX_ZIP_MEMBER_BYTES,
+    MAX_ZIP_TOTAL_BYTES and MAX_ZIP_COMPRESSION_RATIO."""
 
     members: int = 10_000
     member_bytes: int = 4 << 30
     total_bytes: int = 32 << 30
     ratio: float = 200.0
 
+    @classmethod
+    def from_environment(cls) -> Limits:
+        names = {"members": "MAX_ZIP_MEMBER_COUNT", "member_bytes": "MAX_ZIP_MEMBER_BYTES", "total_bytes": "MAX_ZIP_TOTAL_BYTES", "ratio": "MAX_ZIP_COMPRESSION_RATIO"}
+        return cls(**{k: type(getattr(cls, k))(os.environ[n]) for k, n in names.items() if n in os.environ})
+
 
 def check_archive(archive: zipfile.ZipFile, limits: Limits) -> None:
     infos = archive.infolist()
@@ -110,8 +119,10 @@ class SnapshotReader(DataSourceReader):
 
     def read(self, partition: PackagePartition):
         with open_package(partition.path, partition.package, self.limits) as inner, inner.open(member(inner, self.name)) as source:
-            for record in Sanitizer(COLUMNS[self.name]).records(source):
-                yield (PurePosixPath(partition.package).name, *record)
+            package, names = PurePosixPath(partition.package).name, ["source_package", *COLUMNS[self.name]]
+            records = Sanitizer(COLUMNS[self.name]).records(source)
+            while held := list(itertools.islice(records, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array([package] * len(held), pa.string()), *(pa.array(c, pa.string()) for c in zip(*held))], names=names)
 
 
 class SnapshotSource(DataSource):
@@ -214,8 +225,9 @@ def sha256(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def load(store: Warehouse, path: str, date: str, force: bool = False, limits: Limits = Limits()) -> str:
+def load(store: Warehouse, path: str, date: str, force: bool = False, limits: Limits | None = None) -> str:
     """Loads one date's archive and activates it last; returns the run id. The same file again is no work."""
+    limits = limits or Limits.from_environment()
     digest, active = sha256(path), store.snapshots.get(date)
     if active and active["sha256"] == digest and not force:
         return active["run_id"]

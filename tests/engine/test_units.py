@@ -9,7 +9,7 @@ from gondola.functions import codes, stats, text, units
 from gondola.plans import sinks, validate
 from gondola.plans.context import resolve_window
 from gondola.sources import download, snapshots
-from gondola.sources.contract import ContractError, Sanitizer, is_footer
+from gondola.sources.contract import ContractError, Sanitizer, is_notice
 
 
 @pytest.mark.parametrize("code,valid", [("96385074", True), ("036000291452", True), ("4006381333931", True), ("10012345000017", True), ("96385075", False), ("036000291453", False), ("4006381333932", False), ("10012345000018", False)])
@@ -51,7 +51,8 @@ def test_sanitizer():
     for bad in (b"b|a\n1|2\n", b"a\n1\n", b"a|b|c\n1|2|3\n", b"a|a\n1|2\n", b"", b"a|b\n", b'a|b\n1|"x\n', b"a|b\nUltima actualizacion: x\n1|2\n"):
         with pytest.raises(ContractError):
             run(bad, ["a", "b"])
-    assert not is_footer(b"actualizacion pendiente") and not is_footer(b"ultima actualizacion:")
+    assert not is_notice(b"actualizacion pendiente") and not is_notice(b"ultima actualizacion:") and not is_notice(b"la ultima actualizacion: x")
+    assert is_notice("  \u00daLTIMA\tactualizaci\u00f3n :2026-08-02T06:00:00".encode()) and not is_notice(b"ultima actualizacion: a|b")
 
 
 def test_archive_limits():
@@ -109,6 +110,71 @@ class Session:
         return self.reply
 
 
+def test_limits_from_the_environment(monkeypatch):
+    assert snapshots.Limits.from_environment() == snapshots.Limits()
+    monkeypatch.setenv("MAX_ZIP_MEMBER_COUNT", "3")
+    monkeypatch.setenv("MAX_ZIP_COMPRESSION_RATIO", "1.5")
+    assert snapshots.Limits.from_environment() == snapshots.Limits(members=3, ratio=1.5)
+    monkeypatch.setenv("MAX_HTTP_DOWNLOAD_BYTES", "7")
+    assert download.public_policy().most_bytes == 7
+    monkeypatch.delenv("MAX_HTTP_DOWNLOAD_BYTES")
+    assert download.public_policy().most_bytes == 8 << 30
+
+
+def test_slug():
+    assert download.slug("  S\u00c1BADO -- (ma\u00f1ana) ") == "sabado_manana"
+
+
+def test_retries():
+    class Flaky:
+        def __init__(self, *replies):
+            self.replies = list(replies)
+
+        def get(self, url, **_):
+            reply = self.replies.pop(0)
+            if isinstance(reply, Exception):
+                raise reply
+            return reply
+
+    waits = []
+    session = download.Retrying(Flaky(Reply(status=503), ConnectionError(), Reply(status=429, Retry_After="9"), Reply(b"ok")), wait=waits.append)
+    assert session.get("u").body == b"ok" and waits == [1.0, 2.0, 9.0]
+    assert download.Retrying(Flaky(Reply(status=404)), wait=waits.append).get("u").status_code == 404
+    last = download.Retrying(Flaky(*[Reply(status=500)] * 9), wait=waits.append)
+    assert last.get("u").status_code == 500 and len(last.transport.replies) == 3
+    with pytest.raises(OSError):
+        download.Retrying(Flaky(*[ConnectionError()] * 9), wait=waits.append).get("u")
+
+
+ARCHIVE = "https://datos.produccion.gob.ar/dataset/6f47ec76-d1ce-4e34-a7e1-621fe9b1d0b5/resource/01234567-89ab-cdef-0123-456789abcdef/download/sepa_{}.zip"
+
+
+def test_allow_list():
+    policy = download.public_policy()
+    assert download.archive_url(ARCHIVE.format("lunes"), "lunes", policy)
+    for url, day in ((ARCHIVE.format("lunes"), "martes"), (ARCHIVE.format("lunes") + "?x=1", "lunes"), (ARCHIVE.format("lunes").replace("resource/0", "resource/x"), "lunes"), (ARCHIVE.format("hoy"), "hoy"), (ARCHIVE.format("lunes").replace("produccion", "otro"), "lunes")):
+        with pytest.raises(download.DownloadError):
+            download.archive_url(url, day, policy)
+    with pytest.raises(download.DownloadError):
+        download.catalog(Session(Reply()), download.CATALOG + "&x=1", policy)
+
+
+def test_download_of_the_catalog(tmp_path):
+    class Site:
+        def head(self, url, **_):
+            return Reply(ETag=url[-12:])
+
+        def get(self, url, **_):
+            if url == download.CATALOG:
+                reply = Reply()
+                reply.json = lambda: {"result": {"resources": [{"name": f"Precios {d.upper()}", "format": "zip", "url": ARCHIVE.format(d)} for d in download.SLOTS] + [{"name": "notes", "format": "PDF"}]}}
+                return reply
+            return Reply(url.encode())
+
+    found = download.download(tmp_path / "raw", tmp_path / "m.jsonl", dt.date(2026, 8, 2), Site())
+    assert set(found) == set(download.SLOTS) and found["jueves"].read_bytes() == ARCHIVE.format("jueves").encode()
+
+
 def test_download(tmp_path):
     policy, url, day = download.Policy(frozenset({"data.example.org"}), 100), "https://data.example.org/a.zip", dt.date(2026, 8, 1)
     s = Session(Reply(b"abc", ETag="1"))
