@@ -26,7 +26,7 @@ def sources_of(store: Warehouse, ctx: BuildContext, inputs: list[tuple[dt.date,
     spark = store.spark
     found = Tables(build_inputs=spark.createDataFrame([(ctx.build_id, *i) for i in inputs], "build_id string, snapshot_date date, ingest_run_id string, raw_sha256 string"))
     for name in SOURCES:
-        found[name] = spark.read.parquet(*[str(store.root / "sources" / run / name) for _, run, _ in inputs])
+        found[name] = spark.read.parquet(*[store.place("sources", run, name) for _, run, _ in inputs])
     found["snapshot_state"] = store.snapshot_table()
     return found
 

@@ -1,7 +1,8 @@
 """Versioned storage: tables in folders of their run or build, and pointers that are swapped last.
 
 A folder is complete before a pointer names it, so a failed run leaves the previous state as it was. Pointers and the
-run log are small JSON files of the driver, replaced atomically; table data is written by Spark.
+run log are small JSON files that the driver replaces whole, through Hadoop's file systems, so the root may be a local
+folder, HDFS or an object store; table data is written by Spark.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import uuid
 from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -33,10 +35,6 @@ def replace_json(path: Path, value: object) -> None:
     os.replace(part, path)
 
 
-def read_json(path: Path, default: object) -> object:
-    return json.loads(path.read_text(encoding="utf-8")) if path.exists() else default
-
-
 def read_manifest(path: Path) -> list[dict]:
     """JSON lines; blank ones are skipped."""
     return [json.loads(x) for x in path.read_text(encoding="utf-8").splitlines() if x.strip()] if path.exists() else []
@@ -54,32 +52,77 @@ def write_manifest(path: Path, rows: list[dict]) -> None:
 
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str | Path):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root = spark, str(root).rstrip("/")
+
+    # files
+
+    def place(self, *parts: str) -> str:
+        return "/".join([self.root, *parts])
+
+    def _file(self, *parts: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.place(*parts))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def read_text(self, name: str) -> str | None:
+        fs, path = self._file(name)
+        if not fs.exists(path):
+            return None
+        source = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def replace_text(self, name: str, text: str) -> None:
+        """Whole file or nothing: written beside and renamed, or put in one go where the store has no such rename."""
+        fs, path = self._file(name)
+        part = self._file(f"{name}.part")[1]
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+
+        def put(to) -> None:
+            out = fs.create(to, True)
+            out.write(bytearray(text.encode()))
+            out.close()
+
+        try:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+        except Py4JJavaError:
+            return put(path)
+        put(part)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        context.rename(fs.makeQualified(part), fs.makeQualified(path), how)
+
+    def read_json(self, name: str, default: object) -> object:
+        text = self.read_text(name)
+        return default if text is None else json.loads(text)
+
+    def replace_json(self, name: str, value: object) -> None:
+        self.replace_text(name, json.dumps(value, ensure_ascii=False, indent=1, default=str))
 
     # tables
 
     def write(self, df: DataFrame, *place: str) -> DataFrame:
-        path = str(self.root.joinpath(*place))
+        path = self.place(*place)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def read(self, *place: str) -> DataFrame:
-        return self.spark.read.parquet(str(self.root.joinpath(*place)))
+        return self.spark.read.parquet(self.place(*place))
 
     # runs: the latest event of a run counts
 
-    @property
-    def _runs(self) -> Path:
-        return self.root / "runs.jsonl"
+    def _events(self) -> str:
+        return self.read_text("runs.jsonl") or ""
 
     def log(self, run_id: str, status: str, **more: object) -> None:
-        self.root.mkdir(parents=True, exist_ok=True)
-        with self._runs.open("a", encoding="utf-8") as f:
-            f.write(json.dumps({"run_id": run_id, "status": status, "at": now(), **more}, default=str) + "\n")
+        event = json.dumps({"run_id": run_id, "status": status, "at": now(), **more}, default=str)
+        self.replace_text("runs.jsonl", f"{self._events()}{event}\n")  # a line or two for each run
 
     def runs(self) -> dict[str, dict]:
         out: dict[str, dict] = {}
-        for event in read_manifest(self._runs):
+        for event in map(json.loads, self._events().splitlines()):
             before = out.get(event["run_id"], {})
             out[event["run_id"]] = before | event | {"started_at": before.get("started_at", event["at"])}
         return out
@@ -101,22 +144,23 @@ class Warehouse:
 
     @property
     def snapshots(self) -> dict[str, dict]:
-        return read_json(self.root / "snapshots.json", {})
+        return self.read_json("snapshots.json", {})
 
     def activate(self, date: str, **state: object) -> None:
-        replace_json(self.root / "snapshots.json", {**self.snapshots, date: {**state, "activated_at": now()}})
+        self.replace_json("snapshots.json", {**self.snapshots, date: {**state, "activated_at": now()}})
 
     @property
     def published(self) -> dict | None:
-        return read_json(self.root / "published.json", None)
+        return self.read_json("published.json", None)
 
     def publish(self, **state: object) -> None:
-        replace_json(self.root / "published.json", {**state, "published_at": now()})
+        self.replace_json("published.json", {**state, "published_at": now()})
 
     def snapshot_table(self) -> DataFrame:
         schema = T.StructType([T.StructField("snapshot_date", T.DateType()), *(T.StructField(c, T.StringType()) for c in ("active_ingest_run_id", "raw_sha256", "source_path"))])
         return self.spark.createDataFrame([(dt.date.fromisoformat(d), s["run_id"], s["sha256"], s.get("path")) for d, s in self.snapshots.items()], schema)
 
     def build_tables(self, build_id: str) -> Tables:
-        folder = self.root / "builds" / build_id
-        return Tables({p.name: self.read("builds", build_id, p.name) for p in sorted(folder.iterdir()) if p.is_dir()})
+        fs, folder = self._file("builds", build_id)
+        names = sorted(x.getPath().getName() for x in fs.listStatus(folder) if x.isDirectory())
+        return Tables({name: self.read("builds", build_id, name) for name in names})
