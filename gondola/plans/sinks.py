@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import io
+import json
 import math
+import shutil
 import zipfile
 from pathlib import Path
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gondola.plans import exports
+from gondola.plans import dashboard, exports
 from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables
 from gondola.plans.validate import Result, checked
@@ -100,6 +104,49 @@ def summary(ctx: BuildContext, result: Result, frames: dict[str, pd.DataFrame])
     return "\n".join(lines) + "\n"
 
 
+# Names under which earlier versions wrote tables.
+LEGACY = ("basket_summary", "dispersion_product", "ingestion_log", "price_anomalies", "price_dispersion", "price_index_banner", "product_candidates")
+
+
+def remove_stale(out: Path, folders: list[Path]) -> None:
+    """Removes tables that an earlier export wrote, by its metadata or by name, and this one doesn't. Other files stay."""
+    before = read_json(out / "run_metadata.json", {})
+    for name in {*LEGACY, *before.get("rows", {}), *before.get("extracts", [])} - {*exports.VIEWS, *exports.EXTRACTS}:
+        for folder in folders:
+            (folder / f"{name}.csv").unlink(missing_ok=True)
+        old = out / "parquet" / name
+        if old.is_dir():
+            shutil.rmtree(old)
+        old.with_name(f"{name}.parquet").unlink(missing_ok=True)
+
+
+def read_json(path: Path, default: dict) -> dict:
+    return json.loads(path.read_text(encoding="utf-8")) if path.exists() else default
+
+
+def read_exports(spark: SparkSession, folder: str, t: Tables, ctx: BuildContext) -> Tables:
+    """The exported CSV files with the types of their views: nothing is inferred, so codes keep their zeros."""
+    return Tables({name: typed_csv(spark, f"{folder}/{name}.csv", view(ctx, t).schema) for name, view in exports.VIEWS.items()})
+
+
+def typed_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A CSV file of ours (byte-order mark, header, dates yyyy-MM-dd, points as decimal marks) in these types.
+
+    Floats stand for whole numbers where a column had nulls; True and False for booleans."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    rows = spark.read.schema(text).csv(path, header=True, enforceSchema=False, quote='"', escape='"', multiLine=True, encoding="UTF-8", mode="FAILFAST")
+
+    def typed(f: T.StructField):
+        value = F.nullif(F.col(f"`{f.name}`"), F.lit(""))
+        if isinstance(f.dataType, T.StringType):
+            return value.alias(f.name)
+        if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
+            return value.cast("decimal(38,4)").cast(f.dataType).alias(f.name)
+        return value.cast(f.dataType).alias(f.name)
+
+    return rows.select(*map(typed, schema.fields))
+
+
 def export_all(ctx: BuildContext, t: Tables, out: Path, portfolio: Path | None = None, today=None) -> Result:
     """Validates first: nothing is written if the build may not be used. The metadata is written last."""
     reports = out / "reports"
@@ -107,8 +154,7 @@ def export_all(ctx: BuildContext, t: Tables, out: Path, portfolio: Path | None =
     result = checked(ctx, t, lambda text: (reports / "validation_report.md").write_text(text, encoding="utf-8"), today)
     folders = [out / "csv", *([portfolio] if portfolio else [])]
     frames: dict[str, pd.DataFrame] = {}
-    for stale in (f for folder in folders if folder.exists() for f in folder.glob("*.csv") if f.stem not in exports.VIEWS):
-        stale.unlink()
+    remove_stale(out, folders)
     for name, view in exports.VIEWS.items():
         frames[name] = small_csv(view(ctx, t), *folders, out / "parquet")
         for folder in folders:
@@ -116,8 +162,9 @@ def export_all(ctx: BuildContext, t: Tables, out: Path, portfolio: Path | None =
         frames[name].to_parquet(out / "parquet" / f"{name}.parquet")
     for name, mart in exports.EXTRACTS.items():
         t[mart].write.mode("overwrite").option("compression", "zstd").parquet(str(out / "parquet" / name))
+    dashboard.write(ctx, frames, out / "dashboard.html")
     readme = pd.DataFrame([("build", ctx.build_id), ("as of", str(ctx.as_of)), ("confidence", result.grade)], columns=["item", "value"])
     workbook(out / "summary.xlsx", {"README": readme, **{k: v for k, v in list(frames.items())[:16]}})
     (reports / "summary.md").write_text(summary(ctx, result, frames), encoding="utf-8")
-    replace_json(out / "run_metadata.json", {"build_id": ctx.build_id, "as_of": ctx.as_of, "window_start": ctx.window_start, "source_set_hash": ctx.source_set_hash, "grade": result.grade, "rows": {k: len(v) for k, v in frames.items()}, "written_at": now()})
+    replace_json(out / "run_metadata.json", {"build_id": ctx.build_id, "as_of": ctx.as_of, "window_start": ctx.window_start, "source_set_hash": ctx.source_set_hash, "grade": result.grade, "rows": {k: len(v) for k, v in frames.items()}, "extracts": list(exports.EXTRACTS), "written_at": now()})
     return result
