@@ -13,13 +13,16 @@ def kind(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 
 
-def quantiles(value: Column, shares: list[float], of: T.DataType | None = None, where: Column | None = None) -> Column:
-    """Array of exact interpolated quantiles. Those of decimals keep the decimal type, cut towards zero."""
+def quantiles(value: Column, shares: list[float], of: T.DataType | None = None, where: Column | None = None, times: Column | None = None) -> Column:
+    """Array of exact interpolated quantiles. Those of decimals keep the decimal type, cut towards zero.
+
+    times: how often a row's value counts."""
     value = value if where is None else F.when(where, value)
+    times = F.lit(1) if times is None else times
     if not isinstance(of, T.DecimalType):
-        return F.percentile(value.cast("double"), F.array(*map(F.lit, shares)))
+        return F.percentile(value.cast("double"), F.array(*map(F.lit, shares)), times)
     scale = 10**of.scale
-    whole = F.percentile((value * scale).cast("decimal(38,0)").cast("long"), F.array(*map(F.lit, shares)))
+    whole = F.percentile((value * scale).cast("decimal(38,0)").cast("long"), F.array(*map(F.lit, shares)), times)
     return F.transform(whole, lambda x: (x.cast("long").cast("decimal(38,0)") / scale).cast(of))
 
 

@@ -16,19 +16,22 @@ ENTITY = [*DAY, "dispersion_level", *BANNER, "provincia_codigo"]
 
 @mart("mart_price_dispersion_daily", ("fct_analysis_price_store_daily", "quality_price_anomaly_daily"), (*ENTITY, "gtin14"), fan_out=True)
 def mart_price_dispersion_daily(ctx: BuildContext, t: Tables) -> DataFrame:
-    """One grouping-sets pass. A rolled-up null and a store without a province are told apart by grouping()."""
+    """One grouping-sets pass over counts of equal prices, so that its four-fold expansion and its percentile buffers grow
+    with the distinct prices of a banner and province, not with its stores. A rolled-up null and a store without a province are
+    told apart by grouping()."""
     prices, limits = t["fct_analysis_price_store_daily"], ctx.thresholds
     keys = [*DAY, *STORE, "gtin14"]
     critical = t["quality_price_anomaly_daily"].filter("severity = 'CRITICAL'").select(*keys).distinct().withColumn("is_critical", F.lit(True))
-    base = prices.join(critical, keys, "left").withColumn("is_critical", F.coalesce("is_critical", F.lit(False))).withColumn("banner", F.concat_ws("|", *BANNER))
     fixed = [*DAY, "gtin14"]
+    base = prices.join(critical, keys, "left").groupBy(*fixed, *BANNER, "provincia_codigo", "list_price").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_critical").alias("bad"))
+    base = base.withColumn("banner", F.concat_ws("|", *BANNER))
     sets = [[F.col(c) for c in [*fixed, *more]] for more in LEVELS.values()]
-    price, of, clean = F.col("list_price"), kind(prices, "list_price"), ~F.col("is_critical")
+    price, of, good = F.col("list_price"), kind(prices, "list_price"), F.col("n") - F.col("bad")
     grouped = base.groupingSets(sets, *[F.col(c) for c in [*fixed, *BANNER, "provincia_codigo"]]).agg(
         F.grouping("id_comercio").alias("no_banner"), F.grouping("provincia_codigo").alias("no_province"),
-        F.count(F.lit(1)).alias("stores_raw"), F.count_if(clean).alias("stores_clean"),
+        F.sum("n").alias("stores_raw"), F.sum(good).alias("stores_clean"),
         F.size(F.collect_set("banner")).cast("long").alias("banners"),  # few banners: cheaper than a distinct expansion
-        quantiles(price, [0.5, 0.1, 0.9], of).alias("raw"), quantiles(price, [0.5, 0.1, 0.9], of, clean).alias("clean"), F.count_if("is_critical").alias("excluded_critical"),
+        quantiles(price, [0.5, 0.1, 0.9], of, times=F.col("n")).alias("raw"), quantiles(price, [0.5, 0.1, 0.9], of, good > 0, F.greatest(good, F.lit(1))).alias("clean"), F.sum("bad").alias("excluded_critical"),
     )
     level = F.when(F.col("no_banner") == 1, F.when(F.col("no_province") == 1, "NATIONAL").otherwise("PROVINCE")).otherwise(F.when(F.col("no_province") == 1, "BANNER").otherwise("BANNER_PROVINCE"))
     out = grouped.withColumn("dispersion_level", level)

@@ -20,156 +20,130 @@ HIGH, MEDIUM = "high", "medium"
 GEOGRAPHY = ("mart_dispersion_entity_daily", "mart_basket_province_daily", "mart_basket_banner_province_daily")
 
 
+#: Frames that gates aggregate: a table's name, or a frame made of several.
+SOURCES: dict[str, Callable[[BuildContext, Tables], DataFrame]] = {}
+
+
 @dataclass(frozen=True)
 class Gate:
     name: str
     severity: str
     details: str
-    #: A frame of one row and one column, the number of failed rows.
-    failed: Callable[[BuildContext, Tables], DataFrame]
+    #: A table, or a name in SOURCES, and the aggregate over it that counts what failed.
+    source: str
+    failed: Callable[[BuildContext], Column]
 
 
 GATES: dict[str, Gate] = {}
 
 
-def gate(name: str, severity: str, details: str):
-    def register(f: Callable[[BuildContext, Tables], DataFrame]):
-        GATES[name] = Gate(name, severity, details, f)
-        return f
-
-    return register
-
-
-def _one(df: DataFrame, failed: Column) -> DataFrame:
-    return df.agg(F.coalesce(failed, F.lit(0)).cast("long").alias("failed_rows"))
+def gate(name: str, severity: str, details: str, source: str, failed: Callable[[BuildContext], Column]) -> None:
+    GATES[name] = Gate(name, severity, details, source, failed)
 
 
-def _count(name: str, severity: str, details: str, table: str, condition: Callable[[BuildContext], Column]) -> None:
-    """A gate that counts the rows of a table for which a condition holds."""
-    gate(name, severity, details)(lambda ctx, t: _one(t[table], F.count_if(condition(ctx))))
+def source(f: Callable[[BuildContext, Tables], DataFrame]):
+    SOURCES[f.__name__] = f
+    return f
 
 
-def _total(name: str, severity: str, details: str, table: str, column: str) -> None:
-    gate(name, severity, details)(lambda ctx, t: _one(t[table], F.sum(column)))
-
-
-def _inputs(ctx: BuildContext, t: Tables) -> DataFrame:
+@source
+def inputs(ctx: BuildContext, t: Tables) -> DataFrame:
     return t["build_inputs"].filter(F.col("build_id") == ctx.build_id)
 
 
-def _log(ctx: BuildContext, t: Tables) -> DataFrame:
-    return t["ingestion_log"].join(F.broadcast(_inputs(ctx, t).select("ingest_run_id")), "ingest_run_id", "left_semi")
-
-
-@gate("build_input_count", HIGH, "A build needs a full window of snapshots.")
-def _(ctx, t):
-    return _one(_inputs(ctx, t), F.abs(F.lit(ctx.days) - F.count(F.lit(1))))
-
-
-@gate("build_input_boundaries", HIGH, "The snapshots span the window.")
-def _(ctx, t):
-    same = F.min("snapshot_date").eqNullSafe(F.lit(ctx.window_start)) & F.max("snapshot_date").eqNullSafe(F.lit(ctx.as_of))
-    return _one(_inputs(ctx, t), F.when(same, 0).otherwise(1))
-
-
-@gate("source_loaded_row_difference", HIGH, "Every row of a source is loaded.")
-def _(ctx, t):
-    return _one(_log(ctx, t), F.sum(F.abs(F.coalesce("source_rows", F.lit(0)) - F.coalesce("loaded_rows", F.lit(0)))))
-
-
-@gate("ingestion_structural_status", HIGH, "Packages load, or are known to be empty.")
-def _(ctx, t):
-    return _one(_log(ctx, t), F.count_if(~F.col("status").isin("success", "source_empty")))
-
-
-_count("comparable_key_null", HIGH, "Comparable prices have all keys.", "fct_global_price_store_daily", lambda ctx: F.greatest(*[F.col(c).isNull() for c in ("snapshot_date", *STORE, "gtin14")]))
-_count("restricted_code_in_global_fact", HIGH, "Only global codes are compared.", "fct_global_price_store_daily", lambda ctx: F.col("product_code_scope") != GLOBAL_GTIN)
+@source
+def log(ctx: BuildContext, t: Tables) -> DataFrame:
+    return t["ingestion_log"].join(F.broadcast(inputs(ctx, t).select("ingest_run_id")), "ingest_run_id", "left_semi")
 
 
-@gate("daily_mart_date_count", HIGH, "The price mart covers the window.")
-def _(ctx, t):
-    return _one(t["mart_price_product_daily"].select("snapshot_date").distinct(), F.abs(F.lit(ctx.days) - F.count(F.lit(1))))
-
-
-@gate("basket_component_count", HIGH, "The basket has its fixed number of components.")
-def _(ctx, t):
-    return _one(t["dim_basket_component"], F.abs(F.lit(8) - F.greatest(F.count(F.lit(1)), F.lit(1))))  # an empty basket counts as one row
-
-
-@gate("basket_component_uniqueness", HIGH, "Categories and codes occur once in the basket.")
-def _(ctx, t):
-    n = F.count(F.lit(1))
-    return _one(t["dim_basket_component"], 2 * n - F.count_distinct("category_id") - F.count_distinct("gtin14"))
-
-
-@gate("basket_selected_semantic_or_presentation_mismatch", HIGH, "Each component fits its category's patterns and size.")
-def _(ctx, t):
+@source
+def chosen(ctx: BuildContext, t: Tables) -> DataFrame:
+    """The basket's components with whether their candidate fits."""
     keys = ["build_id", "basket_version", "category_id"]
-    chosen = t["mart_basket_candidate_review"].filter("selected_component").select(*keys, (F.col("semantic_match") & F.col("presentation_match")).alias("fits"))
-    return _one(t["dim_basket_component"].join(chosen, keys, "left"), F.count_if(~F.coalesce("fits", F.lit(False))))
-
-
-_count("hileret_light_selected", HIGH, "A sweetener is no plain sugar.", "dim_basket_component", lambda ctx: matches(F.col("canonical_product_name"), "HILERET.*LIGHT"))
-
+    fits = t["mart_basket_candidate_review"].filter("selected_component").select(*keys, (F.col("semantic_match") & F.col("presentation_match")).alias("fits"))
+    return t["dim_basket_component"].join(fits, keys, "left")
 
-@gate("index_common_panel_consistency", HIGH, "All banners have one panel each day.")
-def _(ctx, t):
-    days = t["mart_banner_index_daily"].groupBy("snapshot_date").agg((F.min("common_gtins") != F.max("common_gtins")).alias("bad"))
-    return _one(days, F.count_if("bad"))
 
+@source
+def index_days(ctx: BuildContext, t: Tables) -> DataFrame:
+    center = 100 * F.exp(F.avg(F.ln(F.col("price_index") / 100)))
+    return t["mart_banner_index_daily"].groupBy("snapshot_date").agg(center.alias("center"), F.min("common_gtins").alias("least"), F.max("common_gtins").alias("most"))
 
-@gate("index_geometric_center", HIGH, "The geometric mean of the indices is 100 each day.")
-def _(ctx, t):
-    days = t["mart_banner_index_daily"].groupBy("snapshot_date").agg((F.abs(100 * F.exp(F.avg(F.ln(F.col("price_index") / 100))) - 100) > 0.0001).alias("bad"))
-    return _one(days, F.count_if("bad"))
 
-
-@gate("index_output_nonempty", HIGH, "There is an index.")
-def _(ctx, t):
-    return _one(t["mart_banner_index_daily"], F.when(F.count(F.lit(1)) == 0, 1).otherwise(0))
-
-
-@gate("published_invalid_geography", HIGH, "Nothing with an invalid province is published.")
-def _(ctx, t):
+@source
+def published_provinces(ctx: BuildContext, t: Tables) -> DataFrame:
     parts = []
     for name in GEOGRAPHY:
         rows = t[name].filter(F.col("coverage_status") == PUBLISHABLE)
         if "dispersion_level" in rows.columns:
             rows = rows.filter(F.col("dispersion_level").isin("PROVINCE", "BANNER_PROVINCE"))
         parts.append(rows.select("provincia_codigo"))
-    rows = reduce(DataFrame.unionByName, parts)
-    return _one(rows, F.count_if(~valid_geography("provincia_codigo", ctx.thresholds.geography_prefix)))
+    return reduce(DataFrame.unionByName, parts)
+
 
+def _n() -> Column:
+    return F.count(F.lit(1))
 
-@gate("known_empty_source_packages", MEDIUM, "Known empty packages lower coverage.")
-def _(ctx, t):
-    return _one(_log(ctx, t), F.count_if(F.col("status") == "source_empty"))
 
+def _where(condition: Callable[[], Column]) -> Callable[[BuildContext], Column]:
+    return lambda ctx: F.count_if(condition())
 
-@gate("reconstructed_source_lines", MEDIUM, "Broken lines were joined and then met the contract.")
-def _(ctx, t):
-    return _one(_log(ctx, t), F.sum("reconstructed_lines"))
 
+def _total(column: str) -> Callable[[BuildContext], Column]:
+    return lambda ctx: F.sum(column)
 
-_count("unhealthy_snapshot_days", MEDIUM, "Days under the share of the window's median rows or stores.", "mart_snapshot_health", lambda ctx: ~F.col("source_healthy"))
-_count("unhealthy_scope_banner_days", MEDIUM, "Banner-days under the share of their window's median.", "mart_banner_day_health", lambda ctx: ~F.col("source_healthy"))
-_total("invalid_source_product_codes", MEDIUM, "Declared codes with a wrong form or check digit.", "mart_quality_daily", "invalid_code_rows")
-_total("invalid_list_prices", MEDIUM, "Prices that are missing, no numbers, or not above zero.", "mart_quality_daily", "invalid_list_price_rows")
-_total("source_null_keys", MEDIUM, "Rows without a required key, which are not compared.", "mart_quality_daily", "null_key_rows")
-_count("critical_price_anomalies", MEDIUM, "Prices beyond the critical ratios.", "quality_price_anomaly_daily", lambda ctx: F.col("severity") == "CRITICAL")
-_count("invalid_or_missing_geography", MEDIUM, "Stores without a valid province.", "dim_store_daily", lambda ctx: ~valid_geography("provincia_codigo", ctx.thresholds.geography_prefix))
 
+def _bad_province(ctx: BuildContext) -> Column:
+    return F.count_if(~valid_geography("provincia_codigo", ctx.thresholds.geography_prefix))
 
-@gate("stale_as_of_date", MEDIUM, "The last snapshot is old.")
-def _(ctx, t):
+
+def _boundaries(ctx: BuildContext) -> Column:
+    return F.when(F.min("snapshot_date").eqNullSafe(F.lit(ctx.window_start)) & F.max("snapshot_date").eqNullSafe(F.lit(ctx.as_of)), 0).otherwise(1)
+
+
+def _stale(ctx: BuildContext) -> Column:
     age = (ctx.validation_date - ctx.as_of).days if ctx.validation_date else 0
-    return _one(t["dim_basket_component"].limit(1), F.lit(int(age > ctx.thresholds.stale_days)))
+    return F.max(F.lit(int(age > ctx.thresholds.stale_days)))
+
+
+gate("build_input_count", HIGH, "A build needs a full window of snapshots.", "inputs", lambda ctx: F.abs(F.lit(ctx.days) - _n()))
+gate("build_input_boundaries", HIGH, "The snapshots span the window.", "inputs", _boundaries)
+gate("source_loaded_row_difference", HIGH, "Every row of a source is loaded.", "log", lambda ctx: F.sum(F.abs(F.coalesce("source_rows", F.lit(0)) - F.coalesce("loaded_rows", F.lit(0)))))
+gate("ingestion_structural_status", HIGH, "Packages load, or are known to be empty.", "log", _where(lambda: ~F.col("status").isin("success", "source_empty")))
+gate("comparable_key_null", HIGH, "Comparable prices have all keys.", "fct_global_price_store_daily", _where(lambda: F.greatest(*[F.col(c).isNull() for c in ("snapshot_date", *STORE, "gtin14")])))
+gate("restricted_code_in_global_fact", HIGH, "Only global codes are compared.", "fct_global_price_store_daily", _where(lambda: F.col("product_code_scope") != GLOBAL_GTIN))
+gate("daily_mart_date_count", HIGH, "The price mart covers the window.", "mart_price_product_daily", lambda ctx: F.abs(F.lit(ctx.days) - F.count_distinct("snapshot_date")))
+gate("basket_component_count", HIGH, "The basket has its fixed number of components.", "dim_basket_component", lambda ctx: F.abs(F.lit(8) - F.greatest(_n(), F.lit(1))))  # an empty basket counts as one row
+gate("basket_component_uniqueness", HIGH, "Categories and codes occur once in the basket.", "dim_basket_component", lambda ctx: 2 * _n() - F.count_distinct("category_id") - F.count_distinct("gtin14"))
+gate("basket_selected_semantic_or_presentation_mismatch", HIGH, "Each component fits its category's patterns and size.", "chosen", _where(lambda: ~F.coalesce("fits", F.lit(False))))
+gate("hileret_light_selected", HIGH, "A sweetener is no plain sugar.", "dim_basket_component", lambda ctx: F.count_if(matches(F.col("canonical_product_name"), "HILERET.*LIGHT")))
+gate("index_common_panel_consistency", HIGH, "All banners have one panel each day.", "index_days", _where(lambda: F.col("least") != F.col("most")))
+gate("index_geometric_center", HIGH, "The geometric mean of the indices is 100 each day.", "index_days", _where(lambda: F.abs(F.col("center") - 100) > 0.0001))
+gate("index_output_nonempty", HIGH, "There is an index.", "index_days", lambda ctx: F.when(_n() == 0, 1).otherwise(0))
+gate("published_invalid_geography", HIGH, "Nothing with an invalid province is published.", "published_provinces", _bad_province)
+gate("known_empty_source_packages", MEDIUM, "Known empty packages lower coverage.", "log", _where(lambda: F.col("status") == "source_empty"))
+gate("reconstructed_source_lines", MEDIUM, "Broken lines were joined and then met the contract.", "log", _total("reconstructed_lines"))
+gate("unhealthy_snapshot_days", MEDIUM, "Days under the share of the window's median rows or stores.", "mart_snapshot_health", _where(lambda: ~F.col("source_healthy")))
+gate("unhealthy_scope_banner_days", MEDIUM, "Banner-days under the share of their window's median.", "mart_banner_day_health", _where(lambda: ~F.col("source_healthy")))
+gate("invalid_source_product_codes", MEDIUM, "Declared codes with a wrong form or check digit.", "mart_quality_daily", _total("invalid_code_rows"))
+gate("invalid_list_prices", MEDIUM, "Prices that are missing, no numbers, or not above zero.", "mart_quality_daily", _total("invalid_list_price_rows"))
+gate("source_null_keys", MEDIUM, "Rows without a required key, which are not compared.", "mart_quality_daily", _total("null_key_rows"))
+gate("critical_price_anomalies", MEDIUM, "Prices beyond the critical ratios.", "quality_price_anomaly_daily", _where(lambda: F.col("severity") == "CRITICAL"))
+gate("invalid_or_missing_geography", MEDIUM, "Stores without a valid province.", "dim_store_daily", _bad_province)
+gate("stale_as_of_date", MEDIUM, "The last snapshot is old.", "dim_basket_component", _stale)
 
 
 def quality_checks(ctx: BuildContext, t: Tables) -> DataFrame:
-    """build_id, test_name, failed_rows, severity, details: one row for each gate."""
-    rows = [g.failed(ctx, t).select(F.lit(ctx.build_id).alias("build_id"), F.lit(g.name).alias("test_name"), "failed_rows", F.lit(g.severity).alias("severity"), F.lit(g.details).alias("details")) for g in GATES.values()]
-    return reduce(DataFrame.unionByName, rows)
+    """build_id, test_name, failed_rows, severity, details: one row for each gate, from one aggregate for each source."""
+    by_source: dict[str, list[Gate]] = {}
+    for g in GATES.values():
+        by_source.setdefault(g.source, []).append(g)
+    parts = []
+    for name, own in by_source.items():
+        rows = SOURCES[name](ctx, t) if name in SOURCES else t[name]
+        row = lambda g: F.struct(F.lit(g.name).alias("test_name"), F.coalesce(F.col(g.name), F.lit(0)).cast("long").alias("failed_rows"), F.lit(g.severity).alias("severity"), F.lit(g.details).alias("details"))
+        parts.append(rows.agg(*[g.failed(ctx).cast("long").alias(g.name) for g in own]).select(F.explode(F.array(*map(row, own))).alias("gate")))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(ctx.build_id).alias("build_id"), "gate.*")
 
 
 def missing_or_unknown(checks: DataFrame) -> set[str]:

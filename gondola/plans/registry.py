@@ -62,8 +62,11 @@ def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep
     """Lazy DataFrames of the marts on top of the sources; sources named like a mart replace it.
 
     keep: tables that several of the wanted marts read are marked to be kept in memory or on disk once computed, as
-    the lineage would otherwise be computed anew for each reader. A build writes every mart instead.
+    the lineage would otherwise be computed anew for each reader, until the next call that keeps some. A build writes
+    every mart instead.
     """
+    if keep:
+        release()
     tables, readers = Tables(sources), Counter()
     stack, seen = list(only or load()), set()
     while stack:  # only what the wanted marts reach, stopping at sources
@@ -79,5 +82,14 @@ def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep
     if keep:
         for name, n in readers.items():
             if n > 1 and name in MARTS and MARTS[name].fan_out:
-                tables[name].persist(StorageLevel.MEMORY_AND_DISK)
+                _kept.append(tables[name].persist(StorageLevel.MEMORY_AND_DISK))
     return tables
+
+
+_kept: list[DataFrame] = []
+
+
+def release() -> None:
+    """Lets go of the tables that an earlier build kept."""
+    while _kept:
+        _kept.pop().unpersist()

@@ -2,7 +2,7 @@
 
 A measure is a Column expression over one export. `measure` evaluates it for any grouping, on all dates, on the last
 date of the whole table, or on the last publishable date (of the level, where a table has levels); grouping never
-moves that date.
+moves that date, but by banner the level is the banners'.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ class Measure:
     #: all, last (date of the table) or publishable (last date with publishable rows)
     at: str = "all"
     where: Column | None = None
+    #: The level that counts, with its own date, where the grouping is by banner
+    by_banner: str | None = None
 
 
 def measures() -> dict[str, Measure]:
@@ -47,8 +49,8 @@ def measures() -> dict[str, Measure]:
         "ahorro_canasta_porcentaje": Measure("basket_savings", F.max("potential_saving_pct") / 100, "last", F.col("comparison_level") == "BANNER"),
         "salud_cadena_dia": Measure("banner_health", _safe(healthy, F.count(F.lit(1))), "last"),
         "cobertura_tiendas": Measure("banner_health", F.median("store_coverage_ratio")),
-        "precios_invalidos": Measure("quality_daily", F.sum("invalid_list_price_rows"), "last"),
-        "dispersion_limpia": Measure("dispersion_entity", F.median("median_dispersion_clean"), "publishable"),
+        "precios_invalidos": Measure("source_health", F.sum("invalid_list_price_rows"), "last"),
+        "dispersion_limpia": Measure("dispersion_entity", F.median("median_dispersion_clean"), "publishable", by_banner="BANNER"),
         "productos_dispersion_publicables": Measure("dispersion_entity", F.sum("publishable_products"), "publishable"),
         "fallas_altas": Measure("quality_checks", F.sum("failed_rows"), "all", F.col("severity") == "high"),
         "contribucion_driver_top_3": Measure("index_drivers", F.sum("contribution_log_points"), "last", F.col("driver_rank") <= 3),
@@ -56,8 +58,11 @@ def measures() -> dict[str, Measure]:
 
 
 def measure(exports: Tables, name: str, by: list[str] | None = None, level: str | None = None) -> DataFrame:
-    """The measure for each group; `level` picks the dispersion level, whose own last publishable date counts."""
+    """The measure for each group; `level` picks the dispersion level, whose own last publishable date counts. By banner,
+    a measure of several levels is that of the banners, at their own date."""
     m = measures()[name]
+    if level is None and "banner_label" in (by or []):
+        level = m.by_banner
     df = exports[m.table]
     if level is not None:
         df = df.filter(F.col("dispersion_level") == level)

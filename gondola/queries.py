@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gondola.functions import codes, text, units
-
-from gondola.operators import facts
+from gondola.operators import dims, facts
 from gondola.operators.common import latest
 from gondola.plans import exports, gates, registry, semantic
+from gondola.plans.context import BuildContext
+from gondola.session import tune
 from gondola.sources import adapter
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,8 +30,8 @@ def tidy(df: DataFrame) -> DataFrame:
     return df.select(*[(F.floor(F.col(c) * 1_000_000 + HALF) / F.lit(1e6)).alias(c) if kind == "double" else F.col(c).cast("long").alias(c) if kind in ("int", "tinyint", "smallint") else F.col(c) for c, kind in df.dtypes])
 
 
-def _rounded(sql: str) -> str:
-    """round(x, 6) as tidy does it."""
+def _rounded(sql: str, shown: str = f"floor(({{}}) * 1000000 + {HALF}) / 1e6") -> str:
+    """round(x, 6) as tidy does it, or in another form."""
     out = ""
     while (at := sql.find("round(")) >= 0:
         if at and sql[at - 1].isalnum():
@@ -41,7 +42,7 @@ def _rounded(sql: str) -> str:
             end += 1
         inner = sql[at + 6 : end - 1]
         if inner.endswith(", 6"):
-            out, sql = out + sql[:at], f"floor(({inner[:-3]}) * 1000000 + {HALF}) / 1e6{sql[end:]}"
+            out, sql = out + sql[:at], shown.format(inner[:-3]) + sql[end:]
         else:
             out, sql = out + sql[: at + 6], sql[at + 6 :]
     return out + sql
@@ -49,7 +50,7 @@ def _rounded(sql: str) -> str:
 
 def query(sql: str | None = None, name: str | None = None):
     def register(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
+        QUERIES[name or f.__name__] = lambda spark, sf_dir: f(tune(spark), sf_dir)
         if sql:
             ORACLES[name or f.__name__] = _rounded(sql)
         return f
@@ -66,7 +67,13 @@ def built(name: str, spark: SparkSession, sf_dir: str, banners: tuple[str, ...]
     return registry.build(ctx, sources, {name}, keep=True)[name]
 
 
+#: SQL of the mart queries, before rounding, for the views over them.
+MART_SQL: dict[str, str] = {}
+
+
 def mart_query(key: str, mart: str, sql: str, banners: tuple[str, ...] = (), where: str | None = None, raw: bool = False) -> None:
+    MART_SQL[key] = sql
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = built(mart, spark, sf_dir, banners, raw)
         if "comercio_ultima_actualizacion" in df.columns:
@@ -228,7 +235,7 @@ rv AS (SELECT c.*, v.*, v.g = sel AS se, ub = tu AND abs(qb / tq - 1) <= 0.02 AS
 mart_query("basket_candidate_review", "mart_basket_candidate_review", f"WITH {_REVIEW} SELECT 'B1' AS basket_version, 'C' || k AS category_id, g AS gtin14, p_name AS producto_descripcion, p_type AS marca, qb AS cantidad_base, ub AS unidad_base, se AS selected_component, true AS semantic_match, pr AS presentation_match FROM rv")
 
 _EVERY = _D + _B[len(_O):] + _REVIEW[len(_LINES):]
-_GATE_SQL = {
+_GATES_AT = {
     "build_input_count": ("high", "0"), "build_input_boundaries": ("high", "0"), "source_loaded_row_difference": ("high", "(SELECT count(*) FROM years WHERE year(d) % 4 = 0)"), "ingestion_structural_status": ("high", "0"), "comparable_key_null": ("high", "0"),
     "restricted_code_in_global_fact": ("high", "0"), "daily_mart_date_count": ("high", "abs((SELECT count(*) FROM years) - (SELECT count(DISTINCT d) FROM o))"), "basket_component_count": ("high", "0"), "basket_component_uniqueness": ("high", "0"),
     "basket_selected_semantic_or_presentation_mismatch": ("high", "8 - (SELECT count(*) FROM rv WHERE se AND pr)"), "hileret_light_selected": ("high", "0"), "index_common_panel_consistency": ("high", "(SELECT count(*) FROM (SELECT d FROM idx GROUP BY d HAVING min(n) <> max(n)))"),
@@ -240,23 +247,102 @@ _GATE_SQL = {
 }
 
 
-@query(f"WITH {_EVERY} " + " UNION ALL ".join(f"SELECT '{k}' AS test_name, CAST({v} AS BIGINT) AS failed_rows, '{sev}' AS severity" for k, (sev, v) in _GATE_SQL.items()))
+def _gates_sql(found: dict[str, tuple[str, str]]) -> str:
+    return " UNION ALL ".join(f"SELECT '{k}' AS test_name, CAST({v} AS BIGINT) AS failed_rows, '{sev}' AS severity" for k, (sev, v) in found.items())
+
+
+def _scoped(df: DataFrame) -> DataFrame:
+    """The adapter's facts hold global codes only and don't say so."""
+    return df if "product_code_scope" in df.columns else df.withColumn("product_code_scope", F.lit("GLOBAL_GTIN"))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> tuple[BuildContext, registry.Tables]:
+    """All marts of the adapter, and the gates over them."""
+    ctx = adapter.context(spark, sf_dir)
+    t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), keep=True)
+    seen = registry.Tables(t, fct_global_price_store_daily=_scoped(t["fct_global_price_store_daily"]))
+    return ctx, registry.Tables(t, quality_checks=gates.quality_checks(ctx, seen))
+
+
+@query(f"WITH {_EVERY} " + _gates_sql(_GATES_AT))
 def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All gates over the adapter's marts."""
+    return _checked(spark, sf_dir)[1]["quality_checks"].select("test_name", "failed_rows", "severity")
+
+
+# The same gates over tables that break their rules: tables of the gates' shapes made from the test tables, a fault in each.
+_FAULTS = """z AS (SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS x, CAST(date_trunc('year', l_shipdate) AS DATE) AS d FROM lineitem)"""
+_GATES_BROKEN = {
+    "build_input_count": "(SELECT abs(7 - count(*)) FROM region)", "build_input_boundaries": "1", "source_loaded_row_difference": "(SELECT sum(r_regionkey) FROM region)", "ingestion_structural_status": "(SELECT count(*) FROM region WHERE r_regionkey % 3 = 1)",
+    "comparable_key_null": "(SELECT count(*) FROM z WHERE k % 5 = 0 OR n = 3)", "restricted_code_in_global_fact": "(SELECT count(*) FROM z WHERE n > 4)", "daily_mart_date_count": "(SELECT abs(7 - count(DISTINCT d)) FROM z)",
+    "basket_component_count": "(SELECT abs(8 - count(*)) FROM nation)", "basket_component_uniqueness": "(SELECT 2 * count(*) - count(DISTINCT n_regionkey) - count(DISTINCT n_nationkey % 10) FROM nation)", "basket_selected_semantic_or_presentation_mismatch": "(SELECT count(*) FROM nation WHERE n_nationkey % 4 <> 0)",
+    "hileret_light_selected": "(SELECT count(*) FROM nation WHERE n_nationkey % 6 = 0)", "index_common_panel_consistency": "(SELECT count(*) FROM (SELECT d FROM z GROUP BY d HAVING min(k % 7) <> max(k % 7)))", "index_geometric_center": "(SELECT count(*) FROM (SELECT d FROM z GROUP BY d HAVING abs(100 * exp(avg(ln(x / 100))) - 100) > 0.0001))",
+    "index_output_nonempty": "0", "published_invalid_geography": "(SELECT 2 * count(*) FROM nation WHERE n_nationkey % 9 = 0 AND n_regionkey = 1) + (SELECT count(*) FROM nation WHERE n_nationkey % 9 = 0 AND n_regionkey IN (2, 3))",
+    "known_empty_source_packages": "(SELECT count(*) FROM region WHERE r_regionkey % 3 = 2)", "reconstructed_source_lines": "(SELECT sum(2 * r_regionkey) FROM region)", "unhealthy_snapshot_days": "(SELECT count(*) FROM region WHERE r_regionkey > 1)", "unhealthy_scope_banner_days": "(SELECT count(*) FROM nation WHERE n_nationkey > 20)",
+    "invalid_source_product_codes": "(SELECT sum(s_suppkey) FROM supplier)", "invalid_list_prices": "(SELECT sum(s_nationkey) FROM supplier)", "source_null_keys": "(SELECT sum(s_suppkey % 5) FROM supplier)", "critical_price_anomalies": "(SELECT count(*) FROM orders WHERE o_orderstatus = 'F')",
+    "invalid_or_missing_geography": "(SELECT count(*) FROM nation WHERE n_nationkey % 9 = 0 OR n_regionkey = 4)", "stale_as_of_date": "1",
+}
+
+
+@query(f"WITH {_FAULTS} " + _gates_sql({k: (_GATES_AT[k][0], v) for k, v in _GATES_BROKEN.items()}))
+def quality_gates_failing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every gate over rows that break its rule, where a rule can be broken: the index is not empty here."""
+    import datetime as dt
+
+    read = lambda name: adapter.read(spark, sf_dir, name)
+    ctx = BuildContext(as_of=dt.date(2000, 1, 7), window_start=dt.date(2000, 1, 1), build_id="b", validation_date=dt.date(2000, 3, 1))
+    build, region, nation, supplier = F.lit("b").alias("build_id"), read("region"), read("nation"), read("supplier")
+    key, code = F.col("r_regionkey").cast("long"), F.col("n_nationkey")
+    bad = code % 9 == 0
+    province = F.when(bad, F.lit("X")).otherwise("AR-C")
+    z = read("lineitem").select(F.trunc("l_shipdate", "year").alias("snapshot_date"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_extendedprice").alias("price_index"))
+    level = F.when(F.col("n_regionkey") == 1, "PROVINCE").when(F.col("n_regionkey") == 0, "BANNER").otherwise("NATIONAL")
+    t = registry.Tables(
+        build_inputs=region.select(build, F.concat(F.lit("r"), key).alias("ingest_run_id"), F.lit(dt.date(2000, 1, 2)).alias("snapshot_date")),
+        ingestion_log=region.select(F.concat(F.lit("r"), key).alias("ingest_run_id"), (100 + key).alias("source_rows"), F.lit(100).alias("loaded_rows"), (2 * key).alias("reconstructed_lines"), F.when(key % 3 == 1, "failed").when(key % 3 == 2, "source_empty").otherwise("success").alias("status")),
+        fct_global_price_store_daily=z.select("snapshot_date", F.when(F.col("k") % 5 != 0, "1").alias("id_comercio"), F.lit("1").alias("id_bandera"), F.lit("1").alias("id_sucursal"), F.when(F.col("n") != 3, "g").alias("gtin14"), F.when(F.col("n") > 4, "RESTRICTED_LOCAL").otherwise("GLOBAL_GTIN").alias("product_code_scope")),
+        mart_price_product_daily=z,
+        dim_basket_component=nation.select(build, F.lit("B").alias("basket_version"), F.col("n_regionkey").cast("string").alias("category_id"), (code % 10).cast("string").alias("gtin14"), F.when(code % 6 == 0, "Hileret azucar light").otherwise(F.col("n_name")).alias("canonical_product_name")).withColumn("category_id", F.col("category_id")),
+        mart_banner_index_daily=z.select("snapshot_date", "price_index", (F.col("k") % 7).alias("common_gtins")),
+        mart_dispersion_entity_daily=nation.select(level.alias("dispersion_level"), province.alias("provincia_codigo"), F.when(F.col("n_regionkey") < 2, "PUBLISHABLE").otherwise("SUPPRESSED").alias("coverage_status")),
+        mart_basket_province_daily=nation.select(province.alias("provincia_codigo"), F.when(F.col("n_regionkey").isin(1, 2), "PUBLISHABLE").otherwise("DIRECTIONAL").alias("coverage_status")),
+        mart_basket_banner_province_daily=nation.select(province.alias("provincia_codigo"), F.when(F.col("n_regionkey") == 3, "PUBLISHABLE").otherwise("DIRECTIONAL").alias("coverage_status")),
+        mart_snapshot_health=region.select((key <= 1).alias("source_healthy")), mart_banner_day_health=nation.select((code <= 20).alias("source_healthy")),
+        mart_quality_daily=supplier.select(F.col("s_suppkey").alias("invalid_code_rows"), F.col("s_nationkey").alias("invalid_list_price_rows"), (F.col("s_suppkey") % 5).alias("null_key_rows")),
+        quality_price_anomaly_daily=read("orders").select(F.when(F.col("o_orderstatus") == "F", "CRITICAL").otherwise("WARNING").alias("severity")),
+        dim_store_daily=nation.select(F.when(F.col("n_regionkey") != 4, province).alias("provincia_codigo")),
+    )
+    fits = nation.filter(code % 2 == 0).select(build, F.lit("B").alias("basket_version"), F.col("n_name").alias("category_id"), F.lit(True).alias("selected_component"), F.lit(True).alias("semantic_match"), (code % 4 == 0).alias("presentation_match"))
+    names = nation.select(build, F.lit("B").alias("basket_version"), F.col("n_name").alias("category_id"))
+    whole = gates.quality_checks(ctx, registry.Tables(t, mart_basket_candidate_review=fits))
+    one = gates.quality_checks(ctx, registry.Tables(t, mart_basket_candidate_review=fits, dim_basket_component=names.withColumns({"gtin14": F.lit("g"), "canonical_product_name": F.lit("n")})))
+    which = F.col("test_name") == "basket_selected_semantic_or_presentation_mismatch"
+    return whole.filter(~which).unionByName(one.filter(which)).select("test_name", "failed_rows", "severity")
+
+
+#: What each export view reads.
+VIEW_NEEDS = {
+    "quality_daily": {"mart_quality_daily"}, "quality_checks": set(), "source_health": {"mart_snapshot_health"}, "banner_health": {"mart_banner_day_health"}, "basket_definition": {"mart_basket_candidate_review"}, "basket_candidate_review": {"mart_basket_candidate_review"},
+    "index_daily": {"mart_banner_index_daily"}, "index_7d": {"mart_banner_index_7d"}, "index_sensitivity": {"mart_banner_index_sensitivity_daily"}, "index_drivers": {"mart_banner_index_driver_daily", "dim_product_asof"}, "banner_overlap": {"mart_banner_pair_overlap_daily"},
+    "dispersion_entity": {"mart_dispersion_entity_daily", "dim_banner_daily"}, "dispersion_product_sample": {"mart_price_dispersion_daily", "dim_product_asof"}, "basket_banner": {"mart_basket_banner_daily", "dim_banner_daily"}, "basket_province": {"mart_basket_province_daily"},
+    "basket_banner_province": {"mart_basket_banner_province_daily", "dim_banner_daily"}, "basket_national": {"mart_basket_national_daily"}, "basket_savings": {"mart_basket_savings_daily"}, "price_anomalies_sample": {"quality_price_anomaly_daily", "dim_product_asof"},
+}
+
+
+def viewed(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
+    """An export view over the adapter's marts."""
+    if view == "quality_checks":
+        return exports.VIEWS[view](*_checked(spark, sf_dir))
     ctx = adapter.context(spark, sf_dir)
-    t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), keep=True)
-    scoped = t["fct_global_price_store_daily"].withColumn("product_code_scope", F.lit("GLOBAL_GTIN"))
-    return gates.quality_checks(ctx, registry.Tables(t, fct_global_price_store_daily=scoped)).select("test_name", "failed_rows", "severity")
+    return exports.VIEWS[view](ctx, registry.build(ctx, adapter.sources(spark, sf_dir, ctx), VIEW_NEEDS[view], keep=True))
 
 
-def view_query(key: str, view: str, columns: list[str], sql: str) -> None:
-    """An export view on the adapter, with the columns that make it differ from its mart."""
+def view_query(key: str, view: str, columns: list[str] | None, sql: str) -> None:
+    """An export view on the adapter, or the columns that make it differ from its mart."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ctx = adapter.context(spark, sf_dir)
-        needs = {"index_sensitivity": {"mart_banner_index_sensitivity_daily"}, "dispersion_entity": {"mart_dispersion_entity_daily", "dim_banner_daily"}, "price_anomalies_sample": {"quality_price_anomaly_daily", "dim_product_asof"}, "index_drivers": {"mart_banner_index_driver_daily", "dim_product_asof"}}[view]
-        t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), needs, keep=True)
-        return tidy(exports.VIEWS[view](ctx, t).select(*columns))
+        df = viewed(spark, sf_dir, view)
+        return tidy(df.select(*columns) if columns else df)
 
     query(sql, key)(run)
 
@@ -269,6 +355,193 @@ view_query("export_dispersion_entity", "dispersion_entity", ["snapshot_date", "d
 view_query("export_anomalies_sample", "price_anomalies_sample", ["snapshot_date", "id_comercio", "id_sucursal", "gtin14", "anomaly_type", "severity", "producto_descripcion"], f"WITH {_A}{_PROD} SELECT d AS snapshot_date, b AS id_comercio, s AS id_sucursal, z.g AS gtin14, kind AS anomaly_type, sev AS severity, p_name AS producto_descripcion FROM (SELECT * FROM an ORDER BY CASE sev WHEN 'CRITICAL' THEN 1 ELSE 2 END, d DESC, abs(ln(r)) DESC NULLS LAST, g, b, s, kind LIMIT 200) z LEFT JOIN pa ON pa.g = z.g")
 
 
+_NAMED = "CASE id_comercio WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE upper(id_comercio[1]) || lower(id_comercio[2:]) END AS banner_label"
+view_query("export_quality_daily", "quality_daily", None, MART_SQL["quality_daily_counts"])
+view_query("export_quality_checks", "quality_checks", ["test_name", "failed_rows", "severity"], f"WITH {_EVERY} " + _gates_sql(_GATES_AT))
+view_query("export_source_health", "source_health", None, MART_SQL["snapshot_health"])
+view_query("export_banner_health", "banner_health", None, MART_SQL["banner_day_health_grid"].replace("scope AS (SELECT r_name AS b FROM region UNION ALL SELECT 'ATLANTIS')", "scope AS (SELECT r_name AS b FROM region)"))
+view_query("export_basket_definition", "basket_definition", None, f"""WITH {_REVIEW} SELECT 'B1' AS basket_version, c.k AS component_order, 'C' || c.k AS category_id, 'Category ' || c.k AS category_name, c.sel AS gtin14, c.sel AS canonical_product_name, c.tq AS target_quantity_base, c.tu AS target_base_unit,
+'{adapter.INCLUDE}' AS include_regex, '{adapter.EXCLUDE}' AS exclude_regex, '' AS selection_rationale, p_name AS producto_descripcion, p_type AS marca, qb AS cantidad_base, ub AS unidad_base FROM c LEFT JOIN rv ON rv.k = c.k AND rv.se""")
+view_query("export_basket_candidates", "basket_candidate_review", None, f"SELECT * FROM ({MART_SQL['basket_candidate_review']}) WHERE selected_component OR (semantic_match AND presentation_match)")
+view_query("export_index_daily", "index_daily", None, f"SELECT *, {_NAMED} FROM ({MART_SQL['price_index_daily']})")
+view_query("export_index_window", "index_7d", None, f"SELECT *, {_NAMED} FROM ({MART_SQL['price_index_window']})")
+view_query("export_banner_overlap", "banner_overlap", None, MART_SQL["pair_overlap"])
+view_query("export_dispersion_sample", "dispersion_product_sample", ["snapshot_date", "gtin14", "dispersion_level", "id_comercio", "provincia_codigo", "dispersion_clean", "coverage_status", "producto_descripcion", "marca"], f"""WITH {_D}{_PROD}
+SELECT d AS snapshot_date, z.g AS gtin14, lv AS dispersion_level, b AS id_comercio, p AS provincia_codigo, round(d1, 6) AS dispersion_clean, st AS coverage_status, p_name AS producto_descripcion, p_type AS marca
+FROM (SELECT * FROM disp WHERE st IN ('PUBLISHABLE', 'DIRECTIONAL') ORDER BY d DESC, d1 DESC NULLS LAST, g, lv, b NULLS LAST, p NULLS LAST LIMIT 200) z LEFT JOIN pa ON pa.g = z.g""")
+view_query("export_basket_banner", "basket_banner", None, f"SELECT *, {_NAMED} FROM ({MART_SQL['basket_banner']})")
+view_query("export_basket_province", "basket_province", None, MART_SQL["basket_province"])
+view_query("export_basket_banner_province", "basket_banner_province", None, f"SELECT *, {_NAMED} FROM ({MART_SQL['basket_banner_province']})")
+view_query("export_basket_national", "basket_national", None, MART_SQL["basket_national"])
+view_query("export_basket_savings", "basket_savings", None, MART_SQL["basket_savings"])
+
+
+# Published constants ----------------------------------------------------------------------------------------------------
+
+
+def _literal(value: object) -> str:
+    return "CAST(NULL AS DATE)" if value is None else f"DATE '{value}'" if hasattr(value, "isoformat") else "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+
+
+def constant_query(key: str, build: Callable, names: str, values: list[tuple]) -> None:
+    """A dimension whose rows are fixed values, as its mart builds it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return tidy(build(adapter.context(spark, sf_dir), registry.Tables(any=adapter.read(spark, sf_dir, "region"))))
+
+    query(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_literal, row)) + ')' for row in values)}) t({names})", key)(run)
+
+
+constant_query("published_scope", dims.dim_banner_scope, "scope_version, id_comercio, id_bandera, corporate_group, banner_label, inclusion_reason", [(dims.SCOPE_VERSION, *row) for row in dims.SCOPE])
+constant_query("published_basket_version", dims.dim_basket_version, "basket_version, basket_name, valid_from, valid_to, status, price_type, methodology_note", [(dims.BASKET_VERSION, dims.BASKET_NAME, dims.BASKET_FROM, None, "PUBLISHED", "LIST", dims.BASKET_NOTE)])
+constant_query("published_basket_components", dims.dim_basket_component, "basket_version, component_order, category_id, category_name, gtin14, canonical_product_name, target_quantity_base, target_base_unit, include_regex, exclude_regex, selection_rationale", [(dims.BASKET_VERSION, *row) for row in dims.BASKET])
+
+
+# Semantic measures ------------------------------------------------------------------------------------------------------
+
+
+def measure_query(measure: str, sql: str, by: list[str] | None = None, level: str | None = None, key: str | None = None) -> None:
+    """A measure over the exported views. Its value is called `value`, and `part` says which it is where nothing groups."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        view = semantic.measures()[measure].table
+        out = semantic.measure(registry.Tables({view: viewed(spark, sf_dir, view)}), measure, by, level).withColumnRenamed(measure, "value")
+        return tidy(out if by else out.withColumn("part", F.lit("all")))
+
+    query(sql, key or f"measure_{measure}")(run)
+
+
+def _measured(sql: str, value: str, view: str, by: str = "'all' AS part", where: str = "true", last: bool = False) -> str:
+    sql = _rounded(sql, "({})")  # only the measure is rounded
+    date = " AND snapshot_date = (SELECT max(snapshot_date) FROM t)" if last else ""
+    group = "" if by.startswith("'") else f" GROUP BY {by}"
+    return f"WITH t AS MATERIALIZED (SELECT * FROM ({sql})) SELECT {by}, round({value}, 6) AS value FROM t WHERE {where}{date}{group}"
+
+
+_BY = "banner_label"
+_INDEX, _WEEK, _HEALTH = (f"SELECT *, {_NAMED} FROM ({MART_SQL[k]})" for k in ("price_index_daily", "price_index_window", "banner_day_health_grid"))
+_HEALTH = MART_SQL["banner_day_health_grid"].replace("scope AS (SELECT r_name AS b FROM region UNION ALL SELECT 'ATLANTIS')", "scope AS (SELECT r_name AS b FROM region)")
+_SENSE = f"SELECT *, abs(raw_index - exclude_critical_index) AS sensitivity_delta FROM ({MART_SQL['index_sensitivity']})"
+_SHOWN = "coverage_status = 'PUBLISHABLE'"
+measure_query("indice_precio", _measured(_INDEX, "median(price_index)", "index_daily", _BY), [_BY])
+measure_query("gtin_comunes_ultimo_dia", _measured(_INDEX, "min(common_gtins)", "index_daily", last=True).replace("round(min(common_gtins), 6)", "min(common_gtins)"))
+measure_query("indice_semanal", _measured(_WEEK, "median(geometric_mean_index)", "index_7d"))
+measure_query("sensibilidad_maxima", _measured(_SENSE, "max(sensitivity_delta)", "index_sensitivity"))
+measure_query("costo_canasta_ultimo_corte", _measured(MART_SQL["basket_banner"], "median(branch_median_cost)", "basket_banner", where=_SHOWN, last=True))
+measure_query("costo_canasta_provincia", _measured(MART_SQL["basket_province"], "median(branch_median_cost)", "basket_province", where=_SHOWN, last=True))
+measure_query("sucursales_canasta_completa", _measured(MART_SQL["basket_banner"], "sum(complete_stores)", "basket_banner", last=True).replace("round(sum(complete_stores), 6)", "CAST(sum(complete_stores) AS BIGINT)"))
+measure_query("completitud_canasta", _measured(MART_SQL["basket_banner"], "sum(complete_stores) / nullif(sum(active_stores), 0)", "basket_banner", last=True))
+measure_query("ahorro_canasta", _measured(MART_SQL["basket_savings"], "max(potential_saving_amount)", "basket_savings", where="comparison_level = 'BANNER'", last=True))
+measure_query("ahorro_canasta_porcentaje", _measured(MART_SQL["basket_savings"], "max(potential_saving_pct) / 100", "basket_savings", where="comparison_level = 'BANNER'", last=True))
+measure_query("salud_cadena_dia", _measured(_HEALTH, "count(*) FILTER (WHERE source_healthy) / nullif(count(*), 0)", "banner_health", last=True))
+measure_query("cobertura_tiendas", _measured(_HEALTH, "median(store_coverage_ratio)", "banner_health", _BY), [_BY])
+measure_query("precios_invalidos", _measured(MART_SQL["snapshot_health"], "sum(invalid_list_price_rows)", "source_health", last=True).replace("round(sum(invalid_list_price_rows), 6)", "CAST(sum(invalid_list_price_rows) AS BIGINT)"))
+_SHOWN_ENTITY = f"SELECT *, {_NAMED} FROM ({MART_SQL['dispersion_entity']}) WHERE {_SHOWN}"
+measure_query("dispersion_limpia", _measured(_SHOWN_ENTITY, "median(median_dispersion_clean)", "dispersion_entity", last=True))
+measure_query("dispersion_limpia", _measured(f"SELECT * FROM ({_SHOWN_ENTITY}) WHERE dispersion_level = 'BANNER'", "median(median_dispersion_clean)", "dispersion_entity", _BY, last=True), [_BY], key="measure_dispersion_limpia_by_banner")
+measure_query("dispersion_limpia", _measured(f"SELECT * FROM ({_SHOWN_ENTITY}) WHERE dispersion_level = 'PROVINCE'", "median(median_dispersion_clean)", "dispersion_entity", last=True), level="PROVINCE", key="measure_dispersion_limpia_of_provinces")
+measure_query("productos_dispersion_publicables", _measured(_SHOWN_ENTITY, "sum(publishable_products)", "dispersion_entity", last=True).replace("round(sum(publishable_products), 6)", "CAST(sum(publishable_products) AS BIGINT)"))
+measure_query("fallas_altas", f"WITH {_EVERY}, t AS ({_gates_sql(_GATES_AT)}) SELECT 'all' AS part, CAST(sum(failed_rows) AS BIGINT) AS value FROM t WHERE severity = 'high'")
+measure_query("contribucion_driver_top_3", _measured(MART_SQL["index_drivers_topk"], "sum(contribution_log_points)", "index_drivers", where="driver_rank <= 3", last=True))
+
+
+@query(f"""WITH {_O}, span AS (SELECT min(d) AS a, max(d) AS z FROM years) SELECT CAST(t.d AS DATE) AS date, year(t.d) AS year, month(t.d) AS month, monthname(t.d) AS month_name, dayname(t.d) AS weekday
+FROM span, range(CAST(a AS TIMESTAMP), CAST(z AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL 1 DAY) t(d)""")
+def semantic_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every date from the first to the last of the exported tables."""
+    return tidy(semantic.calendar(registry.Tables(quality_daily=viewed(spark, sf_dir, "quality_daily"))))
+
+
+@query(f"SELECT snapshot_date, source_rows, year(snapshot_date) AS year, monthname(snapshot_date) AS month_name, dayname(snapshot_date) AS weekday FROM ({MART_SQL['quality_daily_counts']})")
+def semantic_on_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table's rows with their date's attributes."""
+    t = registry.Tables(quality_daily=viewed(spark, sf_dir, "quality_daily"))
+    return tidy(semantic.on_calendar(t, "quality_daily").select("snapshot_date", "source_rows", "year", "month_name", "weekday"))
+
+
+# Slices and diagnostics -------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM ({MART_SQL['price_index_daily']}) WHERE publishable AND snapshot_date = (SELECT max(snapshot_date) FROM ({MART_SQL['price_index_daily']}) WHERE publishable)")
+def latest_index_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last date on which the index may be published."""
+    return tidy(exports.latest_index(built("mart_banner_index_daily", spark, sf_dir)))
+
+
+@query(f"SELECT round(avg(CAST(source_healthy AS INT)), 6) AS healthy_share, count(*) FILTER (WHERE NOT source_healthy) AS unhealthy FROM ({_HEALTH})")
+def health_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(exports.health_share(built("mart_banner_day_health", spark, sf_dir)))
+
+
+@query(f"WITH t AS MATERIALIZED ({MART_SQL['price_index_daily']}) SELECT arg_min(id_comercio, price_index) AS low_banner, min(price_index) AS low, arg_max(id_comercio, price_index) AS high_banner, max(price_index) AS high FROM t WHERE snapshot_date = (SELECT max(snapshot_date) FROM t)")
+def index_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest and the dearest banner of the last date."""
+    row = exports.extremes(exports.latest(built("mart_banner_index_daily", spark, sf_dir)), "price_index", "id_comercio")
+    return tidy(row.select(F.col("low.id_comercio").alias("low_banner"), F.col("low.price_index").alias("low"), F.col("high.id_comercio").alias("high_banner"), F.col("high.price_index").alias("high")))
+
+
+@query(f"WITH {_O} SELECT d AS snapshot_date, 'productos.csv' AS file_name, CAST(100 AS BIGINT) AS source_rows, CAST(100 - CAST(year(d) % 4 = 0 AS INT) AS BIGINT) AS loaded_rows, CAST(1 AS BIGINT) AS footer_rows, CAST(year(d) % 3 AS BIGINT) AS reconstructed_lines, CAST(year(d) % 5 = 0 AS BIGINT) AS empty_packages, CAST(year(d) % 4 = 0 AS BIGINT) AS difference FROM years")
+def ingestion_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the sources against rows loaded."""
+    t = adapter.sources(spark, sf_dir, adapter.context(spark, sf_dir))
+    return tidy(exports.ingestion_reconciliation(registry.Tables(t, snapshot_state=_states(t["build_inputs"]))))
+
+
+def _states(inputs: DataFrame) -> DataFrame:
+    """Active snapshots, of which every third year's is another run than the one that was built from."""
+    run = F.when(F.year("snapshot_date") % 3 == 0, F.lit("run 2")).otherwise(F.col("ingest_run_id"))
+    active = inputs.select("snapshot_date", run.alias("active_ingest_run_id"), F.lit("hash 2").alias("raw_sha256"))
+    return active.unionByName(active.limit(1).select("snapshot_date", F.lit("run").alias("active_ingest_run_id"), "raw_sha256"))
+
+
+@query(f"WITH {_O}, i AS (SELECT d, 'run' AS a FROM years), s AS (SELECT d, CASE WHEN year(d) % 3 = 0 THEN 'run 2' ELSE 'run' END AS b FROM years) SELECT i.d AS snapshot_date, a AS built_run, 'hash' AS built_hash, b AS active_run, 'hash 2' AS active_hash FROM i JOIN s ON s.d = i.d WHERE a <> b")
+def lineage_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates whose active snapshot is no longer the one that was built from."""
+    ctx = adapter.context(spark, sf_dir)
+    inputs = adapter.sources(spark, sf_dir, ctx)["build_inputs"]
+    run = F.when(F.year("snapshot_date") % 3 == 0, F.lit("run 2")).otherwise(F.col("ingest_run_id"))
+    state = inputs.select("snapshot_date", run.alias("active_ingest_run_id"), F.lit("hash 2").alias("raw_sha256"))
+    return exports.lineage_drift(ctx, registry.Tables(build_inputs=inputs, snapshot_state=state))
+
+
+@query(f"WITH {_O} SELECT 'adapter' AS build_id, d AS snapshot_date, 'run' AS ingest_run_id, 'hash' AS raw_sha256 FROM years")
+def build_inputs_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = adapter.context(spark, sf_dir)
+    return exports.inputs_of(ctx, registry.Tables(adapter.sources(spark, sf_dir, ctx))).select("build_id", "snapshot_date", "ingest_run_id", "raw_sha256")
+
+
+@query(f"SELECT * FROM ({_HEALTH}) WHERE NOT source_healthy")
+def unhealthy_banner_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(exports.unhealthy(registry.Tables(mart_banner_day_health=built("mart_banner_day_health", spark, sf_dir))))
+
+
+@query(f"WITH {_EVERY}, t AS ({_gates_sql(_GATES_AT)}) SELECT test_name, failed_rows, severity FROM t WHERE failed_rows > 0")
+def failed_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exports.failed_gates(_checked(spark, sf_dir)[1]).select("test_name", "failed_rows", "severity")
+
+
+@query(f"WITH {_REL} SELECT d AS snapshot_date FROM years WHERE d NOT IN (SELECT d FROM idx)")
+def missing_index_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ctx = adapter.context(spark, sf_dir)
+    inputs = adapter.sources(spark, sf_dir, ctx)["build_inputs"]
+    return exports.missing_index_dates(ctx, registry.Tables(build_inputs=inputs, mart_banner_index_daily=built("mart_banner_index_daily", spark, sf_dir)))
+
+
+@query(f"WITH {_B} SELECT 'B1' AS basket_version, d AS snapshot_date, count(*) AS stores, count(*) FILTER (WHERE f = 8) AS complete, max(f) AS most_components FROM bs GROUP BY d")
+def basket_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tidy(exports.basket_validation(registry.Tables(mart_basket_store_daily=built("mart_basket_store_daily", spark, sf_dir))))
+
+
+@query(f"SELECT approx_quantile_ok FROM (SELECT true AS approx_quantile_ok)")
+def streaming_median_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the approximate medians of the streaming aggregate lie within a thousandth of the rows of the exact ones."""
+    rows = adapter.lines(spark, sf_dir).select(F.col("p_brand").alias("gtin14"), F.col("unit_price").alias("list_price"))
+    found = rows.groupBy("gtin14").agg(F.percentile_approx("list_price", 0.5, 10_000).alias("m"), F.count(F.lit(1)).alias("n"))
+    place = rows.join(F.broadcast(found), "gtin14").groupBy("gtin14").agg(F.max("n").alias("n"), F.count_if(F.col("list_price") < F.col("m")).alias("below"), F.count_if(F.col("list_price") <= F.col("m")).alias("upto"))
+    good = (F.col("below") <= 0.501 * F.col("n") + 1) & (F.col("upto") >= 0.499 * F.col("n") - 1)
+    return place.agg(F.every(good).alias("approx_quantile_ok"))
+
+
 # Operators ------------------------------------------------------------------------------------------------------------
 
 
@@ -374,9 +647,9 @@ def latest_publishable_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_B}, m AS (SELECT max(d) AS d FROM sb) SELECT round(median(md) FILTER (WHERE st = 'PUBLISHABLE'), 6) AS costo_canasta, CAST(sum(c) AS BIGINT) AS sucursales_completas, round(sum(c) / sum(n), 6) AS completitud FROM sb WHERE d = (SELECT d FROM m)""")
 def semantic_basket_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three measures at the last date."""
-    t = registry.Tables(basket_banner=built("mart_basket_banner_daily", spark, sf_dir).withColumn("one", F.lit(1)))
+    t = registry.Tables(basket_banner=built("mart_basket_banner_daily", spark, sf_dir))
     names = {"costo_canasta_ultimo_corte": "costo_canasta", "sucursales_canasta_completa": "sucursales_completas", "completitud_canasta": "completitud"}
-    one, two, three = (semantic.measure(t, k, ["one"]).withColumnRenamed(k, v) for k, v in names.items())
+    one, two, three = (semantic.measure(t, k).withColumnRenamed(k, v).withColumn("one", F.lit(1)) for k, v in names.items())
     return tidy(one.join(two, "one").join(three, "one").drop("one"))
 
 
