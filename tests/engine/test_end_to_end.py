@@ -55,9 +55,23 @@ def test_gates_grade_and_lineage(built):
     assert seen
 
 
-def test_exports_and_measures(built, tmp_path):
+def test_exports_and_measures(built, tmp_path, spark):
     _, store, ctx, t = built
+    (tmp_path / "portfolio").mkdir()
+    for name in ("basket_summary", "of_the_user"):
+        (tmp_path / "portfolio" / f"{name}.csv").write_text("x")
     sinks.export_all(ctx, t, tmp_path / "out", tmp_path / "portfolio", TODAY)
+    assert (tmp_path / "portfolio" / "of_the_user.csv").exists() and not (tmp_path / "portfolio" / "basket_summary.csv").exists()
+    (tmp_path / "portfolio" / "of_the_user.csv").unlink()
+    page = (tmp_path / "out" / "dashboard.html").read_text(encoding="utf-8")
+    assert page.count("<svg") + page.count("Nothing to show") == 6 and "Healthy banner-days" in page
+    back = sinks.read_exports(spark, str(tmp_path / "out" / "csv"), t, ctx)
+    for name, view in exports.VIEWS.items():
+        seen, kept = view(ctx, t), back[name]
+        assert kept.dtypes == seen.dtypes and kept.count() == seen.count()
+    assert {r.gtin14 for r in back["basket_definition"].collect()} == {r.gtin14 for r in t["dim_basket_component"].collect()}
+    keys = ["snapshot_date", "id_comercio", "id_bandera", "price_index", "common_gtins", "publishable"]
+    assert sorted(map(tuple, back["index_daily"].select(*keys).collect())) == sorted(map(tuple, t["mart_banner_index_daily"].select(*keys).collect()))
     assert {p.stem for p in (tmp_path / "portfolio").glob("*.csv")} == set(exports.VIEWS) and (tmp_path / "out" / "summary.xlsx").stat().st_size > 1000
     views = Tables({k: v(ctx, t) for k, v in exports.VIEWS.items()})
     values = {k: semantic.measure(views, k).first()[0] for k in semantic.measures()}
