@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import io
+import re
+import shutil
+import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +20,8 @@ from gondola.operators.common import latest
 from gondola.plans import exports, gates, registry, semantic
 from gondola.plans.context import BuildContext
 from gondola.session import tune
-from gondola.sources import adapter
+from gondola.sources import adapter, snapshots
+from gondola.sources.contract import COLUMNS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -542,6 +550,98 @@ def streaming_median_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place.agg(F.every(good).alias("approx_quantile_ok"))
 
 
+# Sources ----------------------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT 'package-1' AS source_package, CAST(r_regionkey AS VARCHAR) AS id_comercio, CASE WHEN r_regionkey <> 2 THEN '1' END AS id_bandera, r_name AS comercio_razon_social,
+CASE WHEN r_regionkey % 2 = 0 THEN '2026-08-0' || (r_regionkey + 1) || ' 09:00:00' END AS updated FROM region""")
+def typed_commerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rows of commerce files, typed: blanks become nulls, times that are none too."""
+    key = F.col("r_regionkey").cast("string")
+    raw = {
+        "id_comercio": F.concat(F.lit(" "), key, F.lit(" ")), "id_bandera": F.when(F.col("r_regionkey") == 2, "  ").otherwise("1"), "comercio_cuit": F.lit(""), "comercio_razon_social": F.concat("r_name", F.lit("  ")), "comercio_bandera_nombre": F.col("r_name"),
+        "comercio_bandera_url": F.lit(None).cast("string"), "comercio_ultima_actualizacion": F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.lit("2026-08-0"), (F.col("r_regionkey") + 1).cast("int").cast("string"), F.lit("T06:00:00-03:00"))).otherwise("soon"), "comercio_version_sepa": F.lit("1.0"),
+    }
+    rows = adapter.read(spark, sf_dir, "region").select(F.lit("package-1").alias("source_package"), *[c.alias(k) for k, c in raw.items()])
+    typed = snapshots.commerce(rows, "run", "2026-08-02")
+    return typed.select("source_package", "id_comercio", "id_bandera", "comercio_razon_social", F.date_format("comercio_ultima_actualizacion", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id_sucursal, s_name AS sucursal_nombre, CASE WHEN s_suppkey % 4 <> 0 THEN round(s_suppkey - 300.5, 6) END AS latitud, CASE WHEN s_suppkey % 5 <> 0 THEN round(-2.0 * s_suppkey, 6) END AS longitud,
+CASE WHEN s_nationkey <> 3 THEN 'AR-' || s_nationkey END AS provincia_codigo, coalesce(s_suppkey % 4 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey - 300.5 BETWEEN -90 AND 90 AND -2.0 * s_suppkey BETWEEN -180 AND 180, false) AS coordenadas_validas FROM supplier""")
+def typed_stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rows of store files, typed: coordinates that are no numbers or out of range, provinces that are blank."""
+    key = F.col("s_suppkey")
+    raw = {c: F.lit("") for c in COLUMNS["sucursales.csv"]} | {
+        "id_comercio": F.lit("1"), "id_bandera": F.lit("1"), "id_sucursal": key.cast("string"), "sucursales_nombre": F.concat(F.lit(" "), "s_name"), "sucursales_latitud": F.when(key % 4 == 0, "1_0").otherwise((key - 300.5).cast("string")),
+        "sucursales_longitud": F.when(key % 5 == 0, "west").otherwise((-2.0 * key).cast("string")), "sucursales_provincia": F.when(F.col("s_nationkey") == 3, " ").otherwise(F.concat(F.lit("AR-"), F.col("s_nationkey").cast("string"))),
+    }
+    rows = adapter.read(spark, sf_dir, "supplier").select(F.lit("package-1").alias("source_package"), *[c.alias(k) for k, c in raw.items()])
+    return tidy(snapshots.stores(rows, "run", "2026-08-02").select("id_sucursal", "sucursal_nombre", "latitud", "longitud", "provincia_codigo", "coordenadas_validas"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS k, p_size AS z, 20000000 + p_partkey AS c FROM part)
+SELECT k AS p_partkey, k % 3 <> 1 AS productos_ean, CASE WHEN k % 3 = 1 THEN NULL ELSE lpad(CAST(c AS VARCHAR), 14, '0') END AS gtin14, CASE WHEN c BETWEEN 20000000 AND 29999999 THEN 'RESTRICTED_LOCAL' END AS product_code_scope,
+'NANDU ' || k AS producto_descripcion_normalizada, CASE WHEN k % 4 <> 0 THEN round(z + 0.5, 6) END AS cantidad_presentacion, ['KG', 'ML', 'UN'][k % 3 + 1] AS unidad_presentacion, CASE WHEN k % 5 <> 0 THEN round(CAST(k AS DOUBLE) / 4 - 2, 6) END AS precio_lista, k % 5 <> 0 AND CAST(k AS DOUBLE) / 4 - 2 > 0 AS precio_lista_valido FROM r""")
+def typed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text rows of price files, typed: codes, units, folded descriptions, prices that are missing, wrong or not above zero."""
+    key = F.col("p_partkey")
+    raw = {c: F.lit("") for c in COLUMNS["productos.csv"]} | {
+        "id_comercio": F.lit("1"), "id_bandera": F.lit("1"), "id_sucursal": key.cast("string"), "id_producto": F.concat((20_000_000 + key).cast("string"), F.lit(" ")), "productos_ean": F.when(key % 3 == 1, "0").otherwise(" Sí "), "productos_descripcion": F.concat(F.lit(" Ñandú "), key.cast("string")),
+        "productos_cantidad_presentacion": F.when(key % 4 == 0, "1.5x").otherwise((F.col("p_size") + 0.5).cast("string")), "productos_unidad_medida_presentacion": F.array(F.lit(" kg"), F.lit("cm3 "), F.lit("UN"))[(key % 3).cast("int")],
+        "productos_precio_lista": F.when(key % 10 == 0, "").when(key % 5 == 0, "1,5").otherwise((key.cast("double") / 4 - 2).cast("string")),
+    }
+    rows = adapter.read(spark, sf_dir, "part").select(F.lit("package-1").alias("source_package"), *[c.alias(k) for k, c in raw.items()])
+    typed = snapshots.prices(rows, "run", "2026-08-02").withColumns({"p_partkey": F.col("id_sucursal").cast("long"), "precio_lista": F.col("precio_lista").cast("double")})
+    return tidy(typed.select("p_partkey", "productos_ean", "gtin14", "product_code_scope", "producto_descripcion_normalizada", "cantidad_presentacion", "unidad_presentacion", "precio_lista", "precio_lista_valido"))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """An archive of a package for each region, with the transport damage that the contract lets pass, in a folder that all
+    executors share; its stores are the nations."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = Path(re.sub("^file:/*", "/", named), f"gondola-archive-{uuid.uuid4().hex}")
+    folder.mkdir(parents=True)
+    atexit.register(shutil.rmtree, folder, True)
+    nations = adapter.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows at every size
+    date, path = "2026-08-02", str(folder / "sepa_x.zip")
+    blank = {name: [""] * len(columns) for name, columns in COLUMNS.items()}
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as outer:
+        for region in sorted({r.n_regionkey for r in nations}):
+            inner, own = io.BytesIO(), [r for r in nations if r.n_regionkey == region]
+            with zipfile.ZipFile(inner, "w") as z:
+                for name, columns in COLUMNS.items():
+                    lines = ["﻿" + "|".join(columns)]
+                    for r in own if name == "sucursales.csv" else own[:1]:
+                        row = [str(region), "1", str(r.n_nationkey), f'"{r.n_name}"' if r.n_nationkey % 2 else r.n_name + "\0", *blank[name][4:]]
+                        broken = r.n_nationkey % 3 == 0
+                        lines += ["|".join(row[:6]), "|" + "|".join(row[6:]), ""] if broken else ["|".join(row)]
+                    lines += ["Última actualización: 2026-08-02"] * (region % 2)
+                    z.writestr(f"folder/{name.upper()}" if region == 1 else name, "\r\n".join(lines) + "\r\n")
+            outer.writestr(f"{date}/package-{region}.zip", inner.getvalue())
+        outer.writestr(f"{date}/x_comercio-sepa-36_{date}.zip", b"")
+    return path, date
+
+
+@query("SELECT 'package-' || n_regionkey || '.zip' AS source_package, CAST(n_regionkey AS VARCHAR) AS id_comercio, CAST(n_nationkey AS VARCHAR) AS id_sucursal, n_name AS sucursales_nombre FROM nation")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store files of a nested archive with quoted fields, null bytes, joined lines, blank lines, notices and an empty package."""
+    path, date = _archive(spark, sf_dir)
+    return snapshots.scan(spark, path, date, "sucursales.csv").select("source_package", "id_comercio", "id_sucursal", "sucursales_nombre")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), f AS (SELECT unnest(['comercio.csv', 'sucursales.csv', 'productos.csv']) AS file)
+SELECT 'package-' || n_regionkey || '.zip' AS package, file, count(*) AS rows, CAST(any_value(n_regionkey % 2) AS BIGINT) AS footers, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS nulls, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS joined
+FROM n JOIN f ON file = 'sucursales.csv' OR k = 1 GROUP BY n_regionkey, file""")
+def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the sanitizer counted in each file of the archive: records, notices, null bytes, joined lines."""
+    path, date = _archive(spark, sf_dir)
+    with zipfile.ZipFile(path) as outer:
+        names = [p.filename for p in snapshots.packages(outer, date) if p.file_size]
+    found = [(n.split("/")[-1], *rest) for n, *rest in snapshots.measured(spark, path, names, snapshots.Limits())]
+    return spark.createDataFrame(found, "package string, file string, rows long, footers long, nulls long, joined long")
+
+
 # Operators ------------------------------------------------------------------------------------------------------------
 
 
