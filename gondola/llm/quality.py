@@ -1,16 +1,17 @@
 """Quality classifier: random Fourier features, ridge regression, isotonic calibration.
 
 Every text becomes a fixed row of statistics of its characters, words and lines, whatever its language. Random
-Fourier features of the standardised row approximate a Gaussian kernel. Each partition of the labelled rows sums its
-normal equations (a matrix of fixed size), partitions are summed in two steps, and the driver solves one ridge system.
-A fifth of the labelled rows is held back: their scores, counted in SCORE_BINS bins, calibrate by pooling adjacent
-violators. A thousandth of the raw score stays in the result so that equal steps keep their order.
+Fourier features of the standardised row approximate a Gaussian kernel; they and a constant are all that the regression
+sees. Each partition of the labelled rows sums its normal equations (a matrix of fixed size), sums are summed FAN at a
+time until few are left, and the driver solves one ridge system. A fifth of the labelled rows is held back: their scores,
+counted in SCORE_BINS bins, calibrate by pooling adjacent violators. A thousandth of the raw score stays in the result so
+that equal steps keep their order.
 
 Only the text enters a score; doc_id merely names rows and picks the calibration fold.
 
 Defined cases: null counts as empty, and empty texts have a row of zeros and get a score; labels that are null or
 whose document is missing are ignored; without labels every score is 0.5; repeated rows repeat; extra columns don't
-matter; an empty table gives an empty result.
+matter, whatever their names; very long texts are read whole; equal texts get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 
 from gondola.llm.common import Workspace, released
 
-FEATURES, SEED = 192, 5
+FEATURES, SEED = 256, 5
 #: Kernel width in units of the root of the number of statistics, and ridge strength for each row.
 WIDTH, RIDGE = 1.0, 1e-4
-SCORE_BINS, SUM_GROUPS = 1000, 16
+SCORE_BINS, FAN = 1000, 32
 STATISTICS = 18
 
 
@@ -83,12 +84,12 @@ class Model:
 
 
 def expanded(rows: np.ndarray) -> np.ndarray:
-    """Random Fourier features, the rows themselves and a constant."""
+    """Random Fourier features and a constant."""
     rows = np.clip(rows, -8, 8)
     rng = np.random.default_rng(SEED)
     directions = rng.standard_normal((rows.shape[1], FEATURES)) / (WIDTH * math.sqrt(rows.shape[1]))
     phases = rng.uniform(0, 2 * math.pi, FEATURES)
-    return np.concatenate([math.sqrt(2 / FEATURES) * np.cos(rows @ directions + phases), rows / 8, np.ones((len(rows), 1))], axis=1)
+    return np.concatenate([math.sqrt(2 / FEATURES) * np.cos(rows @ directions + phases), np.ones((len(rows), 1))], axis=1)
 
 
 def pooled(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,8 +119,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.array(column.to_pylist(), float).reshape(-1, STATISTICS)
 
 
-def _summed(rows: DataFrame, product) -> np.ndarray:
-    """Sum over all rows of product(statistics, label), a vector of fixed size: by partition, then in SUM_GROUPS sums."""
+def _summed(space: Workspace, name: str, rows: DataFrame, product) -> np.ndarray:
+    """Sum over all rows of product(statistics, label), a vector of fixed size: by partition, then FAN sums at a time."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -129,12 +130,19 @@ def _summed(rows: DataFrame, product) -> np.ndarray:
                 found = product(_matrix(part.column(0)), np.array(part.column(1).to_pylist(), float))
                 total = found if total is None else total + found
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()), pa.array([total.tobytes()])], names=["part", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()])], names=["part", "data"])
 
     def both(table: pa.Table) -> pa.Table:
-        return pa.table({"data": pa.array([sum(np.frombuffer(d.as_py()) for d in table["data"]).tobytes()], pa.binary())})
-
-    parts = rows.select("row", "label").mapInArrow(local, "part int, data binary").groupBy("part").applyInArrow(both, "data binary").collect()
+        order = np.argsort(table["part"].to_numpy(), kind="stable")  # sums come out the same each time
+        data = [table["data"][k].as_py() for k in order.tolist()]
+        return pa.table({"part": pa.array([int(table["part"].to_numpy().min())], pa.int32()), "data": pa.array([sum(map(np.frombuffer, data)).tobytes()], pa.binary())})
+
+    sums, turn = space.write(rows.select("row", "label").mapInArrow(local, "part int, data binary"), f"{name}-0"), 0
+    while (n := sums.count()) > FAN:
+        turn += 1
+        groups = sums.groupBy(F.pmod(F.xxhash64("part"), F.lit(-(-n // FAN))).alias("group"))
+        sums = space.write(groups.applyInArrow(both, "part int, data binary"), f"{name}-{turn}")
+    parts = sorted(sums.collect(), key=lambda p: p["part"])  # FAN at most
     return np.sum([np.frombuffer(p["data"]) for p in parts], axis=0) if parts else np.zeros(0)
 
 
@@ -144,8 +152,9 @@ def _moments(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def train(spark: SparkSession, rows: DataFrame) -> Model | None:
     """rows: doc_id, row, label (0 or 1). None without labelled rows."""
+    space = Workspace(spark, "quality-sums")
     rows = rows.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(5)) == 0)
-    moments = _summed(rows, _moments)
+    moments = _summed(space, "moments", rows, _moments)
     if not len(moments):
         return None
     mean = moments[1 : 1 + STATISTICS] / moments[0]
@@ -155,9 +164,9 @@ def train(spark: SparkSession, rows: DataFrame) -> Model | None:
         z = np.concatenate([expanded((x - mean) / scale), y[:, None]], axis=1)
         return (z.T @ z).ravel()
 
-    sums = _summed(rows.filter("NOT held"), normal)
+    sums = _summed(space, "normal", rows.filter("NOT held"), normal)
     if not len(sums):
-        sums = _summed(rows, normal)
+        sums = _summed(space, "all", rows, normal)
     size = math.isqrt(len(sums))
     sums = sums.reshape(size, size)
     ridge = RIDGE * max(1.0, sums[-2, -2]) * np.eye(size - 1)
