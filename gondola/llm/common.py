@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import inspect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -45,16 +46,37 @@ class Workspace:
         self.fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
         self.fs.mkdirs(hadoop)
         self.fs.deleteOnExit(hadoop)
+        _made.append(self)
 
     def write(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def forget(self) -> None:
+        """Lets Spark's cleaner remove the shuffle files of the tables written so far, which nothing reads any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
 
+_made: list[Workspace] = []
+
+
+@contextlib.contextmanager
+def transient() -> Iterator[None]:
+    """Folders made within go at the end: whatever was read from them must be written elsewhere by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for space in _made[before:]:
+            space.fs.delete(space.spark._jvm.org.apache.hadoop.fs.Path(space.path), True)
+        del _made[before:]
+
+
 def bounded(spark: SparkSession) -> None:
     """Smaller Arrow batches than usual, as texts may be long; a session that sets its own size keeps it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -68,13 +90,33 @@ def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(batches)
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc
-            ctypes.CDLL(None).malloc_trim(0)
+        _trim()
 
     return run
 
 
+def trimmed(f: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function of one group, or of two."""
+
+    def one(rows: pa.Table) -> pa.Table:
+        out = f(rows)
+        _trim()
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        _trim()
+        return out
+
+    return one if len(inspect.signature(f).parameters) == 1 else two
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # elsewhere than on glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_or_empty(column: str = "text") -> F.Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -3,30 +3,32 @@
 A byte goes if some 50-byte string that covers it also starts in a document with a smaller doc_id.
 
 1. Chunks. Each input partition packs its texts into compressed chunks, written once in shared storage.
-2. Anchors. The anchor of a 50-byte window is the least hash among its 19 grams of 32 bytes, so equal windows have
+2. Anchors. The anchor of a 50-byte window is the least hash among its 27 grams of 24 bytes, so equal windows have
    equal anchors. Each chunk sends every distinct anchor once, by ranges of anchors; an anchor that two documents
    have is shared. Windows whose anchor isn't shared cannot repeat and are done with.
-3. Suffix order. Neighbouring windows of one shared anchor form a string of at most 68 bytes. A chunk sends each
-   distinct string once, with its smallest doc_id. For each range of anchors the strings of all anchors that have
-   several distinct ones (a string alone with its anchor has nothing to be compared with) are one collection, whose
-   Burrows-Wheeler transform and longest common prefixes are built column by column: each round inserts one symbol
-   of every string, right to left, at the place that the rank of the symbol gives, while transform and prefixes
-   stream through two sequential files. Suffixes with common prefixes of 50 bytes or more are equal windows; the
-   smallest doc_id of each goes back to the chunks that have larger ones.
+3. Suffix order. Neighbouring windows of one shared anchor form a string of at most 76 bytes. A chunk sends each
+   string once, with its smallest doc_id, and all strings of some anchors, from all chunks, are one collection, cut into
+   symbols of ten bytes at each of the ten phases. Its Burrows-Wheeler transform and longest common prefixes are
+   built column by column: each round inserts one symbol of every string, right to left, at the place that the rank of
+   the symbol gives. The transform is kept as its occurrence list, the ascending (symbol, place) pairs, where a rank is a
+   search. Suffixes with common prefixes of five symbols or more are equal windows; the smallest doc_id of each goes
+   back to the chunks that have larger ones. Nothing else finds what repeats between chunks.
 4. Removal. Each chunk marks the covered bytes of its documents.
 
-As only 68 rounds are needed, whatever the texts' lengths, the sequential files stay short. An anchor that very many
-chunks share would make one range large; its windows travel one by one, dealt out by their own hash instead, and
-are one string for each chunk at most.
+Column-wise construction takes one round for each symbol of the longest string, so it cannot run over whole texts (a
+hundred thousand rounds over all that is there); over strings around shared anchors it takes seven rounds, whatever the texts'
+lengths. A collection has about STRINGS strings, so its columns stay in memory, and the sequential external files
+are the sorted shuffle files that the strings come in by. An anchor that very many chunks share would make one
+collection large; its windows travel one by one, dealt out by their own hash instead, and are one string for each chunk
+at most.
 
 Defined cases: null counts as empty; rows with a null doc_id have no place in the order, so they lose nothing and
 take nothing; rows that repeat a doc_id take nothing from each other; texts under 50 bytes stay whole; very long
-texts are hashed slice by slice; extra columns are ignored; an empty table gives an empty result.
+texts are hashed slice by slice; extra columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,22 +39,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm.common import Workspace, power_of_two, released
+from gondola.llm.common import Workspace, power_of_two, released, trimmed
 
-WINDOW, GRAM = 50, 32
+WINDOW, GRAM = 50, 24
 GRAMS = WINDOW - GRAM + 1
+#: Bytes of a symbol, and symbols of a window.
+SYMBOL, DEPTH = 10, 5
 #: Windows of one string, and so its longest length.
 RUN = GRAMS
 WIDTH = WINDOW + RUN - 1
 ANCHOR_BITS = 48
 #: Bytes of text in a chunk, and in a slice that is hashed at once (its arrays should stay in a core's cache).
-CHUNK, SLICE = 1 << 20, 1 << 15
+CHUNK, SLICE = 4 << 20, 1 << 15
 #: Bytes of text for each range of anchors.
-RANGE_BYTES, LEAST_RANGES = 2 << 20, 512
+RANGE_BYTES, LEAST_RANGES = 8 << 20, 64
 #: An anchor that more chunks share is dealt out window by window.
 HOT_CHUNKS = 64
-#: Entries of a block of the sequential files.
-BLOCK = 1 << 20
+#: Strings of a collection, about; those of one anchor stay together.
+STRINGS = 1000
 NEVER = np.iinfo(np.int64).max
 _RANDOM = np.random.default_rng(9).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
@@ -141,6 +145,7 @@ class Chunk:
             none = np.zeros(0, np.int64)
             return none, none, none.astype(np.uint64), none
         left, right, anchor = (np.concatenate(x) for x in zip(*found))
+        anchor = (anchor * _STEPS[0]) & np.uint64((1 << ANCHOR_BITS) - 1)  # least hashes are small; their ranges should be even
         ids = np.array([NEVER if x is None else x for x in self.ids], np.int64)
         return left, right, anchor, ids[np.searchsorted(self.starts, left, side="right") - 1]
 
@@ -148,17 +153,20 @@ class Chunk:
 def _anchors(x: np.ndarray) -> np.ndarray:
     """Of each window of x (along its last axis), the least of its grams' hashes."""
     h = _RANDOM[x]
-    for k, step in enumerate(_STEPS):
-        size = 1 << k
+    for size, step in zip((1, 2, 4, 8), _STEPS):
+        eight = h  # grams of eight bytes in the last turn
         low = h[..., :-size] * step
         low += h[..., size:]
         low ^= low >> np.uint64(29)
         h = low
+    h = h[..., :-8] * _STEPS[4]  # sixteen bytes and the next eight
+    h += eight[..., 16:]
+    h ^= h >> np.uint64(29)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h >>= np.uint64(64 - ANCHOR_BITS)
     for size in (1, 2, 4, 8):
         h = np.minimum(h[..., :-size], h[..., size:])
-    return np.minimum(h[..., : -(GRAMS - 16)], h[..., GRAMS - 16 :])  # sixteen grams, and the same three further on
+    return np.minimum(h[..., : -(GRAMS - 16)], h[..., GRAMS - 16 :])  # sixteen grams, and the same eleven further on
 
 
 # Shared anchors ---------------------------------------------------------------------------------------------------
@@ -264,8 +272,19 @@ class Strings:
 
 
 def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and which of them each row is: by a hash of the whole row, compared with the rows themselves."""
     if not len(rows):
         return rows, np.zeros(0, np.int64)
+    words = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    words[:, : rows.shape[1]] = rows
+    words = words.view(np.uint64)
+    h = np.zeros(len(rows), np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * _STEPS[k % len(_STEPS)]
+        h ^= h >> np.uint64(29)
+    _, first, back = np.unique(h, return_index=True, return_inverse=True)
+    if (words[first[back]] == words).all():
+        return rows[first], back
     kinds, back = np.unique(np.ascontiguousarray(rows).view(np.dtype((np.void, rows.shape[1]))).ravel(), return_inverse=True)
     return kinds.view(np.uint8).reshape(len(kinds), rows.shape[1]), back
 
@@ -309,163 +328,154 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 # Suffix order -------------------------------------------------------------------------------------------------------
 
 
-def _among(ascending: np.ndarray, few: np.ndarray) -> np.ndarray:
-    """Which of a few values are in an ascending array."""
-    if not len(ascending):
-        return np.zeros(len(few), bool)
-    return ascending[np.minimum(np.searchsorted(ascending, few), len(ascending) - 1)] == few
+def _levels(values: np.ndarray) -> np.ndarray:
+    """Row k: from each place on, the least of 2^k values (as far as there are so many)."""
+    out = np.empty((max(1, len(values).bit_length()), len(values)), np.uint8)
+    out[0] = values
+    for k in range(1, len(out)):
+        size = 1 << (k - 1)
+        np.minimum(out[k - 1, :-size], out[k - 1, size:], out=out[k, :-size])
+    return out
+
+
+def _least_between(levels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each range [a, b), the least value."""
+    k = np.frexp((b - a).astype(np.float32))[1].astype(np.int64) - 1
+    k -= (np.int64(1) << k) > b - a  # a float may have been rounded up
+    row = k * levels.shape[1]
+    flat = levels.ravel()
+    return np.minimum(flat[row + a], flat[row + b - (np.int64(1) << k)])
 
 
 class Columns:
-    """Burrows-Wheeler transform and longest common prefixes of a collection, built column by column.
+    """Burrows-Wheeler transform and longest common prefixes of a collection of symbol strings, built column by column.
 
-    Symbol 0 ends a string; other symbols are bytes plus one (UTF-8 has no byte 255). Ends sort first, by string.
-    Both arrays live in sequential files, read and written in blocks; in memory are one entry for each string.
+    Suffixes are in ascending order; ends sort first, by string. `pairs` has one entry for each suffix that isn't empty:
+    its first symbol and the place of the rest, ascending, which is the list of the places where each symbol stands in the
+    transform. `lcp` is the number of symbols that a suffix shares with the one before it.
     """
 
-    def __init__(self, text: np.ndarray, lengths: np.ndarray, block: int = BLOCK):
-        self.block, self.m = block, len(text)
-        self.files = [tempfile.TemporaryFile(), tempfile.TemporaryFile()]
-        symbols, ids = text.astype(np.uint8) + np.uint8(1), np.arange(self.m)
-        lengths = lengths.astype(np.int64)
-        newest = symbols[ids, lengths - 1]
-        self._put(self.files, newest, np.zeros(self.m, np.uint8))
-        self.n, self.counts = self.m, np.bincount(newest, minlength=256)
-        at = ids.copy()  # of the strings' current suffixes, ascending
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray):
+        """symbols: a row for each string, of numbers below 2^40."""
+        m, n = len(lengths), int(lengths.sum()) + len(lengths)
+        self.m, self.shift = m, np.uint64(max(1, n.bit_length()))
+        if 40 + int(self.shift) > 64:  # too many places beside such symbols: their ranks are smaller
+            symbols = np.unique(symbols, return_inverse=True)[1].reshape(symbols.shape).astype(np.uint64)
+        mask = (np.uint64(1) << self.shift) - np.uint64(1)
+        self.pairs, self.lcp = np.zeros(0, np.uint64), np.zeros(m, np.uint8)
+        ids = np.argsort(-lengths, kind="stable")  # those still growing come first
+        at, left = ids.astype(np.uint64), lengths[ids]
         for j in range(1, int(lengths.max(initial=0)) + 1):
-            active = lengths[ids] >= j
-            ids, at = ids[active], at[active]
-            place, over_at, over = self._places(at)
-            order = np.argsort(place, kind="stable")
-            ids, at = ids[order], place[order]
-            newest = np.where(lengths[ids] > j, symbols[ids, np.maximum(lengths[ids] - j - 1, 0)], 0).astype(np.uint8)
-            order = np.argsort(over_at, kind="stable")
-            self._insert(at - np.arange(len(at)), newest, over_at[order], over[order])
-            self.n += len(at)
-            self.counts += np.bincount(newest, minlength=256)
-
-    @staticmethod
-    def _put(files, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        bwt.tofile(files[0])
-        lcp.tofile(files[1])
-
-    def blocks(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        for f in self.files:
-            f.flush()
-            f.seek(0)
-        for a in range(0, self.n, self.block):
-            size = min(self.block, self.n - a)
-            yield a, np.frombuffer(self.files[0].read(size), np.uint8), np.frombuffer(self.files[1].read(size), np.uint8)
-
-    def _places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where the suffixes go that lengthen those at `at`; places and values of all prefixes that change."""
-        before = np.zeros(256, np.int64)
-        base = self.m + np.r_[0, 0, np.cumsum(self.counts[1:-1])]  # suffixes that begin with a smaller symbol
-        seen, was_new, low = np.zeros(256, bool), np.zeros(256, bool), np.full(256, 255, np.uint8)
-        place, over_at, over = np.empty(len(at), np.int64), [], []
-        for a, bwt, lcp in self.blocks():
-            size = len(bwt)
-            i, k = np.searchsorted(at, [a, a + size]).tolist()
-            own = at[i:k] - a
-            order = np.argsort(bwt, kind="stable")
-            counts = np.bincount(bwt, minlength=256)
-            start = np.cumsum(counts) - counts
-            rank = np.empty(size, np.int32)
-            rank[order] = np.arange(size, dtype=np.int32)
-            t = rank[own].astype(np.int64)
-            c = bwt[own]
-            place[i:k] = base[c] + before[c] + t - start[c]
-            # neighbours with one symbol of which one is new: 1 + the least prefix between them
-            touched = np.zeros(size + 1, bool)
-            touched[t], touched[t + 1], touched[0] = True, True, False
-            pair = np.flatnonzero(touched[:size])
-            here = bwt[order[pair]]
-            ok = (here == bwt[order[pair - 1]]) & (here > 0)
-            pair, here = pair[ok], here[ok]
-            if len(pair):
-                ends = np.stack([order[pair - 1] + 1, order[pair] + 1], axis=1).ravel()
-                over.append(np.minimum.reduceat(np.append(lcp, np.uint8(255)), ends)[::2].astype(np.int64) + 1)
-                over_at.append(base[here] + before[here] + pair - start[here])
-            earlier = before.copy()
-            # the first of each symbol in this block, against the last before it
-            some = np.flatnonzero(counts)
-            some = some[some > 0]
-            head = order[start[some]]
-            least = np.minimum(low[some], np.minimum.accumulate(lcp)[head]).astype(np.int64) + 1 if a else np.zeros(len(some), np.int64)
-            change = _among(own, head) | (was_new[some] & seen[some])
-            over.append(np.where(seen[some], least, 0)[change])
-            over_at.append((base[some] + earlier[some])[change])
-            before += counts
-            if a + size < self.n:  # for the next block
-                tail = order[start[some] + counts[some] - 1]
-                after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.uint8(255))
-                low = np.minimum(low, after[0])
-                low[some], seen[some], was_new[some] = after[tail + 1], True, _among(own, tail)
-        return place, np.concatenate(over_at), np.minimum(np.concatenate(over), 255).astype(np.uint8)
-
-    def _insert(self, where: np.ndarray, symbols: np.ndarray, over_at: np.ndarray, over: np.ndarray) -> None:
-        fresh = [tempfile.TemporaryFile(), tempfile.TemporaryFile()]
-        for a, bwt, lcp in self.blocks():
-            end = a + len(bwt)
-            i, k = np.searchsorted(where, [a, end if end < self.n else end + 1]).tolist()
-            bwt, lcp = np.insert(bwt, where[i:k] - a, symbols[i:k]), np.insert(lcp, where[i:k] - a, 0)
-            p, q = np.searchsorted(over_at, [a + i, a + i + len(bwt)]).tolist()
-            lcp[over_at[p:q] - a - i] = over[p:q]
-            self._put(fresh, bwt, lcp)
-        for f in self.files:
-            f.close()
-        self.files = fresh
-
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """The transform and the prefixes."""
-        parts = list(self.blocks())
-        for f in self.files:
-            f.close()
-        return np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts])
-
-
-def least_of_windows(rows: np.ndarray, least: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """For each distinct string (row: WIDTH bytes, length) and each of its windows, the smallest `least` of a string
-    that has an equal window; NEVER beyond the last window."""
+            on = int(np.searchsorted(-left, -j, side="right"))
+            ids, at, left = ids[:on], at[:on], left[:on]
+            fresh = (symbols[ids, left - j] << self.shift) | at
+            order = np.argsort(fresh, kind="stable")
+            fresh = fresh[order]
+            where = np.searchsorted(self.pairs, fresh)
+            places = where + np.arange(on)
+            old = len(self.pairs)
+            moved = np.cumsum(np.bincount(where, minlength=old + 1)[:old])  # new suffixes before each old one
+            kept = np.arange(old) + moved
+            both = np.empty(old + on, np.uint64)
+            both[kept], both[places] = self.pairs, fresh
+            lcp = np.zeros(m + old + on, np.uint8)
+            lcp[:m], lcp[m + kept] = self.lcp[:m], self.lcp[m:]
+            # prefixes change where a suffix or the one before it is new
+            near = np.zeros(old + on + 1, bool)
+            near[places] = near[places + 1] = True
+            near[0] = False
+            q = np.flatnonzero(near[: old + on])
+            same = (both[q] >> self.shift) == (both[q - 1] >> self.shift)
+            lcp[m + q[~same]] = 0
+            q = q[same]
+            low, high = (both[q - 1] & mask).astype(np.int64), (both[q] & mask).astype(np.int64)
+            lcp[m + q] = _least_between(_levels(self.lcp), low + 1, high + 1) + np.uint8(1)
+            # the places that the pairs name have moved, too
+            shifted = np.zeros(m + old, np.uint64)
+            shifted[m:] = moved
+            both += shifted[(both & mask).astype(np.int64)]
+            self.pairs, self.lcp = both, lcp
+            at = np.empty(on, np.uint64)
+            at[order] = (m + places).astype(np.uint64)
+
+    def rests(self) -> np.ndarray:
+        """Of each suffix that isn't empty, the place of the one a symbol shorter."""
+        return (self.pairs & ((np.uint64(1) << self.shift) - np.uint64(1))).astype(np.int64)
+
+    def transform(self) -> np.ndarray:
+        """Of each suffix, the symbol before it plus one, or 0 if it is a whole string."""
+        out = np.zeros(len(self.lcp), np.uint64)
+        out[self.rests()] = (self.pairs >> self.shift) + np.uint64(1)
+        return out
+
+
+def least_of_windows(rows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each string (row: WIDTH bytes, length) and each of its windows, the smallest `least` of a string that has an
+    equal window; NEVER beyond the last window."""
     lengths = rows[:, WIDTH].astype(np.int64)
-    bwt, lcp = Columns(rows[:, :WIDTH], lengths, block).close()
-    order = np.argsort(bwt, kind="stable")
-    onward = np.empty(len(bwt), np.int64)
-    onward[order] = np.arange(len(bwt))  # of a suffix, the place of the one a symbol longer
-    group = np.cumsum(lcp < WINDOW) - 1
-    lowest = np.full(int(group[-1]) + 1, NEVER)
-    out = np.full((len(rows), RUN), NEVER)
-    at, spots = np.arange(len(rows)), []
-    for j in range(1, int(lengths.max()) + 1):
-        own = lengths >= j
+    text = rows[:, :WIDTH].astype(np.uint64)
+    half = SYMBOL // 2
+    grams = np.zeros((len(rows), WIDTH - half + 1), np.uint64)
+    for k in range(half):
+        grams = (grams << np.uint64(8)) | text[:, k : WIDTH - half + 1 + k]
+    # halves by number, in any order, so that a symbol's two fit in a word
+    coded = pa.array(grams.ravel()).dictionary_encode()
+    number, bits = coded.indices.to_numpy().reshape(grams.shape).astype(np.uint64), len(coded.dictionary).bit_length()
+    grams = (number[:, :-half] << np.uint64(bits)) | number[:, half:]
+    if 2 * bits > 40:
+        grams = np.unique(grams, return_inverse=True)[1].reshape(grams.shape).astype(np.uint64)
+    string, phase = np.nonzero(np.arange(SYMBOL)[None, :] <= (lengths - WINDOW)[:, None])  # phases at which a window begins
+    count = (lengths[string] - phase) // SYMBOL
+    columns = np.arange(int(count.max(initial=0)))
+    symbols = grams[string[:, None], np.minimum(phase[:, None] + SYMBOL * columns, WIDTH - SYMBOL)]
+    built = Columns(symbols, count)
+    onward = np.empty(len(built.lcp), np.int64)
+    onward[built.rests()] = built.m + np.arange(len(built.pairs))  # of a suffix, the place of the one a symbol longer
+    low = np.full(len(built.lcp), NEVER)
+    at, spots = np.arange(built.m), []
+    for j in range(1, len(columns) + 1):
+        own = np.flatnonzero(count >= j)
         at[own] = onward[at[own]]
-        if j >= WINDOW:
-            own = np.flatnonzero(own)
-            np.minimum.at(lowest, group[at[own]], least[own])
-            spots.append((own, lengths[own] - j, group[at[own]]))
-    for own, window, where in spots:
-        out[own, window] = lowest[where]
+        if j >= DEPTH:
+            low[at[own]] = least[string[own]]
+            spots.append((own, phase[own] + SYMBOL * (count[own] - j), at[own]))
+    starts = np.flatnonzero(built.lcp < DEPTH)
+    lowest = np.minimum.reduceat(low, starts) if len(starts) else low
+    group = np.cumsum(built.lcp < DEPTH) - 1
+    out = np.full((len(rows), RUN), NEVER)
+    for own, window, place in spots:
+        out[string[own], window] = lowest[group[place]]
     return out
 
 
+def _collections(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the strings of each collection: all of some anchors."""
+    anchor = np.empty(len(rows), np.uint64)
+    for a in range(0, len(rows), SLICE):
+        anchor[a : a + SLICE] = _anchors(rows[a : a + SLICE, :WINDOW])[:, 0]
+    order = np.argsort(anchor, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(anchor[order])) + 1, len(order))  # of the anchors
+    at = 0
+    while at < len(order):
+        end = int(ends[np.searchsorted(ends, min(at + STRINGS, len(order)))])
+        yield order[at:end]
+        at = end
+
+
 def _resolve(rows: pa.Table) -> pa.Table:
     chunks, opened = rows["chunk"].to_pylist(), [_unpacked(d.as_py()) for d in rows["data"]]
     least = np.concatenate([x[0] for x in opened])
     owner = np.repeat(np.arange(len(opened)), [len(x[0]) for x in opened])
     local = np.concatenate([np.arange(len(x[0])) for x in opened])
-    kinds, which = _distinct(np.concatenate([x[1] for x in opened]))
-    lowest = np.full(len(kinds), NEVER)
-    np.minimum.at(lowest, which, least)
-    # a string can only share windows with others of its anchor; alone there, it has none to be sorted among
-    _, of, count = np.unique(_anchors(kinds[:, :WINDOW])[:, 0], return_inverse=True, return_counts=True)
-    found = np.where(np.arange(RUN)[None, :] <= kinds[:, WIDTH:].astype(int) - WINDOW, lowest[:, None], NEVER)
-    several = np.flatnonzero(count[of] > 1)
-    if len(several):
-        found[several] = least_of_windows(kinds[several], lowest[several])
+    strings = np.concatenate([x[1] for x in opened])
+    del opened
+    found = np.full((len(strings), RUN), NEVER)
+    for own in _collections(strings):
+        found[own] = least_of_windows(strings[own], least[own])
     spot, out_chunk, out = rows["range"][0].as_py(), [], []
     for k, chunk in enumerate(chunks):
-        own = np.flatnonzero(owner == k) if len(chunks) < 8 else np.arange(np.searchsorted(owner, k), np.searchsorted(owner, k + 1))
-        table = found[which[own]]
+        own = np.arange(np.searchsorted(owner, k), np.searchsorted(owner, k + 1))
+        table = found[own]
         below = table < least[own][:, None]
         first = below.copy()
         first[:, 1:] &= ~below[:, :-1] | (table[:, 1:] != table[:, :-1])
@@ -541,10 +551,12 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     dealt = "range int, chunk long, data binary"
     back = "chunk long, range int, data binary"
     anchors = chunks.mapInArrow(released(_anchor_rows(bits)), dealt)
-    shared = space.write(anchors.groupBy("range").applyInArrow(_shared, back), "shared", "none")
-    strings = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_string_rows(bits), dealt)
-    answers = space.write(strings.groupBy("range").applyInArrow(_resolve, back), "answers", "none")
-    return chunks.groupBy("chunk").cogroup(shared.unionByName(answers).groupBy("chunk")).applyInArrow(_remove(bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    shared = space.write(anchors.groupBy("range").applyInArrow(trimmed(_shared), back), "shared", "none")
+    space.forget()
+    strings = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(trimmed(_string_rows(bits)), dealt)
+    answers = space.write(strings.groupBy("range").applyInArrow(trimmed(_resolve), back), "answers", "none")
+    space.forget()
+    return chunks.groupBy("chunk").cogroup(shared.unionByName(answers).groupBy("chunk")).applyInArrow(trimmed(_remove(bits)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(kept: str = "kept") -> F.Column:
