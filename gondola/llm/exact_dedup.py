@@ -76,15 +76,22 @@ class CountingQuotientFilter:
 
 
 def merged(filters: list[CountingQuotientFilter]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct fingerprints, ascending, with their summed counts."""
-    every = np.concatenate([f.fingerprints() for f in filters])
-    counts = np.concatenate([f.counts for f in filters])
-    order = np.argsort(every, kind="stable")
-    every, counts = every[order], counts[order]
-    if not len(every):
-        return every, counts
-    starts = np.flatnonzero(np.r_[True, every[1:] != every[:-1]])
-    return every[starts], np.add.reduceat(counts, starts)
+    """Distinct fingerprints, ascending, with their summed counts: two sorted runs at a time."""
+    runs = [(f.fingerprints(), f.counts) for f in filters] or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    while len(runs) > 1:
+        runs = [_merged_two(*runs[k : k + 2]) if k + 1 < len(runs) else runs[k] for k in range(0, len(runs), 2)]
+    return runs[0]
+
+
+def _merged_two(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    (values, counts), (others, more) = (a, b) if len(a[0]) >= len(b[0]) else (b, a)
+    at = np.searchsorted(values, others)
+    known = np.zeros(len(others), bool)
+    inside = at < len(values)
+    known[inside] = values[at[inside]] == others[inside]
+    counts = counts.copy()
+    counts[at[known]] += more[known]
+    return np.insert(values, at[~known], others[~known]), np.insert(counts, at[~known], more[~known])
 
 
 FILTER_SCHEMA = pa.schema([("range", pa.int32()), ("occupied", pa.binary()), ("run_ends", pa.binary()), ("remainders", pa.binary()), ("counts", pa.binary())])
