@@ -54,7 +54,10 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def forget(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of the tables written so far, which nothing reads any more."""
+        """Lets Spark's cleaner remove the shuffle files of the tables written so far, which nothing reads any more.
+
+        The session holds on to its last query until it runs another one, so a small one comes first."""
+        self.spark.range(1).count()
         gc.collect()
         self.spark._jvm.System.gc()
 
