@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import exact_dedup, html_extract, langid, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
+from gondola.llm import exact_dedup, html_extract, langid, line_dedup, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
 from gondola.llm.common import id_bucket, table
 
 
@@ -86,9 +86,34 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(spark, docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = """
+WITH s AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), l AS (
+    SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS place FROM s
+), k AS (
+    SELECT doc_id, line, place,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+    FROM l
+), f AS (
+    SELECT line_key, min(doc_id) AS first_id FROM k WHERE length(line_key) >= 10 GROUP BY line_key
+), d AS (
+    SELECT k.doc_id, k.line, k.place, f.first_id IS NOT NULL AND f.first_id <> k.doc_id AS gone FROM k LEFT JOIN f ON k.line_key = f.line_key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL, "op13_line_dedup": OP13_SQL}
