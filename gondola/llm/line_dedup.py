@@ -100,7 +100,7 @@ class LineIndex:
             least = [F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.bool_or(F.col("doc_id").isNull()).alias("unnamed")]
             own = batch.groupBy(*KEYS).agg(*least)
             own = own.select(*KEYS, "first", ((F.col("first") != F.col("last")) | (F.col("unnamed") & F.col("first").isNotNull())).alias("shared"))
-            mine = self._write(self._dealt(own.withColumn("shared", F.coalesce("shared", F.lit(False)))))
+            mine = self._write(own.withColumn("shared", F.coalesce("shared", F.lit(False))).repartition(self.buckets, *KEYS))
             fresh = self._read(mine)
             for run in self._runs():
                 fresh = fresh.join(self._read(run).select(*KEYS).hint("merge"), KEYS, "left_anti")
@@ -131,9 +131,10 @@ class LineIndex:
             if len(self.levels[k]) >= self.fanout:
                 full = self.levels[k]
                 whole = self._read(full[0])
-                for run in full[1:]:
-                    whole = whole.unionByName(self._read(run))
-                merged = self._write(self._dealt(whole))
+                for run in full[1:]:  # a merge of sorted runs, which share no key
+                    other = self._read(run).toDF(*KEYS, "first2", "shared2").hint("merge")
+                    whole = whole.join(other, KEYS, "full_outer").select(*KEYS, F.coalesce("first", "first2").alias("first"), F.coalesce("shared", "shared2").alias("shared"))
+                merged = self._write(whole)
                 if k + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[k] = []
@@ -141,9 +142,6 @@ class LineIndex:
                 for run in full:
                     self._forget(run)
 
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(self.buckets, *KEYS)
-
     def _write(self, rows: DataFrame) -> str:
         """A sorted run: one file for each bucket, if rows are dealt out as the buckets are."""
         self._made += 1

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import exact_dedup, html_extract, langid, line_dedup, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
+from gondola.llm import codes, exact_dedup, html_extract, langid, line_dedup, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
 from gondola.llm.common import id_bucket, table
 
 
@@ -86,6 +86,56 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(spark, docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.encode(spark, table(spark, sf_dir, "embeddings"))
+    return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op12_sql() -> str:
+    """One pair of CTEs (assignment, new codebook) for each round, and a last assignment."""
+    rounds = []
+    for k in range(codes.ROUNDS + 1):
+        rounds.append(f"""
+d{k} AS MATERIALIZED (
+    SELECT x.vec_id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS dist
+    FROM x JOIN c{k} AS c ON x.part = c.part AND x.place = c.place GROUP BY ALL
+), a{k} AS MATERIALIZED (
+    SELECT vec_id, part, entry, dist FROM d{k} QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY dist, entry) = 1
+)""")
+        if k < codes.ROUNDS:
+            rounds.append(f"""
+m{k} AS (
+    SELECT a.part, a.entry, x.place, sum(x.v)::HUGEINT AS s, count(*)::HUGEINT AS n
+    FROM a{k} AS a JOIN x ON a.vec_id = x.vec_id AND a.part = x.part GROUP BY ALL
+), c{k + 1} AS MATERIALIZED (
+    SELECT c.part, c.entry, c.place, CASE WHEN m.n IS NULL THEN c.v ELSE ((m.s - ((m.s % m.n) + m.n) % m.n) // m.n)::BIGINT END AS v
+    FROM c{k} AS c LEFT JOIN m{k} AS m ON c.part = m.part AND c.entry = m.entry AND c.place = m.place
+)""")
+    last = codes.ROUNDS
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, [CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS whole
+    FROM embeddings WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), u AS (
+    SELECT vec_id, len(whole) // {codes.PARTS} AS step, unnest(whole) AS v, generate_subscripts(whole, 1) - 1 AS spot FROM kept
+), x AS MATERIALIZED (
+    SELECT vec_id, spot // step AS part, spot % step AS place, v FROM u
+), f AS (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept ORDER BY vec_id LIMIT {codes.ENTRIES}
+), c0 AS MATERIALIZED (
+    SELECT x.part, f.entry, x.place, x.v FROM f JOIN x ON f.vec_id = x.vec_id
+),{",".join(rounds)}, e AS (
+    SELECT vec_id, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM a{last} GROUP BY vec_id
+)
+SELECT e.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY k.label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, place)) FROM c{last}) AS codebooks_sha256
+FROM e JOIN kept AS k ON e.vec_id = k.vec_id
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_dedup.dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -112,8 +162,8 @@ FROM d GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language, op12_vector_codes, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
