@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gondola.llm import codes, exact_dedup, html_extract, langid, line_dedup, packing, quality, secrets, segmentation, simhash, suffix_dedup, topk
+from gondola.llm import codes, exact_dedup, html_extract, langid, line_dedup, packing, quality, ranked_search, secrets, segmentation, simhash, suffix_dedup, topk
 from gondola.llm.common import id_bucket, table
 
 
@@ -86,6 +86,35 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(spark, docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, documents = ranked_search.build(spark, table(spark, sf_dir, "documents"))
+    return ranked_search.search(spark, index, documents, table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP11_SQL = f"""
+WITH t AS (
+    SELECT rid, doc_id, unnest({_TERMS}) AS term FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), p AS (
+    SELECT rid, doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), d AS (
+    SELECT rid, CAST(sum(tf) AS BIGINT) AS terms FROM p GROUP BY rid
+), s AS (
+    SELECT count(*) AS documents, CAST(sum(terms) AS BIGINT) AS total FROM d
+), w AS (
+    SELECT term, CAST(floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY term
+), q AS (
+    SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark
+), r AS (
+    SELECT item_id, rid, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * terms * documents) // total)))) AS BIGINT) AS score
+    FROM q JOIN w USING (term) JOIN p USING (term) JOIN d USING (rid), s GROUP BY ALL
+), o AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
+"""
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = codes.encode(spark, table(spark, sf_dir, "embeddings"))
     return codes.label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
@@ -162,8 +191,8 @@ FROM d GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language, op12_vector_codes, op13_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_simhash, op3_segmentation, op4_packing, op5_html, op6_secrets, op7_quality, op8_topk, op9_suffix_array, op10_language, op11_ranked_search, op12_vector_codes, op13_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op8_topk": OP8_SQL, "op11_ranked_search": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_line_dedup": OP13_SQL}
