@@ -103,11 +103,15 @@ class Warehouse:
 
     # tables
 
-    def write(self, df: DataFrame, *place: str) -> DataFrame:
+    def write(self, df: DataFrame, *place: str, by: list[str] | None = None) -> DataFrame:
         path = self.place(*place)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self, *place: str) -> None:
+        fs, path = self._file(*place)
+        fs.delete(path, True)
+
     def read(self, *place: str) -> DataFrame:
         return self.spark.read.parquet(self.place(*place))
 

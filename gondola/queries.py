@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
 import io
-import re
-import shutil
 import uuid
+import warnings
 import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from gondola.operators import dims, facts
 from gondola.operators.common import latest
 from gondola.plans import exports, gates, registry, semantic
 from gondola.plans.context import BuildContext
+from gondola.plans.warehouse import Warehouse
 from gondola.session import tune
 from gondola.sources import adapter, snapshots
 from gondola.sources.contract import COLUMNS
@@ -596,50 +595,104 @@ def typed_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(typed.select("p_partkey", "productos_ean", "gtin14", "product_code_scope", "producto_descripcion_normalizada", "cantidad_presentacion", "unidad_presentacion", "precio_lista", "precio_lista_valido"))
 
 
-def _archive(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """An archive of a package for each region, with the transport damage that the contract lets pass, in a folder that all
-    executors share; its stores are the nations."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = Path(re.sub("^file:/*", "/", named), f"gondola-archive-{uuid.uuid4().hex}")
-    folder.mkdir(parents=True)
-    atexit.register(shutil.rmtree, folder, True)
-    nations = adapter.read(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # 25 rows at every size
-    date, path = "2026-08-02", str(folder / "sepa_x.zip")
-    blank = {name: [""] * len(columns) for name, columns in COLUMNS.items()}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as outer:
-        for region in sorted({r.n_regionkey for r in nations}):
-            inner, own = io.BytesIO(), [r for r in nations if r.n_regionkey == region]
-            with zipfile.ZipFile(inner, "w") as z:
-                for name, columns in COLUMNS.items():
-                    lines = ["﻿" + "|".join(columns)]
-                    for r in own if name == "sucursales.csv" else own[:1]:
-                        row = [str(region), "1", str(r.n_nationkey), f'"{r.n_name}"' if r.n_nationkey % 2 else r.n_name + "\0", *blank[name][4:]]
-                        broken = r.n_nationkey % 3 == 0
-                        lines += ["|".join(row[:6]), "|" + "|".join(row[6:]), ""] if broken else ["|".join(row)]
-                    lines += ["Última actualización: 2026-08-02"] * (region % 2)
-                    z.writestr(f"folder/{name.upper()}" if region == 1 else name, "\r\n".join(lines) + "\r\n")
-            outer.writestr(f"{date}/package-{region}.zip", inner.getvalue())
-        outer.writestr(f"{date}/x_comercio-sepa-36_{date}.zip", b"")
-    return path, date
-
-
-@query("SELECT 'package-' || n_regionkey || '.zip' AS source_package, CAST(n_regionkey AS VARCHAR) AS id_comercio, CAST(n_nationkey AS VARCHAR) AS id_sucursal, n_name AS sucursales_nombre FROM nation")
-def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The store files of a nested archive with quoted fields, null bytes, joined lines, blank lines, notices and an empty package."""
-    path, date = _archive(spark, sf_dir)
-    return snapshots.scan(spark, path, date, "sucursales.csv").select("source_package", "id_comercio", "id_sucursal", "sucursales_nombre")
+#: Order keys of a package: its size is fixed, their number grows with the table.
+_PACKAGE = 4096
+
+
+def _zipped(files: list[tuple[str, bytes]]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of names that come twice, on purpose
+        for name, data in files:
+            z.writestr(name, data)
+    return out.getvalue()
+
+
+def _csv(name: str, rows: list[list[str]], tail: str = "") -> bytes:
+    lines = ["|".join(COLUMNS[name]), *("|".join(r + [""] * (len(COLUMNS[name]) - len(r))) for r in rows)]
+    return ("﻿" + "\r\n".join(lines) + "\r\n" + tail).encode()
+
 
+def _priced_package(key: tuple, rows: pa.Table) -> pa.Table:
+    """A package whose price file holds the order lines of a range of keys, with all the transport damage that the contract lets pass."""
+    package, lines = key[0].as_py(), []
+    for order, line, part, supplier, price in sorted(zip(*(rows[c].to_pylist() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "price")))):
+        text = {2: f'"Part ""{part}"" | {line}"', 3: f"Ñandú\0 {part}"}.get(line, f"Part {part}")
+        record = [str(package), "1", str(supplier), str(20_000_000 + part), "0", text, "", "", f"{order}-{line}", price]
+        whole = "|".join(record + [""] * 7)
+        if line == 4:  # cut where a field ends
+            head, tail = whole.split(f"|{order}-", 1)
+            whole = f"{head}\n|{order}-{tail}\r\n  "
+        lines.append(whole)
+    prices = _csv("productos.csv", [], "\r\n".join(lines) + "\r\n" + "Última actualización: 2026-08-02\r\n" * (package % 2))
+    stores = [[str(package), "1", str(s), f"Store {s}"] for s in sorted(set(rows["l_suppkey"].to_pylist()))]
+    files = [("comercio.csv", _csv("comercio.csv", [[str(package), "1", "30-1", "Firm"]])), ("sucursales.csv", _csv("sucursales.csv", stores)), ("deep/PRODUCTOS.csv", prices)]
+    return pa.table({"source_package": [f"package-{package}.zip"], "content": pa.array([_zipped(files)], pa.binary())})
 
-@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation), f AS (SELECT unnest(['comercio.csv', 'sucursales.csv', 'productos.csv']) AS file)
-SELECT 'package-' || n_regionkey || '.zip' AS package, file, count(*) AS rows, CAST(any_value(n_regionkey % 2) AS BIGINT) AS footers, count(*) FILTER (WHERE n_nationkey % 2 = 0) AS nulls, count(*) FILTER (WHERE n_nationkey % 3 = 0) AS joined
-FROM n JOIN f ON file = 'sucursales.csv' OR k = 1 GROUP BY n_regionkey, file""")
+
+def _priced_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = adapter.read(spark, sf_dir, "lineitem").select(
+        F.floor(F.col("l_orderkey") / _PACKAGE).alias("package"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.format_string("%.2f", "l_extendedprice").alias("price")
+    )
+    return rows.groupBy("package").applyInArrow(_priced_package, "source_package string, content binary")
+
+
+_PACKAGE_SQL = f"""WITH l AS (SELECT 'package-' || (l_orderkey // {_PACKAGE}) || '.zip' AS source_package, l_orderkey // {_PACKAGE} AS package, * FROM lineitem)"""
+
+
+@query(f"""{_PACKAGE_SQL}
+SELECT source_package, CAST(package AS VARCHAR) AS id_comercio, CAST(l_suppkey AS VARCHAR) AS id_sucursal, CAST(20000000 + l_partkey AS VARCHAR) AS id_producto, l_orderkey || '-' || l_linenumber AS productos_marca,
+       CASE l_linenumber WHEN 2 THEN 'Part "' || l_partkey || '" | 2' WHEN 3 THEN 'Ñandú ' || l_partkey ELSE 'Part ' || l_partkey END AS productos_descripcion, printf('%.2f', l_extendedprice) AS productos_precio_lista, '' AS productos_leyenda_promo2
+FROM l""")
+def snapshot_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price files of an archive of all order lines: quoted separators and quotes, null bytes, records over two lines,
+    blank lines, notices, file names in other folders and cases."""
+    blocks = snapshots.from_packages(_priced_packages(spark, sf_dir), ["productos.csv"])
+    return snapshots.records(blocks, "productos.csv").select("source_package", "id_comercio", "id_sucursal", "id_producto", "productos_marca", "productos_descripcion", "productos_precio_lista", "productos_leyenda_promo2")
+
+
+@query(f"""{_PACKAGE_SQL}, p AS (
+    SELECT source_package, any_value(package) AS package, count(*) AS n, count(DISTINCT l_suppkey) AS stores, count(*) FILTER (WHERE l_linenumber = 3) AS nulls, count(*) FILTER (WHERE l_linenumber = 4) AS joined FROM l GROUP BY source_package
+)
+SELECT source_package, file_name, CASE file_name WHEN 'productos.csv' THEN n WHEN 'sucursales.csv' THEN stores ELSE 1 END AS source_rows, CASE file_name WHEN 'productos.csv' THEN n WHEN 'sucursales.csv' THEN stores ELSE 1 END AS loaded_rows,
+       CASE file_name WHEN 'productos.csv' THEN package % 2 ELSE 0 END AS footer_rows, CASE file_name WHEN 'productos.csv' THEN nulls ELSE 0 END AS null_bytes_removed, CASE file_name WHEN 'productos.csv' THEN joined ELSE 0 END AS reconstructed_lines, 'success' AS status
+FROM p, (SELECT unnest(['comercio.csv', 'sucursales.csv', 'productos.csv']) AS file_name)""")
 def snapshot_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the sanitizer counted in each file of the archive: records, notices, null bytes, joined lines."""
-    path, date = _archive(spark, sf_dir)
-    with zipfile.ZipFile(path) as outer:
-        names = [p.filename for p in snapshots.packages(outer, date) if p.file_size]
-    found = [(n.split("/")[-1], *rest) for n, *rest in snapshots.measured(spark, path, names, snapshots.Limits())]
-    return spark.createDataFrame(found, "package string, file string, rows long, footers long, nulls long, joined long")
+    """A load of that archive: the log of what the cleaning counted against the rows of the typed tables it wrote."""
+    store = Warehouse(spark, f"{_shared(spark)}/gondola-load-{uuid.uuid4().hex}")
+    log = snapshots.load_tables(snapshots.from_packages(_priced_packages(spark, sf_dir)), store.write, "run", "2026-08-02")
+    return tidy(log.drop("ingest_run_id", "snapshot_date"))
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder all executors share."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
+
+
+def _broken_package(key: int) -> bytes:
+    """A package with one fault, by the supplier's key; every tenth has none."""
+    name, kind = "sucursales.csv", key % 10
+    good = _csv(name, [[str(key), "1", "1"]])
+    columns, row = list(COLUMNS[name]), "|".join(["x"] * 21)
+    heads = {1: columns[1::-1] + columns[2:], 2: columns[1:], 3: [*columns, "extra"], 4: [*columns[:-1], columns[0]]}
+    if kind in heads:
+        return _zipped([(name, f"{'|'.join(heads[kind])}\n{row}\n".encode())])
+    bodies = {5: b"", 6: "|".join(columns).encode()}
+    files = [("a/" + name, bodies.get(kind, good))] if kind != 7 else [("other.csv", good)]
+    return _zipped(files + [("b/" + name, good)] * (kind == 8) + [("zeros", b"0" * 400_000)] * (kind == 9))
+
+
+@query("""SELECT 'package-' || s_suppkey || '.zip' AS source_package, CASE WHEN s_suppkey % 10 = 9 THEN NULL ELSE 'sucursales.csv' END AS file_name,
+       CASE s_suppkey % 10 WHEN 1 THEN 'header: the columns are in another order' WHEN 2 THEN 'header: id_comercio is missing' WHEN 3 THEN 'header: extra is unknown'
+            WHEN 4 THEN 'header: sucursales_domingo_horario_atencion is missing; id_comercio comes 2 times' WHEN 5 THEN 'empty file: no header' WHEN 6 THEN 'no data records'
+            WHEN 7 THEN 'sucursales.csv: missing' WHEN 8 THEN 'sucursales.csv: more than one' ELSE 'zeros: suspicious compression ratio' END AS fault
+FROM supplier WHERE s_suppkey % 10 <> 0""")
+def snapshot_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What breaks the contract in an archive of a package for each supplier: headers, empty and missing members, a bomb."""
+    make = F.udf(_broken_package, "binary")
+    rows = adapter.read(spark, sf_dir, "supplier").select(F.format_string("package-%d.zip", "s_suppkey").alias("source_package"), make("s_suppkey").alias("content"))
+    blocks = snapshots.from_packages(rows, ["sucursales.csv"], snapshots.Limits(ratio=100))
+    return blocks.filter("fault IS NOT NULL").select("source_package", "file_name", "fault")
 
 
 # Operators ------------------------------------------------------------------------------------------------------------

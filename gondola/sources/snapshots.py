@@ -1,8 +1,12 @@
 """Nested-ZIP snapshots as a Spark data source, typed loaders, and the load of one date.
 
-`spark.read.format("gondola_snapshot")` reads one member file of every inner package of an outer archive, one input
-partition for each package, all columns as text. The archive's path must be readable by every executor; executors
-stream the member and never hold it whole.
+Reading has two steps. Python only unpacks: `spark.read.format("gondola_snapshot")` (an input partition for each inner
+package of an outer archive whose path every executor can read) or `from_packages` (packages as rows of a table, from
+any store) open each package once and stream its files as clean blocks of whole records, with what was counted on the way;
+what breaks the contract is a row that says so. The rest is the JVM's: `records` splits the blocks and hands their lines
+to Spark's CSV parser, strictly (FAILFAST), so one large file is parsed by as many tasks as it has blocks.
+
+A load stages the blocks and observes, in the writes themselves, how many records went out and how many rows came in.
 """
 
 from __future__ import annotations
@@ -10,16 +14,16 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import io
-import itertools
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from pathlib import Path, PurePosixPath
+from typing import BinaryIO
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,13 +31,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from gondola.functions import codes, units
 from gondola.functions.text import blank_to_null, folded_upper, number
 from gondola.plans.warehouse import Warehouse
-from gondola.sources.contract import COLUMNS, ContractError, Sanitizer
+from gondola.sources.contract import COLUMNS, QUOTE, SEPARATOR, ContractError, Sanitizer
 
 FORMAT = "gondola_snapshot"
 #: Packages that may be of zero bytes.
 EMPTY_ALLOWED = r"comercio-sepa-36_"
-#: Records that a reader hands on at once.
-BATCH = 5_000
 MEMBERS = {"comercio.csv": "commerce_snapshot", "sucursales.csv": "store_snapshot", "productos.csv": "fact_price"}
 
 
@@ -94,16 +96,42 @@ class PackagePartition(InputPartition):
     size: int
 
 
-def open_package(path: str, package: str, limits: Limits) -> zipfile.ZipFile:
-    with zipfile.ZipFile(path) as outer:
-        inner = zipfile.ZipFile(io.BytesIO(outer.read(package)))  # compressed bytes of one package
-    check_archive(inner, limits)
-    return inner
+#: A block of a file, with what its cleaning counted; fault says what breaks the contract, file_name is null for a whole package.
+STAGED = "source_package string, file_name string, block long, records long, footer_rows long, null_bytes_removed long, reconstructed_lines long, fault string, text binary"
+_STAGED = pa.schema([("source_package", pa.string()), ("file_name", pa.string()), *((c, pa.int64()) for c in ("block", "records", "footer_rows", "null_bytes_removed", "reconstructed_lines")), ("fault", pa.string()), ("text", pa.binary())])
+
+
+def _row(*values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _STAGED)], schema=_STAGED)
+
+
+def unpacked(package: str, source: Callable[[], BinaryIO], names: list[str], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """The blocks of a package's files, one row a batch; its compressed bytes are read once."""
+    try:
+        inner = zipfile.ZipFile(source())
+        check_archive(inner, limits)
+    except (ContractError, zipfile.BadZipFile) as error:
+        yield _row(package, None, -1, 0, 0, 0, 0, str(error), None)
+        return
+    with inner:
+        for name in names:
+            cleaner, block, before = Sanitizer(COLUMNS[name]), 0, (0, 0, 0)
+            counted = lambda: (cleaner.metrics.footer_rows, cleaner.metrics.null_bytes_removed, cleaner.metrics.reconstructed_lines)  # noqa: B023, E731
+            try:
+                with inner.open(member(inner, name)) as file:
+                    for rows, text in cleaner.blocks(file):
+                        now = counted()
+                        yield _row(package, name, block, rows, *(b - a for a, b in zip(before, now)), None, text)
+                        block, before = block + 1, now
+                if counted() != before:  # a notice or null bytes after the last block
+                    yield _row(package, name, block, 0, *(b - a for a, b in zip(before, counted())), None, None)
+            except (ContractError, zipfile.BadZipFile) as error:
+                yield _row(package, name, -1, 0, 0, 0, 0, str(error), None)
 
 
 class SnapshotReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.date, self.name = options["path"], options["date"], options["member"]
+        self.path, self.date, self.names = options["path"], options["date"], options["files"].split(",")
         self.limits = Limits(*(type(d)(options.get(k.replace("_", ""), d)) for k, d in vars(Limits()).items()))
         self.empty = options.get("emptyallowed", EMPTY_ALLOWED)
 
@@ -118,30 +146,68 @@ class SnapshotReader(DataSourceReader):
             return out
 
     def read(self, partition: PackagePartition):
-        with open_package(partition.path, partition.package, self.limits) as inner, inner.open(member(inner, self.name)) as source:
-            package, names = PurePosixPath(partition.package).name, ["source_package", *COLUMNS[self.name]]
-            records = Sanitizer(COLUMNS[self.name]).records(source)
-            while held := list(itertools.islice(records, BATCH)):
-                yield pa.RecordBatch.from_arrays([pa.array([package] * len(held), pa.string()), *(pa.array(c, pa.string()) for c in zip(*held))], names=names)
+        def source() -> BinaryIO:
+            with zipfile.ZipFile(partition.path) as outer:
+                return io.BytesIO(outer.read(partition.package))
+
+        yield from unpacked(PurePosixPath(partition.package).name, source, self.names, self.limits)
 
 
 class SnapshotSource(DataSource):
-    """Options: path (of the outer archive), date, member, and the limits' names."""
+    """Options: path (of the outer archive), date, files (names, comma-joined), and the limits' names."""
 
     @classmethod
     def name(cls) -> str:
         return FORMAT
 
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c, T.StringType()) for c in ("source_package", *COLUMNS[self.options["member"]])])
+    def schema(self) -> str:
+        return STAGED
 
     def reader(self, schema: T.StructType) -> SnapshotReader:
         return SnapshotReader(dict(self.options))
 
 
-def scan(spark: SparkSession, path: str, date: str, name: str, **options: object) -> DataFrame:
+def staged(spark: SparkSession, path: str, date: str, names: Iterable[str] = tuple(MEMBERS), **options: object) -> DataFrame:
+    """Blocks of an archive's files."""
     spark.dataSource.register(SnapshotSource)
-    return spark.read.format(FORMAT).options(date=date, member=name, **{k.replace("_", ""): str(v) for k, v in options.items()}).load(path)
+    return spark.read.format(FORMAT).options(date=date, files=",".join(names), **{k.replace("_", ""): str(v) for k, v in options.items()}).load(path)
+
+
+def from_packages(rows: DataFrame, names: Iterable[str] = tuple(MEMBERS), limits: Limits = Limits()) -> DataFrame:
+    """Blocks of the files of packages that are rows: source_package, content (the ZIP's bytes; of a binaryFile scan, for instance)."""
+    names = list(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for package, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from unpacked(package, lambda: io.BytesIO(content.as_buffer()), names, limits)  # noqa: B023
+
+    return rows.select("source_package", "content").mapInArrow(run, STAGED)
+
+
+#: A record whose quotes are closed and doubled within quoted fields; a quote within an unquoted field is a letter as any other.
+_FIELD = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^"|\r][^|\r]*+|)'
+STRICT = rf"\A{_FIELD}(?:\|{_FIELD})*+\z"
+
+
+def records(blocks: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
+    """source_package and the columns of a file, all as text. Faults, quotes left open, other numbers of fields than columns
+    and bytes that are no UTF-8 are errors."""
+    columns = COLUMNS[name] if columns is None else columns
+    rows = blocks.filter((F.col("file_name") == name) | F.col("file_name").isNull())
+    said = F.concat_ws(": ", "source_package", F.coalesce("file_name", F.lit("package")), "fault")
+    rows = rows.select("source_package", F.when(F.col("fault").isNotNull(), F.raise_error(said).cast("string")).otherwise(F.validate_utf8(F.col("text").cast("string"))).alias("text"))
+    lines = rows.filter(F.col("text").isNotNull()).select("source_package", F.explode(F.split("text", "\n")).alias("line"))
+    odd = (F.contains("line", F.lit(QUOTE)) | F.contains("line", F.lit("\r"))) & ~F.col("line").rlike(STRICT)
+    line = F.when(odd, F.raise_error(F.concat(F.lit("record that can't be read: "), "source_package", F.lit("/" + name))).cast("string")).otherwise(F.col("line"))
+    kind = ", ".join(f"`{c}` string" for c in columns)
+    parsed = lines.select("source_package", F.from_csv(line, kind, {"sep": SEPARATOR, "quote": QUOTE, "escape": QUOTE, "mode": "FAILFAST", "maxCharsPerColumn": "-1"}).alias("parsed"))
+    return parsed.select("source_package", *[F.coalesce(F.col("parsed")[c], F.lit("")).alias(c) for c in columns])
+
+
+def scan(spark: SparkSession, path: str, date: str, name: str, **options: object) -> DataFrame:
+    """The records of one file of all packages of an archive."""
+    return records(staged(spark, path, date, [name], **options), name)
 
 
 # Typing: structure is strict, values are tolerant ----------------------------------------------------------------------
@@ -191,33 +257,43 @@ LOADERS = {"comercio.csv": commerce, "sucursales.csv": stores, "productos.csv":
 LOG = "ingest_run_id string, snapshot_date date, source_package string, file_name string, source_rows long, loaded_rows long, footer_rows long, null_bytes_removed long, reconstructed_lines long, status string"
 
 
-def measure(path: str, package: str, limits: Limits = Limits()) -> list[tuple]:
-    """(file, rows, footers, null bytes, joined lines) of a package's three files; raises if one breaks the contract."""
-    out = []
-    with open_package(path, package, limits) as inner:
-        for name in MEMBERS:
-            reader = Sanitizer(COLUMNS[name])
-            with inner.open(member(inner, name)) as source:
-                for _ in reader.records(source):
-                    pass
-            m = reader.metrics
-            out.append((name, m.source_rows, m.footer_rows, m.null_bytes_removed, m.reconstructed_lines))
-    return out
-
+def reconciled(blocks: DataFrame, tables: dict[str, DataFrame], run_id: str, date: str) -> DataFrame:
+    """The ingestion log: for each package and file what the cleaning counted, and the rows its table has. tables: by file name."""
+    counts = [F.sum(c).alias(n) for c, n in (("records", "source_rows"), ("footer_rows", "footer_rows"), ("null_bytes_removed", "null_bytes_removed"), ("reconstructed_lines", "reconstructed_lines"))]
+    source = blocks.filter("fault IS NULL").groupBy("source_package", "file_name").agg(*counts)
+    have = None
+    for name, rows in tables.items():
+        n = rows.groupBy("source_package").agg(F.count(F.lit(1)).alias("loaded_rows")).withColumn("file_name", F.lit(name))
+        have = n if have is None else have.unionByName(n)
+    joined = source.join(have, ["source_package", "file_name"], "full_outer")
+    none = F.lit(0).cast("long")
+    return joined.select(
+        F.lit(run_id).alias("ingest_run_id"), F.lit(dt.date.fromisoformat(date)).alias("snapshot_date"), "source_package", "file_name", F.coalesce("source_rows", none).alias("source_rows"),
+        F.coalesce("loaded_rows", none).alias("loaded_rows"), "footer_rows", "null_bytes_removed", "reconstructed_lines", F.lit("success").alias("status"),
+    )
 
-def measured(spark: SparkSession, path: str, names: list[str], limits: Limits) -> list[tuple]:
-    """`measure` of all packages on the executors, a task for each: three rows for each package come back."""
-    if not names:
-        return []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, *m) for p in batch.column(0).to_pylist() for m in measure(path, p, limits)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["package", "file", "rows", "footers", "nulls", "joined"])
-
-    dealt = spark.createDataFrame([(n,) for n in names], "package string").repartition(len(names), "package")
-    return [tuple(r) for r in dealt.mapInArrow(run, "package string, file string, rows long, footers long, nulls long, joined long").collect()]
+def load_tables(blocks: DataFrame, write: Callable[[DataFrame, str], DataFrame], run_id: str, date: str) -> DataFrame:
+    """Writes the typed tables of staged blocks; returns the ingestion log.
+
+    blocks is handed on by write() first, with the records of each file observed in that write; each table's write
+    observes its rows. A table that has more or fewer rows than records is an error, whatever lost them."""
+    out = Observation()
+    sums = [F.sum(F.when(F.col("file_name") == name, F.col("records")).otherwise(0)).alias(name) for name in MEMBERS]
+    blocks = write(blocks.observe(out, F.count("fault").alias("faults"), *sums), "staging")
+    if out.get["faults"]:
+        first = blocks.filter("fault IS NOT NULL").orderBy("source_package", "file_name").limit(20).collect()
+        raise ContractError("; ".join(f"{r.source_package}/{r.file_name or ''}: {r.fault}" for r in first))
+    tables = {}
+    for name, table in MEMBERS.items():
+        into = Observation()
+        tables[name] = write(LOADERS[name](records(blocks, name), run_id, date).observe(into, F.count(F.lit(1)).alias("rows")), table)
+        if into.get["rows"] != (out.get[name] or 0):
+            raise ContractError(f"{name}: {out.get[name]} records, {into.get['rows']} loaded")
+    log = write(reconciled(blocks, tables, run_id, date), "ingestion_log")
+    for r in log.filter("source_rows <> loaded_rows").limit(1).collect():
+        raise ContractError(f"{r.source_package}/{r.file_name}: {r.source_rows} records, {r.loaded_rows} loaded")
+    return log
 
 
 def sha256(path: str | Path) -> str:
@@ -244,20 +320,15 @@ def load(store: Warehouse, path: str, date: str, force: bool = False, limits: Li
         for p in empty:
             if not re.search(EMPTY_ALLOWED, p.filename):
                 raise ContractError(f"{p.filename}: empty")
-        whole = [p.filename for p in found if p.file_size]
-        metrics = measured(spark, path, whole, limits)
-        tables = {}
-        for name, table in MEMBERS.items():
-            tables[table] = store.write(LOADERS[name](scan(spark, path, date, name, **vars(limits)), run_id, date), "sources", run_id, table)
-        loaded = {name: {r["source_package"]: r["n"] for r in tables[t].groupBy("source_package").agg(F.count(F.lit(1)).alias("n")).collect()} for name, t in MEMBERS.items()}
-        log = []
-        for package, name, rows, footers, nulls, joined in metrics:
-            have = loaded[name].get(PurePosixPath(package).name, 0)
-            if have != rows:
-                raise ContractError(f"{package}/{name}: {rows} records, {have} loaded")
-            log.append((run_id, dt.date.fromisoformat(date), PurePosixPath(package).name, name, rows, have, footers, nulls, joined, "success"))
-        log += [(run_id, dt.date.fromisoformat(date), PurePosixPath(p.filename).name, "", 0, 0, 0, 0, 0, "source_empty") for p in empty]
-        store.write(spark.createDataFrame(log, LOG), "sources", run_id, "ingestion_log")
+        gone = [(run_id, dt.date.fromisoformat(date), PurePosixPath(p.filename).name, "", 0, 0, 0, 0, 0, "source_empty") for p in empty]
+
+        def write(rows: DataFrame, name: str) -> DataFrame:
+            if name == "ingestion_log":
+                rows = rows.unionByName(spark.createDataFrame(gone, LOG))
+            return store.write(rows, "sources", run_id, name, by=["file_name"] if name == "staging" else [])
+
+        load_tables(staged(spark, path, date, **vars(limits)), write, run_id, date)
+        store.drop("sources", run_id, "staging")
         store.activate(date, run_id=run_id, sha256=digest, path=str(path), packages=len(found))
         store.log(run_id, "success")
         return run_id

@@ -104,6 +104,25 @@ def test_failures_leave_the_published_build(built, spark):
     assert snapshots.load(store, str(path), date, force=True) != run
 
 
+def test_a_lost_row_fails_the_load(spark, tmp_path, monkeypatch):
+    date = s.DATES[0]
+    path = s.archive(tmp_path / "raw", date, banners=[0, 1], more={f"{date}/x_comercio-sepa-36_{date}.zip": b""})
+    store = Warehouse(spark, tmp_path / "warehouse")
+    whole = snapshots.LOADERS["productos.csv"]
+    monkeypatch.setitem(snapshots.LOADERS, "productos.csv", lambda rows, *a: whole(rows, *a).filter("NOT (id_comercio = '12' AND id_sucursal = '7' AND gtin14 = '07790742363008')"))
+    with pytest.raises(ContractError, match="320 records, 319 loaded"):
+        snapshots.load(store, str(path), date)
+    assert not store.snapshots
+    monkeypatch.undo()
+    run = snapshots.load(store, str(path), date)
+    log = store.read("sources", run, "ingestion_log")
+    assert sorted((r.file_name, r.source_rows, r.loaded_rows, r.footer_rows, r.status) for r in log.collect()) == sorted(
+        [("", 0, 0, 0, "source_empty"), *[("comercio.csv", 1, 1, 1, "success")] * 2, *[("sucursales.csv", 20, 20, 1, "success")] * 2, *[("productos.csv", 160, 160, 1, "success")] * 2]
+    )
+    plan = snapshots.scan(spark, str(path), date, "productos.csv")._jdf.queryExecution().executedPlan().toString()
+    assert "from_csv" in plan and plan.count("BatchScan") + plan.count("Scan gondola") >= 1
+
+
 def test_store_boundary_and_geography(spark, tmp_path):
     def change(k, files):
         if k in (0, 1, 2):

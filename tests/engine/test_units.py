@@ -3,6 +3,8 @@ import io
 import zipfile
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gondola.functions import codes, stats, text, units
@@ -37,20 +39,32 @@ def test_quantiles(spark):
     assert str(cut.agg(stats.median(F.col("x"), stats.kind(cut, "x"))).first()[0]) == "25.0000"
 
 
-def run(data: bytes, columns):
+def run(spark, data: bytes, columns, size=7):
+    """The records, in order, by way of blocks of some bytes and Spark's parser; and the metrics."""
     s = Sanitizer(columns)
-    return list(s.records(io.BytesIO(data))), s.metrics
-
-
-def test_sanitizer():
-    rows, m = run(b"\xef\xbb\xbfid|value\n1|o\0k\n\n2|also_ok\nUltima actualizacion: 2026\n", ["id", "value"])
-    assert rows == [["1", "ok"], ["2", "also_ok"]] and (m.source_rows, m.footer_rows, m.null_bytes_removed, m.reconstructed_lines) == (2, 1, 1, 0)
-    rows, m = run("a|b|c|d\n1|2\n|3\n|4\n Última  actualización : hoy\n".encode(), list("abcd"))
-    assert rows == [["1", "2", "3", "4"]] and m.reconstructed_lines == 2
-    assert run(b"a|b\n1|2\nactualizacion pendiente|\n", ["a", "b"])[0][1] == ["actualizacion pendiente", ""]
-    for bad in (b"b|a\n1|2\n", b"a\n1\n", b"a|b|c\n1|2|3\n", b"a|a\n1|2\n", b"", b"a|b\n", b'a|b\n1|"x\n', b"a|b\nUltima actualizacion: x\n1|2\n"):
+    blocks = [("p", "f", None, bytearray(b)) for _, b in s.blocks(io.BytesIO(data), size)]
+    rows = snapshots.records(spark.createDataFrame(blocks, "source_package string, file_name string, fault string, text binary").coalesce(1), "f", columns)
+    return [list(r)[1:] for r in rows.collect()], s.metrics
+
+
+def test_sanitizer(spark):
+    for size in (3, 1 << 20):
+        rows, m = run(spark, b"\xef\xbb\xbfid|value\n1|o\0k\n\n2|also_ok\nUltima actualizacion: 2026\n", ["id", "value"], size)
+        assert rows == [["1", "ok"], ["2", "also_ok"]] and (m.source_rows, m.footer_rows, m.null_bytes_removed, m.reconstructed_lines) == (2, 1, 1, 0)
+        rows, m = run(spark, "a|b|c|d\n1|2\n|3\n|4\n Última  actualización : hoy\n".encode(), list("abcd"), size)
+        assert rows == [["1", "2", "3", "4"]] and m.reconstructed_lines == 2
+    assert run(spark, b"a|b\n1|2\nactualizacion pendiente|\n", ["a", "b"])[0][1] == ["actualizacion pendiente", ""]
+    quoted = b'a|b|c\r\n"x|""y"""|5" pipe|""\r\n"1|2\r\n'
+    with pytest.raises(PySparkException, match="can't be read"):
+        run(spark, quoted, list("abc"))
+    rows, m = run(spark, quoted[:-6] + b'"1|2"\r\n|\xc3\xb1\r\n|\\\r\n', list("abc"))
+    assert rows == [['x|"y"', '5" pipe', ""], ["1|2", "ñ", "\\"]] and m.reconstructed_lines == 2
+    for bad in (b"b|a\n1|2\n", b"a\n1\n", b"a|b|c\n1|2|3\n", b"a|a\n1|2\n", b"", b"a|b\n"):
         with pytest.raises(ContractError):
-            run(bad, ["a", "b"])
+            run(spark, bad, ["a", "b"])
+    for bad in (b'a|b\n1|"x\n', b"a|b\nUltima actualizacion: x\n1|2\n", b"a|b\n1|2|3\n", b"a|b\n1|\xff\n", b'a|b\n1|"x"y\n', b"a|b\n1|x\ry\n"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            run(spark, bad, ["a", "b"])
     assert not is_notice(b"actualizacion pendiente") and not is_notice(b"ultima actualizacion:") and not is_notice(b"la ultima actualizacion: x")
     assert is_notice("  \u00daLTIMA\tactualizaci\u00f3n :2026-08-02T06:00:00".encode()) and not is_notice(b"ultima actualizacion: a|b")
 
