@@ -40,7 +40,7 @@ def temporal_jump(ctx: BuildContext, prices: DataFrame) -> DataFrame:
     return rows.withColumns({"severity": _severity(ctx, F.col("price_ratio")), "anomaly_type": F.lit("TEMPORAL_JUMP")}).select(*OUT)
 
 
-@mart("quality_price_anomaly_daily", ("fct_analysis_price_store_daily",), (*KEYS, "anomaly_type"), fan_out=True)
+@mart("quality_price_anomaly_daily", ("fct_analysis_price_store_daily",), (*KEYS, "anomaly_type"), fan_out=True, lag=1)
 def quality_price_anomaly_daily(ctx: BuildContext, t: Tables) -> DataFrame:
     prices = t["fct_analysis_price_store_daily"].select(*KEYS, "list_price")
     return cross_section(ctx, prices).unionByName(temporal_jump(ctx, prices))

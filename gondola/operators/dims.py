@@ -59,10 +59,16 @@ def dim_store_daily(ctx: BuildContext, t: Tables) -> DataFrame:
 VARIANT = ["gtin14", "producto_descripcion", "producto_descripcion_normalizada", "marca", "cantidad_presentacion", "unidad_presentacion"]
 
 
-@mart("dim_product_variant_asof", ("fact_price", "build_inputs"), ("build_id", *VARIANT))
-def dim_product_variant_asof(ctx: BuildContext, t: Tables) -> DataFrame:
+@mart("agg_product_variant_daily", ("fact_price", "build_inputs"), (*DAY, *VARIANT))
+def agg_product_variant_daily(ctx: BuildContext, t: Tables) -> DataFrame:
+    """How often each date has a product in each of its writings: what the window's variants are summed from."""
     rows = pinned(ctx, t, "fact_price").filter(F.col("product_code_scope") == GLOBAL_GTIN)
-    variants = rows.groupBy("build_id", *VARIANT).agg(F.count(F.lit(1)).alias("observations"), F.max("snapshot_date").alias("last_seen"), F.max("source_package").alias("last_package"))
+    return rows.groupBy(*DAY, *VARIANT).agg(F.count(F.lit(1)).alias("observations"), F.max("source_package").alias("last_package"))
+
+
+@mart("dim_product_variant_asof", ("agg_product_variant_daily",), ("build_id", *VARIANT))
+def dim_product_variant_asof(ctx: BuildContext, t: Tables) -> DataFrame:
+    variants = t["agg_product_variant_daily"].groupBy("build_id", *VARIANT).agg(F.sum("observations").alias("observations"), F.max("snapshot_date").alias("last_seen"), F.max("last_package").alias("last_package"))
     size, unit = F.col("cantidad_presentacion"), F.col("unidad_presentacion")
     return variants.withColumns({"cantidad_base": base_quantity(size, unit), "unidad_base": base_unit(unit)})
 

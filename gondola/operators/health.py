@@ -44,12 +44,12 @@ def _against_window(ctx: BuildContext, df: DataFrame, by: list[str]) -> DataFram
     })
 
 
-@mart("mart_snapshot_health", ("mart_quality_daily",), (*DAY,))
+@mart("mart_snapshot_health", ("mart_quality_daily",), (*DAY,), windowed=("source_healthy",))
 def mart_snapshot_health(ctx: BuildContext, t: Tables) -> DataFrame:
     return _against_window(ctx, t["mart_quality_daily"], ["build_id"])
 
 
-@mart("mart_banner_day_health", ("fct_global_price_store_daily", "dim_banner_scope"), (*SCOPED, *BANNER), fan_out=True)
+@mart("mart_banner_day_health", ("fct_global_price_store_daily", "dim_banner_scope"), (*SCOPED, *BANNER), fan_out=True, windowed=("scope_version", *BANNER, "source_healthy"))
 def mart_banner_day_health(ctx: BuildContext, t: Tables) -> DataFrame:
     """A row for every date of the window and banner of the scope, zero where nothing was reported."""
     actual = t["fct_global_price_store_daily"].groupBy("snapshot_date", *BANNER).agg(F.count(F.lit(1)).alias("source_rows"), F.count_distinct("id_sucursal").alias("reporting_stores"), F.count_distinct("gtin14").alias("reported_gtins"))

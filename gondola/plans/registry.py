@@ -25,14 +25,23 @@ class Mart:
     build: Callable[[BuildContext, Tables], DataFrame]
     #: Read by several others, so written before they run.
     fan_out: bool = False
+    #: For a mart with dates whose rows depend on the whole window: the columns that other marts' dates take from it.
+    windowed: tuple[str, ...] = ()
+    #: Dates before its own that a date's rows are made from.
+    lag: int = 0
+
+    @property
+    def daily(self) -> bool:
+        """Whether a date's rows are made from rows of that date (and the lag before it) alone, so that builds can share them."""
+        return "snapshot_date" in self.grain and not self.windowed
 
 
 MARTS: dict[str, Mart] = {}
 
 
-def mart(name: str, needs: tuple[str, ...] = (), grain: tuple[str, ...] = (), fan_out: bool = False):
+def mart(name: str, needs: tuple[str, ...] = (), grain: tuple[str, ...] = (), fan_out: bool = False, windowed: tuple[str, ...] = (), lag: int = 0):
     def register(f: Callable[[BuildContext, Tables], DataFrame]):
-        MARTS[name] = Mart(name, needs, grain, f, fan_out)
+        MARTS[name] = Mart(name, needs, grain, f, fan_out, windowed, lag)
         return f
 
     return register

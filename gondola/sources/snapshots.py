@@ -329,7 +329,7 @@ def load(store: Warehouse, path: str, date: str, force: bool = False, limits: Li
 
         load_tables(staged(spark, path, date, **vars(limits)), write, run_id, date)
         store.drop("sources", run_id, "staging")
-        store.activate(date, run_id=run_id, sha256=digest, path=str(path), packages=len(found))
+        store.activate(date, active and active["run_id"], run_id=run_id, sha256=digest, path=str(path), packages=len(found))
         store.log(run_id, "success")
         return run_id
     except BaseException as error:
