@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gondola.functions.stats import kind, median, outside
+from gondola.functions.selection import quantiles_by
+from gondola.functions.stats import outside
 from gondola.operators.common import DAY, STORE
 from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables, mart
@@ -21,8 +22,9 @@ def _severity(ctx: BuildContext, value: Column) -> Column:
 
 
 def cross_section(ctx: BuildContext, prices: DataFrame) -> DataFrame:
-    """Prices far from the product's median over all stores; near a power of ten they look like a misplaced point."""
-    benchmark = prices.groupBy(*DAY, "gtin14").agg(median(F.col("list_price"), kind(prices, "list_price")).alias("benchmark_price"))
+    """Prices far from the product's median over all stores; near a power of ten they look like a misplaced point. A staple's
+    group is as large as the country, so its median is selected instead of gathered."""
+    benchmark = quantiles_by(prices, [*DAY, "gtin14"], "list_price", [0.5]).select(*DAY, "gtin14", F.col("quantiles")[0].alias("benchmark_price"))
     rows = prices.join(benchmark, [*DAY, "gtin14"]).withColumn("price_ratio", F.col("list_price").cast("double") / F.nullif(F.col("benchmark_price").cast("double"), F.lit(0.0)))
     power = F.log10("price_ratio")
     shifted = (F.abs(F.round(power)) >= 1) & (F.abs(power - F.round(power)) <= math.log10(ctx.thresholds.scale_tolerance))

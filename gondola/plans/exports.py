@@ -172,6 +172,12 @@ def published_state(t: Tables) -> DataFrame:
     return t["warehouse_state"]
 
 
+def last_publication(events: DataFrame, *order: str) -> DataFrame:
+    """The publication that counts: one row of all, the greatest by these columns."""
+    row = F.struct(*events.columns)
+    return events.agg(F.max_by(row, F.struct(*order)).alias("last")).filter("last IS NOT NULL").select("last.*")
+
+
 def inputs_of(ctx: BuildContext, t: Tables) -> DataFrame:
     return t["build_inputs"].filter(F.col("build_id") == ctx.build_id).orderBy("snapshot_date")
 

@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gondola.functions import codes, text, units
-from gondola.operators import dims, facts
-from gondola.operators.common import latest
+from gondola.functions.selection import quantiles_by
+from gondola.operators import dims, dispersion, facts, sketches
+from gondola.operators.common import BANNER, latest
 from gondola.plans import exports, gates, registry, semantic
 from gondola.plans.context import BuildContext
 from gondola.plans.warehouse import Warehouse
@@ -539,14 +540,59 @@ def basket_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(exports.basket_validation(registry.Tables(mart_basket_store_daily=built("mart_basket_store_daily", spark, sf_dir))))
 
 
-@query(f"SELECT approx_quantile_ok FROM (SELECT true AS approx_quantile_ok)")
+@query("""WITH x AS (SELECT p_brand AS gtin14, l_extendedprice / l_quantity AS unit_price FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT gtin14, count(*) AS n, """ + _rounded("round(median(unit_price), 6)") + """ AS price_median FROM x GROUP BY gtin14""")
 def streaming_median_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the approximate medians of the streaming aggregate lie within a thousandth of the rows of the exact ones."""
+    """Medians of products, shown where the approximate one of the streaming aggregate lies within a thousandth of the rows of it."""
     rows = adapter.lines(spark, sf_dir).select(F.col("p_brand").alias("gtin14"), F.col("unit_price").alias("list_price"))
-    found = rows.groupBy("gtin14").agg(F.percentile_approx("list_price", 0.5, 10_000).alias("m"), F.count(F.lit(1)).alias("n"))
-    place = rows.join(F.broadcast(found), "gtin14").groupBy("gtin14").agg(F.max("n").alias("n"), F.count_if(F.col("list_price") < F.col("m")).alias("below"), F.count_if(F.col("list_price") <= F.col("m")).alias("upto"))
+    found = rows.groupBy("gtin14").agg(F.percentile_approx("list_price", 0.5, 10_000).alias("m"))
+    exact = quantiles_by(rows, ["gtin14"], "list_price", [0.5]).select("gtin14", F.col("quantiles")[0].alias("price_median"))
+    place = rows.join(F.broadcast(found), "gtin14").groupBy("gtin14").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("list_price") < F.col("m")).alias("below"), F.count_if(F.col("list_price") <= F.col("m")).alias("upto"))
     good = (F.col("below") <= 0.501 * F.col("n") + 1) & (F.col("upto") >= 0.499 * F.col("n") - 1)
-    return place.agg(F.every(good).alias("approx_quantile_ok"))
+    return tidy(place.join(exact, "gtin14").select("gtin14", "n", F.when(good, F.col("price_median")).alias("price_median")))
+
+
+@query("""WITH x AS (
+    SELECT p_brand AS gtin14, r_name AS id_comercio, CASE WHEN n_nationkey % 9 = 0 THEN n_name ELSE 'AR-' || n_name END AS provincia_codigo, l_extendedprice / l_quantity AS p
+    FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+), q AS (
+    SELECT gtin14, id_comercio, provincia_codigo, GROUPING(id_comercio) AS gb, GROUPING(provincia_codigo) AS gp, count(*) AS n, median(p) AS m, quantile_cont(p, 0.1) AS a, quantile_cont(p, 0.9) AS b
+    FROM x GROUP BY GROUPING SETS ((gtin14), (gtin14, id_comercio), (gtin14, provincia_codigo), (gtin14, id_comercio, provincia_codigo))
+)
+SELECT CASE WHEN gb = 0 AND gp = 0 THEN 'BANNER_PROVINCE' WHEN gb = 0 THEN 'BANNER' WHEN gp = 0 THEN 'PROVINCE' ELSE 'NATIONAL' END AS dispersion_level, gtin14, id_comercio, provincia_codigo, n,
+       """ + _rounded("round(m, 6) AS price_median, round(a, 6) AS price_p10, round(b, 6) AS price_p90") + """ FROM q""")
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles over all dates at the four levels, from sketches that were made by day, banner and province and then only
+    merged. An exact quantile is shown where the sketch's lies within twice its stated error of it, by rows."""
+    rows = adapter.lines(spark, sf_dir).select("snapshot_date", F.col("p_brand").alias("gtin14"), *BANNER, "provincia_codigo", F.col("unit_price").alias("list_price"))
+    found = sketches.of_levels(sketches.daily(rows), ["gtin14"])
+    shares, keys = {"price_median": 0.5, "price_p10": 0.1, "price_p90": 0.9}, ["gtin14", *BANNER, "provincia_codigo"]
+    found = found.select("dispersion_level", *keys, sketches.rows().alias("n"), *[sketches.quantile(s).alias(f"{name}_sketch") for name, s in shares.items()])
+    out = None
+    for level, own in dispersion.LEVELS.items():
+        by, near = ["gtin14", *own], found.filter(F.col("dispersion_level") == level)
+        exact = quantiles_by(rows, by, "list_price", list(shares.values())).drop("n", "least", "most")
+        off = lambda name, s: (F.count_if(F.col("list_price") < F.col(f"{name}_sketch")) <= (s + 2 * sketches.rank_error()) * F.col("n") + 1) & (F.count_if(F.col("list_price") <= F.col(f"{name}_sketch")) >= (s - 2 * sketches.rank_error()) * F.col("n") - 1)
+        kept = near.drop(*[k for k in keys if k not in by])
+        good = rows.join(kept, by).groupBy(*by, "n").agg(*[off(name, s).alias(f"{name}_ok") for name, s in shares.items()])
+        part = good.join(exact, by).select(F.lit(level).alias("dispersion_level"), *[(F.col(k) if k in by else F.lit(None).cast("string")).alias(k) for k in keys], "n", *[F.when(F.col(f"{name}_ok"), F.col("quantiles")[i]).alias(name) for i, name in enumerate(shares)])
+        out = part if out is None else out.unionByName(part)
+    return tidy(out.drop("id_bandera"))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE o_orderstatus WHEN 'O' THEN 'failed' ELSE 'running' END AS status, o_orderdate AS started_at FROM orders WHERE o_orderstatus <> 'F'""")
+def failed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that did not end well; an order is a run."""
+    status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("running")
+    runs = adapter.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), status.alias("status"), F.col("o_orderdate").alias("started_at"))
+    return exports.failed_runs(registry.Tables(pipeline_runs=runs))
+
+
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS build_id, CAST(o_custkey AS VARCHAR) AS source_set_hash, o_orderdate AS published_at FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 1""")
+def published_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state after all publications, of which the last counts; an order is one."""
+    orders = adapter.read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("build_id"), F.col("o_custkey").cast("string").alias("source_set_hash"), F.col("o_orderdate").alias("published_at"), "o_orderkey")
+    return exports.published_state(registry.Tables(warehouse_state=exports.last_publication(orders, "published_at", "o_orderkey").drop("o_orderkey")))
 
 
 # Sources ----------------------------------------------------------------------------------------------------------------

@@ -1,5 +1,6 @@
 import datetime as dt
 import io
+import random
 import zipfile
 
 import pytest
@@ -8,6 +9,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from gondola.functions import codes, stats, text, units
+from gondola.functions.selection import quantiles_by
+from gondola.operators import sketches
 from gondola.plans import sinks, validate
 from gondola.plans.context import resolve_window
 from gondola.sources import download, snapshots
@@ -39,6 +42,33 @@ def test_quantiles(spark):
     assert str(cut.agg(stats.median(F.col("x"), stats.kind(cut, "x"))).first()[0]) == "25.0000"
 
 
+def test_selection_equals_percentiles(spark):
+    rng, rows = random.Random(3), []
+    for g, n in (("one", 1), ("two", 2), ("few", 7), ("hot", 4000), (None, 30)):
+        rows += [(g, k % 2, rng.choice([0.0, -1.5, 1e-300, -1e300, 7.25]) if rng.random() < 0.1 else rng.lognormvariate(3, 2) * rng.choice((1, 1, -1))) for k in range(n)]
+    rows += [("hot", 0, 12.5)] * 3000 + [("none", 0, None)] * 3
+    df = spark.createDataFrame(rows, "g string, h int, x double").withColumn("d", F.when(F.abs("x") < 1e9, F.col("x")).cast("decimal(18,4)"))
+    shares = [0.0, 0.1, 0.5, 0.9, 1.0]
+    for value in ("x", "d"):
+        for keys in (["g"], ["g", "h"]):
+            want = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), stats.quantiles(F.col(value), shares, stats.kind(df, value)).alias("quantiles"))
+            got = quantiles_by(df, keys, value, shares)
+            assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = quantiles_by(df, ["g"], "x", [0.5])
+    got.collect()
+    assert "ObjectHashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert quantiles_by(df.limit(0), ["g"], "d", [0.5]).count() == 0
+
+
+def test_sketches_merge_upward(spark):
+    rng = random.Random(1)
+    rows = [(f"2026-08-0{d}", "p", f"{b}", "1", f"AR-{c}", float(rng.randrange(100_000))) for d in range(1, 5) for b in range(3) for c in "AB" for _ in range(900)]
+    df = spark.createDataFrame(rows, "snapshot_date string, gtin14 string, id_comercio string, id_bandera string, provincia_codigo string, list_price double")
+    for r in sketches.of_levels(sketches.daily(df), ["gtin14"]).select("dispersion_level", "id_comercio", "provincia_codigo", sketches.rows().alias("n"), sketches.quantile(0.5).alias("m"), F.length("sketch").alias("bytes")).collect():
+        own = [x[5] for x in rows if r.id_comercio in (None, x[2]) and r.provincia_codigo in (None, x[4])]
+        assert r.n == len(own) and abs(sum(x < r.m for x in own) / len(own) - 0.5) <= 2 * sketches.rank_error() and r.bytes < 12_000
+
+
 def run(spark, data: bytes, columns, size=7):
     """The records, in order, by way of blocks of some bytes and Spark's parser; and the metrics."""
     s = Sanitizer(columns)
