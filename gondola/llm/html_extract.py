@@ -4,14 +4,23 @@ A page is a sequence of words and tags. A word's score is the sum of two pieces
 container that element names, roles and class names suggest, or none) and what it stands in (a link, a list, a short or
 long block, a block that ends like a sentence). Tags score by their name and container and never above zero. A linear
 scan finds the contiguous region of the highest sum; if one article or container holds all of it, its short first and
-last blocks belong to it too. Within it, a container whose own words and tags sum to zero or less
-(an advert between paragraphs) is left out; names alone decide nothing, but for elements that are not shown at all.
+last blocks belong to it too. Where the region goes on at both sides of a container whose own words and tags sum to zero or
+less (an advert between paragraphs), that container is left out; where the region ends is the scan's decision.
+
+A name costs a word more than its sentence gains, so what a name calls boilerplate is not content as long as the page has
+other content. If the best region is worth less than ENOUGH and lies in no article, the names may be wrong (a form
+around the whole page, an obituary called a notice): the scan runs without the names' losses, the containers that hold
+most of the region it finds are released from their names, but for footers, readers' comments and what is not shown,
+and the page is scanned again. Boilerplate in sentences that neither names, tags nor links tell from text (readers'
+comments in an unnamed container) can't be told from it here.
 
 The weights are log odds of lying inside the content, counted over labelled pages: pages whose author marked one
 article. The mark itself is hidden from the contexts, so that the weights hold for pages without one. Counts are
 summed over about TRAIN_PAGES pages (a documented bound, by the hash of page_id over the whole table) and added to
 PRIOR pseudo-counts, so that contexts no labelled page shows have a weight too.
 
+A page takes time in proportion to its length, however deep its elements are nested and however many are left open.
+
 Defined cases: a null or empty page, or one without words, gives the empty text. Unclosed elements run to the end of
 their parent; an unclosed script, style or comment runs to the end of the page, a head to the first element of the body;
 of other dropped elements that nothing closes only the tag goes. A line break element is white space within a block.
@@ -24,7 +33,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,11 +44,13 @@ from pyspark.sql import functions as F
 TRAIN_PAGES = 20_000
 PRIOR = 20.0
 #: What a word loses by the kind of its container before pages are seen, and how far counts may move that.
-KIND_LOSS = {"menu": 3.0, "foot": 3.0, "ad": 3.0, "notice": 3.0, "comment": 3.0, "form": 3.0, "side": 1.2, "head": 1.2, "share": 1.2}
+KIND_LOSS = {"menu": 3.0, "foot": 3.0, "ad": 3.0, "notice": 3.0, "comment": 3.0, "form": 3.0, "rail": 3.0, "head": 3.0, "side": 1.2, "share": 1.2}
 MOVE = 0.9
 #: The most that a word gains or loses by what it stands in, a boilerplate word in all, and a tag loses, so that an advert
 #: within an article doesn't end it.
 MOST_TEXT, LEAST_WORD, LEAST_TAG = 2.5, 1.0, 2.0
+#: The sum below which a region may not be the content, about one sentence.
+ENOUGH = 15.0
 #: Words of a block from which it counts as longer.
 BLOCK_SIZES = (4, 10, 25)
 
@@ -68,8 +79,10 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTENT_NAMES = frozenset("article post entry story".split())
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-#: Kinds that an article or main element inside them refutes.
-_WEAK = frozenset(k for k, loss in KIND_LOSS.items() if loss < 2)
+#: Kinds that an article or main element inside them refutes. A sidebar outside of articles is a rail.
+_WEAK = frozenset(("side", "rail", "head", "share"))
+#: Kinds that containers keep whatever they hold.
+_FIRM = frozenset(("foot", "comment", "hidden"))
 _SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u00bb)]*\s*\Z")
 _HEAD = re.compile(r"<(?:!--|(" + "|".join(_DROP) + r")(?=[\s/>])|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?/])", re.IGNORECASE)
 _SPECIAL = re.compile("[>\"']")
@@ -77,6 +90,8 @@ _CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _DROP}
 #: What else ends a head, as its end tag may be left out.
 _CLOSING["head"] = re.compile(r"</head\s*>|(?=<(?!(?:base|basefont|bgsound|link|meta|title|style|script|noscript|template|command)[\s/>])[a-z])", re.IGNORECASE)
 _RAW_HEAD = re.compile(r"<(script|style|noscript|template|title)(?=[\s/>])|<!--", re.IGNORECASE)
+_EMPTY_COMMENT = re.compile("<!---?>")
+_COMMENT_END = re.compile("--!?>")
 _TITLE_END = re.compile(r"</title\s*>", re.IGNORECASE)
 #: Longer attributes are not worth a place in the cache of kinds.
 _CACHED = 2000
@@ -134,8 +149,11 @@ def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
                 closing, raw = _CLOSING["head"].search(page, at), _RAW_HEAD.search(page, at)
                 if raw is None or closing and closing.start() < raw.start():
                     return closing.end() if closing else len(page)
-                if raw[1] is None:
-                    at = (page.find("-->", raw.end()) + 3) or len(page) + 3
+                if empty := _EMPTY_COMMENT.match(page, raw.start()):
+                    at = empty.end()
+                elif raw[1] is None:
+                    found = _COMMENT_END.search(page, raw.end())
+                    at = found.end() if found else len(page)
                 elif raw[1].lower() == "title":
                     found = _TITLE_END.search(page, raw.end())
                     at = found.end() if found else raw.end()
@@ -162,9 +180,11 @@ def tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
             if not head[2]:
                 at = start + 1
                 continue
-        if page.startswith("<!--", start):
-            end = page.find("-->", at)
-            end = end + 3 if end >= 0 else len(page)
+        if empty := _EMPTY_COMMENT.match(page, start):
+            end = empty.end()
+        elif page.startswith("<!--", start):
+            found = _COMMENT_END.search(page, at)
+            end = found.end() if found else len(page)
         else:
             end = page.find(">", start + 2) + 1 if start + 2 <= last_end else 0
         if end:
@@ -189,16 +209,23 @@ def _kind(name: str, attributes: str, inside: bool) -> str:
         if words & _CONTENT_NAMES:
             kinds -= _WEAK
         kind = min(kinds, key=lambda k: (-KIND_LOSS[k], k), default="")
-    return "" if kind == "head" and inside else kind
+    if kind == "head" and inside:
+        return ""
+    return "rail" if kind == "side" and not inside else kind
 
 
-def parsed(page: str) -> list[tuple]:
+def parsed(page: str, released: frozenset[int] = frozenset()) -> list[tuple]:
     """Items in page order: ("t", context, text) for text, ("s",) for white space, ("g", name, ends a block, is white space,
     kind, container) for tags, ("x", in or out, name, number) for the start and end of article and main elements and of those
     that suggest a kind. A context is
-    (kind, in a link, in a list or a heading, container): containers that suggest a kind are numbered from 1, 0 is none."""
+    (kind, in a link, in a list or a heading, container): containers that suggest a kind are numbered from 1, 0 is none.
+    Released containers suggest none, unless their kind is firm."""
     items: list[tuple] = []
     stack: list[tuple[str, str, int]] = []  # name, kind, number
+    depths: dict[str, list[int]] = defaultdict(list)  # of each name, where it is on the stack
+    #: After each element of the stack, (kind, number) of the innermost hidden container, of the outermost one that no
+    #: article refutes, and of the outermost one that none has refuted.
+    states: list[tuple] = [(None, None, None)]
     kind, holder, links, lists, inside, at, numbered, heading = "", 0, 0, 0, 0, 0, 0, ""
 
     def text(a: int, b: int) -> None:
@@ -208,17 +235,17 @@ def parsed(page: str) -> list[tuple]:
             items.append(("s",))
 
     def around() -> None:
-        """The kind that holds: hidden, else the outermost one, but weak ones only from the innermost article on."""
+        """The kind that holds: hidden, else that of the outermost container, weak ones only from the innermost article on."""
         nonlocal kind, holder
-        kind, holder, last = "", 0, max((k for k, e in enumerate(stack) if e[0] in ("article", "main")), default=-1)
-        for k, (_, own, number) in enumerate(stack):
-            if own == "hidden" or own and not kind and (k >= last or own not in _WEAK):
-                kind, holder = own, number
+        hidden, _, outer = states[-1]
+        kind, holder = hidden or outer or ("", 0)
 
     def close(depth: int) -> None:
         nonlocal links, lists, inside
         while len(stack) > depth:
             gone, own, number = stack.pop()
+            depths[gone].pop()
+            states.pop()
             links -= gone == "a"
             lists -= gone == "li"
             inside -= gone in ("article", "main")
@@ -234,23 +261,30 @@ def parsed(page: str) -> list[tuple]:
         if name in _BLOCKS:
             heading = name if not closes and name in _HEADINGS else "" if name not in _HEADINGS or name == heading else heading
         if closes:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is not None:
-                close(depth)
+            if depths.get(name):
+                close(depths[name][-1])
         elif name in _HOLDS and name not in _VOID and not attributes.endswith("/"):
-            if name in ("a", "li") and (depth := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (name, "ul", "ol", "menu", "div")), None)) is not None and stack[depth][0] == name:
-                close(depth)
+            if name in ("a", "li") and depths.get(name) and depths[name][-1] == max(depths[k][-1] for k in (name, "ul", "ol", "menu", "div") if depths.get(k)):
+                close(depths[name][-1])
             own = (_kind if len(attributes) <= _CACHED else _kind.__wrapped__)(name, attributes, inside > 0)
             marked = name in ("article", "main")
             numbered += marked or own != ""
+            if numbered in released and own and own not in _FIRM:
+                own = ""
+            hidden, firm, outer = states[-1]
+            if marked:
+                outer = firm
+            if own == "hidden":
+                hidden = own, numbered
+            elif own:
+                firm, outer = firm or (None if own in _WEAK else (own, numbered)), outer or (own, numbered)
+            depths[name].append(len(stack))
             stack.append((name, own, numbered))
+            states.append((hidden, firm, outer))
             if own or marked:
                 items.append(("x", 1, name, numbered))
-            if marked:
-                inside += 1
-                around()
-            elif own == "hidden" or own and not kind:
-                kind, holder = own, numbered
+            inside += marked
+            around()
             links += name == "a"
             lists += name == "li"
         items.append(("g", name, name in _BLOCKS, name in _SPACES, kind, holder))
@@ -352,29 +386,68 @@ def whole(items: list[tuple], first: int, last: int) -> tuple[int, int]:
     return first, last
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    """Blocks of the main text, joined by newlines."""
-    items = parsed(page or "")
-    block = blocks_of(items)
-    scores = [0.0] * len(items)
+def scored(items: list[tuple], weights: Weights, names: bool = True) -> list[float]:
+    """Scores of the items; names: with what the kinds of containers cost, else only that of firm ones."""
+    block, scores = blocks_of(items), [0.0] * len(items)
     for k, item in enumerate(items):
         if item[0] == "t":
             kind, link, place, _ = item[1]
-            scores[k] = weights.word(kind, link, place, *block[k]) * (item[2].count(" ") + 1)
+            scores[k] = weights.word(kind if names or kind in _FIRM else "", link, place, *block[k]) * (item[2].count(" ") + 1)
         elif item[0] == "g":
-            scores[k] = weights.tag(item[1], item[4])
-    first, last = whole(items, *region(scores))
-    own: Counter = Counter()  # of containers
-    for k in range(first, last):
+            scores[k] = weights.tag(item[1], item[4] if names or item[4] in _FIRM else "")
+    return scores
+
+
+def misnamed(items: list[tuple], weights: Weights) -> frozenset[int]:
+    """The containers that hold more than half of what the scan finds without regard to names, if that is enough."""
+    scores = scored(items, weights, names=False)
+    first, last = region(scores)
+    if sum(scores[first:last]) < ENOUGH:
+        return frozenset()
+    gained, total, opened, out = [0.0], 0.0, {}, set()
+    for k, score in enumerate(scores):
+        total += max(0.0, score) if first <= k < last else 0.0
+        gained.append(total)
+    for k, item in enumerate(items):
+        if item[0] == "x" and item[1] == 1:
+            opened[item[3]] = k
+        elif item[0] == "x" and gained[k] - gained[opened.pop(item[3])] > total / 2:
+            out.add(item[3])
+    return frozenset(out)
+
+
+def left_out(items: list[tuple], scores: list[float], run: tuple[int, int], whole_run: tuple[int, int]) -> set[int]:
+    """Places of texts that don't belong to the region: in containers whose sum is zero or less, if the scan's run goes on
+    at both sides of them or hasn't reached them."""
+    own: Counter = Counter()
+    for k in range(*whole_run):
         item = items[k]
         if item[0] == "t" and item[1][3]:
             own[item[1][3]] += scores[k]
         elif item[0] == "g" and item[5]:
             own[item[5]] += scores[k]
+    poor = {k for k in range(*whole_run) if items[k][0] == "t" and items[k][1][3] and own[items[k][1][3]] <= 0}
+    rich = [k for k in range(*run) if items[k][0] == "t" and k not in poor]
+    return {k for k in poor if not run[0] <= k < run[1] or rich and rich[0] < k < rich[-1]}
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    """Blocks of the main text, joined by newlines."""
+    items = parsed(page or "")
+    scores = scored(items, weights)
+    run = region(scores)
+    marked = sum(item[1] for item in items[: run[0]] if item[0] == "x" and item[2] in ("article", "main")) > 0
+    if not marked and sum(scores[slice(*run)]) < ENOUGH and (free := misnamed(items, weights)):
+        items = parsed(page, free)
+        scores = scored(items, weights)
+        run = region(scores)
+    whole_run = whole(items, *run)
+    out = left_out(items, scores, run, whole_run)
     blocks, held = [], []
-    for item in items[first:last]:
+    for k in range(*whole_run):
+        item = items[k]
         if item[0] == "t":
-            if item[1][0] != "hidden" and (not item[1][3] or own[item[1][3]] > 0):
+            if item[1][0] != "hidden" and k not in out:
                 held.append(item[2])
         elif item[0] == "s" or item[0] == "g" and item[3]:
             held.append(" ")
