@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.stats import PUBLISHABLE, kind, quantiles, ratio, status, valid_geography
-from gondola.functions.text import matches
 from gondola.operators.common import BANNER, DAY, STORE, latest
+from gondola.operators.patterns import regex_join
 from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables, mart
 
@@ -16,12 +16,9 @@ VERSIONED = ["build_id", "basket_version", "snapshot_date"]
 
 @mart("mart_basket_candidate_review", ("dim_basket_component", "dim_product_variant_asof"), ("build_id", "basket_version", "category_id", "gtin14"))
 def mart_basket_candidate_review(ctx: BuildContext, t: Tables) -> DataFrame:
-    """Variants whose description fits a category's patterns. The basket is a short list of constants, so the join on
-    build_id with the patterns as a condition is one pass over the variants."""
-    c = F.broadcast(t["dim_basket_component"].withColumnRenamed("gtin14", "selected_gtin").select("build_id", "basket_version", "category_id", "selected_gtin", "target_quantity_base", "target_base_unit", "include_regex", "exclude_regex"))
-    text = F.col("producto_descripcion_normalizada")
-    fits = matches(text, F.col("include_regex")) & ~matches(text, F.col("exclude_regex"))
-    rows = t["dim_product_variant_asof"].join(c, "build_id").filter(fits)
+    """Variants whose description fits a category's patterns; a pattern is tried only where a piece of it occurs."""
+    c = t["dim_basket_component"].withColumnRenamed("gtin14", "selected_gtin").select("build_id", "basket_version", "category_id", "selected_gtin", "target_quantity_base", "target_base_unit", "include_regex", "exclude_regex")
+    rows = regex_join(t["dim_product_variant_asof"], c, "producto_descripcion_normalizada", "include_regex", "exclude_regex", ["build_id"])
     size = F.abs(F.col("cantidad_base") / F.nullif("target_quantity_base", F.lit(0.0)) - 1) <= ctx.thresholds.presentation_tolerance
     rows = rows.withColumns({"selected_component": F.col("gtin14") == F.col("selected_gtin"), "semantic_match": F.lit(True), "presentation_match": (F.col("unidad_base") == F.col("target_base_unit")) & size})
     # the published rule ranks a null comparison first, as its engine sorts nulls in descending order last: keep them last

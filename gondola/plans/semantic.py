@@ -9,14 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gondola.functions.stats import PUBLISHABLE
 from gondola.plans.registry import Tables
 
 
-
 def _safe(part: Column, whole: Column) -> Column:
     return part / F.nullif(whole.cast("double"), F.lit(0.0))
 
@@ -88,3 +87,19 @@ def calendar(exports: Tables) -> DataFrame:
 def on_calendar(exports: Tables, table: str) -> DataFrame:
     """Rows of a table with their date's attributes: many to one, from the calendar to the table."""
     return exports[table].join(F.broadcast(calendar(exports).withColumnRenamed("date", "snapshot_date")), "snapshot_date", "left")
+
+
+def write_star(exports: Tables, folder: str) -> None:
+    """Dated tables partitioned by their date, beside the calendar: a reader of a few dates opens those dates' files only."""
+    calendar(exports).write.mode("overwrite").parquet(f"{folder}/calendar")
+    for name, df in exports.items():
+        if "snapshot_date" in df.columns:
+            df.repartition("snapshot_date").write.mode("overwrite").partitionBy("snapshot_date").parquet(f"{folder}/{name}")
+
+
+def read_star(spark: SparkSession, folder: str, table: str, where: Column) -> DataFrame:
+    """Rows of a table on the calendar's dates for which a condition on the calendar holds, with the date's attributes.
+
+    The dates that are left prune the table's folders while the query runs; the calendar is one row a day, so it is broadcast."""
+    dates = spark.read.parquet(f"{folder}/calendar").filter(where).withColumnRenamed("date", "snapshot_date")
+    return spark.read.parquet(f"{folder}/{table}").join(F.broadcast(dates), "snapshot_date")

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from gondola.functions import codes, text, units
 from gondola.functions.selection import quantiles_by
-from gondola.operators import dims, dispersion, facts, sketches
+from gondola.operators import bitmaps, dims, dispersion, facts, ranges, sketches
 from gondola.operators.common import BANNER, latest
+from gondola.operators.patterns import regex_join
 from gondola.plans import exports, gates, registry, semantic
 from gondola.plans.context import BuildContext
 from gondola.plans.warehouse import Warehouse
 from gondola.session import tune
 from gondola.sources import adapter, snapshots
 from gondola.sources.contract import COLUMNS
+from gondola.streaming import jumps
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -755,10 +757,24 @@ def latest_dim_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT category, p_partkey, t AS description FROM v JOIN c ON regexp_matches(t, inc, 'i') AND NOT regexp_matches(t, exc, 'i')""")
 def basket_candidate_regex_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptions against a short list of include and exclude patterns."""
-    patterns = spark.createDataFrame([("A", "(^| )[A-M]", "X|Z", 1), ("B", "E.*E", "(^| )S", 1), ("C", "[0-9]", "0$", 1)], "category string, inc string, exc string, one int")
-    rows = adapter.read(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("description"), F.lit(1).alias("one"))
-    hit = text.matches(F.col("description"), F.col("inc")) & ~text.matches(F.col("description"), F.col("exc"))
-    return rows.join(F.broadcast(patterns), "one").filter(hit).select("category", "p_partkey", "description")
+    patterns = spark.createDataFrame([("A", "(^| )[A-M]", "X|Z"), ("B", "E.*E", "(^| )S"), ("C", "[0-9]", "0$")], "category string, inc string, exc string")
+    rows = adapter.read(spark, sf_dir, "part").select("p_partkey", F.upper("p_name").alias("description"))
+    return regex_join(rows, patterns, "description", "inc", "exc").select("category", "p_partkey", "description")
+
+
+@query(r"""WITH v AS (SELECT p_partkey, p_type || ' ' || p_name AS description FROM part),
+c AS (SELECT DISTINCT p_name AS pattern, '(^| )' || upper(split_part(p_name, ' ', 1)) || '.*' || split_part(p_name, ' ', 2) || '|' || p_type || ' [a-d]' AS inc, '^PROMO.*' || split_part(p_name, ' ', 1) AS exc FROM part
+      UNION ALL SELECT DISTINCT p_brand, '[' || right(p_brand, 1) || 'x-z]', ' ' || lower(left(p_type, 1)) FROM part)
+SELECT pattern, inc, exc, count(*) AS parts, min(p_partkey) AS first_part, max(p_partkey) AS last_part FROM v JOIN c ON regexp_matches(description, inc, 'i') AND NOT regexp_matches(description, exc, 'i') GROUP BY ALL""")
+def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descriptions against patterns made of all names and brands: the names' have pieces, the brands' have none."""
+    part = adapter.read(spark, sf_dir, "part")
+    word = lambda k: F.get(F.split("p_name", " "), F.lit(k))
+    names = part.select(F.col("p_name").alias("pattern"), F.concat(F.lit("(^| )"), F.upper(word(0)), F.lit(".*"), word(1), F.lit("|"), "p_type", F.lit(" [a-d]")).alias("inc"), F.concat(F.lit("^PROMO.*"), word(0)).alias("exc"))
+    brands = part.select(F.col("p_brand").alias("pattern"), F.concat(F.lit("["), F.right("p_brand", F.lit(1)), F.lit("x-z]")).alias("inc"), F.concat(F.lit(" "), F.lower(F.left("p_type", F.lit(1)))).alias("exc"))
+    texts = part.select("p_partkey", F.concat("p_type", F.lit(" "), "p_name").alias("description"))
+    pairs = regex_join(texts, names.distinct().unionByName(brands.distinct()), "description", "inc", "exc")
+    return tidy(pairs.groupBy("pattern", "inc", "exc").agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("first_part"), F.max("p_partkey").alias("last_part")))
 
 
 _CODE_SQL = r"""
@@ -830,6 +846,40 @@ def validity_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(inside).select("o_orderkey", "valid_from", "valid_to")
 
 
+@query("""SELECT p.o_orderkey, c.o_orderkey AS contract FROM orders p JOIN orders c ON p.o_custkey = c.o_custkey AND CAST(p.o_orderdate AS DATE) > CAST(c.o_orderdate AS DATE)
+AND (c.o_orderkey % 50 = 0 OR CAST(p.o_orderdate AS DATE) <= CAST(c.o_orderdate AS DATE) + CAST(c.o_orderkey % 400 AS INTEGER))""")
+def validity_range_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order opens a range of its customer, some without end: later orders with the ranges they fall in."""
+    rows = adapter.read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", ranges.days(F.col("o_orderdate").cast("date")).alias("day"))
+    until = F.when(F.col("o_orderkey") % 50 != 0, F.col("day") + F.col("o_orderkey") % 400)
+    valid = rows.select("o_custkey", F.col("o_orderkey").alias("contract"), (F.col("day") + 1).alias("low"), until.alias("high"))
+    return ranges.range_join(rows, valid, ["o_custkey"], "day", "low", "high").select("o_orderkey", "contract")
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT 'stores' AS what, d, b, s AS v FROM li UNION ALL SELECT 'products', d, b, CAST(l_partkey AS VARCHAR) FROM li UNION ALL SELECT 'orders', d, b, CAST(l_orderkey AS VARCHAR) FROM li)
+SELECT what, CASE WHEN GROUPING(d) = 0 AND GROUPING(b) = 0 THEN 'BANNER_DAY' WHEN GROUPING(d) = 0 THEN 'DAY' WHEN GROUPING(b) = 0 THEN 'BANNER' ELSE 'NATIONAL' END AS level, d AS snapshot_date, b AS id_comercio, count(DISTINCT v) AS n
+FROM k GROUP BY GROUPING SETS ((what, d, b), (what, d), (what, b), (what))""")
+def distinct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct stores, products and orders by banner and day, and merged from there over days, banners and the whole."""
+    rows = adapter.lines(spark, sf_dir).select("snapshot_date", "id_comercio", F.col("id_sucursal").alias("stores"), F.col("l_partkey").alias("products"), F.col("l_orderkey").alias("orders"))
+    by = ["snapshot_date", "id_comercio"]
+    levels, out = {"BANNER_DAY": by, "DAY": by[:1], "BANNER": by[1:], "NATIONAL": []}, None
+    for what in ("stores", "products", "orders"):
+        maps = bitmaps.bitmaps(rows, by, what, bitmaps.dense_ids(rows, what))
+        part = bitmaps.rolled_up(maps, levels, "n").select(F.lit(what).alias("what"), "level", *by, "n")
+        out = part if out is None else out.unionByName(part)
+    return tidy(out)
+
+
+@query(f"WITH {_O} SELECT d AS snapshot_date, dayname(d) AS weekday, b AS id_comercio, count(*) AS prices, round(sum(x), 6) AS total FROM o WHERE dayname(d) IN ('Monday', 'Friday') GROUP BY ALL")
+def semantic_star_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices on two weekdays, from a table stored by date: the calendar decides which dates are opened."""
+    folder = f"{_shared(spark)}/gondola-star-{uuid.uuid4().hex}"
+    semantic.write_star(registry.Tables(prices=adapter.prices(spark, sf_dir).drop("build_id")), folder)
+    rows = semantic.read_star(spark, folder, "prices", F.col("weekday").isin("Monday", "Friday"))
+    return tidy(rows.groupBy("snapshot_date", "weekday", "id_comercio").agg(F.count(F.lit(1)).alias("prices"), F.sum("list_price").alias("total")))
+
+
 @query("SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC NULLS LAST, l_orderkey, l_linenumber LIMIT 100")
 def topn_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted sample with nulls last: the limit is the feature."""
@@ -869,9 +919,12 @@ def dispersion_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(exports.dispersion_coverage(built("mart_price_dispersion_daily", spark, sf_dir)))
 
 
-@query("""WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id, event_type, value FROM events), u AS (SELECT user_id, event_type, d, median(value) AS v FROM e WHERE value > 0 GROUP BY ALL),
+_EVENT_JUMPS = """WITH e AS (SELECT CAST(ts AS DATE) AS d, user_id, event_type, value FROM events), u AS (SELECT user_id, event_type, d, median(value) AS v FROM e WHERE value > 0 GROUP BY ALL),
 l AS (SELECT *, lag(d) OVER w AS pd, lag(v) OVER w AS pv FROM u WINDOW w AS (PARTITION BY user_id, event_type ORDER BY d))
-SELECT user_id, event_type, d AS day, round(v / pv, 6) AS ratio FROM l WHERE date_diff('day', pd, d) = 1 AND v / pv NOT BETWEEN 0.5 AND 2""")
+SELECT user_id, event_type, d AS day, v / pv AS ratio FROM l WHERE date_diff('day', pd, d) = 1 AND v / pv NOT BETWEEN 0.5 AND 2"""
+
+
+@query(_EVENT_JUMPS.replace("v / pv AS ratio", "round(v / pv, 6) AS ratio"))
 def event_daily_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Day-over-day jumps of a series, on the event table."""
     daily = adapter.read(spark, sf_dir, "events").filter("value > 0").groupBy("user_id", "event_type", F.col("ts").cast("date").alias("day")).agg(F.median("value").alias("v"))
@@ -880,3 +933,13 @@ def event_daily_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rows.withColumn("ratio", F.col("v") / F.col("pv")).filter("ratio < 0.5 OR ratio > 2").select("user_id", "event_type", "day", "ratio"))
 
 
+@query("SELECT user_id, event_type, day, round(ratio, 6) AS ratio FROM (" + _EVENT_JUMPS + ")")
+def event_jumps_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream: files of events in no order of time, a few a batch."""
+    folder = f"{_shared(spark)}/gondola-jumps-{uuid.uuid4().hex}"
+    events = adapter.read(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "value")
+    events.repartition(24, F.xxhash64("user_id", "event_type", "value")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    series = ["user_id", "event_type"]
+    jumps.publish(jumps.jumps(stream, series, "day", "value"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return tidy(jumps.current(spark, f"{folder}/out", series))

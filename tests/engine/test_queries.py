@@ -11,7 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CHECKED = [
     "price_index_daily", "index_sensitivity", "pair_overlap", "banner_day_health_grid", "anomaly_union", "basket_savings", "quality_daily_counts", "local_code_medians", "representative_variant_dedup", "basket_candidate_review", "latest_dim_dedup",
     "gtin_normalize_validate_classify", "unit_normalize", "text_fold_accents", "duplicate_grain_probe", "date_series_grid", "left_join_missing_audit", "validity_range_join", "topn_sample", "event_daily_jumps",
-    "quality_gates_failing", "published_basket_components", "export_basket_definition", "measure_dispersion_limpia_of_provinces", "ingestion_reconciliation", "typed_commerce", "typed_stores", "typed_prices", "snapshot_scan", "snapshot_metrics", "snapshot_faults", "streaming_median_error", "sketch_quantiles", "failed_runs", "published_state", "price_quantiles",
+    "quality_gates_failing", "published_basket_components", "export_basket_definition", "measure_dispersion_limpia_of_provinces", "ingestion_reconciliation", "typed_commerce", "typed_stores", "typed_prices", "snapshot_scan", "snapshot_metrics", "snapshot_faults", "streaming_median_error", "sketch_quantiles", "failed_runs", "published_state", "price_quantiles", "basket_candidate_regex_join",
+    "pattern_candidates", "validity_range_blocks", "distinct_rollup", "semantic_star_pruned", "event_jumps_stream",
 ]
 
 
