@@ -53,17 +53,13 @@ class Workspace:
         df.write.option("compression", codec).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of the tables written so far, which nothing reads any more.
-
-        The session holds on to its last query until it runs another one, so a small one comes first."""
-        self.spark.range(1).count()
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, name: str) -> None:
         self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
+    def close(self) -> None:
+        """All tables go: whatever was read from them is written elsewhere."""
+        self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(self.path), True)
+
 
 _made: list[Workspace] = []
 
@@ -76,15 +72,16 @@ def transient() -> Iterator[None]:
         yield
     finally:
         for space in _made[before:]:
-            space.fs.delete(space.spark._jvm.org.apache.hadoop.fs.Path(space.path), True)
+            space.close()
         del _made[before:]
 
 
 def bounded(spark: SparkSession) -> None:
-    """Smaller Arrow batches than usual, as texts may be long; a session that sets its own size keeps it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, "2000")
+    """Smaller Arrow batches than usual, as texts may be long, and shuffle files that go with the query that made them: what
+    later steps need is written. A session that sets its own values keeps them."""
+    for key, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"), ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false", "true")):
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, own)
 
 
 def released(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -552,10 +552,8 @@ def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     back = "chunk long, range int, data binary"
     anchors = chunks.mapInArrow(released(_anchor_rows(bits)), dealt)
     shared = space.write(anchors.groupBy("range").applyInArrow(trimmed(_shared), back), "shared", "none")
-    space.forget()
     strings = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(trimmed(_string_rows(bits)), dealt)
     answers = space.write(strings.groupBy("range").applyInArrow(trimmed(_resolve), back), "answers", "none")
-    space.forget()
     return chunks.groupBy("chunk").cogroup(shared.unionByName(answers).groupBy("chunk")).applyInArrow(trimmed(_remove(bits)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
