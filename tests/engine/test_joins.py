@@ -59,6 +59,16 @@ def test_many_ranges(spark):
     assert found.exceptAll(truth).count() == 0 and truth.exceptAll(found).count() == 0 and truth.count() > 1000
 
 
+def test_ranges_are_not_broadcast(spark):
+    """A small file of long ranges makes many blocks: they are shuffled, and a range of 400 has a dozen."""
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_custkey", "o_orderkey", ranges.days(F.col("o_orderdate").cast("date")).alias("day"))
+    valid = orders.select("o_custkey", F.col("o_orderkey").alias("n"), F.col("day").alias("low"), (F.col("day") + 399).alias("high"))
+    text = ranges.range_join(orders, valid, ["o_custkey"], "day", "low", "high")._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in line and "block" in line for line in text.splitlines()) and not any("BroadcastHashJoin" in line and "block" in line for line in text.splitlines())
+    sizes = spark.range(1000).select(F.size(ranges.blocks(F.col("id") * 7, F.col("id") * 7 + 400, ranges.JOIN_FAN, 4)).alias("n")).agg(F.avg("n")).first()[0]
+    assert sizes < 13
+
+
 @pytest.mark.parametrize("pattern,expected", [("AZUCAR", ["azu"]), ("(^| )AZUCAR( |$)", ["azu"]), ("CAFE.*MOLIDO|INSTANT", ["caf", "ins"]), ("(ab|cd)+", [""]), ("(abc)?x", [""]), ("(abc|defg){1,2}", [""]), ("(abc|defg)+", ["abc", "def"]), (r"L\\.V", [""]), ("[0-9]", [""]), ("", [""]), ("ab*cde", ["cde"]), ("(?i)abc", [""]), ("abc(", [""]), (None, None), ("AÑOS", [""]), (r"\Qabc\E", [""]), ("[a&&[b]]xyz", [""])])
 def test_pieces(pattern, expected):
     assert patterns.pieces(pattern) == expected
