@@ -935,11 +935,11 @@ def event_daily_jumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, event_type, day, round(ratio, 6) AS ratio FROM (" + _EVENT_JUMPS + ")")
 def event_jumps_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream: files of events in no order of time, a few a batch."""
+    """The same from a stream: files of events in no order of time, a few a batch, so every day is kept."""
     folder = f"{_shared(spark)}/gondola-jumps-{uuid.uuid4().hex}"
     events = adapter.read(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("date").alias("day"), "value")
     events.repartition(24, F.xxhash64("user_id", "event_type", "value")).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
     series = ["user_id", "event_type"]
-    jumps.publish(jumps.jumps(stream, series, "day", "value"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    jumps.publish(jumps.jumps(stream, series, "day", "value", keep=None), f"{folder}/out", f"{folder}/state").awaitTermination()
     return tidy(jumps.current(spark, f"{folder}/out", series))

@@ -3,7 +3,8 @@
 The state of a series is, for each day, its values and how often each was seen: as large as the days' distinct values. A
 batch re-reads only the days it touches and their successors. Where a jump appears, changes or is taken back, a row goes
 out with the batch's number; `current` reads what holds in the end. Days more than `keep` before a series' latest one leave
-the state, and observations of such days are late beyond use: they are counted in `dropped`, never silently lost.
+the state, and observations of such days are late beyond use: they are counted in `dropped`, never silently lost. With a keep
+of None every day stays, and nothing is late.
 
 Defined cases: null keys are series, null days and values that are null or not positive take no part; an observation
 that comes twice counts twice; a gap in the days suppresses the test; an empty stream gives no rows.
@@ -27,11 +28,11 @@ KEEP = 400
 
 
 def _median(values: dict[float, int]) -> float:
-    """Exact, interpolated between the two middle ones."""
+    """Exact: halves of the two middle ones are added, as SQL's median does, to the last bit."""
     own = np.array(sorted(values.items()))
     upto = np.cumsum(own[:, 1])
     low, high = (own[np.searchsorted(upto, place, "right"), 0] for place in ((upto[-1] - 1) // 2, upto[-1] // 2))
-    return float(low + (high - low) * 0.5)
+    return float(low * 0.5 + high * 0.5)
 
 
 def _ratio(days: dict[dt.date, dict[float, int]], day: dt.date) -> float | None:
@@ -39,13 +40,13 @@ def _ratio(days: dict[dt.date, dict[float, int]], day: dt.date) -> float | None:
     return _median(days[day]) / _median(before) if before and day in days else None
 
 
-def _step(low: float, high: float, keep: int):
+def _step(low: float, high: float, keep: int | None):
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         days, shown = pickle.loads(state.get[0]) if state.exists else ({}, {})
         touched, dropped = set(), 0
         for frame in frames:
             for day, value, times in zip(frame["day"], frame["value"], frame["times"]):
-                if days and day < max(days) - dt.timedelta(days=keep):
+                if keep is not None and days and day < max(days) - dt.timedelta(days=keep):
                     dropped += times
                     continue
                 own = days.setdefault(day, {})
@@ -60,7 +61,7 @@ def _step(low: float, high: float, keep: int):
                 shown[day] = jump
         if dropped:
             out.append((None, None, dropped))
-        first = max(days) - dt.timedelta(days=keep) if days else None
+        first = max(days) - dt.timedelta(days=keep) if days and keep is not None else dt.date.min
         state.update((pickle.dumps(({d: v for d, v in days.items() if d >= first}, {d: v for d, v in shown.items() if d >= first and v is not None})),))
         if not out:
             return
@@ -70,7 +71,7 @@ def _step(low: float, high: float, keep: int):
     return run
 
 
-def jumps(observed: DataFrame, series: list[str], day: str, value: str, low: float = 0.5, high: float = 2.0, keep: int = KEEP) -> DataFrame:
+def jumps(observed: DataFrame, series: list[str], day: str, value: str, low: float = 0.5, high: float = 2.0, keep: int | None = KEEP) -> DataFrame:
     """A stream of changes: series, day, ratio (null: taken back), dropped. observed is a stream."""
     kinds = dict(observed.dtypes)
     rows = observed.filter(F.col(day).isNotNull() & (F.col(value) > 0)).select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(series)], F.col(day).alias("day"), F.col(value).cast("double").alias("value"), F.lit(1).alias("times"))

@@ -136,3 +136,20 @@ def test_jumps(spark, tmp_path):
             [("", day(2), 9.0), ("a", day(1), 15.0), ("b", day(3), 5.1)],
         ][k]
     assert spark.read.parquet(str(tmp_path / "out")).agg(F.sum("dropped")).first()[0] == 1
+
+
+def test_jumps_equal_sql_to_the_last_bit(spark, tmp_path):
+    """Medians of even counts at a ratio of exactly two, and days that come years late: as the windowed query has them."""
+    import duckdb
+
+    rng, day = random.Random(4), lambda n: dt.date(2020, 1, 1) + dt.timedelta(days=n)
+    rows = [(str(s), day(n), v * n) for s in range(150) for x, y in [(rng.randint(1, 30000) / 100, rng.randint(1, 30000) / 100)] for n in (1, 2) for v in (x, y)]
+    rows += [("late", day(n), v) for n, v in [(1500, 1.0), (3, 1.0), (4, 7.0)]]
+    shape = "s string, day date, value double"
+    for part in (rows[:-2], rows[-2:]):
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(shape).parquet(str(tmp_path / "in"))
+        jumps.publish(jumps.jumps(stream, ["s"], "day", "value", high=1.9999, keep=None), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = {(r.s, r.day): r.ratio for r in jumps.current(spark, str(tmp_path / "out"), ["s"]).collect()}
+    truth = duckdb.sql(f"WITH u AS (SELECT s, day, median(value) AS v FROM '{tmp_path}/in/*.parquet' GROUP BY ALL) SELECT a.s, a.day, a.v / b.v FROM u a JOIN u b ON a.s = b.s AND a.day = b.day + 1 WHERE a.v / b.v NOT BETWEEN 0.5 AND 1.9999").fetchall()
+    assert found == {(s, d): r for s, d, r in truth} and len(truth) == 151
