@@ -80,13 +80,13 @@ def regex_join(texts: DataFrame, patterns: DataFrame, text: str, include: str, e
     taken = {*texts.columns, *patterns.columns}
     piece, own, all_ = (next(n for n in (f"{name}{'_' * i}" for i in range(len(taken) + 1)) if n not in taken) for name in ("piece", "own", "all"))
     lists = patterns.withColumn(all_, F.udf(pieces, "array<string>")(include))  # a row for each pattern
-    listed = lists.withColumn(piece, F.explode(all_))
+    listed = lists.withColumn(piece, F.explode_outer(all_))  # "outer": no filter that Spark would evaluate beneath a distinct; null pieces meet nothing
     if patterns.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
         listed = F.broadcast(listed)
     low = folded(F.col(text))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (PIECE - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(PIECE))))
     rows = texts.filter(F.col(text).isNotNull()).withColumn(own, grams)
-    rows = rows.withColumn(piece, F.explode(F.concat(F.array(F.lit(ANY)), F.filter(own, lambda g: F.length(g) == PIECE))))
+    rows = rows.withColumn(piece, F.explode_outer(F.concat(F.array(F.lit(ANY)), F.filter(own, lambda g: F.length(g) == PIECE))))
     # a text may hold several pieces of a pattern: the first of the pattern's list stands for them
     first = F.array_contains(all_, ANY) | (F.get(F.array_intersect(all_, own), F.lit(0)) == F.col(piece))
     fits = matches(F.col(text), F.col(include)) & ~matches(F.col(text), F.col(exclude))

@@ -767,14 +767,15 @@ c AS (SELECT DISTINCT p_name AS pattern, '(^| )' || upper(split_part(p_name, ' '
       UNION ALL SELECT DISTINCT p_brand, '[' || right(p_brand, 1) || 'x-z]', ' ' || lower(left(p_type, 1)) FROM part)
 SELECT pattern, inc, exc, count(*) AS parts, min(p_partkey) AS first_part, max(p_partkey) AS last_part FROM v JOIN c ON regexp_matches(description, inc, 'i') AND NOT regexp_matches(description, exc, 'i') GROUP BY ALL""")
 def pattern_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descriptions against patterns made of all names and brands: the names' have pieces, the brands' have none."""
+    """All descriptions against patterns made of all names and brands: the names' have pieces, the brands' have none. A
+    description is tried once, whatever the number of parts that have it."""
     part = adapter.read(spark, sf_dir, "part")
     word = lambda k: F.get(F.split("p_name", " "), F.lit(k))
     names = part.select(F.col("p_name").alias("pattern"), F.concat(F.lit("(^| )"), F.upper(word(0)), F.lit(".*"), word(1), F.lit("|"), "p_type", F.lit(" [a-d]")).alias("inc"), F.concat(F.lit("^PROMO.*"), word(0)).alias("exc"))
     brands = part.select(F.col("p_brand").alias("pattern"), F.concat(F.lit("["), F.right("p_brand", F.lit(1)), F.lit("x-z]")).alias("inc"), F.concat(F.lit(" "), F.lower(F.left("p_type", F.lit(1)))).alias("exc"))
-    texts = part.select("p_partkey", F.concat("p_type", F.lit(" "), "p_name").alias("description"))
+    texts = part.groupBy(F.concat("p_type", F.lit(" "), "p_name").alias("description")).agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("low"), F.max("p_partkey").alias("high"))
     pairs = regex_join(texts, names.distinct().unionByName(brands.distinct()), "description", "inc", "exc")
-    return tidy(pairs.groupBy("pattern", "inc", "exc").agg(F.count(F.lit(1)).alias("parts"), F.min("p_partkey").alias("first_part"), F.max("p_partkey").alias("last_part")))
+    return tidy(pairs.groupBy("pattern", "inc", "exc").agg(F.sum("n").alias("parts"), F.min("low").alias("first_part"), F.max("high").alias("last_part")))
 
 
 _CODE_SQL = r"""

@@ -39,3 +39,11 @@ def test_query(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 35 and set(ORACLES) == set(QUERIES) and set(QUERIES) <= set(entry.queries())
+
+
+def test_patterns_try_a_description_once(spark):
+    """Equal descriptions are counted before the join: their number, not the parts', is what the expressions see."""
+    plan = QUERIES["pattern_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join ") :]
+    assert "min(p_partkey" in join and "max(p_partkey" in join
+    assert not any("Filter" in line and "substring" in line for line in plan.splitlines())
