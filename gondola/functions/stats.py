@@ -30,6 +30,13 @@ def median(value: Column, of: T.DataType | None = None, where: Column | None = N
     return quantiles(value, [0.5], of, where)[0]
 
 
+def small_median(column: str) -> Column:
+    """Median of doubles as an aggregate for many groups of a few rows each: sorted lists cost less than maps of counts."""
+    own = F.sort_array(F.collect_list(column))
+    low, high = (F.get(own, F.floor(place / 2).cast("int")) for place in (F.size(own) - 1, F.size(own)))
+    return F.when(F.size(own) > 0, low * 0.5 + high * 0.5)
+
+
 def geometric_mean(value: Column) -> Column:
     return F.exp(F.avg(F.ln(value.cast("double"))))
 

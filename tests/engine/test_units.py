@@ -233,3 +233,11 @@ def test_download(tmp_path):
         with pytest.raises(download.DownloadError):
             download.fetch(Session(reply), url, "jueves", tmp_path, tmp_path / "m.jsonl", policy, day)
     assert not list(tmp_path.rglob("*.part"))
+
+
+def test_small_median(spark):
+    """Equal to SQL's median to the last bit, for odd, even, null and empty groups."""
+    rows = [(k % 400, None if k % 11 == 0 else (k * 7919 % 30011) / 100) for k in range(1500)] + [(900, None)]
+    df = spark.createDataFrame(rows, "k long, v double")
+    found = df.groupBy("k").agg(stats.small_median("v").alias("a"), F.median("v").alias("b"))
+    assert found.filter("NOT a <=> b").count() == 0 and found.filter("a IS NULL").count() == 1
