@@ -26,13 +26,14 @@ def _range(v: Column) -> Column:
     return F.when(v > 0, spread(v)).when(v == 0, F.lit(-far).cast("long")).otherwise(-2 * far - spread(-v))
 
 
-def quantiles_by(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+def quantiles_by(rows: DataFrame, keys: list[str], value: str, shares: list[float], times: str | None = None) -> DataFrame:
     """keys, n, least, most (of the values that are not null), quantiles (array, interpolated; those of decimals keep the
-    type, cut towards zero). Groups without a value are left out; null keys are a group."""
+    type, cut towards zero). Groups without a value are left out; null keys are a group. times: a column that says how often a
+    row's value counts."""
     of = rows.schema[value].dataType
     scale = 10**of.scale if isinstance(of, T.DecimalType) else None
     v = (F.col(value) * scale).cast("decimal(38,0)").cast("long") if scale else F.col(value).cast("double")
-    counts = rows.select(*keys, v.alias("__v")).filter("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__b", _range(F.col("__v")))
+    counts = rows.select(*keys, v.alias("__v"), (F.col(times) if times else F.lit(1)).cast("long").alias("__n")).filter("__v IS NOT NULL").groupBy(*keys, "__v").agg(F.sum("__n").alias("__n")).withColumn("__b", _range(F.col("__v")))
     group = Window.partitionBy(*keys)
     upto = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     ranges = counts.groupBy(*keys, "__b").agg(F.sum("__n").alias("__m"), F.min("__v").alias("__low"), F.max("__v").alias("__high"))

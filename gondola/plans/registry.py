@@ -91,13 +91,19 @@ def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep
     if keep:
         for name, n in readers.items():
             if n > 1 and name in MARTS and MARTS[name].fan_out:
-                _kept.append(tables[name].persist(StorageLevel.MEMORY_AND_DISK))
+                keep_table(tables[name])
     return tables
 
 
 _kept: list[DataFrame] = []
 
 
+def keep_table(df: DataFrame) -> DataFrame:
+    """df, kept in memory or on disk once computed, until release()."""
+    _kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return df
+
+
 def release() -> None:
     """Lets go of the tables that an earlier build kept."""
     while _kept:

@@ -565,18 +565,22 @@ SELECT CASE WHEN gb = 0 AND gp = 0 THEN 'BANNER_PROVINCE' WHEN gb = 0 THEN 'BANN
        """ + _rounded("round(m, 6) AS price_median, round(a, 6) AS price_p10, round(b, 6) AS price_p90") + """ FROM q""")
 def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles over all dates at the four levels, from sketches that were made by day, banner and province and then only
-    merged. An exact quantile is shown where the sketch's lies within twice its stated error of it, by rows."""
+    merged. An exact quantile is shown where the sketch's lies within twice its stated error of it, by rows. Both are taken
+    from counts of equal prices, which all levels read."""
     rows = adapter.lines(spark, sf_dir).select("snapshot_date", F.col("p_brand").alias("gtin14"), *BANNER, "provincia_codigo", F.col("unit_price").alias("list_price"))
     found = sketches.of_levels(sketches.daily(rows), ["gtin14"])
     shares, keys = {"price_median": 0.5, "price_p10": 0.1, "price_p90": 0.9}, ["gtin14", *BANNER, "provincia_codigo"]
+    registry.release()
+    counted = registry.keep_table(rows.filter("list_price IS NOT NULL").groupBy(*keys, "list_price").agg(F.count(F.lit(1)).alias("times")))
     found = found.select("dispersion_level", *keys, sketches.rows().alias("n"), *[sketches.quantile(s).alias(f"{name}_sketch") for name, s in shares.items()])
     out = None
     for level, own in dispersion.LEVELS.items():
         by, near = ["gtin14", *own], found.filter(F.col("dispersion_level") == level)
-        exact = quantiles_by(rows, by, "list_price", list(shares.values())).drop("n", "least", "most")
-        off = lambda name, s: (F.count_if(F.col("list_price") < F.col(f"{name}_sketch")) <= (s + 2 * sketches.rank_error()) * F.col("n") + 1) & (F.count_if(F.col("list_price") <= F.col(f"{name}_sketch")) >= (s - 2 * sketches.rank_error()) * F.col("n") - 1)
+        exact = quantiles_by(counted, by, "list_price", list(shares.values()), "times").drop("n", "least", "most")
+        where = lambda condition: F.sum(F.when(condition, F.col("times")).otherwise(0))
+        off = lambda name, s: (where(F.col("list_price") < F.col(f"{name}_sketch")) <= (s + 2 * sketches.rank_error()) * F.col("n") + 1) & (where(F.col("list_price") <= F.col(f"{name}_sketch")) >= (s - 2 * sketches.rank_error()) * F.col("n") - 1)
         kept = near.drop(*[k for k in keys if k not in by])
-        good = rows.join(kept, by).groupBy(*by, "n").agg(*[off(name, s).alias(f"{name}_ok") for name, s in shares.items()])
+        good = counted.join(kept, by).groupBy(*by, "n").agg(*[off(name, s).alias(f"{name}_ok") for name, s in shares.items()])
         part = good.join(exact, by).select(F.lit(level).alias("dispersion_level"), *[(F.col(k) if k in by else F.lit(None).cast("string")).alias(k) for k in keys], "n", *[F.when(F.col(f"{name}_ok"), F.col("quantiles")[i]).alias(name) for i, name in enumerate(shares)])
         out = part if out is None else out.unionByName(part)
     return tidy(out.drop("id_bandera"))

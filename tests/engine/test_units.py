@@ -241,3 +241,11 @@ def test_small_median(spark):
     df = spark.createDataFrame(rows, "k long, v double")
     found = df.groupBy("k").agg(stats.small_median("v").alias("a"), F.median("v").alias("b"))
     assert found.filter("NOT a <=> b").count() == 0 and found.filter("a IS NULL").count() == 1
+
+
+def test_quantiles_of_counts(spark):
+    """Counted values give the quantiles of the rows they stand for."""
+    rows = spark.range(3000).select((F.col("id") % 5).alias("k"), (F.col("id") * 7 % 40 / 8).alias("v"))
+    counted = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("times"))
+    a, b = quantiles_by(rows, ["k"], "v", [0.1, 0.5, 0.9]), quantiles_by(counted, ["k"], "v", [0.1, 0.5, 0.9], "times")
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect())) and a.first().n == 600
