@@ -1,13 +1,16 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands propose pairs, exact similarity decides.
+"""Near-duplicates by the Jaccard similarity of word shingles: ball hashing of SimHash fingerprints and, beyond its radius,
+MinHash bands propose pairs, exact similarity decides.
 
 Words are those of simhash.py; a text is the set of XXH64 hashes of its five-word shingles, and texts of one set are
-one node. BANDS bands of ROWS least hashes each put nodes into buckets: a pair of similarity s shares a bucket with
-probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Every link is verified on the whole texts.
+one node. Nodes whose fingerprints (of that set) ball hashing links, as in simhash.py, share a bucket. Two bits tell only
+texts that are all but equal, so BANDS bands of ROWS least hashes each put nodes into further buckets: a
+pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Every link is verified on the
+whole texts.
 
 Buckets may be large (a template, one text in many versions), so they are never paired member by member:
 
-1. neighbours in the order of set size are verified, in the buckets of the first FIRST bands, then in those of all bands
-   wherever neighbours are still apart: really alike nodes, however many, end up in few components, for a few
+1. neighbours in the order of set size are verified, in the balls and the buckets of the first FIRST bands, then in all
+   buckets wherever neighbours are still apart: really alike nodes, however many, end up in few components, for a few
    verifications each;
 2. nodes whose bucket still holds several components go through an exact prefix filter: of a set's n shingles, in order of
    rarity among these nodes, the first n - ceil(0.8 n) + 1 are indexed, and nodes of different components are paired where
@@ -35,7 +38,8 @@ from pyspark.sql import functions as F
 
 from gondola.llm.common import Workspace, in_slices, released
 from gondola.llm.graph import components
-from gondola.llm.simhash import SEED, SLICE, named, shingle_hashes, text_key, without
+from gondola.llm.simhash import DISTANCE, SEED, SLICE, named, prints, shingle_hashes, text_key, without
+from gondola.llm.simhash import links as balls
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
@@ -75,8 +79,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = [[]] * len(sets)
             for k, row in zip(some, bands([sets[k] for k in some]).view(np.int64).tolist()):
                 keys[k] = row
-            prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64())), part.column(1), part.column(2)], names=["doc_id", "fp", "n", "bands", "text", "key"])
+            own = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints(sets).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), part.column(1), part.column(2)], names=["doc_id", "fp", "n", "sim", "bands", "text", "key"])
+
+
+def buckets(space: Workspace, nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """band (0: the ball, from 1: MinHash), key, fp, n of nodes (fp, n, sim, bands) that have words."""
+    some = nodes.filter("n > 0")
+    stars = Workspace(space.spark, "minhash-balls")
+    linked = space.write(components(stars, balls(some.select(F.col("sim").alias("fp")).distinct(), distance)), "balls")
+    stars.close()
+    placed = some.join(linked.toDF("sim", "ball"), "sim", "left").withColumn("ball", F.xxhash64(F.coalesce("ball", "sim")))
+    return placed.select("fp", "n", F.posexplode(F.concat(F.array("ball"), "bands")).alias("band", "key"))
 
 
 def _verify(similarity: float):
@@ -149,12 +163,11 @@ def _may_be_alike(similarity: float, n: str, place: str, n2: str, place2: str) -
 def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, fp, component_id (the smallest doc_id reachable), and key and root for without()."""
     space = Workspace(spark, "minhash")
-    described = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key")).mapInArrow(released(_describe), "doc_id long, fp long, n long, bands array<long>, text string, key binary")
+    described = docs.select(F.col("doc_id").cast("long"), "text", text_key().alias("key")).mapInArrow(released(_describe), "doc_id long, fp long, n long, sim long, bands array<long>, text string, key binary")
     rows = space.write(described, "rows")
-    nodes = space.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = space.write(rows.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "nodes")
     order = Window.partitionBy("key").orderBy("n", "fp")
-    spread = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
-    spread = spread.select("band", "key", "fp", "n", F.lag("fp").over(order).alias("before"), F.lead("fp").over(order).alias("after"))
+    spread = buckets(space, nodes).select("band", "key", "fp", "n", F.lag("fp").over(order).alias("before"), F.lead("fp").over(order).alias("after"))
     members = space.write(spread.filter("before IS NOT NULL OR after IS NOT NULL").select("band", "key", "fp", "n"), "members")
 
     def neighbours(placed: DataFrame) -> DataFrame:
@@ -183,7 +196,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
         return links
 
     links = tried = spark.createDataFrame([], "a long, b long")
-    alone = members.filter(F.col("band") < FIRST).select("key", "fp", "n", F.col("fp").alias("label"))
+    alone = members.filter(F.col("band") <= FIRST).select("key", "fp", "n", F.col("fp").alias("label"))
     members = members.select("key", "fp", "n")
     verified(neighbours(alone), "first")
     verified(neighbours(apart(members, links, "first")), "near")

@@ -55,8 +55,12 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 def simhash(texts: list[str | None]) -> np.ndarray:
     """Unsigned fingerprints."""
-    hashes = [shingle_hashes(t) for t in texts]
-    out = np.zeros(len(texts), np.uint64)
+    return prints([shingle_hashes(t) for t in texts])
+
+
+def prints(hashes: list[np.ndarray]) -> np.ndarray:
+    """Fingerprints of the texts that have these shingle hashes."""
+    out = np.zeros(len(hashes), np.uint64)
     weights = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
     for run in in_slices([k for k, h in enumerate(hashes) if len(h)], lambda k: len(hashes[k]), SLICE):
         if len(run) == 1:

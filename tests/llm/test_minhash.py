@@ -1,7 +1,8 @@
 import numpy as np
 
 import corpus_pipeline
-from gondola.llm import minhash
+from gondola.llm import minhash, simhash
+from gondola.llm.common import Workspace
 from tests.llm.conftest import ODD
 
 
@@ -56,3 +57,16 @@ def test_odd(spark, odd, nothing):
     assert sorted((str(r.doc_id), r.component_id) for r in minhash.classes(spark, odd).collect()) == truth
     assert minhash.classes(spark, nothing).count() == 0 and minhash.dedup(spark, nothing).count() == 0
     assert minhash.dedup(spark, odd).columns == odd.columns
+
+
+def test_balls_are_buckets(spark):
+    """Nodes within two bits share a bucket whatever their bands are; a fingerprint is that of the node's shingle set."""
+    rows = spark.createDataFrame([(d, t, None) for d, t in versions()[:12]], "doc_id long, text string, key binary")
+    found = rows.mapInArrow(minhash._describe, "doc_id long, fp long, n long, sim long, bands array<long>, text string, key binary").collect()
+    assert [r.sim for r in found] == simhash.prints([minhash.shingle_set(r.text) for r in found]).view(np.int64).tolist()
+    nodes = [(1, 9, 0b1011, [11]), (2, 9, 0b1000, [12]), (3, 9, 0b111111 << 20, [13]), (4, 9, 0b1011, [14]), (5, 0, 0, [])]
+    space = Workspace(spark, "test")
+    placed = minhash.buckets(space, spark.createDataFrame(nodes, "fp long, n long, sim long, bands array<long>")).collect()
+    ball = {r.fp: r.key for r in placed if r.band == 0}
+    assert ball[1] == ball[2] == ball[4] != ball[3] and 5 not in ball
+    assert {(r.fp, r.key) for r in placed if r.band == 1} == {(1, 11), (2, 12), (3, 13), (4, 14)}
