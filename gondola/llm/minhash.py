@@ -7,12 +7,14 @@ texts that are all but equal, so BANDS bands of ROWS least hashes each put nodes
 pair of similarity s shares one with probability 1 - (1 - s^ROWS)^BANDS, 0.9999 at 0.8. Every link is verified on the
 whole texts.
 
-Buckets may be large (a template, one text in many versions), so they are never paired member by member:
+Buckets may be large (a template, one text in many versions), so only those of FEW nodes are paired member by member:
 
 1. neighbours in the order of set size are verified, in the balls and the buckets of the first FIRST bands, then in all
    buckets wherever neighbours are still apart: really alike nodes, however many, end up in few components, for a few
    verifications each;
-2. nodes whose bucket still holds several components go through an exact prefix filter: of a set's n shingles, in order of
+2. in buckets of at most FEW nodes that still hold several components, all pairs that are apart and of like size are
+   verified (at most FEW / 2 for a node and bucket);
+3. nodes whose larger bucket holds several components go through an exact prefix filter: of a set's n shingles, in order of
    rarity among these nodes, the first n - ceil(0.8 n) + 1 are indexed, and nodes of different components are paired where
    they share one of them, and their sizes and its places in both orders allow the similarity. Two sets that are alike
    have such a shingle, the first they share; versions of a template that aren't alike have enough text of their own
@@ -45,6 +47,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 6
 #: Bands whose neighbours are verified first.
 FIRST = 2
+#: Nodes of a bucket that are paired with each other.
+FEW = 8
 #: Hashes of sets that a task keeps for the next pairs, 16 MB; the sets of a pair come beside them.
 HELD = 1 << 21
 _RANDOM = np.random.default_rng(SEED)
@@ -200,8 +204,15 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     members = members.select("key", "fp", "n")
     verified(neighbours(alone), "first")
     verified(neighbours(apart(members, links, "first")), "near")
-    left = space.write(apart(members, links, "near").select("fp", "n").distinct(), "left")
-    space.drop("members")
+    mixed = apart(members, links, "near")
+    few = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") <= FEW).select("key")
+    small = space.write(mixed.join(few, "key", "left_semi"), "small")
+    other = small.toDF("key", "fp2", "n2", "label2")
+    sizes = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-9
+    verified(small.join(other, "key").filter((F.col("fp") < F.col("fp2")) & (F.col("label") != F.col("label2")) & sizes).select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct(), "few")
+    left = space.write(mixed.join(few, "key", "left_anti").select("fp", "n").distinct(), "left")
+    for used in ("members", "small", "near-apart"):
+        space.drop(used)
     prefixes = _prefixes(space, left, rows, similarity)
     meet = (F.col("label") != F.col("label2")) & _may_be_alike(similarity, "n", "place", "n2", "place2")
     one = apart(prefixes, links, "left")

@@ -70,3 +70,16 @@ def test_balls_are_buckets(spark):
     ball = {r.fp: r.key for r in placed if r.band == 0}
     assert ball[1] == ball[2] == ball[4] != ball[3] and 5 not in ball
     assert {(r.fp, r.key) for r in placed if r.band == 1} == {(1, 11), (2, 12), (3, 13), (4, 14)}
+
+
+def test_small_buckets_need_no_filter(spark, monkeypatch):
+    """Texts that share a small bucket without being alike are paired there; their shingles don't go through the filter."""
+    rng, docs, left = np.random.default_rng(8), [], []
+    for _ in range(60):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 120)]
+        docs += [base, base[:80] + [f"x{x}" for x in rng.integers(0, 10**6, 20)], [*base[2:], "y"]]
+    docs = [(k, " ".join(w)) for k, w in enumerate(docs)]
+    filtered = minhash._prefixes
+    monkeypatch.setattr(minhash, "_prefixes", lambda space, nodes, *more: left.append(nodes.count()) or filtered(space, nodes, *more))
+    found = {r.doc_id: r.component_id for r in minhash.classes(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == dict(zip([d for d, _ in docs], brute_components(docs))) and left == [0]
