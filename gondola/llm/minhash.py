@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gondola.llm.common import Workspace, in_slices, released
+from gondola.llm.common import BROADCAST_ROWS, Workspace, in_slices, released
 from gondola.llm.graph import components
 from gondola.llm.simhash import DISTANCE, SEED, SLICE, named, prints, shingle_hashes, text_key, without
 from gondola.llm.simhash import links as balls
@@ -123,11 +123,11 @@ def _verify(similarity: float):
     return run
 
 
-def _verified(space: Workspace, pairs: DataFrame, rows: DataFrame, similarity: float, name: str) -> DataFrame:
+def _verified(space: Workspace, pairs: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar."""
     pairs = space.write(pairs, f"{name}-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = space.write(rows.join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), f"{name}-texts")
+    texts = space.write(texts.join(ends, "fp", "left_semi"), f"{name}-texts")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     links = space.write(joined.mapInArrow(released(_verify(similarity)), "a long, b long"), f"{name}-links")
     space.drop(f"{name}-texts")
@@ -143,10 +143,10 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), fp.as_py())), pa.array(part)], names=["fp", "shingle"])
 
 
-def _prefixes(space: Workspace, left: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+def _prefixes(space: Workspace, left: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The prefixes of the nodes' shingles in order of rarity, without those of one node: key, fp, n, place (from 1)."""
-    texts = rows.join(left.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    held = space.write(texts.mapInArrow(released(_shingles), "fp long, shingle long"), "shingles")
+    own = texts.join(left.select("fp"), "fp", "left_semi").select("fp", "text")
+    held = space.write(own.mapInArrow(released(_shingles), "fp long, shingle long"), "shingles")
     common = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")  # a shingle of one node is the rarest, and pairs nothing
     rarity = Window.partitionBy("fp").orderBy("df", "shingle")
     ranked = held.join(common, "shingle", "left").select("fp", "shingle", F.coalesce("df", F.lit(1)).alias("df")).withColumn("place", F.row_number().over(rarity))
@@ -174,6 +174,10 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     spread = buckets(space, nodes).select("band", "key", "fp", "n", F.lag("fp").over(order).alias("before"), F.lead("fp").over(order).alias("after"))
     members = space.write(spread.filter("before IS NOT NULL OR after IS NOT NULL").select("band", "key", "fp", "n"), "members")
 
+    some = members.select("fp").distinct()
+    some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+    texts = space.write(rows.join(some, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")  # all that later steps read
+
     def neighbours(placed: DataFrame) -> DataFrame:
         """Neighbours in a bucket that are apart. placed: key, fp, n, label."""
         near = placed.select("fp", "n", "label", *[F.lag(c).over(order).alias(f"{c}_before") for c in ("fp", "n", "label")]).filter(F.col("fp_before").isNotNull())
@@ -195,7 +199,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """All links so far, with those among these pairs that haven't been tried."""
         nonlocal links, tried
-        links = links.unionByName(_verified(space, pairs.join(tried, ["a", "b"], "left_anti"), rows, similarity, name))
+        links = links.unionByName(_verified(space, pairs.join(tried, ["a", "b"], "left_anti"), texts, similarity, name))
         tried = tried.unionByName(spark.read.schema("a long, b long").parquet(f"{space.path}/{name}-pairs"))
         return links
 
@@ -213,7 +217,7 @@ def classes(spark: SparkSession, docs: DataFrame, similarity: float = SIMILARITY
     left = space.write(mixed.join(few, "key", "left_anti").select("fp", "n").distinct(), "left")
     for used in ("members", "small", "near-apart"):
         space.drop(used)
-    prefixes = _prefixes(space, left, rows, similarity)
+    prefixes = _prefixes(space, left, texts, similarity)
     meet = (F.col("label") != F.col("label2")) & _may_be_alike(similarity, "n", "place", "n2", "place2")
     one = apart(prefixes, links, "left")
     centre = one.groupBy("key").agg(F.min(F.struct("place", "n", "fp", "label")).alias("c")).select("key", F.col("c.fp").alias("fp2"), F.col("c.n").alias("n2"), F.col("c.place").alias("place2"), F.col("c.label").alias("label2"))

@@ -83,3 +83,18 @@ def test_small_buckets_need_no_filter(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_prefixes", lambda space, nodes, *more: left.append(nodes.count()) or filtered(space, nodes, *more))
     found = {r.doc_id: r.component_id for r in minhash.classes(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert found == dict(zip([d for d, _ in docs], brute_components(docs))) and left == [0]
+
+
+def test_texts_are_gathered_once(spark, monkeypatch):
+    """Only texts whose node shares a bucket are kept for the steps that verify, in one table."""
+    docs, written, write = [(k, f"alone {k} " + " ".join(f"v{k}x{j}" for j in range(20))) for k in range(30)], {}, Workspace.write
+    docs += [(100, docs[0][1] + " z"), (101, docs[1][1])]
+
+    def noted(self, df, name, *more):
+        written[name] = write(self, df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(Workspace, "write", noted)
+    found = minhash.classes(spark, spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id for r in found.collect() if r.component_id != r.doc_id} == {100, 101}
+    assert {r.text for r in written["texts"].collect()} == {docs[0][1], docs[0][1] + " z"}
