@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -136,14 +136,34 @@ def vocabulary(path: str, temperature: float) -> Vocabulary:
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def uniform(seed: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Between 0 and 1, never one of them."""
-    return ((_mixed(seed + counter.astype(np.uint64) * _STEP) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+    x = counter.astype(np.uint64)
+    x *= _STEP
+    x += seed
+    x = _mixed(x)
+    x >>= np.uint64(11)
+    out = x.astype(float)
+    out += 0.5
+    out *= 2.0**-53
+    return out
+
+
+def _one_uniform(seed: int, counter: int) -> float:
+    """uniform() of one number: an array of one costs as much as one of hundreds."""
+    mask = (1 << 64) - 1
+    x = (seed + counter * int(_STEP)) & mask
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & mask
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & mask
+    return (((x ^ (x >> 31)) >> 11) + 0.5) * 2.0**-53
 
 
 def _below(mass: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -166,6 +186,7 @@ class Lattice:
     target: np.ndarray  # state that an edge leads to, the number of states at a word's end
     logp: np.ndarray  # of an edge, given its state
     rest: np.ndarray  # log-probability of all other edges of its state
+    prob: np.ndarray  # of an edge, given its state
     upto: np.ndarray  # cumulated probabilities, beyond 1 at a state's last edge
     id_start: np.ndarray  # ids of an edge
     id_count: np.ndarray
@@ -225,24 +246,24 @@ class Lattice:
         # probabilities before and after each edge of its state, summed without loss
         p = np.exp(weight)
         upto, rest = np.empty(total), np.zeros(total)
-        by_count = np.argsort(-count, kind="stable")
+        by_count = np.argsort((-count).astype(np.int16), kind="stable")  # a state has at most an edge for each size of piece
         states = np.searchsorted(-count[by_count], -np.arange(int(count.max(initial=0)) + 1), side="left").tolist()
+        start = edge[by_count]
+        last = start + count[by_count] - 1
         run = np.zeros(n)
         for j in range(len(states) - 1):  # states with more than j edges
-            r = by_count[: states[j]]
-            e = edge[r] + j
-            rest[e] = run[r]
-            run[r] += p[e]
-            upto[e] = run[r]
+            e, sums = start[: states[j]] + j, run[: states[j]]
+            rest[e] = sums
+            sums += p[e]
+            upto[e] = sums
         run[:] = 0.0
         for j in range(len(states) - 1):
-            r = by_count[: states[j]]
-            e = edge[r] + count[r] - 1 - j
-            rest[e] += run[r]
-            run[r] += p[e]
-        upto[edge + count - 1] = 2.0
+            e, sums = last[: states[j]] - j, run[: states[j]]
+            rest[e] += sums
+            sums += p[e]
+        upto[last] = 2.0
         with np.errstate(divide="ignore"):
-            rest = np.log(rest)
+            np.log(rest, out=rest)
         size = np.ones(total, np.int64)
         spelled = np.flatnonzero(piece < 0)
         if len(spelled):
@@ -253,24 +274,26 @@ class Lattice:
         ids = np.repeat(piece, size)
         for e, c in zip(spelled.tolist(), (chars[state].tolist() if len(spelled) else ())):
             ids[start[e] : start[e] + size[e]] = [vocab.byte[b] for b in chr(c).encode()]
-        return cls(first, edge, count, target, weight, rest, upto, start, size, ids)
+        return cls(first, edge, count, target, weight, rest, p, upto, start, size, ids)
 
     def walk(self, word: np.ndarray, seed: np.ndarray, place: np.ndarray) -> Segments:
         """Draws a segmentation of each word. seed: of each draw's text and path; place: of the word's first character there."""
         n, m = len(self.edge), len(word)
-        begin = self.first[word]
-        on, state, logp, rest, steps, length = np.arange(m), begin.copy(), np.zeros(m), np.zeros(m), [], np.zeros(m, np.int64)
+        state = self.first[word]
+        ahead = place - state
+        on, logp, rest, steps, length = np.arange(m), np.zeros(m), np.zeros(m), [], np.zeros(m, np.int64)
         while len(on):
+            here = slice(None) if len(on) == m else on  # all at first: views, no copies
             e = self.edge[state]
-            u = uniform(seed[on], 2 * (place[on] + state - begin[on]))
+            u = uniform(seed[here], 2 * (ahead[here] + state))
             more = np.flatnonzero(u >= self.upto[e])
             while len(more):
                 e[more] += 1
                 more = more[u[more] >= self.upto[e[more]]]
             steps.append((on, e))
-            rest[on] += np.exp(logp[on] + self.rest[e])
-            logp[on] += self.logp[e]
-            length[on] += 1
+            rest[here] += np.exp(logp[here] + self.rest[e])
+            logp[here] += self.logp[e]
+            length[here] += 1
             state = self.target[e]
             onward = state < n
             on, state = on[onward], state[onward].astype(np.int64)
@@ -283,36 +306,15 @@ class Lattice:
 
     def _edges(self, state: int) -> list[float]:
         begin = int(self.edge[state])
-        return np.exp(self.logp[begin : begin + int(self.count[state])]).tolist()
-
-    def _without(self, word: int, gone: list[tuple[int, ...]]) -> tuple[list[dict[int, int]], list[list[float]]]:
-        """A tree of the segmentations excluded (edge -> node, 0 is the word's start, -1 its end), and at each node every edge's
-        probability without them."""
-        tree, states = [{}], [int(self.first[word])]
-        for segment in gone:
-            node = 0
-            for e in segment:
-                to = int(self.target[e])
-                if e not in tree[node]:
-                    tree[node][e] = -1 if to == len(self.edge) else len(tree)
-                    if tree[node][e] > 0:
-                        tree.append({})
-                        states.append(to)
-                node = tree[node][e]
-        left: list[list[float]] = [[]] * len(tree)
-        for node in range(len(tree) - 1, -1, -1):  # nodes follow their parents
-            p, begin = self._edges(states[node]), int(self.edge[states[node]])
-            for e, child in tree[node].items():
-                p[e - begin] *= sum(left[child]) if child > 0 else 0.0
-            left[node] = p
-        return tree, left
+        return self.prob[begin : begin + int(self.count[state])].tolist()
 
     def other(self, word: int, gone: list[tuple[int, ...]], draw: Callable[[], float]) -> tuple[tuple[int, ...], float]:
         """A segmentation of the word that is none of those excluded, drawn by probability, and the probability of the rest."""
-        tree, left = self._without(word, gone)
+        tree = Excluded(self, int(self.first[word]))
+        tree.weigh(sorted({node for segment in gone for node in tree.add(segment)}))
         state, node, found = int(self.first[word]), 0, []
         while state < len(self.edge):
-            p = left[node] if node >= 0 else self._edges(state)
+            p = tree.left[node] if node >= 0 else self._edges(state)
             u, k = draw() * sum(p), 0
             while k + 1 < len(p) and (u >= p[k] or p[k] == 0.0):
                 u -= p[k]
@@ -321,8 +323,43 @@ class Lattice:
                 k -= 1
             e = int(self.edge[state]) + k
             found.append(e)
-            state, node = int(self.target[e]), tree[node].get(e, -1) if node >= 0 else -1
-        return tuple(found), sum(self._without(word, [*gone, tuple(found)])[1][0])
+            state, node = int(self.target[e]), tree.nodes[node].get(e, -1) if node >= 0 else -1
+        tree.weigh(tree.add(found))
+        return tuple(found), sum(tree.left[0])
+
+
+class Excluded:
+    """A tree of the segmentations of a word that are excluded: at each node edge -> node (0 is the word's start, -1 its end),
+    and every edge's probability without them. Nodes follow their parents."""
+
+    def __init__(self, lattice: Lattice, start: int):
+        self.lattice, self.nodes, self.states = lattice, [{}], [start]
+        self.left: list[list[float]] = [[]]
+
+    def add(self, segment: Iterable[int]) -> list[int]:
+        """The nodes on its way; their probabilities are to be weighed again."""
+        node, way = 0, []
+        for e in segment:
+            way.append(node)
+            if e not in self.nodes[node]:
+                to = int(self.lattice.target[e])
+                ends = to == len(self.lattice.edge)
+                self.nodes[node][e] = -1 if ends else len(self.nodes)
+                if not ends:
+                    self.nodes.append({})
+                    self.states.append(to)
+                    self.left.append([])
+            node = self.nodes[node][e]
+        return way
+
+    def weigh(self, nodes: list[int]) -> None:
+        """nodes: in ascending order."""
+        for node in reversed(nodes):
+            state = self.states[node]
+            p, begin = self.lattice._edges(state), int(self.lattice.edge[state])
+            for e, child in self.nodes[node].items():
+                p[e - begin] *= sum(self.left[child]) if child > 0 else 0.0
+            self.left[node] = p
 
 
 @dataclass
@@ -430,12 +467,12 @@ def sample(lattice: Lattice, word: np.ndarray, place: np.ndarray, offsets: np.nd
 
 def _drawer(seed: int) -> Callable[[], float]:
     """Uniform numbers, one after another, for the words that are drawn alone."""
-    state = np.array([seed], np.uint64)
-    counter = np.array([(1 << 62) + 1], np.int64)
+    counter = (1 << 62) + 1
 
     def draw() -> float:
-        counter[0] += 1
-        return float(uniform(state, counter)[0])
+        nonlocal counter
+        counter += 1
+        return _one_uniform(seed, counter)
 
     return draw
 
@@ -514,7 +551,7 @@ def sampled(keys: list[int | None], texts: list[str | None], vocab: Vocabulary,
         count = np.diff(offsets)[has]
         steps = segments.edges[_spread(segments.start[which], segments.count[which])]
         spelled = lattice.id_count[steps]
-        own = lattice.ids[_spread(lattice.id_start[steps], spelled)]
+        own = lattice.ids[_spread(lattice.id_start[steps], spelled) if spelled.max(initial=1) > 1 else lattice.id_start[steps]]
         # ids of each text: sums of whole numbers over its words, then over their edges
         by_word = np.concatenate([[0], np.cumsum(segments.count[which])])
         by_text = by_word[np.concatenate([[0], np.cumsum(count)])]
