@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gondola.functions.stats import PUBLISHABLE, kind, quantiles, ratio, status, valid_geography
-from gondola.operators.common import BANNER, DAY, STORE, latest
+from gondola.operators.common import BANNER, DAY, STORE, latest, provinces
 from gondola.operators.patterns import regex_join
 from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables, mart
@@ -43,8 +43,7 @@ def mart_basket_store_daily(ctx: BuildContext, t: Tables) -> DataFrame:
     active = t["fct_global_price_store_daily"].select(*DAY, *STORE).distinct()
     expected = t["dim_basket_component"].groupBy("build_id", "basket_version").agg(F.count(F.lit(1)).alias("expected_components"))
     found = t["mart_basket_component_store_daily"].groupBy(*VERSIONED, *STORE).agg(F.sum("component_cost").alias("observed_cost"), F.count("category_id").alias("found_components"))
-    stores = t["dim_store_daily"].select(*DAY, *STORE, "provincia_codigo")
-    rows = active.join(F.broadcast(expected), "build_id").join(found, [*VERSIONED, *STORE], "left").join(stores, [*DAY, *STORE], "left").fillna(0, ["found_components"])
+    rows = active.join(F.broadcast(expected), "build_id").join(found, [*VERSIONED, *STORE], "left").join(provinces(t), [*DAY, *STORE], "left").fillna(0, ["found_components"])
     have, all_ = F.col("found_components"), F.col("expected_components")
     return rows.select(*VERSIONED, *STORE, "provincia_codigo", "observed_cost", "found_components", "expected_components", ratio(have, all_).alias("basket_coverage"), (have == all_).alias("complete_basket"))
 

@@ -24,6 +24,12 @@ def pinned(ctx: BuildContext, tables: Tables, source: str) -> DataFrame:
     return rows.join(F.broadcast(inputs), ["ingest_run_id", "snapshot_date"], "left_semi").withColumn("build_id", F.lit(ctx.build_id))
 
 
+def provinces(tables: Tables) -> DataFrame:
+    """The province of each store and date, for a join on both. It has a row for each of them, which estimates from file sizes
+    don't see (dates are multiplied after the scan), so it is shuffled, never broadcast through the driver."""
+    return tables["dim_store_daily"].select(*DAY, *STORE, "provincia_codigo").hint("merge")
+
+
 def latest(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """One row for each key: the first in this order, which must be total for the result to be stable."""
     from pyspark.sql import Window

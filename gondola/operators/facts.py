@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gondola.functions.codes import GLOBAL_GTIN, INTERNAL_LOCAL, RESTRICTED_LOCAL
 from gondola.functions.stats import kind, median, quantiles
-from gondola.operators.common import BANNER, DAY, STORE, pinned
+from gondola.operators.common import BANNER, DAY, STORE, pinned, provinces
 from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables, mart
 
@@ -54,8 +54,7 @@ def fct_local_price_store_daily(ctx: BuildContext, t: Tables) -> DataFrame:
 def mart_price_product_daily(ctx: BuildContext, t: Tables) -> DataFrame:
     """Tenth, middle and ninetieth percentile of the prices of each product, banner and province, in one pass."""
     prices = t["fct_global_price_store_daily"]
-    stores = t["dim_store_daily"].select(*DAY, *STORE, "provincia_codigo")
-    rows = prices.join(stores, [*DAY, *STORE], "left").withColumn("provincia_codigo", F.coalesce("provincia_codigo", F.lit(NO_PROVINCE)))
+    rows = prices.join(provinces(t), [*DAY, *STORE], "left").withColumn("provincia_codigo", F.coalesce("provincia_codigo", F.lit(NO_PROVINCE)))
     q = quantiles(F.col("list_price"), [0.10, 0.50, 0.90], kind(prices, "list_price"))
     out = rows.groupBy(*DAY, "gtin14", *BANNER, "provincia_codigo").agg(F.count(F.lit(1)).alias("reporting_stores"), F.min("list_price").alias("price_min"), F.max("list_price").alias("price_max"), q.alias("q"))
     return out.withColumns({"price_median": F.col("q")[1], "price_p10": F.col("q")[0], "price_p90": F.col("q")[2]}).drop("q")
@@ -74,4 +73,4 @@ def fct_analysis_price_store_daily(ctx: BuildContext, t: Tables) -> DataFrame:
     """Prices of the analysed products with the store's province."""
     prices = t["fct_global_price_store_daily"].select(*DAY, *STORE, "gtin14", "list_price")
     panel = prices.join(t["bridge_analysis_product_daily"], [*DAY, "gtin14"], "left_semi")
-    return panel.join(t["dim_store_daily"].select(*DAY, *STORE, "provincia_codigo"), [*DAY, *STORE], "left")
+    return panel.join(provinces(t), [*DAY, *STORE], "left")

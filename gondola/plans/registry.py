@@ -88,10 +88,10 @@ def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep
     for m in ordered(only):
         if m.name in seen and m.name not in tables:
             tables[m.name] = m.build(ctx, tables)
-    if keep:
-        for name, n in readers.items():
-            if n > 1 and name in MARTS and MARTS[name].fan_out:
-                keep_table(tables[name])
+    if keep:  # inputs first: a kept table's plan is fixed when it is marked, and reads what was kept before it
+        for m in ordered(only):
+            if readers[m.name] > 1 and m.fan_out:
+                keep_table(tables[m.name])
     return tables
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gondola.functions.stats import PUBLISHABLE
@@ -67,6 +67,12 @@ def measure(exports: Tables, name: str, by: list[str] | None = None, level: str
         df = df.filter(F.col("dispersion_level") == level)
     if m.at == "publishable":
         df = df.filter(F.col("coverage_status") == PUBLISHABLE)
+    if m.at != "all" and m.where is None:  # by date first, of which the last is taken: one reading of the table
+        daily = df.groupBy(*(by or []), "snapshot_date").agg(m.value.alias(name))
+        if not by:
+            return daily.agg(F.max_by(name, "snapshot_date").alias(name))
+        last = F.max("snapshot_date").over(Window.partitionBy())  # over a row for each group and date
+        return daily.withColumn("__last", last).filter("snapshot_date = __last").select(*by, name)
     if m.at != "all":
         df = df.join(F.broadcast(df.agg(F.max("snapshot_date").alias("snapshot_date"))), "snapshot_date", "left_semi")
     if m.where is not None:
