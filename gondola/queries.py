@@ -414,8 +414,8 @@ def measure_query(measure: str, sql: str, by: list[str] | None = None, level: st
     """A measure over the exported views. Its value is called `value`, and `part` says which it is where nothing groups."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        view = semantic.measures()[measure].table
-        out = semantic.measure(registry.Tables({view: viewed(spark, sf_dir, view)}), measure, by, level).withColumnRenamed(measure, "value")
+        m = semantic.measures()[measure]
+        out = semantic.measure(registry.Tables({m.table: viewed(spark, sf_dir, m.table)}), measure, by, level).withColumnRenamed(measure, "value")
         return tidy(out if by else out.withColumn("part", F.lit("all")))
 
     query(sql, key or f"measure_{measure}")(run)
@@ -475,7 +475,7 @@ def semantic_on_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT * FROM ({MART_SQL['price_index_daily']}) WHERE publishable AND snapshot_date = (SELECT max(snapshot_date) FROM ({MART_SQL['price_index_daily']}) WHERE publishable)")
 def latest_index_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last date on which the index may be published."""
-    return tidy(exports.latest_index(built("mart_banner_index_daily", spark, sf_dir)))
+    return tidy(exports.latest_index(registry.keep_table(built("mart_banner_index_daily", spark, sf_dir))))
 
 
 @query(f"SELECT round(avg(CAST(source_healthy AS INT)), 6) AS healthy_share, count(*) FILTER (WHERE NOT source_healthy) AS unhealthy FROM ({_HEALTH})")
@@ -486,7 +486,7 @@ def health_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH t AS MATERIALIZED ({MART_SQL['price_index_daily']}) SELECT arg_min(id_comercio, price_index) AS low_banner, min(price_index) AS low, arg_max(id_comercio, price_index) AS high_banner, max(price_index) AS high FROM t WHERE snapshot_date = (SELECT max(snapshot_date) FROM t)")
 def index_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest and the dearest banner of the last date."""
-    row = exports.extremes(exports.latest(built("mart_banner_index_daily", spark, sf_dir)), "price_index", "id_comercio")
+    row = exports.extremes(exports.latest(registry.keep_table(built("mart_banner_index_daily", spark, sf_dir))), "price_index", "id_comercio")
     return tidy(row.select(F.col("low.id_comercio").alias("low_banner"), F.col("low.price_index").alias("low"), F.col("high.id_comercio").alias("high_banner"), F.col("high.price_index").alias("high")))
 
 
