@@ -58,3 +58,12 @@ def quantiles_by(rows: DataFrame, keys: list[str], value: str, shares: list[floa
     return found.select(
         *keys, F.col("__total").alias("n"), back(F.col("__least")).alias("least"), back(F.col("__most")).alias("most"), F.array(*[back(between(i, s)) for i, s in enumerate(shares)]).alias("quantiles")
     )
+
+
+def medians_of(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """keys and the median of doubles (null where a group has none) for many groups of a few rows each: sorted rows are counted
+    through and one or two of each group left, so nothing is gathered. Null keys are a group."""
+    group = Window.partitionBy(*keys)
+    placed = rows.select(*keys, value, F.row_number().over(group.orderBy(F.asc_nulls_last(value))).alias("__at"), F.count(value).over(group).alias("__n"))
+    middle = placed.filter((F.col("__at") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__at") == F.floor(F.col("__n") / 2) + 1))
+    return middle.groupBy(*keys).agg((F.min(value) * 0.5 + F.max(value) * 0.5).alias(name))

@@ -12,7 +12,7 @@ from gondola.plans.context import BuildContext
 from gondola.plans.registry import Tables, mart
 
 
-@mart("mart_quality_daily", ("fact_price", "build_inputs"), (*DAY,))
+@mart("mart_quality_daily", ("fact_price", "build_inputs"), (*DAY,), fan_out=True)
 def mart_quality_daily(ctx: BuildContext, t: Tables) -> DataFrame:
     rows, scope = pinned(ctx, t, "fact_price"), F.col("product_code_scope")
     of = lambda name: F.count_if(scope == name)

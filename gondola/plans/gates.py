@@ -146,6 +146,11 @@ def quality_checks(ctx: BuildContext, t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).select(F.lit(ctx.build_id).alias("build_id"), "gate.*")
 
 
+def reads() -> list[str]:
+    """The tables that the gates' aggregates read."""
+    return sorted({g.source for g in GATES.values()} - set(SOURCES)) + ["build_inputs", "ingestion_log", "mart_basket_candidate_review", "mart_banner_index_daily", *GEOGRAPHY]
+
+
 def missing_or_unknown(checks: DataFrame) -> set[str]:
     """Names on one side only: the set of gates is closed."""
     return {r["test_name"] for r in checks.select("test_name").collect()} ^ set(GATES)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from dataclasses import dataclass
 from graphlib import TopologicalSorter
 
@@ -67,16 +67,16 @@ def ordered(only: set[str] | None = None) -> list[Mart]:
     return [marts[name] for name in TopologicalSorter(graph).static_order()]
 
 
-def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep: bool = False) -> Tables:
+def build(ctx: BuildContext, sources: Tables, only: set[str] | None = None, keep: bool = False, also: Collection[str] = ()) -> Tables:
     """Lazy DataFrames of the marts on top of the sources; sources named like a mart replace it.
 
     keep: tables that several of the wanted marts read are marked to be kept in memory or on disk once computed, as
     the lineage would otherwise be computed anew for each reader, until the next call that keeps some. A build writes
-    every mart instead.
+    every mart instead. also: names that something beside the marts reads, such as the gates, once for each time.
     """
     if keep:
         release()
-    tables, readers = Tables(sources), Counter()
+    tables, readers = Tables(sources), Counter(also)
     stack, seen = list(only or load()), set()
     while stack:  # only what the wanted marts reach, stopping at sources
         name = stack.pop()

@@ -269,7 +269,7 @@ def _scoped(df: DataFrame) -> DataFrame:
 def _checked(spark: SparkSession, sf_dir: str) -> tuple[BuildContext, registry.Tables]:
     """All marts of the adapter, and the gates over them."""
     ctx = adapter.context(spark, sf_dir)
-    t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), keep=True)
+    t = registry.build(ctx, adapter.sources(spark, sf_dir, ctx), keep=True, also=gates.reads())
     seen = registry.Tables(t, fct_global_price_store_daily=_scoped(t["fct_global_price_store_daily"]))
     return ctx, registry.Tables(t, quality_checks=gates.quality_checks(ctx, seen))
 

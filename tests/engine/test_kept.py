@@ -1,7 +1,10 @@
 """Tables that are read more than once are kept in order and computed once; the store dimension doesn't pass the driver."""
 
+from pyspark.sql import functions as F
+
+from gondola.functions.selection import medians_of
 from gondola.plans import registry, semantic
-from gondola.queries import QUERIES
+from gondola.queries import QUERIES, _checked
 from gondola.sources import adapter
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +45,17 @@ def test_last_date_reads_its_table_once(spark):
         assert "Join" not in out._jdf.queryExecution().analyzed().toString() and sorted(map(tuple, out.collect())) == found
     none = registry.Tables(dispersion_entity=rows.filter("snapshot_date IS NULL"))
     assert [tuple(r) for r in semantic.measure(none, "dispersion_limpia").collect()] == [(None,)]
+
+
+def test_what_the_gates_read_too_is_kept(spark):
+    _, t = _checked(spark, SF)
+    assert all(t[n].storageLevel.useMemory for n in ("quality_price_anomaly_daily", "mart_quality_daily"))
+    registry.release()
+
+
+def test_small_medians_gather_nothing(spark):
+    plan = adapter.prices(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "percentile" not in plan
+    df = spark.sql("SELECT IF(id % 7 = 0, NULL, id % 40) AS k, IF(id % 11 = 0 OR id % 40 = 3, NULL, CAST(id * 7919 % 1013 AS DOUBLE) / 3) AS v FROM range(300)")
+    found = medians_of(df, ["k"], "v", "m").join(df.groupBy(F.col("k").alias("l")).agg(F.median("v").alias("b")), F.col("k").eqNullSafe(F.col("l"))).collect()
+    assert len(found) == 41 and all(r.m == r.b or abs(r.m - r.b) < 1e-9 for r in found) and any(r.m is None for r in found)
