@@ -11,6 +11,7 @@ SETTINGS = {
     "spark.sql.csv.parser.columnPruning.enabled": "false",  # else a count skips the field-count check
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",  # exact percentiles over many small groups
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",  # Python workers hold a batch whole; packages are rows of up to megabytes
 }
 
 
