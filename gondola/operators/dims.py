@@ -61,9 +61,11 @@ VARIANT = ["gtin14", "producto_descripcion", "producto_descripcion_normalizada",
 
 @mart("agg_product_variant_daily", ("fact_price", "build_inputs"), (*DAY, *VARIANT))
 def agg_product_variant_daily(ctx: BuildContext, t: Tables) -> DataFrame:
-    """How often each date has a product in each of its writings: what the window's variants are summed from."""
+    """How often each date has a product in each of its writings: what the window's variants are summed from. Packages are counted
+    first, as the greatest of strings is found by sorting, which is left to those counts."""
     rows = pinned(ctx, t, "fact_price").filter(F.col("product_code_scope") == GLOBAL_GTIN)
-    return rows.groupBy(*DAY, *VARIANT).agg(F.count(F.lit(1)).alias("observations"), F.max("source_package").alias("last_package"))
+    counts = rows.groupBy(*DAY, *VARIANT, "source_package").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*DAY, *VARIANT).agg(F.sum("n").alias("observations"), F.max("source_package").alias("last_package"))
 
 
 @mart("dim_product_variant_asof", ("agg_product_variant_daily",), ("build_id", *VARIANT))

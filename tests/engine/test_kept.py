@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gondola.functions.codes import GLOBAL_GTIN
 from gondola.functions.selection import medians_of
 from gondola.plans import registry, semantic
 from gondola.queries import QUERIES, _checked
@@ -59,3 +60,14 @@ def test_small_medians_gather_nothing(spark):
     df = spark.sql("SELECT IF(id % 7 = 0, NULL, id % 40) AS k, IF(id % 11 = 0 OR id % 40 = 3, NULL, CAST(id * 7919 % 1013 AS DOUBLE) / 3) AS v FROM range(300)")
     found = medians_of(df, ["k"], "v", "m").join(df.groupBy(F.col("k").alias("l")).agg(F.median("v").alias("b")), F.col("k").eqNullSafe(F.col("l"))).collect()
     assert len(found) == 41 and all(r.m == r.b or abs(r.m - r.b) < 1e-9 for r in found) and any(r.m is None for r in found)
+
+
+def test_variants_are_not_sorted_by_row(spark):
+    ctx = adapter.context(spark, SF)
+    sources = adapter.sources(spark, SF, ctx)
+    own = registry.build(ctx, sources, {"agg_product_variant_daily"})["agg_product_variant_daily"]
+    plan = own._jdf.queryExecution().sparkPlan().toString()
+    assert plan[: plan.rindex("Aggregate(")].endswith("Hash")
+    keys = [c for c in own.columns if c not in ("observations", "last_package")]
+    plain = sources["fact_price"].filter(F.col("product_code_scope") == GLOBAL_GTIN).withColumn("build_id", F.lit(ctx.build_id)).groupBy(*keys).agg(F.count(F.lit(1)).alias("observations"), F.max("source_package").alias("last_package"))
+    assert own.count() == plain.count() and own.exceptAll(plain.select(own.columns)).isEmpty()
