@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gondola.functions import codes, text, units
-from gondola.functions.selection import quantiles_by
+from gondola.functions.selection import asked, picked, quantiles_by, ranged
 from gondola.operators import bitmaps, dims, dispersion, facts, ranges, sketches
 from gondola.operators.common import BANNER, latest
 from gondola.operators.patterns import regex_join
@@ -30,6 +30,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows of a counted side that is broadcast.
+FEW = 400_000
+
 #: Added before a double is cut to six decimals: a half and a little, so that halves fall the same way in any engine.
 HALF = 0.501
 
@@ -565,25 +568,23 @@ SELECT CASE WHEN gb = 0 AND gp = 0 THEN 'BANNER_PROVINCE' WHEN gb = 0 THEN 'BANN
        """ + _rounded("round(m, 6) AS price_median, round(a, 6) AS price_p10, round(b, 6) AS price_p90") + """ FROM q""")
 def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantiles over all dates at the four levels, from sketches that were made by day, banner and province and then only
-    merged. An exact quantile is shown where the sketch's lies within twice its stated error of it, by rows. Both are taken
-    from counts of equal prices, which all levels read."""
-    rows = adapter.lines(spark, sf_dir).select("snapshot_date", F.col("p_brand").alias("gtin14"), *BANNER, "provincia_codigo", F.col("unit_price").alias("list_price"))
-    found = sketches.of_levels(sketches.daily(rows), ["gtin14"])
-    shares, keys = {"price_median": 0.5, "price_p10": 0.1, "price_p90": 0.9}, ["gtin14", *BANNER, "provincia_codigo"]
+    merged. An exact quantile is shown where the sketch's lies within twice its stated error of it, by rows. Both exact
+    quantiles and ranks are selected: only prices near them are shuffled, once for all levels."""
+    names, shares, keys = ["price_median", "price_p10", "price_p90"], [0.5, 0.1, 0.9], ["gtin14", *BANNER, "provincia_codigo"]
+    levels = {level: ["gtin14", *own] for level, own in dispersion.LEVELS.items()}
     registry.release()
-    counted = registry.keep_table(rows.filter("list_price IS NOT NULL").groupBy(*keys, "list_price").agg(F.count(F.lit(1)).alias("times")))
-    found = found.select("dispersion_level", *keys, sketches.rows().alias("n"), *[sketches.quantile(s).alias(f"{name}_sketch") for name, s in shares.items()])
-    out = None
-    for level, own in dispersion.LEVELS.items():
-        by, near = ["gtin14", *own], found.filter(F.col("dispersion_level") == level)
-        exact = quantiles_by(counted, by, "list_price", list(shares.values()), "times").drop("n", "least", "most")
-        where = lambda condition: F.sum(F.when(condition, F.col("times")).otherwise(0))
-        off = lambda name, s: (where(F.col("list_price") < F.col(f"{name}_sketch")) <= (s + 2 * sketches.rank_error()) * F.col("n") + 1) & (where(F.col("list_price") <= F.col(f"{name}_sketch")) >= (s - 2 * sketches.rank_error()) * F.col("n") - 1)
-        kept = near.drop(*[k for k in keys if k not in by])
-        good = counted.join(kept, by).groupBy(*by, "n").agg(*[off(name, s).alias(f"{name}_ok") for name, s in shares.items()])
-        part = good.join(exact, by).select(F.lit(level).alias("dispersion_level"), *[(F.col(k) if k in by else F.lit(None).cast("string")).alias(k) for k in keys], "n", *[F.when(F.col(f"{name}_ok"), F.col("quantiles")[i]).alias(name) for i, name in enumerate(shares)])
-        out = part if out is None else out.unionByName(part)
-    return tidy(out.drop("id_bandera"))
+    rows = registry.keep_table(adapter.unit_prices(spark, sf_dir).withColumnRenamed("unit_price", "list_price"))
+    number = F.array_position(F.array(*map(F.lit, levels)), F.col("dispersion_level")).cast("int") - 1
+    daily = registry.keep_table(sketches.daily(rows.filter("list_price IS NOT NULL")))  # else each level makes them anew
+    found = sketches.of_levels(daily, ["gtin14"])
+    found = found.select(number.alias("__level"), *keys, F.array(*map(sketches.quantile, shares)).alias("guesses"))
+    counts = registry.keep_table(ranged(rows, keys, "list_price"))
+    hit = registry.keep_table(asked(counts, keys, levels, shares, found))
+    out = picked(rows, counts, hit, keys, levels, "list_price", shares, few=counts.count() <= FEW)
+    error = 2 * sketches.rank_error()
+    near = lambda i, s: (F.col("below")[i] <= (s + error) * F.col("total") + 1) & (F.col("upto")[i] >= (s - error) * F.col("total") - 1)
+    level = F.array(*map(F.lit, levels))[F.col("__level")]
+    return tidy(out.select(level.alias("dispersion_level"), *[k for k in keys if k != "id_bandera"], "n", *[F.when(near(i, s), F.col("quantiles")[i]).alias(name) for i, (name, s) in enumerate(zip(names, shares))]))
 
 
 @query("""SELECT CAST(o_orderkey AS VARCHAR) AS run_id, CASE o_orderstatus WHEN 'O' THEN 'failed' ELSE 'running' END AS status, o_orderdate AS started_at FROM orders WHERE o_orderstatus <> 'F'""")
